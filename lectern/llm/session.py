@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,10 +19,25 @@ def shared_folder(spark: SparkSession) -> str:
     return known
 
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Frames made inside drop their shuffle files as soon as their action ends."""
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a reliable checkpoint."""
     shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    with tidy(frame.sparkSession):
+        return frame.select("*").checkpoint(eager=True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
