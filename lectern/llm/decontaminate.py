@@ -166,22 +166,25 @@ def leaks(items: Items, hashes: np.ndarray, grams: dict[int, np.ndarray]) -> lis
     return out
 
 
+def _found(items: Items, hasher: WordHasher, texts: list[bytes | None]) -> Iterator[tuple[int, int, float, int, int]]:
+    """(row, item_id, similarity, first word, end word) for a batch of texts."""
+    for at, _to, _data, _s, _e, hashes, first in hasher.documents(texts):
+        whole = {n: gram_hashes(hashes, n, seed=60_000 + n) for n in items.filters}
+        # Documents without a shared shingle are passed over at once.
+        busy = [shared_shingles(table, every, whole[n]) for n, (table, every) in items.filters.items()]
+        for d in np.unique(np.searchsorted(first, np.concatenate(busy), side="right") - 1) if busy else ():
+            lo, hi = int(first[d]), int(first[d + 1])
+            own = {n: g[lo : max(lo, hi - n + 1)] for n, g in whole.items()}
+            for leak in leaks(items, hashes[lo:hi], own):
+                yield (int(at + d), *leak)
+
+
 def _search(rows: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows.value)
-        hasher = WordHasher(lower=True, separators=_SEPARATORS)
+        items, hasher = Items(rows.value), WordHasher(lower=True, separators=_SEPARATORS)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), text_bytes(batch)
-            found: list[tuple] = []
-            for at, to, _data, _s, _e, hashes, first in hasher.documents(texts):
-                whole = {n: gram_hashes(hashes, n, seed=60_000 + n) for n in items.filters}
-                # Documents without a shared shingle are passed over at once.
-                busy = [shared_shingles(table, every, whole[n]) for n, (table, every) in items.filters.items()]
-                docs = np.unique(np.searchsorted(first, np.concatenate(busy), side="right") - 1) if busy else []
-                for d in docs:
-                    lo, hi = int(first[d]), int(first[d + 1])
-                    own = {n: g[lo : max(lo, hi - n + 1)] for n, g in whole.items()}
-                    found += [(ids[at + d], *x) for x in leaks(items, hashes[lo:hi], own)]
+            ids = batch.column("doc_id").to_pylist()
+            found = [(ids[row], *rest) for row, *rest in _found(items, hasher, text_bytes(batch))]
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "similarity", "first_word", "end_word"])
@@ -189,6 +192,35 @@ def _search(rows: Broadcast):
     return run
 
 
+def _drop(rows: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, hasher = Items(rows.value), WordHasher(lower=True, separators=_SEPARATORS)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for row, *_ in _found(items, hasher, [None if t is None else t.encode("utf-8", "surrogatepass") for t in text_bytes(batch)]):
+                keep[row] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _passes(benchmark: DataFrame, item_bytes: int) -> Iterator[Broadcast]:
+    """The benchmark's items in broadcasts of bounded size."""
+    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    passes = max(1, -(-int(total) // item_bytes))
+    for k in range(passes):
+        rows = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).distinct().collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast(sorted(rows))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of docs, unchanged, in which ``contaminated`` finds no item; nothing is shuffled."""
+    for rows in _passes(benchmark, item_bytes):
+        docs = docs.mapInArrow(_drop(rows), docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """doc_id, item_id, similarity, first_word, end_word: the best window of each item found in a document.
 
@@ -201,15 +233,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_B
 
     The benchmark is a stated query set and goes in passes of bounded size.
     """
-    spark = docs.sparkSession
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-int(total) // item_bytes))
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     schema = "doc_id long, item_id long, similarity double, first_word long, end_word long"
     found = None
-    for k in range(passes):
-        rows = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).distinct().collect()]
-        some = texts.mapInArrow(_search(spark.sparkContext.broadcast(sorted(rows))), schema)
+    for rows in _passes(benchmark, item_bytes):
+        some = texts.mapInArrow(_search(rows), schema)
         found = some if found is None else found.unionByName(some)
     return found

@@ -11,8 +11,8 @@ def held_out(doc_id: Column, modulus: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)) == fold, F.lit(False))
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int, max_labels: int = 64) -> dict[object, list[tuple[int, str]]]:
-    """At most ``per_label`` (doc_id, text) for each of the ``max_labels`` most frequent label values.
+def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int, max_labels: int = 64) -> tuple[dict[object, list[tuple[int, str]]], dict[object, int]]:
+    """At most ``per_label`` (doc_id, text) for each of the ``max_labels`` most frequent label values, and how many rows each has.
 
     Those of the smallest id hashes among texts of at most ``max_chars``
     characters, so the sample does not depend on the partitioning.  Ids are
@@ -21,7 +21,8 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int,
     """
     able = rows.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     able = able.select("doc_id", F.col(label).alias("label"), "text")
-    common = [r.label for r in able.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()]
+    counts = {r.label: r["count"] for r in able.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()}
+    common = list(counts)
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = able.select("label", "doc_id").filter(F.col("label").isin(common)).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label)
     chosen = [(r.label, r.doc_id) for r in ids.select("label", "doc_id").distinct().collect()]
@@ -31,4 +32,4 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int,
     for r in able.filter(F.col("doc_id").isin(wanted)).collect():
         if (r.label, r.doc_id) in pairs:
             texts[r.label].add((r.doc_id, r.text))
-    return {name: sorted(texts[name])[:per_label] for name in sorted(texts)}
+    return {name: sorted(texts[name])[:per_label] for name in sorted(texts)}, counts

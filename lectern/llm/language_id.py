@@ -169,7 +169,7 @@ def train(docs: DataFrame, learn: Column) -> tuple[tuple[str, str], ...]:
     """(language, text) of bounded size for each labelled language."""
     usable = docs.filter(learn & F.col("text").rlike(r"\p{L}"))
     model = []
-    for name, rows in labelled_sample(usable, "lang", TRAIN_DOCS, TRAIN_DOC_CHARS, MAX_LANGUAGES).items():
+    for name, rows in labelled_sample(usable, "lang", TRAIN_DOCS, TRAIN_DOC_CHARS, MAX_LANGUAGES)[0].items():
         kept, size = [], 0
         for _, text in rows:
             if size < TRAIN_CHARS:
@@ -229,3 +229,27 @@ def identify_language(docs: DataFrame, modulus: int = 3, fold: int = 1) -> DataF
     model = train(rows, ~F.col("held_out") & F.col("doc_id").isNotNull())
     shared = spark.sparkContext.broadcast(model)
     return rows.select("doc_id", "text", "held_out").mapInArrow(_identify(shared), "doc_id long, held_out boolean, lang_pred string, score double, bits_per_char double")
+
+
+def _keep(model: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = parser(model.value)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            told, at = [], 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size < 2_000_000):
+                    size += len(texts[to] or "")
+                    to += 1
+                told.append(np.isfinite(p.entropies([t or "" for t in texts[at:to]])).any(axis=1))
+                at = to
+            yield batch.filter(pa.array(np.concatenate(told))) if told else batch
+
+    return run
+
+
+def keep_identified(docs: DataFrame, modulus: int = 3, fold: int = 1) -> DataFrame:
+    """The rows of docs, unchanged, whose language identify_language would name (not ``und``); nothing is shuffled."""
+    model = train(docs.select("doc_id", "text", "lang"), ~held_out(F.col("doc_id"), modulus, fold) & F.col("doc_id").isNotNull())
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)

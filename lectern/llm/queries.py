@@ -6,17 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .bpe import bpe_encode
+from .decontaminate import contaminated
+from .language_id import identify_language
 from .near_dedup import near_duplicates
+from .quality import quality
 from .secret_scan import secret_spans
+from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .topk_search import exact_top_k
+from .toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_table(spark, sf_dir, "documents"))
 
@@ -33,17 +44,39 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_minhash_dedup": op3_minhash_dedup,
         "op4_secret_scan": op4_secret_scan,
         "op5_token_counts": op5_token_counts,
+        "op6_toxicity": op6_toxicity,
+        "op7_decontamination": op7_decontamination,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_exact_topk": op9_exact_topk,
+        "op10_quality": op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -85,5 +118,24 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+_OP8 = r"""
+WITH split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents WHERE doc_id IS NOT NULL
+), starts AS (
+  SELECT doc_id, unnest(range(1, len(words) - 11)) AS i FROM split WHERE len(words) >= 13
+), windows AS (
+  SELECT s.doc_id, s.i, md5(array_to_string(d.words[s.i:s.i + 12], ' ')) AS w FROM starts s JOIN split d USING (doc_id)
+), firsts AS (SELECT w, min(doc_id) AS first FROM windows GROUP BY w),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (w) WHERE first < doc_id
+), gone_lists AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN words
+    ELSE list_transform(list_filter(list_zip(words, range(1, len(words) + 1)), lambda p: NOT list_contains(gone, p[2])), lambda p: p[1]) END, ' '), '')) AS kept_sha256
+FROM split d LEFT JOIN gone_lists g ON g.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_dedup": _OP3, "op9_exact_topk": _OP9}
+    return {"op3_minhash_dedup": _OP3, "op8_substring_dedup": _OP8, "op9_exact_topk": _OP9}
