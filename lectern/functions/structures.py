@@ -36,7 +36,7 @@ def age_hours(now: Column, then: Column) -> Column:
 
 def clean_list(items: Column) -> Column:
     """Trimmed, non-empty, distinct strings in their order."""
-    return F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def canonical_json(columns: Sequence[str]) -> Column:
@@ -49,8 +49,8 @@ def content_hash(columns: Sequence[str]) -> Column:
 
 
 def entry_value(entries: Column, label: str, key: str = "label", value: str = "value") -> Column:
-    """The value of the first entry with a label."""
-    return F.element_at(F.transform(F.filter(entries, lambda e: e[key] == label), lambda e: e[value]), 1)
+    """The value of the first entry with a label, null without one."""
+    return F.get(F.transform(F.filter(entries, lambda e: e[key] == label), lambda e: e[value]), F.lit(0))
 
 
 def half_up(x: Column) -> Column:

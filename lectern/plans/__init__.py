@@ -1,3 +1,3 @@
 """The registered queries, by section."""
 
-from . import aggregates, filters_joins, windows_sorts_sets  # noqa: F401
+from . import aggregates, filters_joins, scalars, windows_sorts_sets  # noqa: F401
