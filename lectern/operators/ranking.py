@@ -46,7 +46,11 @@ def bm25(docs: DataFrame, key: str, text: str, query: Sequence[str], k1: float =
     """
     wanted = sorted(set(query))
     words = docs.select(key, terms(F.col(text)).alias("terms"))
-    tf = [F.size(F.filter("terms", lambda t, w=w: t == w)).alias(f"tf_{i}") for i, w in enumerate(wanted)]
+
+    def occurrences(word: str) -> Column:
+        return F.size(F.filter("terms", lambda t: t == word))
+
+    tf = [occurrences(w).alias(f"tf_{i}") for i, w in enumerate(wanted)]
     counted = words.select(key, F.size("terms").alias("length"), *tf)
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(wanted))])
     some = counted.filter(" OR ".join(f"tf_{i} > 0" for i in range(len(wanted)))) if wanted else counted.limit(0)
