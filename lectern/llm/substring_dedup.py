@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import shuffle_partitions, text_bytes, tidy
@@ -230,10 +230,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).filter("doc_id IS NOT NULL")
-    seen = Observation()
-    sized = texts.observe(seen, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     with tidy(spark):
-        anchors = sized.mapInArrow(_anchor_rows, "anchor long, n int")
+        anchors = texts.mapInArrow(_anchor_rows, "anchor long, n int")
         recurring = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
         slot = F.shiftrightunsigned("anchor", 64 - FILTER_BITS)
         words = recurring.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(anchor, %d) & 63 AS INT))" % (64 - FILTER_BITS)).alias("bit"))
@@ -241,7 +240,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     bitmap[filled.column("word").to_numpy()] = filled.column("bits").to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
-    shards = max(shuffle_partitions(spark), -(-int(seen.get["bytes"]) // SHARD_BYTES))
+    shards = max(shuffle_partitions(spark), -(-int(size) // SHARD_BYTES))
     dealt = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
     rows = dealt.mapInArrow(_window_rows(shared), "window long, shard int, low long, high long")
     confirmed = rows.groupBy("window").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last")
