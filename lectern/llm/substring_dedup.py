@@ -82,9 +82,10 @@ class RecurringFilter:
 
     def __init__(self, bits: bytes):
         self.bits = np.frombuffer(bits, np.uint64)
+        self.shift = np.uint64(64 - (8 * len(bits)).bit_length() + 1)
 
     def __call__(self, anchors: np.ndarray) -> np.ndarray:
-        slot = anchors >> np.uint64(64 - FILTER_BITS)
+        slot = anchors >> self.shift
         return (self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
 
 
