@@ -30,6 +30,24 @@ def ranked(rows: DataFrame, order: Sequence[Column], by: Sequence[str] = (), nam
     return out.filter(F.col(name) <= limit) if limit else out
 
 
+def global_rank(rows: DataFrame, by: Column, order: Sequence[Column], name: str = "rank", buckets: int = 64) -> DataFrame:
+    """Ranks from 1 over all rows in a total order that begins with the ascending numeric ``by``; nulls come last.
+
+    Rows are dealt to value ranges cut at approximate quantiles, ranked inside
+    their range, and moved up by what the ranges before hold; no task sees all rows.
+    """
+    valued = rows.withColumn("_by", by.cast("double"))
+    cuts = sorted(set(valued.approxQuantile("_by", [i / buckets for i in range(1, buckets)], 0.001)))
+    edges = F.array(*map(F.lit, cuts)).cast("array<double>")
+    part = F.when(F.col("_by").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(edges, lambda c: c <= F.col("_by"))))
+    dealt = valued.withColumn("_part", part)
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_part", before.alias("_before"))  # a row for each of a fixed number of ranges
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("_by").asc_nulls_last(), *order))
+    return dealt.join(F.broadcast(offsets), "_part").withColumn(name, inside + F.col("_before")).drop("_by", "_part", "_before")
+
+
 def lexical_statistics(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Postings (key, term, tf, length) and document frequencies (term, df)."""
     words = docs.select(key, terms(F.col(text)).alias("terms"))

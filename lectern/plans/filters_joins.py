@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from ..operators.ranking import global_rank
 from ..registry import query
 
 
@@ -163,7 +164,7 @@ def taken_probe(t):
 def topic_board(t):
     c = t.conversations.filter((F.col("role") == "user") & F.contains(F.lower("text"), F.lit("th")))
     votes = F.length("text") + (F.col("conv_id") % 7 == 0).cast("int")
-    return c.select("conv_id", "turn", F.row_number().over(Window.orderBy(F.desc(votes), "conv_id", "turn")).cast("long").alias("place"))
+    return global_rank(c, -votes, [F.asc("conv_id"), F.asc("turn")], "place").select("conv_id", "turn", "place")
 
 
 # ---- joins

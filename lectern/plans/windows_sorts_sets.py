@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.structures import week_start
 from ..operators.merge import diff, increment, keep_first, merge_columns, replace_children, soft_delete, upsert
+from ..operators import ranking
 from ..operators.ranking import best_of_group, floor_of_best, nearest, type_priority
 from ..operators.sequences import diverse_sample, forward_fill, islands, lanes, segments
 from ..registry import query
@@ -43,7 +44,7 @@ def top2_sum(t):
 
 @query("o_n6_global_rank", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer")
 def global_rank(t):
-    return t.customer.select("c_custkey", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long").alias("place"))
+    return ranking.global_rank(t.customer, -F.col("c_acctbal"), [F.asc("c_custkey")], "place").select("c_custkey", "place")
 
 
 @query("o_n7_floor", "SELECT o_orderkey FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_orderpriority) AS top FROM orders) WHERE o_totalprice >= 0.85 * top")
@@ -191,7 +192,9 @@ def popularity(t):
 @query("o_o8_vote_orders", "SELECT user_id, row_number() OVER (ORDER BY n DESC, user_id) AS popular, row_number() OVER (ORDER BY latest DESC, user_id) AS latest FROM (SELECT user_id, count(*) AS n, max(ts) AS latest FROM events GROUP BY 1)")
 def vote_orders(t):
     x = t.events.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("t"))
-    return x.select("user_id", F.row_number().over(Window.orderBy(F.desc("n"), "user_id")).cast("long").alias("popular"), F.row_number().over(Window.orderBy(F.desc("t"), "user_id")).cast("long").alias("latest"))
+    popular = ranking.global_rank(x, -F.col("n"), [F.asc("user_id")], "popular")
+    latest = ranking.global_rank(popular, -F.unix_micros(F.col("t").cast("timestamp")), [F.asc("user_id")], "latest")
+    return latest.select("user_id", "popular", "latest")
 
 
 @query("o_o9_top_values", "SELECT p_type, n FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1) ORDER BY n DESC, p_type LIMIT 12")
@@ -221,8 +224,8 @@ def tree_order(t):
 
 @query("o_o13_calendar_lanes")
 def calendar_lanes(t):
-    o = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.expr("date_add(to_date(o_orderdate), CAST(o_orderkey % 5 AS INT))").alias("b"))
-    return lanes(o.withColumn("week", week_start(F.col("a"))), ["week"], "a", "b", "o_orderkey")
+    o = t.orders.select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("a"), F.expr("date_add(to_date(o_orderdate), CAST(o_orderkey % 5 AS INT))").alias("b"))
+    return lanes(o.withColumn("week", week_start(F.col("a"))), ["o_custkey", "week"], "a", "b", "o_orderkey")  # a customer's calendar
 
 
 @query("o_o14_criteria_samples", "SELECT p_partkey FROM (SELECT p_partkey, min(k) AS k FROM (SELECT 1 AS k, arg_max(p_partkey, (p_size, -p_partkey)) AS p_partkey FROM part UNION ALL SELECT 2, arg_max(p_partkey, (p_retailprice, -p_partkey)) FROM part WHERE p_size < 20 UNION ALL SELECT 3, arg_min(p_partkey, (p_size, p_partkey)) FROM part UNION ALL SELECT 4, arg_min(p_partkey, (p_retailprice, p_partkey)) FROM part) GROUP BY p_partkey) ORDER BY k LIMIT 5")
