@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .labels import held_out, labelled_sample
 from .session import text_bytes
+from .words import WordHasher, gram_hashes, multipliers
 
 #: Labelled documents of either class that are learned from, and the longest of them.
 TRAIN_DOCS = 1500
@@ -32,7 +33,9 @@ OPENING = 9
 SHORTEST = 4
 DICTIONARY_BYTES = 8192
 ORDINARY_BYTES = 24_576
-THRESHOLDS = (6, 8, 10, 12, 14, 16, 18)
+#: A window that the toxic dictionary holds whole compresses to this at most; the bytes it saves are held against the thresholds.
+WHOLE = 36
+THRESHOLDS = (3, 5, 7, 9, 11, 13, 15)
 MEMO_LIMIT = 400_000
 _CODE = [[bytes(c) for c in position] for position in np.random.default_rng(5).integers(0, 256, (OPENING, 256, 4), dtype=np.uint8)]
 
@@ -46,6 +49,10 @@ def coded(opening: bytes) -> bytes:
     return b"".join([_CODE[i][c] for i, c in enumerate(opening)])
 
 
+#: The compressor looks for no match in an input's last bytes: these take their place.
+_TAIL = np.random.default_rng(6).integers(0, 256, 16, dtype=np.uint8).tobytes()
+
+
 @dataclass(frozen=True)
 class Model:
     toxic: bytes
@@ -81,8 +88,9 @@ class Windows:
             missing = set(windows).difference(memo)
         plain, toxic = self.compressors
         for w in missing:
-            data = coded(w)
-            memo[w] = len(plain.compress(data)) - len(toxic.compress(data))
+            data = coded(w) + _TAIL
+            size = len(toxic.compress(data))
+            memo[w] = len(plain.compress(data)) - size if size <= WHOLE else 0
         out = np.fromiter(map(memo.__getitem__, windows), np.int64, len(windows))
         if len(memo) > MEMO_LIMIT:  # full: what came first stays
             for w in missing:
@@ -101,9 +109,26 @@ def _prefixes(text: bytes) -> set[bytes]:
     return {w[:k] for w in set(openings(text)) for k in range(SHORTEST, OPENING + 1) if len(w) >= k}
 
 
+def _unlike(texts: list[str]) -> list[bytes]:
+    """The texts without near copies of earlier ones (four of eight least shingle hashes alike): copies would count words twice."""
+    hasher, odd, out = WordHasher(lower=True), multipliers(8, 17), []
+    owners: dict[tuple[int, int], list[int]] = {}
+    for text in texts:
+        data = text.encode("utf-8", "surrogatepass")
+        words = hasher(data)[2]
+        grams = gram_hashes(words, min(5, max(1, len(words))))
+        keys = [(k, int((grams * m).min())) for k, m in enumerate(odd)] if len(grams) else [(k, 0) for k in range(8)]
+        alike = Counter(i for key in keys for i in owners.get(key, ()))
+        if max(alike.values(), default=0) < 4:
+            for key in keys:
+                owners.setdefault(key, []).append(len(out))
+            out.append(data)
+    return out
+
+
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=4 * OPENING + 4, d=8).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their content itself
         return b"".join(samples)[-size:]
 
@@ -113,7 +138,7 @@ def fit(ordinary: list[str], toxic: list[str], share: float) -> Model:
 
     share: of toxic documents among the labelled ones; the sample is weighed back to it.
     """
-    plain, bad = ([t.encode("utf-8", "surrogatepass") for t in texts] for texts in (ordinary, toxic))
+    plain, bad = _unlike(ordinary), _unlike(toxic)
     n_plain, n_bad = -(-len(plain) // 2), -(-2 * len(bad) // 3)
     seen, usual = Counter(), Counter()
     for t in bad[:n_bad]:
@@ -123,7 +148,7 @@ def fit(ordinary: list[str], toxic: list[str], share: float) -> Model:
 
     def apart(w: bytes) -> bool:
         rate = (usual[w] + 1) / (n_plain + 1)
-        return seen[w] >= 5 and seen[w] - n_bad * rate > 6 * math.sqrt(n_bad * rate) and seen[w] / n_bad > 8 * (usual[w] + 0.5) / n_plain
+        return seen[w] >= max(5, n_bad / 100) and seen[w] - n_bad * rate > 6 * math.sqrt(n_bad * rate) and seen[w] / n_bad > 8 * (usual[w] + 0.5) / n_plain
 
     telling = {w for w in seen if apart(w)} if n_plain and n_bad else set()
     samples = []
