@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cosine, norm
 from ..operators.curriculum import boxes_to_lines, fill_spans, merge_items, parse_sections, repair_encoding, session_rows
 from ..registry import query
-from ..sources.files import file_kind, optional_parquet, split_known, union_files
+from ..sources.files import file_kind, latest_file, optional_parquet, split_known, union_files
 from ..sources.html import page_links, table_cells
+from ..sources.providers import embed, extract_pages, paged
 from ..streaming.incremental import changed_only, leases, windowed_counts
 
 
@@ -45,6 +48,39 @@ def union_of_files(t):
     return union_files([t.region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("parent"))])
 
 
+@query("o_s7_latest_file", "SELECT 'supplier.parquet' AS name")
+def latest(t):
+    path = latest_file(t.spark, t.folder, "*.parquet")
+    return t.spark.createDataFrame([(path.rsplit("/", 1)[-1],)], "name string")
+
+
+def _listing(page: int) -> list[dict]:
+    return [{"page": page, "item": 10 * page + i} for i in range(10)]
+
+
+@query("o_s9_paged_source", "SELECT n_nationkey AS page, 10 * n_nationkey + i AS item FROM nation, range(10) r(i)")
+def paged_source(t):
+    return paged(t.nation.repartition(4), "n_nationkey", _listing, "page long, item long")
+
+
+@query("o_s13_extracted_pages", "SELECT n_nationkey, n_name AS text FROM nation")
+def extracted_pages(t):
+    files = t.nation.select(F.col("n_nationkey").cast("string").alias("path"), F.encode("n_name", "utf-8").alias("content"))
+    pages = extract_pages(files, lambda content: [content.decode()])
+    return pages.filter("failure IS NULL").select(F.col("path").cast("int").alias("n_nationkey"), "text")
+
+
+def _hashing_model():
+    """A stand-in for a model: counts of hashed characters."""
+    return lambda texts: np.array([np.bincount(np.frombuffer(x.encode(), np.uint8) % 16, minlength=16) for x in texts])
+
+
+@query("o_s17_embedding_provider", "SELECT doc_id, 16 AS size, true AS unit FROM documents WHERE trim(text) <> '' AND length(text) <= 8000")
+def embedding_provider(t):
+    e = embed(t.documents, "doc_id", "text", _hashing_model, 16)
+    return e.filter("status = 'COMPLETED'").select("doc_id", F.size("embedding").alias("size"), (F.abs(norm(F.col("embedding")) - 1) < 1e-5).alias("unit"))
+
+
 @query("o_s8_optional", "SELECT n_nationkey, CAST(NULL AS VARCHAR) AS note FROM nation")
 def optional_source(t):
     notes = optional_parquet(t.spark, f"{t.folder}/no_such_table_{uuid.uuid4().hex}.parquet", "n_nationkey int, note string")
@@ -95,8 +131,6 @@ def point_lookup(t):
 
 @query("o_f7_threshold", "SELECT vec_id FROM embeddings e WHERE list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) >= 0.4")
 def threshold(t):
-    from ..functions.vectors import cosine
-
     v = t.embeddings.filter("vec_id = 0").select("embedding").first()[0]
     return t.embeddings.filter(cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in v])) >= 0.4).select("vec_id")
 

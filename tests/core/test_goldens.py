@@ -1,5 +1,6 @@
 """Known facts about the operators, on small frames."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from lectern.operators.ranking import bm25, policy_rank, retrieval_metrics
 from lectern.operators.sequences import diverse_sample, lanes
 from lectern.sources.files import json_lines, json_records, latest_file, optional_parquet
 from lectern.sources.html import table_cells
+from lectern.sources.providers import embed, extract_pages, paged
 from lectern.streaming.incremental import leases, micro_batches, upsert_sink, windowed_counts
 
 CAND = "program_id string, chunk_id string, chunk_type string, similarity double"
@@ -136,6 +138,19 @@ def test_sources(spark, tmp_path):
     assert [(r.row_no, r.cell_no, r.header, r.colspan, r.text) for r in got] == [(0, 0, True, 2, "a&b"), (1, 0, False, 1, "1"), (1, 1, False, 1, "xy")]
 
 
+def test_providers(spark, tmp_path):
+    rows = [(1, "abc"), (2, None), (3, " "), (4, "x" * 9000)]
+    model = lambda: lambda texts: np.ones((len(texts), 4))
+    got = {r.k: r for r in embed(spark.createDataFrame(rows, "k long, t string"), "k", "t", model, 4).collect()}
+    assert [got[i].status for i in (1, 2, 3, 4)] == ["COMPLETED", "SKIPPED", "SKIPPED", "SKIPPED"] and list(got[1].embedding) == [0.5] * 4
+    (tmp_path / "a.bin").write_bytes(b"one\ftwo")
+    (tmp_path / "b.bin").write_bytes(b"\xff\xfe")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    pages = extract_pages(files, lambda c: c.decode().split("\f")).orderBy("path", "page").collect()
+    assert [(r.page, r.text) for r in pages] == [(1, "one"), (2, "two"), (0, None)] and "UnicodeDecodeError" in pages[2].failure
+    assert paged(spark.createDataFrame([(1,), (2,)], "n int"), "n", lambda n: [{"x": n}] * n, "x long").count() == 3
+
+
 def test_streams(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
     kind = "id long, event string, at long"
