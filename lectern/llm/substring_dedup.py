@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ GRAM = 6
 #: Bits of the filter of recurring anchors: 32 MB at every input size.  A fuller
 #: filter lets more windows through to the confirmation and loses none.
 FILTER_BITS = 28
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 8_000_000
 GROUP_WORDS = 200_000
 
 
@@ -99,27 +100,29 @@ def _candidates(hasher: WordHasher, known: RecurringFilter, texts: list[bytes |
                 yield at, gram_hashes(hashes, WINDOW)[starts[hit]], doc[hit]
 
 
-def _window_rows(bitmap: Broadcast):
-    """(window, shard, least and greatest document) of candidate windows, each once for a shard and batch."""
+def _window_rows(bitmap: Broadcast, for_shards: bool):
+    """Candidate windows: each once for a shard and batch with its greatest document, or once for a batch with its least and greatest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known = WordHasher(), RecurringFilter(bitmap.value)
         for batch in batches:
-            ids, shards = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "shard"))
+            ids, shards = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "shard"))
             keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for at, windows, doc in _candidates(hasher, known, text_bytes(batch)):
                 keys.append(windows)
                 owners.append(doc + at)
             key, owner = np.concatenate(keys), np.concatenate(owners)
-            shard, doc_id = shards[owner].astype(np.int64), ids[owner].astype(np.int64)
-            order = np.lexsort((shard, key))
-            key, shard, doc_id = key[order], shard[order], doc_id[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])
-            at = np.flatnonzero(new)
-            low = np.minimum.reduceat(doc_id, at) if len(at) else doc_id
-            high = np.maximum.reduceat(doc_id, at) if len(at) else doc_id
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(shard[at].astype(np.int32)), pa.array(low), pa.array(high)], ["window", "shard", "low", "high"])
+            if for_shards:
+                order = np.lexsort((shards[owner], key))
+                key, shard, doc_id = key[order], shards[owner][order], ids[owner][order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])
+                at = np.flatnonzero(new)
+                high = np.maximum.reduceat(doc_id, at) if len(at) else doc_id
+                yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(shard[at].astype(np.int32)), pa.array(high)], ["window", "shard", "high"])
+            else:
+                key, low, high = _grouped(key, ids[owner])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(low), pa.array(high)], ["window", "low", "high"])
 
     return run
 
@@ -129,7 +132,7 @@ def _digest(words: list[bytes]) -> str:
 
 
 def _text_rows(bitmap: Broadcast):
-    """Texts with a candidate window go on to their shard; the others are done."""
+    """Texts with a candidate window go on to their shard, compressed; the others are done."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known = WordHasher(), RecurringFilter(bitmap.value)
@@ -141,7 +144,7 @@ def _text_rows(bitmap: Broadcast):
             go, n, done = [], [], []
             for text, wait in zip(texts, busy.tolist(), strict=True):
                 words = None if wait else (text or b"").split()
-                go.append(text if wait else None)
+                go.append(zstandard.compress(text, 3) if wait else None)
                 n.append(None if wait else len(words))
                 done.append(None if wait else _digest(words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("shard"), pa.array(go, pa.binary()), pa.array(n, pa.int64()), pa.array(done, pa.string())], ["doc_id", "shard", "text", "n_words", "kept_sha256"])
@@ -203,7 +206,8 @@ def _strip(with_text: bool):
         waiting = docs["text"].notna().to_numpy()
         done = docs[~waiting]
         group, size = [], 0
-        for doc_id, text in zip(docs["doc_id"][waiting], docs["text"][waiting], strict=True):
+        for doc_id, packed in zip(docs["doc_id"][waiting], docs["text"][waiting], strict=True):
+            text = zstandard.decompress(packed)
             group.append((int(doc_id), text))
             size += len(text) // 6
             if size >= GROUP_WORDS:
@@ -243,9 +247,10 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
     shards = max(shuffle_partitions(spark), -(-int(size) // SHARD_BYTES))
     dealt = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    rows = dealt.mapInArrow(_window_rows(shared), "window long, shard int, low long, high long")
+    rows = dealt.mapInArrow(_window_rows(shared, False), "window long, low long, high long")
     confirmed = rows.groupBy("window").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last")
-    sent = rows.select("window", "shard").join(confirmed.select("window", "first"), "window")
+    sent = dealt.mapInArrow(_window_rows(shared, True), "window long, shard int, high long").join(confirmed.select("window", "first"), "window")
+    sent = sent.filter("first < high").select("window", "shard", "first")  # a shard with nothing to remove needs no row
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept binary" if with_text else "")
     waiting = dealt.mapInArrow(_text_rows(shared), "doc_id long, shard int, text binary, n_words long, kept_sha256 string")
     return waiting.groupBy("shard").cogroup(sent.groupBy("shard")).applyInPandas(_strip(with_text), kinds)
