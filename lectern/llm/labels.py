@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,21 +15,25 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int,
     """At most ``per_label`` (doc_id, text) for each of the ``max_labels`` most frequent label values, and how many rows each has.
 
     Those of the smallest id hashes among texts of at most ``max_chars``
-    characters, so the sample does not depend on the partitioning.  Ids are
-    chosen on narrow rows with a per-partition limit before their shuffle; only
-    the chosen rows' texts move.
+    characters, so the sample does not depend on the partitioning.  A number of
+    ids in proportion to ``per_label`` comes to the driver, and then their texts.
     """
     able = rows.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     able = able.select("doc_id", F.col(label).alias("label"), "text")
     counts = {r.label: r["count"] for r in able.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_labels).collect()}
-    common = list(counts)
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = able.select("label", "doc_id").filter(F.col("label").isin(common)).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_label)
-    chosen = [(r.label, r.doc_id) for r in ids.select("label", "doc_id").distinct().collect()]
-    wanted = sorted({i for _, i in chosen})
-    texts: dict[object, set[tuple[int, str]]] = {name: set() for name in common}
-    pairs = set(chosen)
-    for r in able.filter(F.col("doc_id").isin(wanted)).collect():
+    h = F.xxhash64("doc_id")
+    # Hashes under a share of the range that holds about twice the rows asked for:
+    # the smallest of them are the smallest of all.
+    low = F.lit(False)
+    for name, n in counts.items():
+        share = min(1.0, 2 * (per_label + 32) / n)
+        low = low | ((F.col("label") == F.lit(name)) & (h <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))))
+    best: dict[object, list[tuple[int, int]]] = {name: [] for name in counts}
+    for r in able.filter(low).select("label", "doc_id", h.alias("h")).distinct().collect():
+        best[r.label].append((r.h, r.doc_id))
+    pairs = {(name, i) for name, found in best.items() for _, i in sorted(found)[:per_label]}
+    texts: dict[object, set[tuple[int, str]]] = {name: set() for name in counts}
+    for r in able.filter(F.col("doc_id").isin(sorted({i for _, i in pairs}))).distinct().collect():
         if (r.label, r.doc_id) in pairs:
             texts[r.label].add((r.doc_id, r.text))
     return {name: sorted(texts[name])[:per_label] for name in sorted(texts)}, counts
