@@ -25,7 +25,7 @@ from .words import mix
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 #: Matrix widths; a longer pre-token takes the heap, which merges the same pair each time in n log n.
 WIDTHS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
-MEMO_LIMIT = 500_000
+MEMO_LIMIT = 250_000
 NONE = np.int64(1 << 40)
 
 
