@@ -28,6 +28,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Candidates of the method; a line break may fold the body of an armoured key.
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
+LETTERS = re.compile(r"[A-Za-z0-9+/]+")
+KEY_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
 HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
 
@@ -88,7 +90,7 @@ def is_ssh_key(data: bytes) -> bool:
     else:
         size = int.from_bytes(data[:4], "big") if len(data) >= 4 else 0
         name = data[4 : 4 + size]
-        if not 4 <= size <= 40 or not re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", name):
+        if not 4 <= size <= 40 or not KEY_NAME.fullmatch(name):
             return False
         at, fields = 0, None
     n = 0
@@ -112,14 +114,89 @@ def is_signed_token(header: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
 
 
-def _decoded(text: str) -> bytes | None:
-    body = re.sub(r"[\r\n]", "", text)
-    core = body.rstrip("=")
-    core = core[: len(core) - 1] if len(core) % 4 == 1 else core
-    try:
-        return base64.b64decode(core + "=" * (-len(core) % 4), validate=True)
-    except (ValueError, binascii.Error):
-        return None
+class _Bytes:
+    """The bytes of base64 letters from one of them on, decoded where they are asked for."""
+
+    def __init__(self, letters: str, at: int):
+        self.letters, self.at = letters, at
+        n = len(letters) - at
+        self.size = n // 4 * 3 + max(0, n % 4 - 1)
+
+    def __call__(self, start: int, end: int) -> bytes:
+        end = min(end, self.size)
+        if start >= end:
+            return b""
+        part = self.letters[self.at + start // 3 * 4 : self.at + -(-end // 3) * 4]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        return base64.b64decode(part + "=" * (-len(part) % 4))[start % 3 : start % 3 + end - start]
+
+
+def _key_sizes(data: _Bytes) -> Iterator[int]:
+    """Sizes in bytes that a key at the start of data may have: by its own lengths, the longest first, then all of data for an SSH head."""
+    head = data(0, 48)
+    if head[:1] == b"\x30" and len(head) >= 2:
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        yield 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+        return
+    if head.startswith(b"openssh-key-v1\0"):
+        at, keys = 15, None
+    elif 4 <= (size := int.from_bytes(head[:4], "big")) <= 40 and KEY_NAME.fullmatch(head[4 : 4 + size]):
+        at, keys = 0, 0
+    else:
+        return
+    ends: list[int] = []
+    fields = 0
+    while at + 4 <= data.size:
+        size = int.from_bytes(data(at, at + 4), "big")
+        if keys is None and fields == 3:  # a count, as many public keys and the private part follow
+            keys, at = size, at + 4
+            continue
+        if keys == 0 and fields >= 2 and 4 <= size <= 40 and KEY_NAME.fullmatch(data(at + 4, at + 4 + size)):
+            break  # another key starts
+        at, fields = at + 4 + size, fields + 1
+        if at > data.size:
+            break
+        if keys is None or fields < 2:
+            continue
+        if keys == 0 or fields == 4 + keys:
+            ends.append(at)
+        if keys and fields == 4 + keys:
+            break
+    yield from reversed(ends)
+    yield data.size
+
+
+def _folded_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(start, kind, end) of the keys in a base64 candidate: each from the start of a line to the end of one."""
+    lines = [(m.start(), m.end()) for m in LETTERS.finditer(text, start, end)]
+    letters = "".join(text[s:e] for s, e in lines)
+    offset, at = [], 0
+    for s, e in lines:
+        offset.append(at)
+        at += e - s
+    line_end = {o + e - s: k for k, (o, (s, e)) in enumerate(zip(offset, lines, strict=True))}
+    k = 0
+    while k < len(lines):
+        found = None
+        if lines[k][1] - lines[k][0] >= 40:
+            data = _Bytes(letters, offset[k])
+            for size in _key_sizes(data):
+                n = size // 3 * 4 + (0, 2, 3)[size % 3]
+                last = line_end.get(offset[k] + n)
+                if last is None and not n % 4:  # one letter more gives no byte
+                    last = line_end.get(offset[k] + n + 1)
+                if last is not None and size <= data.size:
+                    whole = data(0, size)
+                    kind = 3 if is_der_key(whole) else 4 if is_ssh_key(whole) else None
+                    if kind is not None:
+                        found = (kind, last)
+                        break
+        if found is None:
+            k += 1
+            continue
+        kind, last = found
+        yield lines[k][0], kind, end if last == len(lines) - 1 else lines[last][1]
+        k = last + 1
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -138,21 +215,14 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of candidates whose decoded bytes have a key's or a token's structure."""
     out = []
     for m in BASE64.finditer(text):
-        data = _decoded(m[0])
-        if data is None:
-            continue
-        if is_der_key(data):
-            out.append((m.start(), 3, m.end()))
-        elif is_ssh_key(data):
-            out.append((m.start(), 4, m.end()))
+        out += _folded_keys(text, m.start(), m.end())
     for m in HEX_ANY.finditer(text):
         data = bytes.fromhex(m[0])
         if is_der_key(data):
             out.append((m.start(), 3, m.end()))
         elif is_ssh_key(data):
             out.append((m.start(), 4, m.end()))
-    if "eyJ" in text:
-        out += [(m.start(), 5, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
+    out += [(m.start(), 5, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
     return sorted(out)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 import sentencepiece
 
 from lectern.llm.queries import op4_secret_scan
-from lectern.llm.secret_scan import base_spans, confirmed_spans, redact_secrets, secret_spans
+from lectern.llm.secret_scan import base_spans, confirmed_spans, redact_secrets, redacted, secret_spans
 from lectern.llm.token_counts import PieceCounter, token_counts
 
 PATTERNS = (
@@ -57,6 +57,46 @@ def test_confirmation_by_structure():
     assert [k for _, k, _ in confirmed_spans(f"see {good} and {bad}")] == [5]
 
 
+def test_unpadded_keys_end_by_their_own_lengths():
+    """Keys whose base64 has no padding, before prose, other keys and lines that are none."""
+
+    def spans(*lines, newline="\n"):
+        text, at, want = newline.join(line for line, _ in lines), 0, []
+        for line, kind in lines:
+            if kind:
+                want.append((at, kind, at + len(line)))
+            at += len(line) + len(newline)
+        return confirmed_spans(text), want, text
+
+    def b64(data):
+        return base64.b64encode(data).decode()
+
+    rsa = next(k for n in range(40, 43) if len(k := der(0x30, b"".join(der(0x02, bytes([1 + k]) * n) for k in range(8)) + der(0x02, b"z" * 41))) % 3 == 0)
+    other = next(k for n in range(60, 63) if len(k := der(0x30, der(0x30, der(0x06, b"oid")) + der(0x03, b"y" * n))) % 3 == 0)
+    ssh = b"".join(struct.pack(">I", len(x)) + x for x in (b"ssh-ed25519", b"k" * 32))
+    ssh = next(k for n in range(3) if len(k := ssh + struct.pack(">I", n) + b"c" * n) % 3 == 0)
+    private = b"openssh-key-v1\0" + b"".join(struct.pack(">I", len(x)) + x for x in (b"none", b"none", b"")) + struct.pack(">I", 1)
+    private = next(k for n in range(3) if len(k := private + b"".join(struct.pack(">I", len(x)) + x for x in (ssh, b"p" * (120 + n)))) % 3 == 0)
+    folded = "\n".join(re.findall(".{1,64}", b64(rsa)))
+    for newline in ("\n", "\r\n"):
+        for lines in (
+            [(b64(rsa), 3), ("Then some prose.", 0)],
+            [(folded, 3), ("Then some prose.", 0)],
+            [(b64(rsa), 3), (b64(other), 3), ("plain", 0)],
+            [(folded, 3), (folded, 3)],
+            [("x" * 64, 0), (b64(other), 3), ("y" * 64, 0), (b64(ssh), 4)],
+            [(b64(ssh), 4), ("ecdsa-sha2-nistp256 follows", 0)],
+            [(b64(ssh), 4), (b64(ssh), 4), (b64(rsa), 3)],
+            [(b64(private), 4), ("Then some prose.", 0)],
+            [(b64(other + b"1"), 0), (b64(rsa) + "=", 3)],
+        ):
+            got, want, text = spans(*lines, newline=newline)
+            assert got == want, lines
+            assert not any(len(line) >= 40 and line in redacted(text) for line, kind in lines if kind)
+    part = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    assert [k for _, k, _ in confirmed_spans(f"{part('{ "alg": "HS256" }')}.{part('{}')}.{'s' * 43}")] == [5]
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, "a token = abcdefghijklmnop z", "k"), (2, None, "k")], "doc_id long, text string, spans string")
     assert {r.doc_id: r.text for r in redact_secrets(frame).collect()} == {1: "a [SECRET] z", 2: None}
