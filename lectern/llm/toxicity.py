@@ -1,10 +1,16 @@
 """Toxicity by compression distance to two zstandard dictionaries.
 
 One dictionary is trained on ordinary text, one on what sets toxic text apart.
-A text's windows are its word openings; each is compressed with either, and the
-bytes that the toxic dictionary saves are held against calibrated thresholds.
-Windows go in a code of four pseudo-random bytes a character and position, so
-that only whole shared openings shorten and entropy coding adds no noise.
+A text's windows are its distinct words, long ones in several pieces; each is
+compressed with either, and the bytes that the toxic dictionary saves are held
+against calibrated thresholds.  Windows go in a code of four pseudo-random bytes
+a character and position, so that only whole shared beginnings of windows shorten
+and entropy coding adds no noise.
+
+What windows of single words cannot see: the order and number of words, so a
+passage of ordinary words in a telling order; a telling part of a long word that
+does not begin where a piece does; and a window that the toxic dictionary holds
+only in part (WHOLE), which counts as nothing.
 """
 
 from __future__ import annotations
@@ -37,16 +43,35 @@ ORDINARY_BYTES = 24_576
 WHOLE = 36
 THRESHOLDS = (3, 5, 7, 9, 11, 13, 15)
 MEMO_LIMIT = 400_000
+#: Starts a window that is not its word's opening; no word holds it.
+LATER = b" "
 _CODE = [[bytes(c) for c in position] for position in np.random.default_rng(5).integers(0, 256, (OPENING, 256, 4), dtype=np.uint8)]
+_LATER_CODE = [[bytes(c) for c in position] for position in np.random.default_rng(8).integers(0, 256, (OPENING, 256, 4), dtype=np.uint8)]
 
 
-def openings(text: bytes | None) -> list[bytes]:
-    """The first bytes of each lower-cased (A-Z) word."""
-    return [w[:OPENING] for w in (text or b"").lower().split()]
+def windows_of(word: bytes) -> list[bytes]:
+    """A word's first OPENING bytes, then every further stretch of OPENING, the last one back from the word's end."""
+    if len(word) <= OPENING:
+        return [word]
+    later = [LATER + word[i : i + OPENING] for i in range(OPENING, len(word) - OPENING, OPENING)]
+    return [word[:OPENING], *later, LATER + word[-OPENING:]]
 
 
-def coded(opening: bytes) -> bytes:
-    return b"".join([_CODE[i][c] for i, c in enumerate(opening)])
+def word_windows(text: bytes | None) -> list[bytes]:
+    """The windows of each lower-cased (A-Z) word."""
+    return [w for word in (text or b"").lower().split() for w in windows_of(word)]
+
+
+def coded(window: bytes) -> bytes:
+    if window.startswith(LATER):
+        return b"".join([_LATER_CODE[i][c] for i, c in enumerate(window[len(LATER) :])])
+    return b"".join([_CODE[i][c] for i, c in enumerate(window)])
+
+
+def beginnings(window: bytes) -> list[bytes]:
+    """The window's first bytes, from SHORTEST of them to all, the longest first."""
+    mark = len(LATER) if window.startswith(LATER) else 0
+    return [window[:k] for k in range(len(window), mark + SHORTEST - 1, -1)]
 
 
 #: The compressor looks for no match in an input's last bytes: these take their place.
@@ -98,15 +123,17 @@ class Windows:
         return out
 
     def features(self, text: bytes | None) -> np.ndarray:
-        windows = sorted(set(openings(text)))
-        saved = self.saved(windows)
+        words = [windows_of(w) for w in sorted(set((text or b"").lower().split()))]
+        saved = self.saved([w for windows in words for w in windows])
+        if words:  # a word saves what the best of its windows saves
+            saved = np.maximum.reduceat(saved, np.cumsum([0] + [len(windows) for windows in words[:-1]]))
         over = np.array([(saved >= t).sum() for t in THRESHOLDS], np.float64)
-        n = math.sqrt(len(windows) + 20)
-        return np.concatenate([3 * over / n, np.log1p(over), [math.log1p(len(windows)), saved[saved >= THRESHOLDS[0]].sum() / n]])
+        n = math.sqrt(len(words) + 20)
+        return np.concatenate([3 * over / n, np.log1p(over), [math.log1p(len(words)), saved[saved >= THRESHOLDS[0]].sum() / n]])
 
 
 def _prefixes(text: bytes) -> set[bytes]:
-    return {w[:k] for w in set(openings(text)) for k in range(SHORTEST, OPENING + 1) if len(w) >= k}
+    return {b for w in set(word_windows(text)) for b in beginnings(w)}
 
 
 def _unlike(texts: list[str]) -> list[bytes]:
@@ -153,11 +180,11 @@ def fit(ordinary: list[str], toxic: list[str], share: float) -> Model:
     telling = {w for w in seen if apart(w)} if n_plain and n_bad else set()
     samples = []
     for t in bad[:n_bad]:
-        longest = [next((w[:k] for k in range(len(w), SHORTEST - 1, -1) if w[:k] in telling), b"") for w in openings(t)]
+        longest = [next((b for b in beginnings(w) if b in telling), b"") for w in word_windows(t)]
         if any(longest):
             samples.append(b"".join(map(coded, longest)))
     toxic_part = _dictionary(samples, DICTIONARY_BYTES) if samples else b""
-    ordinary_part = _dictionary([b"".join(map(coded, openings(t))) for t in plain[:600]], ORDINARY_BYTES) if plain else b""
+    ordinary_part = _dictionary([b"".join(map(coded, word_windows(t))) for t in plain[:600]], ORDINARY_BYTES) if plain else b""
     rest = plain[n_plain:] + bad[n_bad:]
     windows = Windows(toxic_part, ordinary_part)
     x = np.array([windows.features(t) for t in rest]) if rest else np.zeros((0, 2 * len(THRESHOLDS) + 2))
@@ -197,7 +224,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, fold: int = 1
 
     Learns from labels.toxic of documents outside the held-out fold (crc32 of
     doc_id as text, modulo ``modulus``, equal to ``fold``), at most TRAIN_DOCS of
-    either class; a score reads the whole text and nothing else.  Null and empty
+    either class; a score reads every byte of the text, in windows within single
+    words (see the module for what these cannot see), and nothing else.  Null and empty
     texts have no windows and score as such; without labels every score is 0.5.  A
     null doc_id is not held out; null or other labels are not learned from, and of
     two labels of one document both are.  Repeated rows each get their row; further

@@ -5,7 +5,7 @@ import numpy as np
 
 from lectern.llm.quality import AttentionModel, quality
 from lectern.llm.queries import op6_toxicity, op10_quality
-from lectern.llm.toxicity import toxicity
+from lectern.llm.toxicity import LATER, toxicity, windows_of
 
 from .conftest import prose
 
@@ -55,6 +55,25 @@ def test_toxic_words_are_learned_and_held_out(spark):
     assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in rows if r.held_out]) > 0.95
 
 
+def test_words_that_differ_after_their_opening(spark):
+    """Compounds of one opening, and words of three-byte letters, whose later bytes alone are telling."""
+    rng = random.Random(4)
+    bad, good = ("kindergartenhasser", "ตกลงแย่มากจริง"), ("kindergartenfreund", "ตกลงดีมากเสมอ")
+    docs, marks = [], []
+    for i in range(600):
+        toxic = int(i % 4 == 0)
+        words = prose(i, 60).split()
+        for _ in range(4):
+            words[rng.randrange(60)] = rng.choice(bad if toxic else good)
+        docs.append((i, " ".join(words)))
+        marks.append((i, toxic))
+    rows = toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    assert np.mean([r.predicted == int(r.doc_id % 4 == 0) for r in rows if r.held_out]) > 0.95
+    for word in (b"x", b"ninebytes", b"tenbytes10", b"abcdefghi" * 3, bytes(range(97, 117))):
+        at = [0, *range(9, len(word) - 9, 9), *([len(word) - 9] if len(word) > 9 else [])]
+        assert [w.removeprefix(LATER) for w in windows_of(word)] == [word[i : i + 9] for i in at]
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     marks = {r.doc_id: r for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
