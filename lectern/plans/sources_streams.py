@@ -95,7 +95,7 @@ def html_rows(t):
 @query("o_s10_html_tables")
 def html_tables(t):
     row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td rowspan=2>"), "l_returnflag", F.lit("</td></tr>"))
-    pages = t.lineitem.filter("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.concat(F.lit("<table>"), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
+    pages = t.lineitem.groupBy("l_orderkey").agg(F.concat(F.lit("<table>"), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
     return table_cells(pages, "l_orderkey")
 
 
@@ -167,7 +167,7 @@ def sessions(t):
 
 @query("o_r9_layout_lines")
 def layout_lines(t):
-    b = t.lineitem.filter("l_orderkey % 10 = 0").select("l_orderkey", F.col("l_quantity").alias("left"), (F.col("l_linenumber") * 20.0).alias("top"), (F.col("l_quantity") + 5).alias("right"), (F.col("l_linenumber") * 20.0 + 12).alias("bottom"), F.col("l_returnflag").alias("text"))
+    b = t.lineitem.select("l_orderkey", F.col("l_quantity").alias("left"), (F.col("l_linenumber") * 20.0).alias("top"), (F.col("l_quantity") + 5).alias("right"), (F.col("l_linenumber") * 20.0 + 12).alias("bottom"), F.col("l_returnflag").alias("text"))
     return boxes_to_lines(b, "l_orderkey")
 
 

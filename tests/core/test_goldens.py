@@ -1,9 +1,12 @@
 """Known facts about the operators, on small frames."""
 
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import lectern.plans  # noqa: F401
 from lectern.functions import structures as S
 from lectern.functions import text as X
 from lectern.operators.chunks import MOST, OVERLAP, chunk_documents, chunk_problems, split_text
@@ -12,6 +15,7 @@ from lectern.operators.grouping import group_entities
 from lectern.operators.merge import diff, merge_columns, soft_delete, upsert
 from lectern.operators.ranking import bm25, policy_rank, retrieval_metrics
 from lectern.operators.sequences import diverse_sample, lanes
+from lectern.registry import QUERIES
 from lectern.sources.files import json_lines, json_records, latest_file, optional_parquet
 from lectern.sources.html import table_cells
 from lectern.sources.providers import embed, extract_pages, paged
@@ -138,6 +142,19 @@ def test_sources(spark, tmp_path):
     assert [(r.row_no, r.cell_no, r.header, r.colspan, r.text) for r in got] == [(0, 0, True, 2, "a&b"), (1, 0, False, 1, "1"), (1, 1, False, 1, "xy")]
 
 
+def test_every_order_becomes_a_table_and_lines(spark):
+    folder, orders = "/root/testdata/sf0.001", defaultdict(list)
+    for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").collect():
+        orders[r.l_orderkey].append((r.l_linenumber, float(r.l_quantity), r.l_returnflag))
+    cells = [(k, i, c, t) for k, rows in orders.items() for i, row in enumerate(sorted((str(n), f) for n, _, f in rows)) for c, t in enumerate(row)]
+    assert sorted((r.l_orderkey, r.row_no, r.cell_no, r.text) for r in QUERIES["o_s10_html_tables"](spark, folder).collect()) == sorted(cells)
+    lines = []
+    for k, rows in orders.items():
+        tops = sorted({n for n, _, _ in rows})
+        lines += [(k, i, " ".join(f for n, _, f in sorted(rows) if n == top)) for i, top in enumerate(tops)]
+    assert sorted((r.l_orderkey, r.line, r.text) for r in QUERIES["o_r9_layout_lines"](spark, folder).collect()) == sorted(lines)
+
+
 def test_providers(spark, tmp_path):
     rows = [(1, "abc"), (2, None), (3, " "), (4, "x" * 9000)]
     model = lambda: lambda texts: np.ones((len(texts), 4))
