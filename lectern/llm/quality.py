@@ -19,7 +19,7 @@ from .labels import held_out, labelled_sample
 from .session import text_bytes
 from .words import WordHasher
 
-#: Labelled documents of either class that are learned from, and the longest of them.
+#: Labelled documents of either class that are learned from, and the characters of one (a passage of a longer text).
 TRAIN_DOCS = 2000
 TRAIN_CHARS = 20_000
 PASSAGE = 64
@@ -159,8 +159,9 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, fold: int = 0,
 
     Learns from labels.quality of documents outside the held-out fold (crc32 of
     doc_id as text, modulo ``modulus``, equal to ``fold``), at most TRAIN_DOCS of
-    either class; a score reads the whole text and nothing else.  A null, empty or wordless text is one empty passage; without
-    labels scores come from the untrained model.  A null doc_id is not held out;
+    either class and a passage of TRAIN_CHARS characters of a longer one; a score
+    reads the whole text and nothing else.  A null, empty or wordless text is one
+    empty passage; without labels scores come from the untrained model.  A null doc_id is not held out;
     null or other labels are not learned from, and of two labels of one document
     both are.  Repeated rows each get their row; further columns are ignored; no
     rows give no rows.
@@ -169,7 +170,7 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, fold: int = 0,
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality IN (0, 1)").distinct()
     learn = texts.join(marks, "doc_id").filter(~held_out(F.col("doc_id"), modulus, fold))
-    sample, _ = labelled_sample(learn, "quality", TRAIN_DOCS, TRAIN_CHARS, 2)
+    sample, _ = labelled_sample(learn, "quality", TRAIN_DOCS, TRAIN_CHARS)
     bags = [(t.encode("utf-8", "surrogatepass"), float(k)) for k, rows in sample.items() for _, t in rows]
     x, counts = encode(WordHasher(), [t for t, _ in bags])
     model = AttentionModel().fit(x, counts, np.array([y for _, y in bags]))
