@@ -1,19 +1,22 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
 from lectern.llm.topk_search import exact_top_k
 
 
-def brute(rows, k=5):
+def brute(rows, k=5, kind=np.float32):
     fine = {}
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            fine[i] = np.floor(np.array(v, np.float32).astype(float) * 256).astype(int)
+            fine[i] = [math.floor(Fraction(float(kind(x))) * 256) for x in v]
     out = []
     for q, x in fine.items():
         if q % 50 == 0:
-            best = sorted(((-int(x @ y), i) for i, y in fine.items() if i != q and len(y) == len(x)))[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+            best = sorted(((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in fine.items() if i != q and len(y) == len(x)))[:k]
+            out += [(q, r + 1, i, min(2**63 - 1, max(-(2**63), -s))) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
@@ -33,3 +36,13 @@ def test_few_rows_widths_and_none(spark):
     assert sorted(map(tuple, exact_top_k(spark.createDataFrame(rows, kind)).collect())) == brute(rows)
     assert exact_top_k(spark.createDataFrame([], kind)).count() == 0
     assert exact_top_k(spark.createDataFrame([(0, [1.0])], kind)).count() == 0
+
+
+@pytest.mark.parametrize("size", [3e5, 1e6, 3e7, 1e17, 1e30, 1e300])
+def test_components_of_any_size_are_exact(spark, size):
+    """Also where products pass 2^53 and where scores pass the range of a long."""
+    rng = np.random.default_rng(int(np.log10(size)))
+    rows = [(i, [float(x) for x in rng.normal(size=64) * size]) for i in range(120)]
+    rows += [(200 + i, rows[i % 5][1]) for i in range(20)] + [(300, [size] * 64), (301, [size] * 63 + [size * (1 + 2**-40)])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, exact_top_k(frame).collect())) == brute(rows, kind=float)
