@@ -26,9 +26,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Candidates of the method; a line break may fold the body of an armoured key.
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}(?:\r?\n[A-Za-z0-9+/]{4,})*={0,2}")
-LETTERS = re.compile(r"[A-Za-z0-9+/]+")
+#: A line break inside an armoured key: real, or escaped as in JSON, with an indent behind it.
+FOLD = r"(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*"
+#: Candidates of the method: a line of letters and further ones, the last of which may be a single quantum.
+BASE64 = re.compile(rf"[A-Za-z0-9+/]{{40,}}(?:{FOLD}[A-Za-z0-9+/]+)*={{0,2}}")
+FOLDS = re.compile(FOLD)
 KEY_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
 HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
@@ -168,7 +170,16 @@ def _key_sizes(data: _Bytes) -> Iterator[int]:
 
 def _folded_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int, int]]:
     """(start, kind, end) of the keys in a base64 candidate: each from the start of a line to the end of one."""
-    lines = [(m.start(), m.end()) for m in LETTERS.finditer(text, start, end)]
+    if text[start] in "nr" and text[start - 1 : start] == "\\":
+        start += 1  # of an escaped line break before the candidate
+    lines, at = [], start
+    for fold in FOLDS.finditer(text, start, end):
+        lines.append((at, fold.start()))
+        at = fold.end()
+    stop = end
+    while text[stop - 1] == "=":
+        stop -= 1
+    lines.append((at, stop))
     letters = "".join(text[s:e] for s, e in lines)
     offset, at = [], 0
     for s, e in lines:
@@ -250,7 +261,9 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     Spans are kind:start:end in code points (end exclusive), by start and then
     kind, comma-joined; base_sha256 covers the three base kinds, spans also the
-    confirmed ones.  Null and empty texts have none (the hash of no bytes); a
+    confirmed ones.  Spans of different kinds may overlap, and all are reported.  A
+    base64 key may be folded by line breaks, real or escaped, with indents, and ends
+    where its own lengths end; texts of any length are read whole.  Null and empty texts have none (the hash of no bytes); a
     null doc_id stays null; repeated rows each get their row; further columns of
     docs are ignored; no rows give no rows.
     """
@@ -276,5 +289,9 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """The same rows and columns, each reported span of text replaced by a mark (null text stays null)."""
+    """The same rows and columns, each reported span of text replaced by a mark, overlapping ones as one.
+
+    Null and empty texts stay as they are; null ids and repeated rows stay; columns
+    of any other name stay; no rows give no rows.
+    """
     return docs.mapInArrow(_redact, docs.schema)

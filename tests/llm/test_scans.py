@@ -97,6 +97,20 @@ def test_unpadded_keys_end_by_their_own_lengths():
     assert [k for _, k, _ in confirmed_spans(f"{part('{ "alg": "HS256" }')}.{part('{}')}.{'s' * 43}")] == [5]
 
 
+def test_keys_of_every_length_in_every_fold():
+    """Last lines of every length, padded or not, folded and indented in several ways, before the end mark or prose."""
+    for n in range(48):
+        key = der(0x30, b"".join(der(0x02, bytes([1 + k]) * 36) for k in range(8)) + der(0x02, b"z" * (40 + n)))
+        coded = base64.b64encode(key).decode()
+        for letters in {coded, coded.rstrip("=")}:
+            for fold in ("\n", "\r\n", "\\n", "\\r\\n", "\n    ", "\\\\n", "\n\t"):
+                body = fold.join(re.findall(".{1,64}", letters))
+                for head, tail in (("-----BEGIN RSA PRIVATE KEY-----" + fold, fold + "-----END RSA PRIVATE KEY-----"), ("key: ", fold + "Then some prose"), ("", "")):
+                    text = head + body + tail
+                    assert confirmed_spans(text) == [(len(head), 3, len(head) + len(body))], (n, fold, head, tail)
+                    assert redacted(text) == head + "[SECRET]" + tail
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, "a token = abcdefghijklmnop z", "k"), (2, None, "k")], "doc_id long, text string, spans string")
     assert {r.doc_id: r.text for r in redact_secrets(frame).collect()} == {1: "a [SECRET] z", 2: None}
