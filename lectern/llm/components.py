@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import cut
+from .skew import hot_limit, join_hot
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, limit: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return join_hot(both.filter("v > u"), least, ["u"], F.col("n") > limit).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, limit: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_hot(down, least, ["u"], F.col("n") > limit).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -26,17 +27,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     edges: two long columns u and v.  Self loops, repeats and null ends are
     ignored; no edges give no rows.  Each round moves every node to a smaller
-    neighbour, pre-aggregates the minimum of a hot node before its shuffle and
-    ends on a checkpoint, so lost executors never replay earlier rounds.
+    neighbour, pre-aggregates the minimum of a node before its shuffle, broadcasts
+    that of the few nodes of very many edges, and ends on a checkpoint, so lost
+    executors never replay earlier rounds.
     """
     now = cut(edges.select("u", "v").filter("u <> v").distinct())
-    seen = None
+    size, seen = now.count(), None
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now)))
+        if not size:
+            break
+        now = cut(_small_star(cut(_large_star(now, hot_limit(2 * size))), hot_limit(2 * size)))
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if state == seen:
             break
-        seen = state
+        seen, size = state, state.n
     else:
         raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode, where none is set (tests)."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not known and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not known:
         known = tempfile.mkdtemp(prefix="lectern-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():

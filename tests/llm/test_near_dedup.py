@@ -16,7 +16,7 @@ def shingles(text):
     return {tuple(words)} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = {i: shingles(t) for i, t in rows}
     root = {i: i for i in sets}
 
@@ -32,15 +32,15 @@ def brute(rows):
     for ids in index.values():
         common.update(itertools.combinations(sorted(ids), 2))
     for (a, b), k in common.items():
-        if 100 * k >= 85 * (len(sets[a]) + len(sets[b]) - k):
+        if 100 * k >= percent * (len(sets[a]) + len(sets[b]) - k):
             x, y = find(a), find(b)
             root[max(x, y)] = min(x, y)
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-def check(frame, rows):
-    want = brute([(i, t) for i, t in rows if i is not None])
-    got = near_duplicates(frame).collect()
+def check(frame, rows, percent=85):
+    want = brute([(i, t) for i, t in rows if i is not None], percent)
+    got = near_duplicates(frame, percent).collect()
     assert len(got) == sum(i is not None for i, _ in rows)
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id]
@@ -68,6 +68,33 @@ def test_large_groups_of_near_copies_in_blocks(spark, monkeypatch, block):
     check(spark.createDataFrame(rows, "doc_id long, text string"), rows)
 
 
+@pytest.mark.parametrize("block", [512, 6])
+@pytest.mark.parametrize("percent", [85, 80])
+def test_texts_that_meet_by_chance(spark, monkeypatch, block, percent):
+    """Many texts alike by half share buckets; only those past the threshold are linked, in chains and apart from the largest group."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", block)
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 900)}" for _ in range(120)]
+    rows, chain = [], list(base)
+    for i in range(60):
+        rows.append((i, " ".join(base[:90] + [f"x{i}y{k}" for k in range(30)])))  # alike by 0.5
+    for i in range(40):  # neighbours are alike, ends are not
+        for _ in range(2):
+            chain[rng.randrange(120)] = f"c{i}v{rng.randint(0, 9999)}"
+        rows.append((100 + i, " ".join(chain)))
+    for i in range(60):
+        words = list(base)
+        at = rng.randrange(100)
+        words[at : at + rng.randint(1, 16)] = [f"z{i}"]
+        rows.append((200 + i, " ".join(words)))
+    rng.shuffle(rows)
+    check(spark.createDataFrame(rows, "doc_id long, text string"), rows, percent)
+
+
+def test_banding():
+    assert near_dedup.banding(85) == (30, 6) and near_dedup.banding(80) == (36, 5)
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, k) for k in range(1001, 1400)] + [(5, 5), (7, 6)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
