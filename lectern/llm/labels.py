@@ -41,8 +41,8 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int)
         best[r.label].append((r.h, r.doc_id))
     pairs = {(name, i) for name, found in best.items() for _, i in sorted(found)[:per_label]}
     texts: dict[object, set[tuple[int, str]]] = {name: set() for name in counts}
-    chosen = rows.sparkSession.createDataFrame(sorted({(i,) for _, i in pairs}), "doc_id long")
-    for r in able.join(F.broadcast(chosen), "doc_id").select("label", "doc_id", passage(F.col("text"), F.col("doc_id"), max_chars).alias("text")).distinct().collect():
+    # A list of ids is pushed down to the scan, below any join that ``rows`` has.
+    for r in able.filter(F.col("doc_id").isin(sorted({i for _, i in pairs}))).select("label", "doc_id", passage(F.col("text"), F.col("doc_id"), max_chars).alias("text")).distinct().collect():
         if (r.label, r.doc_id) in pairs:
             texts[r.label].add((r.doc_id, r.text))
     return {name: sorted(texts[name])[:per_label] for name in sorted(texts)}, counts
