@@ -199,10 +199,10 @@ def _candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
     ends = stars.groupBy("v").agg(F.count("*").alias("n")).join(sigs.withColumnRenamed("rep", "v"), "v").withColumnRenamed("signature", "other")
     pairs = join_hot(stars.join(sigs.withColumnRenamed("rep", "u"), "u"), ends, ["v"], F.col("n") > hot_limit(n_members))
     edges = cut(pairs.select("u", "v", "signature", "other").mapInArrow(_star_links(percent), "u long, v long"))
-    settled = connected_components(edges)
-    # Of a bucket of two, the star has seen the only pair; a bucket in one part has nothing more to join.
-    several = members.filter("n > 2").select("band", "rep").join(settled.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    several = cut(several.select("band", F.col("rep").alias("id"), F.coalesce("component", "rep").alias("part")))
+    # Of a bucket of two, the star has seen the only pair; one whose members are all tied to its smallest has nothing more to join.
+    tied = edges.select(F.col("u").alias("rep"), F.col("v").alias("least"), F.lit(True).alias("tied"))
+    several = members.filter("n > 2").join(tied, ["rep", "least"], "left")
+    several = cut(several.select("band", F.col("rep").alias("id"), F.when(F.coalesce("tied", F.lit(False)), F.col("least")).otherwise(F.col("rep")).alias("part")))
     open_bands = several.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).filter("low < high")
     left = join_hot(several, open_bands, ["band"], F.col("n") > hot_limit(n_members)).select("band", "id", "part")
     left = cut(left.join(sigs.withColumnRenamed("rep", "id"), "id"))
