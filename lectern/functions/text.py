@@ -75,11 +75,60 @@ def redact_lines(text: Column, labels: Sequence[tuple[str, str]]) -> Column:
             out = F.when(line.rlike(pattern), F.lit(name)).otherwise(out)
         return out
 
-    contact = F.when(F.regexp_like(text, F.lit(EMAIL)), F.lit("EMAIL")), F.when(F.regexp_like(text, F.lit(PHONE)), F.lit("PHONE"))
     dropped = F.filter(F.transform(lines, category), lambda c: c.isNotNull())
     kept = F.filter(lines, lambda x: category(x).isNull())
+    contact = F.when(F.exists(kept, lambda x: x.rlike(EMAIL)), F.lit("EMAIL")), F.when(F.exists(kept, lambda x: x.rlike(PHONE)), F.lit("PHONE"))
     clean = F.filter(F.transform(kept, lambda x: F.when(x.rlike(EMAIL) | x.rlike(PHONE), F.regexp_replace(F.trim(scrub_contacts(x)), r"\s*:\s*$", "")).otherwise(x)), lambda x: x != "")
-    return F.struct(F.array_join(clean, "\n").alias("text"), F.array_sort(F.array_distinct(F.concat(dropped, F.array_compact(F.array(*contact))))).alias("categories"))
+    found = F.array_sort(F.array_distinct(F.concat(dropped, F.array_compact(F.array(*contact)))))
+    return F.struct(F.when(F.size(found) > 0, F.array_join(clean, "\n")).otherwise(text).alias("text"), found.alias("categories"))
+
+
+# What personal data looks like in programme texts, what makes an attachment a document of high risk.
+PERSONAL_PHONE = r"(?<![0-9A-Za-z])(?:0\d{1,2}\)?[- ]?\d{3,4}[- ]?\d{4})(?![0-9A-Za-z])"
+PERSONAL_EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+PERSONAL_LINES = (
+    ("BIRTH_DATE", r"(?:생년월일|생일|출생일)"),
+    ("BANK_ACCOUNT", r"(?:입금계좌|환불계좌|계좌번호|계좌|예금주)\s*[:：]?"),
+    ("PRIVATE_ADDRESS", r"(?:상세주소|거주지|주소)\s*[:：]?"),
+    ("PERSON_NAME", r"(?:(?:강사|담당자|사서|공무원|작성자)|(?:참여자|신청자|수강생|보호자|아동)\s*(?:이름|성명))\s*[:：]"),
+)
+PERSONAL_ROW = r"(?:이름|성명|신청자|참여자|수강생|보호자|강사|담당자)"
+HIGH_RISK = r"(?m)(?:참여자\s*명단|신청자\s*명단|수강생\s*명단|출석부|출석\s*명단|(?:^|\n)\s*신청서(?:\s|[:：]|$)|참가\s*신청서|개인정보\s*(?:수집[·ㆍ・.]?\s*이용|제공)\s*동의서|서명부|서명란|보호자\s*연락처|아동\s*정보|환불\s*계좌|강사\s*이력서|통장\s*사본|신분증\s*사본)"
+
+
+def sanitised(text: Column, attachment: bool) -> Column:
+    """A struct of the text without personal data and the sorted categories of what went.
+
+    Lines that name a birth date, an account, an address, a person, or a person
+    beside a contact go whole; other contacts are cut out.  A text without any hit
+    stays as it is (line ends, control characters and outer blanks apart); an
+    attachment that reads like a list of persons or a consent form goes altogether.
+    """
+    ends = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    source = ends(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+    none = F.array().cast("array<string>")
+
+    def judged(line: Column) -> Column:
+        phone, email = line.rlike(PERSONAL_PHONE), line.rlike(PERSONAL_EMAIL)
+        contacts = F.array_compact(F.array(F.when(phone, F.lit("PHONE")), F.when(email, F.lit("EMAIL"))))
+        clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, PERSONAL_PHONE, ""), PERSONAL_EMAIL, ""), r"\s{2,}", " "), r"\s*[:：]\s*$", "")
+        row = lambda value, found: F.struct(value.alias("value"), found.alias("found"))
+        out = F.when((phone | email) & line.rlike(PERSONAL_ROW), row(F.lit(""), F.concat(F.array(F.lit("PERSONAL_CONTACT_ROW")), contacts))).otherwise(row(ends(clean), contacts))
+        for name, pattern in reversed(PERSONAL_LINES):
+            out = F.when(line.rlike(pattern), row(F.lit(""), F.array(F.lit(name)))).otherwise(out)
+        return out
+
+    lines = F.transform(F.split(source, "\n"), judged)
+    kept = F.filter(F.transform(lines, lambda x: x["value"]), lambda x: x != "")
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(lines, lambda x: x["found"]))))
+    hit = source.rlike(PERSONAL_PHONE) | source.rlike(PERSONAL_EMAIL)
+    for _, pattern in PERSONAL_LINES:
+        hit = hit | source.rlike(pattern)
+    plain = F.struct(source.alias("text"), none.alias("categories"))
+    out = F.when(hit, F.struct(ends(F.array_join(kept, "\n")).alias("text"), found.alias("categories"))).otherwise(plain)
+    if attachment:
+        out = F.when(source.rlike(HIGH_RISK), F.struct(F.lit("").alias("text"), F.array(F.lit("HIGH_RISK_DOCUMENT")).alias("categories"))).otherwise(out)
+    return out
 
 
 def comparison_key(title: Column) -> Column:

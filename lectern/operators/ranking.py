@@ -11,10 +11,16 @@ from ..functions.text import terms
 from ..functions.vectors import cosine
 
 
-def nearest(rows: DataFrame, vector: str, query: Sequence[float], key: str, size: int) -> DataFrame:
-    """The exact top rows by cosine similarity, ties by key."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return rows.withColumn("similarity", cosine(F.col(vector), q)).orderBy(F.desc("similarity"), F.asc(key)).limit(size)
+def nearest(rows: DataFrame, vector: str, query: Sequence[float] | DataFrame, key: str, size: int) -> DataFrame:
+    """The exact top rows by cosine similarity, ties by key.
+
+    query: the numbers, or a frame whose one row holds them as ``vector`` (without a row nothing is near).
+    """
+    if isinstance(query, DataFrame):
+        held = rows.join(F.broadcast(query.select(F.col("vector").alias("_q"))), how="cross")
+    else:
+        held = rows.withColumn("_q", F.array(*[F.lit(float(x)) for x in query]))
+    return held.withColumn("similarity", cosine(F.col(vector), F.col("_q"))).drop("_q").orderBy(F.desc("similarity"), F.asc(key)).limit(size)
 
 
 def best_of_group(rows: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -59,8 +65,8 @@ def lexical_statistics(docs: DataFrame, key: str, text: str) -> tuple[DataFrame,
 def bm25(docs: DataFrame, key: str, text: str, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key and score of the documents that have any of the query's distinct terms.
 
-    Documents are read once: per document the length and the counts of the
-    query's terms, then one row of corpus statistics for all.
+    One pass over the documents gives a row of corpus statistics, one their length
+    and counts of the query's terms; either splits a text once.
     """
     wanted = sorted(set(query))
     words = docs.select(key, terms(F.col(text)).alias("terms"))
@@ -68,21 +74,43 @@ def bm25(docs: DataFrame, key: str, text: str, query: Sequence[str], k1: float =
     def occurrences(word: str) -> Column:
         return F.size(F.filter("terms", lambda t: t == word))
 
-    tf = [occurrences(w).alias(f"tf_{i}") for i, w in enumerate(wanted)]
-    counted = words.select(key, F.size("terms").alias("length"), *tf)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(wanted))])
-    some = counted.filter(" OR ".join(f"tf_{i} > 0" for i in range(len(wanted)))) if wanted else counted.limit(0)
-    scored = some.join(F.broadcast(stats), how="cross")  # one row
-
-    def part(i: int) -> Column:
-        f, df = F.col(f"tf_{i}"), F.col(f"df_{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        return idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-
-    total = part(0) if wanted else F.lit(0.0)
-    for i in range(1, len(wanted)):
-        total = total + part(i)
-    return scored.select(key, total.alias("score"))
+    counts = F.array(*[F.struct(F.lit(i).alias("i"), occurrences(w).alias("tf")) for i, w in enumerate(wanted)]).cast("array<struct<i:int,tf:int>>")
+    counted = words.select(key, F.size("terms").alias("length"), counts.alias("counts"))
+    found = F.array(*[F.count_if(F.col("counts")[i]["tf"] > 0) for i in range(len(wanted))]).cast("array<bigint>")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), found.alias("df"))
+    # Exploded first: a filter on the counts would otherwise sink below them and split every text again.
+    some = counted.select(key, "length", F.inline("counts")).filter("tf > 0").join(F.broadcast(stats), how="cross")  # one row
+    df, f = F.element_at("df", F.col("i") + 1), F.col("tf")
+    idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+    part = idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    return some.groupBy(key).agg(F.sum(part).alias("score"))
+
+
+def hybrid_search(lexical: DataFrame, dense: DataFrame, records: DataFrame, key: str, method: str, limit: int, age: str | None = None, grade: int | None = None) -> DataFrame:
+    """rank, key, group_id, bm25_rank, dense_rank, bm25_score, similarity, rrf_score, boosts of the best records of a search.
+
+    lexical: key, rank, score.  dense: key, rank, similarity.  records: key, group_id,
+    ages (array), grade_min, grade_max.  method: BM25 and DENSE rank their own list,
+    HYBRID the union by reciprocal ranks, HYBRID_TARGETED with a boost for the asked
+    age group.  A record whose grade range lacks the asked grade is left out; one
+    without a range stays.
+    """
+    lex = lexical.select(key, F.col("rank").alias("bm25_rank"), F.col("score").alias("bm25_score"))
+    near = dense.select(key, F.col("rank").alias("dense_rank"), "similarity")
+    how = {"BM25": "left", "DENSE": "right"}.get(method, "full_outer")
+    found = lex.join(near, key, how).join(records, key)
+    share = lambda c: F.coalesce(1.0 / (F.lit(60) + F.col(c)), F.lit(0.0))
+    fits = F.coalesce(F.array_contains("ages", age), F.lit(False)) if method == "HYBRID_TARGETED" and age else F.lit(False)
+    rrf = share("bm25_rank") + share("dense_rank") + F.when(fits, 0.002).otherwise(0.0)
+    if grade is not None:
+        found = found.filter(F.coalesce((F.col("grade_min") <= grade) & (F.col("grade_max") >= grade), F.lit(True)))
+    score = {"BM25": F.coalesce("bm25_score", F.lit(0.0)), "DENSE": F.coalesce("similarity", F.lit(-1.0))}.get(method, rrf)
+    boosts = F.when(fits, F.array(F.lit("TARGET_AGE_GROUP:+0.002"))).otherwise(F.array().cast("array<string>"))
+    hybrid = rrf if method.startswith("HYBRID") else F.lit(None).cast("double")
+    x = found.select(key, "group_id", "bm25_rank", "dense_rank", "bm25_score", "similarity", hybrid.alias("rrf_score"), boosts.alias("boosts"), F.round(score, 9).alias("_score"))
+    order = (F.desc("_score"), F.asc("group_id"), F.asc(key))
+    top = x.orderBy(*order).limit(limit)  # at most so many rows are ranked in one task
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("_score")
 
 
 def reciprocal_rank_fusion(lists: Sequence[DataFrame], key: str, rank: str = "rank", k: int = 60) -> DataFrame:
@@ -163,6 +191,10 @@ def policy_rank(candidates: DataFrame, policy: str, requested: dict[str, Sequenc
         bonus = bonus + F.when(same, F.lit(value)).otherwise(0.0)
         keep = keep & F.coalesce(same, F.lit(True)) if hard else keep
     scored = one.withColumn("score", F.col("_a1") + F.coalesce(F.least("_a2", "_a1"), F.lit(0.0)) * second + bonus).filter(keep)
-    order = (F.desc("score"), F.desc("similarity"), F.asc("_p"), F.asc("program_id"), F.asc("chunk_id"))
-    out = ranked(scored, order, limit=limit)
+    # Nine digits: sums in another order may differ past them.
+    order = (F.desc(F.round("score", 9)), F.desc(F.round("similarity", 9)), F.asc("_p"), F.asc("program_id"), F.asc("chunk_id"))
+    if limit:
+        out = ranked(scored.orderBy(*order).limit(limit), order)
+    else:
+        out = global_rank(scored, -F.round("score", 9), order).withColumn("rank", F.col("rank").cast("int"))
     return out.select("rank", "program_id", "chunk_id", "chunk_type", "similarity", "score")

@@ -54,18 +54,28 @@ def lanes(events: DataFrame, by: list[str], start: str, end: str, key: str, cap:
 
 
 def diverse_sample(rows: DataFrame, labels: str, key: str, size: int) -> list:
-    """Greedy maximum coverage: keys that add the most unseen labels, ties to the smaller key.
+    """``size`` keys (all, if fewer) that cover rare labels first and then evenly, in the order in which they are picked.
 
-    Each step is one distributed aggregate; only the chosen key and its labels
-    come back, so the loop is bounded by ``size``.
+    A row scores 100 times the sum of 1 / frequency over its labels that no pick
+    has yet, plus the sum of 1 / (1 + picks that have it) over all of them; ties go
+    to the larger key.  Labels are a vocabulary: their frequencies, one row a
+    label, come to the driver.  Each pick is one distributed aggregate of which one
+    row comes back.
     """
-    chosen, seen = [], []
-    for _ in range(size):
-        new = F.size(F.array_except(F.col(labels), F.array(*map(F.lit, seen)).cast("array<string>")))
+    often = {r.label: r["count"] for r in rows.select(F.explode(labels).alias("label")).groupBy("label").count().collect()}
+    covered, chosen = dict.fromkeys(often, 0), []
+    as_map = lambda counts: F.create_map(*[F.lit(x) for pair in sorted(counts.items()) for x in pair]) if counts else F.create_map().cast("map<string,bigint>")
+    frequency = as_map(often)
+    while len(chosen) < size:
+        times = as_map(covered)
+        rare = F.aggregate(labels, F.lit(0.0), lambda s, x: s + F.when(times[x] == 0, 1.0 / frequency[x]).otherwise(0.0))
+        even = F.aggregate(labels, F.lit(0.0), lambda s, x: s + 1.0 / (1 + times[x]))
         left = rows.filter(~F.col(key).isin(chosen)) if chosen else rows
-        best = left.select(key, labels, new.alias("_new")).orderBy(F.desc("_new"), F.asc(key)).limit(1).collect()
-        if not best or best[0]["_new"] == 0:
+        scored = left.select(F.struct(key, labels).alias("row"), F.struct((rare * 100 + even).alias("score"), F.col(key).alias("k")).alias("order"))
+        best = scored.agg(F.max_by("row", "order").alias("row")).first().row
+        if best is None:
             break
-        chosen.append(best[0][key])
-        seen = sorted(set(seen) | set(best[0][labels]))
+        chosen.append(best[key])
+        for label in best[labels]:
+            covered[label] += 1
     return chosen

@@ -44,12 +44,6 @@ def facets(t):
     return t.orders.filter("o_orderstatus = 'F'").filter("o_orderpriority = '2-HIGH'").filter("o_custkey % 3 = 0").select("o_orderkey")
 
 
-@query("o_f8_version_guard", "SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND o_orderstatus = 'F' AND md5(CAST(l_orderkey AS VARCHAR)) = md5(CAST(o_orderkey AS VARCHAR))")
-def version_guard(t):
-    j = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.filter((F.col("l_returnflag") == "R") & (F.col("o_orderstatus") == "F") & (F.md5(F.col("l_orderkey").cast("string")) == F.md5(F.col("o_orderkey").cast("string")))).select("l_orderkey", "l_linenumber")
-
-
 @query("o_f9_recent_lease", "SELECT event_id FROM events WHERE event_type = 'error' AND ts >= (SELECT max(ts) FROM events) - INTERVAL 30 MINUTES")
 def recent_lease(t):
     now = t.events.agg(F.max("ts").alias("now"))
@@ -229,12 +223,13 @@ def semi(t):
     return yes.unionByName(t.nation.join(known, "n_nationkey", "left_anti").select("n_nationkey", F.lit(False).alias("valid")))
 
 
-@query("o_j11_containment", "SELECT n_name, r_name, place FROM (SELECT n_name, r_name, row_number() OVER (PARTITION BY n_name ORDER BY length(r_name) DESC, r_name) AS place FROM nation JOIN region ON contains(lower(r_name), lower(substr(n_name, 1, 2))) OR contains(lower(n_name), lower(substr(r_name, 1, 2)))) WHERE place <= 3")
+@query("o_j11_containment", "WITH s AS (SELECT DISTINCT source FROM documents) SELECT a, b, place FROM (SELECT a.source AS a, b.source AS b, row_number() OVER (PARTITION BY a.source ORDER BY length(b.source) DESC, b.source) AS place FROM s a JOIN s b ON a.source <> b.source AND (contains(lower(b.source), lower(a.source)) OR contains(lower(a.source), lower(b.source)))) WHERE place <= 3")
 def containment(t):
-    a, b = F.lower("n_name"), F.lower("r_name")
-    j = t.nation.join(F.broadcast(t.region), F.contains(b, F.substring(a, 1, 2)) | F.contains(a, F.substring(b, 1, 2)))
-    w = Window.partitionBy("n_name").orderBy(F.desc(F.length("r_name")), "r_name")
-    return j.select("n_name", "r_name", F.row_number().over(w).cast("long").alias("place")).filter("place <= 3")
+    names = t.documents.select("source").distinct()  # one row a source
+    a, b = names.select(F.col("source").alias("a")), names.select(F.col("source").alias("b"))
+    j = a.join(b, (F.col("a") != F.col("b")) & (F.contains(F.lower("b"), F.lower("a")) | F.contains(F.lower("a"), F.lower("b"))))
+    w = Window.partitionBy("a").orderBy(F.desc(F.length("b")), "b")
+    return j.select("a", "b", F.row_number().over(w).cast("long").alias("place")).filter("place <= 3")
 
 
 @query("o_j12_overlap", "SELECT day, count(*) AS open FROM (SELECT unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INTEGER), INTERVAL 1 DAY))::DATE AS day FROM orders) GROUP BY day")
@@ -300,9 +295,9 @@ def null_safe(t):
     return j.filter(~F.when(F.col("quality") == 1, F.col("n_chars")).eqNullSafe(F.col("n_chars"))).select("doc_id")
 
 
-@query("o_j22_contains_residual", "SELECT a.conv_id, count(*) AS n FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn AND position(substr(a.text, 1, 2) IN b.text) > 0 GROUP BY a.conv_id")
+@query("o_j22_contains_residual", "SELECT a.conv_id, count(*) AS n FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn <> b.turn AND position(split_part(a.text, ' ', 1) IN b.text) > 0 GROUP BY a.conv_id")
 def contains_residual(t):
-    a = t.conversations.select("conv_id", "turn", F.substring("text", 1, 2).alias("x"))
+    a = t.conversations.select("conv_id", "turn", F.split_part("text", F.lit(" "), F.lit(1)).alias("x"))
     b = t.conversations.select("conv_id", F.col("turn").alias("turn_b"), F.col("text").alias("text_b"))
     return a.join(b, "conv_id").filter((F.col("turn") != F.col("turn_b")) & F.contains("text_b", "x")).groupBy("conv_id").agg(F.count("*").alias("n"))
 
@@ -343,9 +338,11 @@ def array_semi(t):
 
 @query("o_j28_series", "SELECT a.o_orderkey, count(b.o_orderkey) AS others, min(b.o_orderdate) AS first_other FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey GROUP BY a.o_orderkey")
 def series(t):
-    a = t.orders.select("o_custkey", "o_orderkey")
-    b = t.orders.select("o_custkey", F.col("o_orderkey").alias("other"), "o_orderdate")
-    return a.join(b, "o_custkey").filter("o_orderkey <> other").groupBy("o_orderkey").agg(F.count("other").alias("others"), F.min("o_orderdate").alias("first_other"))
+    """Counted over the customer's orders: the first other one is the first, or for the first itself the second."""
+    per = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    every = per.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    o = t.orders.select("o_orderkey", (F.count("*").over(every) - 1).alias("others"), F.when(F.row_number().over(per) == 1, F.nth_value("o_orderdate", 2).over(every)).otherwise(F.first("o_orderdate").over(every)).alias("first_other"))
+    return o.filter("others > 0")
 
 
 @query("o_j29_reverse_lookup", "SELECT p_brand, string_agg(DISTINCT s_name, ';' ORDER BY s_name) AS suppliers FROM part JOIN lineitem ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_size = 7 GROUP BY p_brand")

@@ -9,8 +9,7 @@ from ..functions import text as X
 from ..functions.vectors import cosine, dot
 from ..operators.chunks import chunk_documents, chunk_problems
 from ..operators.grouping import group_entities
-from ..operators.merge import keep_first
-from ..operators.ranking import best_of_group, bm25, floor_of_best, nearest, policy_rank, ranked, reciprocal_rank_fusion
+from ..operators.ranking import bm25, hybrid_search, nearest, policy_rank, ranked, reciprocal_rank_fusion
 from ..registry import query
 
 QUERY = ("heed", "thea", "license")
@@ -31,10 +30,14 @@ _DENSE = "SELECT vec_id AS doc_id, row_number() OVER (ORDER BY list_cosine_simil
 _RRF = f"SELECT doc_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM ({_LIST}) UNION ALL SELECT * FROM ({_DENSE})) GROUP BY doc_id"
 
 
+def _vector(t, vec_id: int):
+    """The query's vector as a frame of one row, or of none where the table lacks it (a search then finds nothing)."""
+    return t.embeddings.filter(F.col("vec_id") == vec_id).select(F.col("embedding").alias("vector")).limit(1)
+
+
 def _lists(t):
     lex = ranked(bm25(t.documents, "doc_id", "text", QUERY).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(50), (F.desc(F.round("score", 9)), F.asc("doc_id")))
-    vector = t.embeddings.filter("vec_id = 0").select("embedding").first()[0]
-    near = nearest(t.embeddings, "embedding", vector, "vec_id", 50).withColumnRenamed("vec_id", "doc_id")
+    near = nearest(t.embeddings, "embedding", _vector(t, 0), "vec_id", 50).withColumnRenamed("vec_id", "doc_id")
     return lex, ranked(near, (F.desc("similarity"), F.asc("doc_id")))
 
 
@@ -43,11 +46,52 @@ def fusion(t):
     return reciprocal_rank_fusion(_lists(t), "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("o_k6_hybrid_targeted", f"SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, score + CASE WHEN lang = 'en' THEN 0.002 ELSE 0 END AS s FROM ({_RRF}) JOIN documents USING (doc_id)) ORDER BY round(s, 9) DESC, doc_id LIMIT 20")
+_AGES = "CASE WHEN doc_id % 3 = 0 THEN ['ELEMENTARY', 'ADULT'] WHEN doc_id % 3 = 1 THEN ['PRESCHOOL'] ELSE CAST(NULL AS VARCHAR[]) END"
+
+
+def _hybrid_sql(method: str, age: str | None = None, grade: int | None = None) -> str:
+    """The rows of hybrid_search over documents and vectors, with groups, ages and grade ranges by key."""
+    own = {"BM25": "WHERE b.doc_id IS NOT NULL", "DENSE": "WHERE n.doc_id IS NOT NULL"}.get(method, "")
+    fits = f"coalesce(list_contains(ages, '{age}'), FALSE)" if method == "HYBRID_TARGETED" and age else "FALSE"
+    rrf = f"coalesce(1.0 / (60 + bm25_rank), 0) + coalesce(1.0 / (60 + dense_rank), 0) + CASE WHEN {fits} THEN 0.002 ELSE 0 END"
+    score = {"BM25": "coalesce(bm25_score, 0)", "DENSE": "coalesce(similarity, -1)"}.get(method, rrf)
+    keep = f"WHERE grade_min IS NULL OR (grade_min <= {grade} AND grade_max >= {grade})" if grade is not None else ""
+    return f"""WITH b AS (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {_BM25} QUALIFY rank <= 50),
+n AS (SELECT *, row_number() OVER (ORDER BY similarity DESC, doc_id) AS rank FROM (SELECT vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS similarity FROM embeddings) QUALIFY rank <= 50),
+f AS (SELECT coalesce(b.doc_id, n.doc_id) AS doc_id, b.rank AS bm25_rank, n.rank AS dense_rank, b.score AS bm25_score, n.similarity FROM b FULL JOIN n ON b.doc_id = n.doc_id {own}),
+r AS (SELECT doc_id, source AS group_id, {_AGES} AS ages, CASE WHEN doc_id % 4 > 0 THEN doc_id % 6 END AS grade_min, CASE WHEN doc_id % 4 > 0 THEN doc_id % 6 + 2 END AS grade_max FROM documents),
+x AS (SELECT doc_id, group_id, bm25_rank, dense_rank, bm25_score, similarity, {f'{rrf}' if method.startswith('HYBRID') else 'CAST(NULL AS DOUBLE)'} AS rrf_score, CASE WHEN {fits} THEN ['TARGET_AGE_GROUP:+0.002'] ELSE CAST([] AS VARCHAR[]) END AS boosts, round({score}, 9) AS s FROM f JOIN r USING (doc_id) {keep})
+SELECT CAST(row_number() OVER (ORDER BY s DESC, group_id, doc_id) AS INTEGER) AS rank, doc_id, group_id, bm25_rank, dense_rank, round(bm25_score, 6) AS bm25_score, round(similarity, 6) AS similarity, round(rrf_score, 6) AS rrf_score, boosts FROM x ORDER BY rank LIMIT 20"""
+
+
+def _hybrid(t, method: str, age: str | None = None, grade: int | None = None):
+    d = F.col("doc_id")
+    ages = F.when(d % 3 == 0, F.array(F.lit("ELEMENTARY"), F.lit("ADULT"))).when(d % 3 == 1, F.array(F.lit("PRESCHOOL")))
+    ranged = lambda c: F.when(d % 4 > 0, c)
+    records = t.documents.select("doc_id", F.col("source").alias("group_id"), ages.alias("ages"), ranged(d % 6).alias("grade_min"), ranged(d % 6 + 2).alias("grade_max"))
+    lex, dense = _lists(t)
+    found = hybrid_search(lex, dense, records, "doc_id", method, 20, age, grade)
+    return found.select("rank", "doc_id", "group_id", "bm25_rank", "dense_rank", *[F.round(c, 6).alias(c) for c in ("bm25_score", "similarity", "rrf_score")], "boosts")
+
+
+@query("o_k6_bm25", _hybrid_sql("BM25", grade=3))
+def hybrid_lexical(t):
+    return _hybrid(t, "BM25", grade=3)
+
+
+@query("o_k6_dense", _hybrid_sql("DENSE", grade=3))
+def hybrid_dense(t):
+    return _hybrid(t, "DENSE", grade=3)
+
+
+@query("o_k6_hybrid", _hybrid_sql("HYBRID"))
+def hybrid_plain(t):
+    return _hybrid(t, "HYBRID")
+
+
+@query("o_k6_hybrid_targeted", _hybrid_sql("HYBRID_TARGETED", "ELEMENTARY", 3))
 def hybrid(t):
-    s = reciprocal_rank_fusion(_lists(t), "doc_id").join(t.documents.select("doc_id", "lang"), "doc_id")
-    s = s.withColumn("s", F.col("score") + F.when(F.col("lang") == "en", 0.002).otherwise(0.0))
-    return s.orderBy(F.desc(F.round("s", 9)), "doc_id").limit(20).select("doc_id", F.round("s", 6).alias("score"))
+    return _hybrid(t, "HYBRID_TARGETED", "ELEMENTARY", 3)
 
 
 # Candidates for re-ranking: vectors stand for chunks, labels for programs.
@@ -55,10 +99,8 @@ _CAND = "(SELECT vec_id AS c, label AS p, CASE vec_id % 3 WHEN 0 THEN 'CORE' WHE
 
 
 def _candidates(t):
-    vector = t.embeddings.filter("vec_id = 0").select("embedding").first()[0]
-    q = F.array(*[F.lit(float(x)) for x in vector])
     kind = F.when(F.col("vec_id") % 3 == 0, "CORE").when(F.col("vec_id") % 3 == 1, "SESSIONS").otherwise("ATTACHMENT")
-    return t.embeddings.select(F.col("label").alias("program_id"), F.col("vec_id").alias("chunk_id"), kind.alias("chunk_type"), cosine(F.col("embedding"), q).alias("similarity"))
+    return t.embeddings.join(F.broadcast(_vector(t, 0)), how="cross").select(F.col("label").alias("program_id"), F.col("vec_id").alias("chunk_id"), kind.alias("chunk_type"), cosine(F.col("embedding"), F.col("vector")).alias("similarity"))
 
 
 def _policy_sql(weights: tuple[float, float, float], second: float) -> str:
@@ -93,34 +135,19 @@ def policy_combined(t):
     return _policy(t, "combined")
 
 
-@query("o_k7_board_search", f"""WITH a AS (SELECT c, p, round(s, 8) AS s, CASE WHEN p = 3 THEN 0.14 WHEN p % 2 = 1 THEN 0.1 WHEN p = 0 THEN 0.06 ELSE -0.25 END AS adj FROM {_CAND} WHERE p % 2 = 1 OR p = 0 OR p = 4), e AS (SELECT *, round(s + adj, 8) AS score FROM a WHERE round(s + adj, 8) >= 0.05 AND adj > -0.25), f AS (SELECT * FROM e WHERE s >= 0.5 * (SELECT max(s) FROM e)),
-g AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY score DESC, s DESC, c) AS r, count(*) OVER (PARTITION BY p) AS n FROM f) SELECT c AS source_id, n AS series_count, round(score, 6) AS score FROM g WHERE r = 1 ORDER BY score DESC, s DESC, c LIMIT 50""")
-def board_search(t):
-    p = F.col("program_id")
-    c = _candidates(t).filter((p % 2 == 1) | (p == 0) | (p == 4)).withColumn("s", F.round("similarity", 8))
-    adj = F.when(p == 3, 0.14).when(p % 2 == 1, 0.1).when(p == 0, 0.06).otherwise(-0.25)
-    e = c.withColumn("adj", adj).withColumn("score", F.round(F.col("s") + F.col("adj"), 8)).filter("score >= 0.05 AND adj > -0.25").withColumn("q", F.lit(0))
-    best = best_of_group(floor_of_best(e, ["q"], "s", 0.5), ["program_id"], [F.desc("score"), F.desc("s"), F.asc("chunk_id")])
-    return best.orderBy(F.desc("score"), F.desc("s"), "chunk_id").limit(50).select(F.col("chunk_id").alias("source_id"), F.col("group_size").alias("series_count"), F.round("score", 6).alias("score"))
-
-
-@query("o_k8_chunk_search", f"WITH n AS (SELECT * FROM {_CAND} WHERE k <> 'SESSIONS' AND s >= -1 ORDER BY s DESC, c LIMIT 25), d AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY s DESC, CASE k WHEN 'CORE' THEN 0 ELSE 2 END, c) AS r FROM n) SELECT CAST(row_number() OVER (ORDER BY s DESC, CASE k WHEN 'CORE' THEN 0 ELSE 2 END, c) AS INTEGER) AS rank, p AS program_id, c AS chunk_id, (SELECT count(*) FROM n) AS candidates, (SELECT count(DISTINCT p) FROM n) AS programs FROM d WHERE r = 1 ORDER BY rank LIMIT 5")
-def chunk_search(t, limit: int = 5):
-    near = _candidates(t).filter("chunk_type <> 'SESSIONS' AND similarity >= -1").orderBy(F.desc("similarity"), "chunk_id").limit(max(5 * limit, 20))
-    counts = near.agg(F.count("*").alias("candidates"), F.countDistinct("program_id").alias("programs"))
-    order = (F.desc("similarity"), F.asc(F.when(F.col("chunk_type") == "CORE", 0).otherwise(2)), F.asc("chunk_id"))
-    best = ranked(keep_first(near, ["program_id"], order), order, limit=limit)
-    return best.join(F.broadcast(counts), how="cross").select("rank", "program_id", "chunk_id", "candidates", "programs")
+def _chunks(t):
+    d = t.documents.withColumn("file", F.concat("source", F.lit(".txt"))).withColumn("core", F.concat_ws("\n", "lang", "source")).withColumn("sessions", F.when(F.col("doc_id") % 5 == 0, F.left("text", F.lit(5000))))
+    return chunk_documents(d, "doc_id", "source", "lang", "core", "sessions", "file", "text")
 
 
 @query("o_k1_chunker")
 def chunker(t):
-    return chunk_documents(t.documents, "doc_id", "source", "text")
+    return _chunks(t)
 
 
 @query("o_k2_chunk_invariants", "SELECT doc_id, CAST(NULL AS VARCHAR[]) AS problems FROM documents WHERE false")
 def chunk_invariants(t):
-    return chunk_problems(chunk_documents(t.documents, "doc_id", "source", "text"), "doc_id")
+    return chunk_problems(_chunks(t), "doc_id")
 
 
 @query("o_k3_safety_gate", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'UNLABELLED' WHEN toxic = 1 THEN 'TOXIC' WHEN quality = 0 THEN 'LOW_QUALITY' ELSE 'SAFE' END AS decision, list_sort(list_filter([CASE WHEN toxic = 1 THEN 'TOXIC' END, CASE WHEN quality = 0 THEN 'LOW_QUALITY' END], lambda x: x IS NOT NULL)) AS reasons FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -194,13 +221,6 @@ def board(t):
     return _normalised(t).select("page_id", "host", F.count("*").over(Window.partitionBy("host")).alias("series"), (F.col("lang") != "").alias("has_lang"))
 
 
-@query("o_k16_planner", "SELECT action, count(*) AS n FROM (SELECT CASE WHEN trim(d.text) = '' THEN 'skip_empty' WHEN l.toxic = 1 THEN 'skip_recent' WHEN l.quality = 1 AND d.n_chars = length(d.text) THEN 'unchanged' WHEN l.doc_id IS NOT NULL THEN 'would_update' ELSE 'would_create' END AS action FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY 1")
-def planner(t):
-    j = t.documents.join(t.labels.withColumn("exists", F.lit(True)), "doc_id", "left")
-    action = F.when(F.trim("text") == "", "skip_empty").when(F.col("toxic") == 1, "skip_recent").when((F.col("quality") == 1) & (F.col("n_chars") == F.length("text")), "unchanged").when(F.col("exists"), "would_update").otherwise("would_create")
-    return j.groupBy(action.alias("action")).agg(F.count("*").alias("n"))
-
-
 @query("o_k17_segments", "SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS anchor FROM conversations")
 def anchored(t):
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
@@ -221,7 +241,6 @@ def multi_entity(t):
 
 @query("o_k20_pilot_search", "SELECT vec_id, label, round(d, 6) AS score FROM (SELECT vec_id, label, list_dot_product(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)) AS d FROM embeddings e WHERE label < 5) ORDER BY d DESC, vec_id LIMIT 10")
 def pilot_search(t):
-    v = t.embeddings.filter("vec_id = 7").select("embedding").first()[0]
-    s = t.embeddings.filter("label < 5").withColumn("d", dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in v])))
+    s = t.embeddings.filter("label < 5").join(F.broadcast(_vector(t, 7)), how="cross").withColumn("d", dot(F.col("embedding"), F.col("vector")))
     return s.orderBy(F.desc("d"), "vec_id").limit(10).select("vec_id", "label", F.round("d", 6).alias("score"))
 

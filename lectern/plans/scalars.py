@@ -39,9 +39,14 @@ def preview(t):
     return t.conversations.select("conv_id", "turn", X.preview(F.col("text")).alias("preview"))
 
 
+_PERSONAL = ("강사: 홍길동", "문의 02-123-4567 또는 a.b@example.com", "신청자 이름 홍길동 010-1234-5678", "생년월일 2000-01-01\n연락처 : 010 1234 5678", "참가 신청서", "주소: 서울", None)
+
+
 @query("o_x7_redact_lines")
 def redact_lines(t):
-    return t.documents.select("doc_id", X.redact_lines(F.col("text"), (("SECRET", r"(?i)\b(password|token)\b\s*[:=]"), ("LICENSE", "(?i)licen[cs]e"))).alias("r")).select("doc_id", "r.text", "r.categories")
+    line = F.element_at(F.array(*[F.lit(v).cast("string") for v in _PERSONAL]), (F.col("doc_id") % len(_PERSONAL) + 1).cast("int"))
+    r = X.sanitised(F.concat_ws("\n", "text", line), True)
+    return t.documents.select("doc_id", r.alias("r")).select("doc_id", "r.text", "r.categories")
 
 
 @query("o_x8_forbidden", rf"SELECT doc_id, regexp_matches(text, '{_EMAIL}') OR regexp_matches(text, 'token = ') AS forbidden FROM documents")
@@ -82,11 +87,6 @@ def series_key(t):
     return t.part.select("p_partkey", F.concat(F.coalesce(F.nullif("p_brand", F.lit("")), F.lit("?")), F.lit("::"), F.regexp_extract("p_name", r"^(\S+)", 1)).alias("key"), F.regexp_extract("p_name", "([0-9]+)$", 1).alias("occurrence"))
 
 
-@query("o_x15_search_series", r"SELECT doc_id, concat(regexp_replace(lower(source), '[0-9]+$', ''), '|', array_to_string(list_sort([lang, 'all']), '')) AS key FROM documents")
-def search_series(t):
-    return t.documents.select("doc_id", F.concat(F.regexp_replace(F.lower("source"), "[0-9]+$", ""), F.lit("|"), F.array_join(F.array_sort(F.array("lang", F.lit("all"))), "")).alias("key"))
-
-
 @query("o_x16_group_key", "SELECT o_orderkey, concat_ws('|', o_custkey, o_orderpriority, strftime(o_orderdate, '%Y-%m')) AS key FROM orders")
 def group_key(t):
     return t.orders.select("o_orderkey", F.concat_ws("|", "o_custkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM")).alias("key"))
@@ -162,18 +162,6 @@ def capped_taxonomy(t):
     return t.documents.select("doc_id", X.labels_of(F.col("text"), _RULES, cap=2).alias("labels"))
 
 
-@query("o_x29_concepts", "SELECT doc_id, contains(lower(text), 'apache') OR contains(lower(text), 'mit license') AS legal, contains(lower(text), 'password') OR contains(lower(text), 'token') AS secret FROM documents")
-def concepts(t):
-    low = F.lower("text")
-    has = lambda *w: F.exists(F.array(*map(F.lit, w)), lambda k: F.contains(low, k))
-    return t.documents.select("doc_id", has("apache", "mit license").alias("legal"), has("password", "token").alias("secret"))
-
-
-@query("o_x30_first_audience", r"SELECT doc_id, CASE WHEN regexp_matches(text, 'License') THEN 'LICENSE' WHEN regexp_matches(text, '@') THEN 'CONTACT' WHEN regexp_matches(text, '\|') THEN 'TABLE' ELSE 'general' END AS audience FROM documents")
-def first_audience(t):
-    return t.documents.select("doc_id", X.first_label(F.col("text"), _RULES, "general").alias("audience"))
-
-
 @query("o_x31_fallback", f"SELECT doc_id, CASE WHEN len({_FOUND}) > 0 THEN {_FOUND} ELSE [upper(lang)] END AS labels, CASE WHEN len({_FOUND}) > 0 THEN 'text' ELSE 'lang' END AS origin FROM documents")
 def fallback(t):
     found = X.labels_of(F.col("text"), _RULES)
@@ -281,8 +269,8 @@ def signals(t):
 
 @query("o_x48_relationship", "SELECT conv_id, CASE WHEN bool_and(role <> 'system') THEN 'plain' WHEN bool_or(role = 'system') AND count(*) > 3 THEN 'guided' ELSE 'short' END AS kind FROM conversations GROUP BY 1")
 def relationship(t):
-    g = t.conversations.groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
-    return g.select("conv_id", F.when(F.forall("roles", lambda r: r != "system"), "plain").when(F.size("roles") > 3, "guided").otherwise("short").alias("kind"))
+    g = t.conversations.groupBy("conv_id").agg(F.bool_and(F.col("role") != "system").alias("plain"), F.count("*").alias("n"))
+    return g.select("conv_id", F.when(F.col("plain"), "plain").when(F.col("n") > 3, "guided").otherwise("short").alias("kind"))
 
 
 @query("o_x49_exceptions", "SELECT n_nationkey, list_filter([CASE WHEN n_nationkey NOT IN (SELECT s_nationkey FROM supplier) THEN 'NO_SUPPLIER' END, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -900) THEN 'DEBT' END], lambda x: x IS NOT NULL) AS codes FROM nation")
@@ -298,9 +286,9 @@ def first_label_wins(t):
     return t.events.groupBy("user_id", "event_type").agg(F.min_by("value", "event_id").alias("value"))
 
 
-@query("o_x51_notice_split", "SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(text, '. '), lambda x: trim(x)), lambda x: length(x) >= 8))) AS notices FROM documents WHERE n_chars < 2000")
+@query("o_x51_notice_split", "SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(string_split(text, '. '), lambda x: trim(x)), lambda x: length(x) >= 8))) AS notices FROM documents")
 def notice_split(t):
-    return t.documents.filter("n_chars < 2000").select("doc_id", F.array_sort(F.array_distinct(F.filter(F.transform(F.split("text", r"\. "), lambda x: F.trim(x)), lambda x: F.length(x) >= 8))).alias("notices"))
+    return t.documents.select("doc_id", F.array_sort(F.array_distinct(F.filter(F.transform(F.split("text", r"\. "), lambda x: F.trim(x)), lambda x: F.length(x) >= 8))).alias("notices"))
 
 
 @query("o_x52_session_number", "SELECT event_id, CASE WHEN TRY_CAST(replace(replace(s, 'l', '1'), 'O', '0') AS INTEGER) BETWEEN 1 AND 60 THEN TRY_CAST(replace(replace(s, 'l', '1'), 'O', '0') AS INTEGER) END AS session FROM (SELECT event_id, replace(replace(CAST(user_id AS VARCHAR), '1', 'l'), '0', 'O') AS s FROM events)")
@@ -321,8 +309,8 @@ def failures(t):
 
 @query("o_x55_lanes", "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'returns' WHEN count(*) = 1 THEN 'single' ELSE 'normal' END AS lane FROM lineitem GROUP BY 1")
 def lane_routing(t):
-    g = t.lineitem.groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("f"))
-    return g.select("l_orderkey", F.when(F.exists("f", lambda x: x == "R"), "returns").when(F.size("f") == 1, "single").otherwise("normal").alias("lane"))
+    g = t.lineitem.groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("returned"), F.count("*").alias("n"))
+    return g.select("l_orderkey", F.when(F.col("returned"), "returns").when(F.col("n") == 1, "single").otherwise("normal").alias("lane"))
 
 
 @query("o_x56_between", "SELECT page_id, CASE WHEN position('<h1>' IN html) > 0 THEN trim(substr(r, 1, least(CASE WHEN position('</h1>' IN r) > 0 THEN position('</h1>' IN r) ELSE length(r) + 1 END - 1, 200))) END AS title FROM (SELECT page_id, html, substr(html, position('<h1>' IN html) + 4) AS r FROM pages)")
@@ -499,22 +487,6 @@ def survey_defaults(t):
 # ---- scores
 
 
-@query("o_m4_concept_adjustment", "SELECT p_partkey, round(0.12 * m - 0.12 * (2 - m), 6) AS adjustment, m / 2.0 AS coverage FROM (SELECT p_partkey, CAST(contains(upper(p_type), 'STEEL') AS INTEGER) + CAST(p_size > 20 AS INTEGER) AS m FROM part)")
-def concept_adjustment(t):
-    found = F.array_compact(F.array(F.when(F.contains(F.upper("p_type"), F.lit("STEEL")), "steel"), F.when(F.col("p_size") > 20, "large")))
-    asked = F.array(F.lit("steel"), F.lit("large"))
-    m, missed = F.size(F.array_intersect(asked, found)), F.size(F.array_except(asked, found))
-    return t.part.select("p_partkey", F.round(0.12 * m - 0.12 * missed, 6).alias("adjustment"), (m / 2.0).alias("coverage"))
-
-
-@query("o_m5_audience_adjustment", "SELECT p_partkey, CASE WHEN p_size = 1 THEN -0.02 WHEN p_size < 10 THEN 0.14 WHEN p_size < 20 THEN 0.10 WHEN p_size > 40 THEN 0.06 ELSE -0.25 END AS adjustment, CASE WHEN p_size = 1 THEN 'unknown' WHEN p_size < 10 THEN 'exact' WHEN p_size < 20 THEN 'compatible' WHEN p_size > 40 THEN 'general' ELSE 'other' END AS reason FROM part")
-def audience_adjustment(t):
-    s = F.col("p_size")
-    pair = lambda v, r: F.struct(F.lit(v).alias("adjustment"), F.lit(r).alias("reason"))
-    x = F.when(s == 1, pair(-0.02, "unknown")).when(s < 10, pair(0.14, "exact")).when(s < 20, pair(0.10, "compatible")).when(s > 40, pair(0.06, "general")).otherwise(pair(-0.25, "other"))
-    return t.part.select("p_partkey", x.alias("x")).select("p_partkey", F.col("x.adjustment").cast("decimal(3,2)").alias("adjustment"), "x.reason")
-
-
 _SET = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '), lambda x: x <> ''))"
 
 

@@ -72,7 +72,7 @@ def completeness(t):
 def variants(t):
     w = Window.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn")
     x = t.conversations.withColumn("r", F.row_number().over(w)).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("r", "turn"))).alias("x")).filter(F.size("x") > 1)
-    return x.select("conv_id", F.col("x")[0]["turn"].alias("first"), F.slice("x.turn", 2, 1_000_000).alias("variants"))
+    return x.select("conv_id", F.col("x")[0]["turn"].alias("first"), F.slice("x.turn", F.lit(2), F.size("x") - 1).alias("variants"))
 
 
 @query("o_n12_near_ties", "SELECT s_nationkey, CASE WHEN count_if(abs(s_acctbal - top) < 500) > 1 THEN 'AMBIGUOUS' ELSE 'CLEAR' END AS status FROM (SELECT *, max(s_acctbal) OVER (PARTITION BY s_nationkey) AS top FROM supplier) GROUP BY 1")
@@ -94,9 +94,9 @@ def break_segments(t):
     return segments(t.conversations, ["conv_id"], [F.col("turn")], F.col("role") == "assistant").select("conv_id", "turn", "segment")
 
 
-@query("o_n15_forward_fill", "SELECT conv_id, turn, last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM (SELECT *, CASE WHEN role = 'user' THEN substr(text, 1, 10) END AS v FROM conversations)")
+@query("o_n15_forward_fill", "SELECT conv_id, turn, last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS asked FROM (SELECT *, CASE WHEN role = 'user' THEN text END AS v FROM conversations)")
 def filled(t):
-    c = t.conversations.withColumn("asked", F.when(F.col("role") == "user", F.substring("text", 1, 10)))
+    c = t.conversations.withColumn("asked", F.when(F.col("role") == "user", F.col("text")))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     return c.select("conv_id", "turn", F.last("asked", ignorenulls=True).over(w).alias("asked"))
 
@@ -141,7 +141,8 @@ _SIM = "list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embed
 
 
 def _first_vector(t):
-    return t.embeddings.filter("vec_id = 0").select("embedding").first()[0]
+    """The query's vector as a frame of one row, or of none where the table lacks it."""
+    return t.embeddings.filter("vec_id = 0").select(F.col("embedding").alias("vector")).limit(1)
 
 
 @query("o_o1_exact_top_k", f"SELECT vec_id, round({_SIM}, 6) AS similarity FROM embeddings e ORDER BY {_SIM} DESC, vec_id LIMIT 20")
@@ -204,7 +205,8 @@ def top_values(t):
 
 @query("o_o10_diverse_sample")
 def diverse(t, size: int = 6):
-    kinds = t.events.groupBy("user_id").agg(F.array_sort(F.collect_set(F.concat("event_type", F.lit(":"), (F.col("event_id") % 997).cast("string")))).alias("labels"))
+    tag = F.explode(F.array(F.concat(F.lit("type:"), "event_type"), F.concat(F.lit("hour:"), F.hour("ts").cast("string")), F.when(F.col("value") > 90, F.lit("value:HIGH")).otherwise(F.lit("value:LOW"))))
+    kinds = t.events.select("user_id", tag.alias("tag")).groupBy("user_id").agg(F.array_sort(F.collect_set("tag")).alias("labels"))  # a few dozen kinds of tag
     chosen = diverse_sample(kinds, "labels", "user_id", size)
     return t.spark.createDataFrame([(i + 1, int(k)) for i, k in enumerate(chosen)], "place int, user_id long")
 
