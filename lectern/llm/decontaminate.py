@@ -9,7 +9,8 @@ shared shingle are fingerprinted.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,7 @@ class HammingIndex:
 class Items:
     """The items of one pass, by size."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: Sequence[tuple[int, str]]):
         hasher = WordHasher(lower=True, separators=_SEPARATORS)
         by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
         for item_id, text in rows:
@@ -104,6 +105,12 @@ class Items:
             self.filters[n] = (table, every)
 
 
+@lru_cache(maxsize=2)
+def items_of(rows: tuple[tuple[int, str], ...]) -> Items:
+    """Built once in each worker process from the broadcast texts."""
+    return Items(rows)
+
+
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Sum of the smaller over sum of the larger counts of two sorted shingle lists."""
     values, counts_a = np.unique(a, return_counts=True)
@@ -137,14 +144,15 @@ def leaks(items: Items, hashes: np.ndarray, grams: dict[int, np.ndarray]) -> lis
     shared = {n: shared_shingles(table, every, grams[n]) for n, (table, every) in items.filters.items()}
     for size, (ids, sets, index, own) in items.sizes.items():
         n = min(SHINGLE, size)
-        hits = shared[n]
-        if not len(hits) or size > len(hashes):
+        hits, g = shared[n], grams[n]
+        # A document shorter than the item is one window, unless too few of the item's shingles are left.
+        short = size > len(hashes)
+        if not len(hits) or (short and len(g) < THRESHOLD * (size - n + 1)):
             continue
-        g = grams[n]
         at = np.minimum(np.searchsorted(own, g[hits]), len(own) - 1)
         hits = hits[own[at] == g[hits]]
-        reach = size - n + 1
-        starts = _windows(g, size, hits, len(hashes), reach)
+        reach = len(g) if short else size - n + 1
+        starts = np.zeros(min(1, len(hits)), np.int64) if short else _windows(g, size, hits, len(hashes), reach)
         if not len(starts):
             continue
         # Runs of neighbouring windows share one prefix sum of votes.
@@ -162,7 +170,7 @@ def leaks(items: Items, hashes: np.ndarray, grams: dict[int, np.ndarray]) -> lis
                     value = weighted_similarity(sets[i], np.sort(g[start : start + reach]))
                     if value >= THRESHOLD and value > best.get(i, (0.0, 0))[0]:
                         best[i] = (value, start)
-        out += [(int(ids[i]), value, start, start + size) for i, (value, start) in sorted(best.items())]
+        out += [(int(ids[i]), value, start, min(start + size, len(hashes))) for i, (value, start) in sorted(best.items())]
     return out
 
 
@@ -181,7 +189,7 @@ def _found(items: Items, hasher: WordHasher, texts: list[bytes | None]) -> Itera
 
 def _search(rows: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hasher = Items(rows.value), WordHasher(lower=True, separators=_SEPARATORS)
+        items, hasher = items_of(rows.value), WordHasher(lower=True, separators=_SEPARATORS)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             found = [(ids[row], *rest) for row, *rest in _found(items, hasher, text_bytes(batch))]
@@ -194,7 +202,7 @@ def _search(rows: Broadcast):
 
 def _drop(rows: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hasher = Items(rows.value), WordHasher(lower=True, separators=_SEPARATORS)
+        items, hasher = items_of(rows.value), WordHasher(lower=True, separators=_SEPARATORS)
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for row, *_ in _found(items, hasher, [None if t is None else t.encode("utf-8", "surrogatepass") for t in text_bytes(batch)]):
@@ -211,11 +219,16 @@ def _passes(benchmark: DataFrame, item_bytes: int) -> Iterator[Broadcast]:
     passes = max(1, -(-int(total) // item_bytes))
     for k in range(passes):
         rows = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).distinct().collect()]
-        yield benchmark.sparkSession.sparkContext.broadcast(sorted(rows))
+        yield benchmark.sparkSession.sparkContext.broadcast(tuple(sorted(rows)))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """The rows of docs, unchanged, in which ``contaminated`` finds no item; nothing is shuffled."""
+    """The rows of docs, unchanged, in whose text ``contaminated`` finds no item; nothing is shuffled.
+
+    Null, empty and wordless texts stay, and so do null ids and repeated rows whose
+    text is clean (a null id is judged by its text); columns of any other name stay;
+    an empty benchmark drops nothing and no rows give no rows.
+    """
     for rows in _passes(benchmark, item_bytes):
         docs = docs.mapInArrow(_drop(rows), docs.schema)
     return docs
@@ -225,7 +238,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_B
     """doc_id, item_id, similarity, first_word, end_word: the best window of each item found in a document.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  A
-    window has as many words as the item; similarity is the weighted (multiset)
+    window has as many words as the item, or all words of a shorter document; similarity is the weighted (multiset)
     Jaccard of their five-word shingles and at least 0.8; an item of fewer words is
     one shingle.  Ties go to the earliest window.  Null, empty or wordless texts and
     items, and null ids, take no part; repeated documents repeat their rows, repeated

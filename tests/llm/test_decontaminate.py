@@ -22,14 +22,14 @@ def brute(docs, items):
         for k, u in items:
             v = words(u)
             n = min(5, len(v))
-            if not v or len(w) < len(v):
+            if not v or len(w) < n:
                 continue
             own = Counter(tuple(v[a : a + n]) for a in range(len(v) - n + 1))
-            for s in range(len(w) - len(v) + 1):
+            for s in range(max(0, len(w) - len(v)) + 1):
                 x = w[s : s + len(v)]
-                got = Counter(tuple(x[a : a + n]) for a in range(len(v) - n + 1))
+                got = Counter(tuple(x[a : a + n]) for a in range(len(x) - n + 1))
                 same = sum((own & got).values())
-                value = same / (2 * (len(v) - n + 1) - same)
+                value = same / (sum(own.values()) + sum(got.values()) - same)
                 if value >= 0.8 and value > out.get((i, k), (0,))[0]:
                     out[i, k] = (value, s)
     return out
@@ -53,6 +53,7 @@ def test_against_brute_force(spark, odd, odd_rows, nothing):
             item[rng.randrange(len(item))] = "changed"
         docs.append((i, " ".join(text[:20] + item + text[20:])))
     docs += [(100, None), (101, ""), (102, items[0][1].upper().replace(" ", " *** ")), (103, " ".join([items[1][1]] * 3))]
+    docs += [(104 + k, " ".join(items[5][1].split()[k : 60 - k])) for k in range(8)] + [(112, "only three"), (113, " ".join(items[1][1].split()[:3]))]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, dict((k, u) for k, u in items if u).items())
