@@ -1,7 +1,9 @@
-"""Order-dependent grouped operators: pandas per bounded group where no window expresses the rule."""
+"""Order-dependent grouped operators: windows, or a scan in order where no window expresses the rule."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,20 +29,33 @@ def islands(rows: DataFrame, by: list[str], start: str, end: str, order: list, n
     return rows.withColumn("_gap", F.when(F.col(start) <= reach, 0).otherwise(1)).withColumn(name, F.sum("_gap").over(w)).drop("_gap")
 
 
-def lanes(events: DataFrame, by: list[str], start: str, end: str, key: str, cap: int = 5) -> DataFrame:
-    """Greedy interval scheduling inside each group: the first free lane, null past the cap.
+def scan(rows: DataFrame, by: list[str], order: list, schema: str, step: Callable[[pd.DataFrame, list], pd.DataFrame]) -> DataFrame:
+    """Runs ``step`` over batches of each partition's rows, group after group in order; its second argument is a list of its own to keep state in.
 
-    Groups are bounded by their key (a week of one calendar); state runs over the
-    group's rows in (start, longer first, key) order.
+    Groups share their task with others and no group is ever held whole, so many
+    small groups cost no more than their rows and a large one no more memory.
     """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: list = []
+        for batch in batches:
+            if len(batch):
+                yield step(batch, state)
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
+def lanes(events: DataFrame, by: list[str], start: str, end: str, key: str, cap: int = 5) -> DataFrame:
+    """Greedy interval scheduling inside each group: the first free lane in (start, longer first, key) order, null past the cap."""
     kinds = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in (*by, key)), "lane int"])
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end, key], ascending=[True, False, True], kind="stable")
-        busy: list = []
+    def place(pdf: pd.DataFrame, state: list) -> pd.DataFrame:
+        group, busy = state or ((), [])
         out = []
-        for a, b in zip(pdf[start], pdf[end], strict=True):
+        for now, a, b in zip(pdf[by].itertuples(index=False, name=None), pdf[start], pdf[end], strict=True):
+            if now != group:
+                group, busy = now, []
             lane = next((i for i, until in enumerate(busy) if until < a), None)
             if lane is None and len(busy) < cap:
                 busy.append(b)
@@ -48,9 +63,10 @@ def lanes(events: DataFrame, by: list[str], start: str, end: str, key: str, cap:
             elif lane is not None:
                 busy[lane] = b
             out.append(lane)
+        state[:] = (group, busy)
         return pdf[[*by, key]].assign(lane=pd.array(out, dtype="Int32"))
 
-    return events.groupBy(*by).applyInPandas(place, schema)
+    return scan(events.select(*by, start, end, key), by, [F.asc(start), F.desc(end), F.asc(key)], schema, place)
 
 
 def diverse_sample(rows: DataFrame, labels: str, key: str, size: int) -> list:
