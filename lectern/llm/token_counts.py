@@ -25,6 +25,8 @@ FREQUENT = 65_536
 SUMMARY = 16_384
 FAN_IN = 32
 MEMO_LIMIT = 400_000
+#: Characters of a pre-token past which it is in neither tier's memory but goes to the library each time.
+LONG = 256
 _RUNS = re.compile(" *[^ ]+| +")
 
 
@@ -104,7 +106,9 @@ def _trim(counts: Counter, size: int) -> Counter:
 
 
 def _pack(counts: Counter) -> tuple[list[str], list[int]]:
-    return list(counts), list(counts.values())
+    """The words of bounded length and their counts."""
+    short = {w: n for w, n in counts.items() if len(w) <= LONG}
+    return list(short), list(short.values())
 
 
 def _summarise(path: str):
@@ -137,7 +141,8 @@ def frequent_pre_tokens(docs: DataFrame, vocabulary: str) -> tuple[np.ndarray, n
     """Sorted hashes and token lengths of the corpus's most frequent pre-tokens.
 
     Every partition summarises all its texts in a Misra-Gries counter of fixed
-    size; only those summaries move, up a tree of bounded fan-in.
+    size; only those summaries move, up a tree of bounded fan-in.  Words past LONG
+    characters are left out, so the bytes that move are bounded too.
     """
     schema = "words array<string>, counts array<long>"
     summaries = cut(docs.select("text").mapInArrow(_summarise(vocabulary), schema))
@@ -180,8 +185,9 @@ def _count(path: str, table, limit: int):
                 rest = [missing[i] for i in np.flatnonzero(~hit).tolist()]
                 memo.update(zip(rest, pieces.lengths(rest), strict=True))
                 n_tokens.append(sum(map(memo.__getitem__, words)))
-                if len(memo) > MEMO_LIMIT:  # full: what came first stays
-                    for w in rest:
+                full = len(memo) > MEMO_LIMIT  # what came first stays
+                for w in rest:
+                    if full or len(w) > LONG:
                         del memo[w]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],

@@ -9,7 +9,7 @@ import sentencepiece
 
 from lectern.llm.queries import op4_secret_scan
 from lectern.llm.secret_scan import base_spans, confirmed_spans, redact_secrets, redacted, secret_spans
-from lectern.llm.token_counts import PieceCounter, token_counts
+from lectern.llm.token_counts import PieceCounter, frequent_pre_tokens, token_counts
 
 PATTERNS = (
     ("assign", re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 12),
@@ -134,6 +134,15 @@ def test_token_counts_equal_the_library(spark, odd, odd_rows, nothing):
     assert token_counts(odd).count() == len(odd_rows) and token_counts(nothing).count() == 0
 
 
+def test_long_pre_tokens_are_kept_nowhere(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rows = [(i, f"{'xy' * 400}{i % 3} short words {'z' * 300}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts(frame).collect()} == {i: len(model.encode(t)) for i, t in rows}
+    hashes, _ = frequent_pre_tokens(frame, public_tokenizers.path("piece_bpe_32k.model"))
+    assert len(hashes) == 2
+
+
 def test_pre_tokens_are_independent():
     import random
 
