@@ -3,8 +3,10 @@
 Every window of consecutive words has an anchor, the least hash of its short
 grams, so equal windows meet at equal anchors and far fewer rows than words are
 shuffled to find what recurs.  Windows at recurring anchors are confirmed by
-their own hashes.  Documents then stream, group by group, through Aho-Corasick
-automata of their recurring passages, which locate every occurrence.
+their own hashes.  Each shard of documents gets the confirmed windows that it may lose
+words to; their word sequences, taken from the first document that has them, make
+Aho-Corasick automata of bounded size, and every document of the shard that may
+hold one streams past, which locates every occurrence word by word.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ GRAM = 6
 #: filter lets more windows through to the confirmation and loses none.
 FILTER_BITS = 28
 SHARD_BYTES = 8_000_000
-GROUP_WORDS = 200_000
+GROUP_WORDS = 60_000
 
 
 def _windows(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,48 +154,45 @@ def _text_rows(bitmap: Broadcast):
     return run
 
 
-def _passages(rows: list[list[int]], words: list[np.ndarray], windows: np.ndarray, firsts: np.ndarray) -> dict[tuple[int, ...], np.ndarray]:
-    """(word sequence, first documents of its windows) of each distinct maximal recurring passage of a group."""
-    seen: dict[tuple[int, ...], np.ndarray] = {}
-    if not len(windows):
-        return seen
-    for hashes, ids in zip(words, rows, strict=True):
-        w = gram_hashes(hashes, WINDOW)
-        if not len(w):
+def _phrases(split: list[list[int]], hashes: list[np.ndarray], windows: np.ndarray, firsts: np.ndarray) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """(word sequences, first documents) of the group's confirmed windows, each taken from the first document that has it."""
+    words, owners = [], []
+    new = np.ones(len(windows), bool)
+    for w, own in zip((gram_hashes(h, WINDOW) for h in hashes), split, strict=True):
+        if not len(w) or not len(windows):
             continue
         at = np.minimum(np.searchsorted(windows, w), len(windows) - 1)
-        hit = np.flatnonzero(windows[at] == w)
-        if not len(hit):
-            continue
-        for run in np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1):
-            a, b = int(run[0]), int(run[-1])
-            seen.setdefault(tuple(ids[a : b + WINDOW]), firsts[at[a : b + 1]])
-    return seen
+        for start in np.flatnonzero((windows[at] == w) & new[at]).tolist():
+            k = at[start]
+            if new[k]:  # once, also within a document
+                new[k] = False
+                words.append(tuple(own[start : start + WINDOW]))
+                owners.append(firsts[k])
+    return words, np.array(owners, np.int64)
 
 
 def _locate(group: list[tuple[int, bytes]], windows: np.ndarray, firsts: np.ndarray, hasher: WordHasher) -> Iterator[tuple[int, int, int, list[bytes]]]:
-    """(doc_id, words, removed, kept words) for a group of documents, through one automaton."""
+    """(doc_id, words, removed, kept words) for a group of documents, streamed past the automaton of its phrases."""
     import ahocorasick
 
     numbers: dict[bytes, int] = {}
     split = [text.split() for _, text in group]
     ids = [[numbers.setdefault(w, len(numbers)) for w in words] for words in split]
-    hashes = [hasher(text)[2] for _, text in group]
-    passages = _passages(ids, hashes, windows, firsts)
+    phrases, owners = _phrases(ids, [hasher(text)[2] for _, text in group], windows, firsts)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    owners = list(passages.values())
-    for k, words in enumerate(passages):
-        automaton.add_word(words, k)
-    if owners:
+    for k, phrase in enumerate(phrases):
+        automaton.add_word(phrase, k)
+    if phrases:
         automaton.make_automaton()
     for (doc_id, _), words, own in zip(group, split, ids, strict=True):
-        step = np.zeros(len(words) + 1, np.int32)
-        for end, k in automaton.iter(tuple(own)) if owners and own else ():
-            size = len(owners[k])  # windows of the passage
-            late = np.flatnonzero(owners[k] < doc_id) + (end + 2 - WINDOW - size)
-            np.add.at(step, late, 1)
-            np.add.at(step, late + WINDOW, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        gone = np.zeros(len(words), bool)
+        if phrases and len(own) >= WINDOW:
+            found = np.array(list(automaton.iter(tuple(own))), np.int64).reshape(-1, 2)
+            ends = found[owners[found[:, 1]] < doc_id, 0]
+            step = np.zeros(len(words) + 1, np.int32)
+            np.add.at(step, ends + 1 - WINDOW, 1)
+            np.add.at(step, ends + 1, -1)
+            gone = np.cumsum(step[:-1]) > 0
         kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
         yield doc_id, len(words), int(gone.sum()), kept
 
