@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 _LABEL = re.compile(r"^\s*[-*•]?\s*([^:]{1,40}?)\s*:\s*(.*)$")
-_HEADING = re.compile(r"^\s*(?:#+|\[)\s*([^\]#]+?)\s*\]?\s*$")
+_HEADING = re.compile(r"^\s*(?:#+\s*([^#].*?)|\[\s*([^\]]+?)\s*\])\s*$")
 
 
 def parse_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -32,7 +32,7 @@ def parse_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
                         continue
                     heading, labelled = _HEADING.match(line), _LABEL.match(line)
                     if heading:
-                        section = heading[1]
+                        section = heading[1] or heading[2]
                     elif labelled:
                         items.append([section, labelled[1], labelled[2].strip()])
                     elif items and items[-1][0] == section:

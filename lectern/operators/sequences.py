@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,6 +69,20 @@ def lanes(events: DataFrame, by: list[str], start: str, end: str, key: str, cap:
     return scan(events.select(*by, start, end, key), by, [F.asc(start), F.desc(end), F.asc(key)], schema, place)
 
 
+def ordered_digest(rows: DataFrame, key: str, line: Column, width: int = 1024, levels: int = 3) -> DataFrame:
+    """One row ``fingerprint``: SHA-256 over the rows' lines in the order of a whole-number key, by a tree.
+
+    Lines of ``width`` neighbouring keys make a digest, as many neighbouring digests
+    make the next one, so no task gets more than that (the last one gets a row for
+    every width ** levels keys).  An empty table has the digest of an empty text.
+    """
+    at = rows.select(F.col(key).alias("at"), line.alias("line"))
+    joined = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n"), 256)
+    for _ in range(levels):
+        at = at.groupBy(F.floor(F.col("at") / width).alias("up")).agg(joined().alias("line")).withColumnRenamed("up", "at")
+    return at.agg(joined().alias("fingerprint"))
+
+
 def diverse_sample(rows: DataFrame, labels: str, key: str, size: int) -> list:
     """``size`` keys (all, if fewer) that cover rare labels first and then evenly, in the order in which they are picked.
 

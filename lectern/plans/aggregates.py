@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.structures import half_up
 from ..functions.text import terms
 from ..functions.vectors import is_finite, norm
-from ..operators.ranking import lexical_statistics, retrieval_metrics
+from ..operators.ranking import global_rank, lexical_statistics, retrieval_metrics
+from ..operators.sequences import ordered_digest
 from ..registry import query
 
 
@@ -117,7 +118,7 @@ def multi_label(t):
 @query("o_a17_histogram", "SELECT p_brand, n, row_number() OVER (ORDER BY n DESC, p_brand) AS place FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)")
 def histogram(t):
     n = t.part.groupBy("p_brand").agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "p_brand")).cast("long"))
+    return global_rank(n, -F.col("n"), [F.asc("p_brand")], "place").withColumn("place", F.col("place").cast("long"))
 
 
 @query("o_a18_fill_rate", "SELECT count(text) FILTER (WHERE text <> '') AS text, count(lang) FILTER (WHERE lang <> '') AS lang, count(source) FILTER (WHERE source <> 'src0') AS source FROM documents")
@@ -159,7 +160,10 @@ def fixed_domain(t):
 
 @query("o_a24_fan_in", "SELECT l_suppkey, len(list(DISTINCT l_partkey)) AS parts, list_sort(list(DISTINCT l_partkey))[1:5] AS first_parts FROM lineitem GROUP BY 1")
 def fan_in(t):
-    return t.lineitem.groupBy("l_suppkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("x")).select("l_suppkey", F.size("x").cast("long").alias("parts"), F.slice("x", 1, 5).alias("first_parts"))
+    pairs = t.lineitem.select("l_suppkey", "l_partkey").distinct()
+    place = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_partkey"))
+    first = pairs.withColumn("place", place).filter("place <= 5").groupBy("l_suppkey").agg(F.array_sort(F.collect_list("l_partkey")).alias("first_parts"))  # five at most
+    return pairs.groupBy("l_suppkey").agg(F.count("*").alias("parts")).join(first, "l_suppkey").select("l_suppkey", "parts", "first_parts")
 
 
 @query("o_a25_batch_summary", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS numbers, count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY 1, 2")
@@ -239,11 +243,11 @@ def embedding_qa(t):
     return t.embeddings.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.size(e).cast("long"))).alias("sizes"), F.count_if(~is_finite(e)).alias("broken"), (F.count("*") - F.countDistinct("vec_id")).alias("repeated"), F.count_if(F.abs(norm(e) - 1) > 1e-5).alias("not_unit"))
 
 
-@query("o_a37_corpus_summary", r"SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, count_if(regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS private, md5(string_agg(md5(text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY 1")
+@query("o_a37_corpus_summary", r"SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, count_if(regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS private, CAST(sum(CAST(concat('0x', substr(md5(concat_ws('|', doc_id, text)), 1, 8)) AS BIGINT)) AS BIGINT) AS fingerprint FROM documents GROUP BY 1")
 def corpus_summary(t):
-    d = t.documents.groupBy("lang")
-    x = d.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")).alias("private"), F.array_sort(F.collect_list(F.struct("doc_id", F.md5("text").alias("h")))).alias("x"))
-    return x.select("lang", "n", "chars", "private", F.md5(F.array_join("x.h", "")).alias("fingerprint"))
+    mark = F.conv(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text")), 1, 8), 16, 10).cast("long")  # summed, so in any order
+    private = F.count_if(F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"))
+    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), private.alias("private"), F.sum(mark).alias("fingerprint"))
 
 
 @query("o_a38_extensions", r"SELECT lower(regexp_extract(url, '\.([A-Za-z0-9]{1,5})$', 1)) AS ext, count(*) AS n FROM pages GROUP BY 1")
@@ -257,15 +261,20 @@ def inventory(t):
     return t.documents.select(F.length("text").alias("c"), F.explode(labels).alias("route")).groupBy("route").agg(F.count("*").alias("n"), F.sum("c").alias("chars"))
 
 
-@query("o_a40_fingerprints", "SELECT 'region' AS name, md5(string_agg(r_name, '|' ORDER BY r_regionkey)) = md5('x') AS same FROM region UNION ALL SELECT 'nation', md5(string_agg(n_name, '|' ORDER BY n_nationkey)) = md5(string_agg(n_name, '|' ORDER BY n_nationkey)) FROM nation")
+@query("o_a40_fingerprints", "SELECT 'nation' AS name, TRUE AS same UNION ALL SELECT 'supplier', count_if(s_suppkey % 50 = 7) = 0 FROM supplier UNION ALL SELECT 'customer', (SELECT string_agg(c_name, '|' ORDER BY c_custkey) FROM customer) = (SELECT string_agg(CASE WHEN c_acctbal < -1e9 THEN 'x' ELSE c_name END, '|' ORDER BY c_custkey) FROM customer)")
 def fingerprints(t):
-    def mark(name, key, value):
-        x = getattr(t, name).agg(F.array_sort(F.collect_list(F.struct(key, value))).alias("x"))
-        return x.select(F.lit(name).alias("name"), F.md5(F.array_join(f"x.{value}", "|")).alias("now"))
-
-    now = mark("region", "r_regionkey", "r_name").unionByName(mark("nation", "n_nationkey", "n_name"))
-    before = mark("nation", "n_nationkey", "n_name").unionByName(t.spark.createDataFrame([("region",)], "name string").select("name", F.md5(F.lit("x").cast("binary")).alias("now"))).withColumnRenamed("now", "before")
-    return now.join(before, "name", "full_outer").select("name", F.col("now").eqNullSafe(F.col("before")).alias("same"))
+    """Tables whose rows, in order, are those of an earlier state (here: some suppliers had another name)."""
+    pairs = (
+        ("nation", t.nation, t.nation, "n_nationkey", F.col("n_name")),
+        ("supplier", t.supplier, t.supplier.withColumn("s_name", F.when(F.col("s_suppkey") % 50 == 7, "x").otherwise(F.col("s_name"))), "s_suppkey", F.col("s_name")),
+        ("customer", t.customer, t.customer.withColumn("c_name", F.when(F.col("c_acctbal") < -1e9, "x").otherwise(F.col("c_name"))), "c_custkey", F.col("c_name")),
+    )
+    out = None
+    for name, now, before, key, line in pairs:
+        both = ordered_digest(now, key, line).join(F.broadcast(ordered_digest(before, key, line).withColumnRenamed("fingerprint", "before")), how="cross")  # one row each
+        one = both.select(F.lit(name).alias("name"), (F.col("fingerprint") == F.col("before")).alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("o_a41_ranges", "SELECT event_type, min(ts) AS first, max(ts) AS last, round(avg(value), 6) AS mean FROM events GROUP BY 1")

@@ -93,7 +93,7 @@ def html_rows(t):
     return page_links(t.pages).filter("tag = 'a'").select("page_id", F.col("position").alias("pos"), "target")
 
 
-@query("o_s10_html_tables")
+@query("o_s10_html_tables", "WITH r AS (SELECT l_orderkey, l_linenumber AS n, l_returnflag AS f, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_linenumber AS VARCHAR), l_returnflag) - 1 AS INTEGER) AS row_no FROM lineitem) SELECT l_orderkey, 0 AS table_no, row_no, c AS cell_no, FALSE AS header, 1 AS colspan, 1 + c AS rowspan, CASE c WHEN 0 THEN CAST(n AS VARCHAR) ELSE f END AS text FROM r, (VALUES (0), (1)) v(c)")
 def html_tables(t):
     row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td rowspan=2>"), "l_returnflag", F.lit("</td></tr>"))
     pages = t.lineitem.groupBy("l_orderkey").agg(F.concat(F.lit("<table>"), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
@@ -141,7 +141,7 @@ def json_lines_out(t):
     return t.nation.select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("value"))
 
 
-@query("o_x22_sections")
+@query("o_x22_sections", "SELECT p_partkey, 'intro' AS section, 0 AS position, CAST(NULL AS VARCHAR) AS label, 'about this' AS value FROM part UNION ALL SELECT p_partkey, p_brand, 1, 'size', concat(p_size, ' and more') FROM part UNION ALL SELECT p_partkey, p_brand, 2, 'type', p_type FROM part")
 def sections(t):
     lines = F.array(F.lit("about this"), F.concat(F.lit("[ "), "p_brand", F.lit(" ]")), F.concat(F.lit("size: "), F.col("p_size").cast("string")), F.lit("and more"), F.concat(F.lit("- type : "), "p_type"))
     return parse_sections(t.part.select("p_partkey", F.array_join(lines, "\n").alias("body")), "p_partkey", "body")
@@ -163,7 +163,7 @@ def sessions(t):
     return session_rows(fill_spans(_cells(t), "l_orderkey"), "l_orderkey")
 
 
-@query("o_r9_layout_lines")
+@query("o_r9_layout_lines", "SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS line, text FROM (SELECT l_orderkey, l_linenumber, string_agg(l_returnflag, ' ' ORDER BY l_quantity, l_returnflag) AS text FROM lineitem GROUP BY 1, 2)")
 def layout_lines(t):
     b = t.lineitem.select("l_orderkey", F.col("l_quantity").alias("left"), (F.col("l_linenumber") * 20.0).alias("top"), (F.col("l_quantity") + 5).alias("right"), (F.col("l_linenumber") * 20.0 + 12).alias("bottom"), F.col("l_returnflag").alias("text"))
     return boxes_to_lines(b, "l_orderkey")

@@ -9,7 +9,7 @@ from ..functions.structures import week_start
 from ..operators.merge import diff, increment, keep_first, merge_columns, replace_children, soft_delete, upsert
 from ..operators import ranking
 from ..operators.ranking import best_of_group, floor_of_best, nearest, type_priority
-from ..operators.sequences import diverse_sample, forward_fill, islands, lanes, segments
+from ..operators.sequences import diverse_sample, forward_fill, islands, lanes, ordered_digest, segments
 from ..registry import query
 
 
@@ -408,7 +408,8 @@ def report(t):
     return n.agg(F.array_sort(F.collect_list(F.concat(F.lit("- "), "lang", F.lit(": "), "n"))).alias("x")).select(F.array_join("x", "\n").alias("report"))
 
 
-@query("o_w17_fingerprint", "SELECT sha256(string_agg(concat(n_nationkey, '|', n_name), chr(10) ORDER BY n_nationkey)) AS fingerprint FROM nation")
+@query("o_w17_fingerprint", """WITH a AS (SELECT o_orderkey // 1024 AS g, sha256(string_agg(concat_ws('|', o_orderkey, o_custkey, o_orderstatus), chr(10) ORDER BY o_orderkey)) AS d FROM orders GROUP BY 1),
+b AS (SELECT g // 1024 AS h, sha256(string_agg(d, chr(10) ORDER BY g)) AS d FROM a GROUP BY 1), c AS (SELECT h // 1024 AS i, sha256(string_agg(d, chr(10) ORDER BY h)) AS d FROM b GROUP BY 1)
+SELECT sha256(string_agg(d, chr(10) ORDER BY i)) AS fingerprint FROM c""")
 def fingerprint(t):
-    x = t.nation.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat_ws("|", "n_nationkey", "n_name").alias("line")))).alias("x"))
-    return x.select(F.sha2(F.array_join("x.line", "\n"), 256).alias("fingerprint"))
+    return ordered_digest(t.orders, "o_orderkey", F.concat_ws("|", "o_orderkey", "o_custkey", "o_orderstatus"))
