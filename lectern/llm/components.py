@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import cut
-from .skew import BROADCAST_ROWS, hot_limit, join_hot
+from .skew import hot_limit, join_hot
 
 
 def _with_least(edges: DataFrame, least: DataFrame, size: int) -> DataFrame:
-    """edges with their u's least neighbour m: broadcast where the edges are few, else only that of nodes of very many edges."""
-    if size <= BROADCAST_ROWS:
-        return edges.join(F.broadcast(least), "u")
-    return join_hot(edges, least, ["u"], F.col("n") > hot_limit(2 * size))
+    """edges with their u's least neighbour m."""
+    return join_hot(edges, least, ["u"], F.col("n") > hot_limit(2 * size), 2 * size)
 
 
 def _large_star(edges: DataFrame, size: int) -> DataFrame:

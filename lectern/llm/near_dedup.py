@@ -28,6 +28,8 @@ MISSED = 1e-6
 BLOCK_ROWS, BLOCK_BYTES = 512, 24_000_000
 #: Documents of candidate clusters whose ids (16 bytes each) are broadcast to the texts; more of them are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Rows of numbers that one signature stands for where a side's size is held to what may be broadcast.
+SIGNATURE_ROWS = 8
 #: Share of equal minima below which a pair cannot reach the threshold: at 180
 #: minima a similarity of 0.85 falls under 0.70 in about one pair of 10^7.
 SLACK = 0.15
@@ -178,7 +180,7 @@ def _rest_links(rows: DataFrame, group: str, percent: int, n_rows: int) -> DataF
     groups = parts.groupBy(group).agg(F.max(largest).alias("big"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).filter(F.col("n") > F.col("big.n"))
     blocks = lambda n, b: F.greatest(F.lit(1), F.ceil(n / BLOCK_ROWS), F.ceil(b / BLOCK_BYTES)).cast("int")
     groups = groups.select(group, F.col("big.part").alias("giant"), F.col("n").alias("rows"), blocks(F.col("n"), F.col("bytes")).alias("blocks"), blocks(F.col("n") - F.col("big.n"), F.col("bytes") - F.col("big.bytes")).alias("chunks"))
-    placed = join_hot(rows, groups, [group], F.col("rows") > hot_limit(n_rows)).withColumn("loose", F.col("part") != F.col("giant"))
+    placed = join_hot(rows, groups, [group], F.col("rows") > hot_limit(n_rows), n_rows // 2).withColumn("loose", F.col("part") != F.col("giant"))
     block, chunk = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("chunks")).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     all_rows = placed.withColumn("loose", F.lit(False)).withColumn("b", block).withColumn("c", upto("chunks"))
@@ -192,20 +194,22 @@ def _candidate_clusters(classes: DataFrame, percent: int) -> DataFrame:
     keys = classes.select("rep", F.explode("bands").alias("band"))
     meets = keys.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("n")).filter("least < most")
     n_keys = banding(percent)[0] * classes.count()
-    members = cut(join_hot(keys, meets, ["band"], F.col("n") > hot_limit(n_keys)).select("band", "rep", "least", "n"))
+    members = cut(join_hot(keys, meets, ["band"], F.col("n") > hot_limit(n_keys), n_keys // 2).select("band", "rep", "least", "n"))
     n_members = members.count()
     sigs = classes.select("rep", "signature")
     stars = cut(members.filter("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct())
     ends = stars.groupBy("v").agg(F.count("*").alias("n")).join(sigs.withColumnRenamed("rep", "v"), "v").withColumnRenamed("signature", "other")
-    pairs = join_hot(stars.join(sigs.withColumnRenamed("rep", "u"), "u"), ends, ["v"], F.col("n") > hot_limit(n_members))
+    pairs = join_hot(stars.join(sigs.withColumnRenamed("rep", "u"), "u"), ends, ["v"], F.col("n") > hot_limit(n_members), SIGNATURE_ROWS * n_members)
     edges = cut(pairs.select("u", "v", "signature", "other").mapInArrow(_star_links(percent), "u long, v long"))
     # Of a bucket of two, the star has seen the only pair; one whose members are all tied to its smallest has nothing more to join.
     tied = edges.select(F.col("u").alias("rep"), F.col("v").alias("least"), F.lit(True).alias("tied"))
     several = members.filter("n > 2").join(tied, ["rep", "least"], "left")
     several = cut(several.select("band", F.col("rep").alias("id"), F.when(F.coalesce("tied", F.lit(False)), F.col("least")).otherwise(F.col("rep")).alias("part")))
     open_bands = several.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("n")).filter("low < high")
-    left = join_hot(several, open_bands, ["band"], F.col("n") > hot_limit(n_members)).select("band", "id", "part")
+    left = join_hot(several, open_bands, ["band"], F.col("n") > hot_limit(n_members), n_members // 3).select("band", "id", "part")
     left = cut(left.join(sigs.withColumnRenamed("rep", "id"), "id"))
+    if not left.limit(1).count():
+        return connected_components(edges)
     return connected_components(edges.unionByName(_rest_links(left, "band", percent, n_members)))
 
 
@@ -219,14 +223,18 @@ def _verified_links(texts: DataFrame, classes: DataFrame, clusters: DataFrame, p
     full = full.dropDuplicates(["id"]).drop("own", "set_a").join(classes.select(F.col("rep").alias("id"), "signature"), "id")
     full = cut(full)
     sizes = full.groupBy("cluster").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = join_hot(full, sizes, ["cluster"], F.col("n") > hot_limit(n_rows)).withColumn("part", F.col("id")).withColumn("loose", F.lit(False))
+    placed = join_hot(full, sizes, ["cluster"], F.col("n") > hot_limit(n_rows), n_rows // 2).withColumn("part", F.col("id")).withColumn("loose", F.lit(False))
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # The first block's rows meet every block; in a cluster of one block that is every pair.
     tasks = placed.withColumn("b", F.explode(F.when(block == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))))
     names = ["cluster", "b", "id", "part", "loose", "signature", "shingles"]
     links = cut(tasks.select(*names).groupBy("cluster", "b").applyInPandas(_compare(percent, False), "u long, v long"))
-    large = full.join(sizes.filter("blocks > 1").select("cluster"), "cluster", "left_semi")
-    parts = connected_components(links.join(large.select(F.col("id").alias("u")), "u", "left_semi"))
+    big = cut(sizes.filter("blocks > 1").select("cluster", "n"))
+    n_big = big.count()
+    if not n_big:
+        return links
+    large = join_hot(full, big, ["cluster"], F.col("n") > hot_limit(n_rows), n_big).drop("n")
+    parts = connected_components(links.join(large.select(F.col("id").alias("u")), "u", "left_semi"))  # ids, one row each
     large = large.join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
     return links.unionByName(_rest_links(large, "cluster", percent, n_rows))
 
@@ -260,6 +268,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5) -> Dat
     named = sets.select("set_a", "set_b", "rep", "n").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     named = named.select("set_a", "set_b", "n", F.coalesce("component", "rep").alias("component_id"))
     rows = described.select("doc_id", "n_shingles", "set_a", "set_b")
-    some = join_hot(rows.filter("n_shingles > 0"), named, ["set_a", "set_b"], F.col("n") > hot_limit(described.count())).select("doc_id", "n_shingles", "component_id")
+    some = join_hot(rows.filter("n_shingles > 0"), named, ["set_a", "set_b"], F.col("n") > hot_limit(described.count()), sets.count()).select("doc_id", "n_shingles", "component_id")
     out = some.unionByName(rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -16,11 +16,15 @@ def hot_limit(rows: int) -> int:
     return max(500, -(-rows // HOT_KEYS))
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: Column, how: str = "inner") -> DataFrame:
-    """left joined to right, which has one row a key; right's rows that are ``hot`` are broadcast, the others shuffled.
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], hot: Column, rows: int, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row a key and at most ``rows`` of them (a few numbers each).
 
-    hot: a condition on right that holds for HOT_KEYS rows at most.  left is read twice.
+    Up to BROADCAST_ROWS right is broadcast whole; beyond, only its rows that are
+    ``hot``, and the others are shuffled.  hot: a condition on right that holds for
+    HOT_KEYS rows at most.
     """
+    if rows <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right), on, how)
     columns = [*left.columns, *(c for c in right.columns if c not in on)]
     few = right.filter(hot).withColumn("_hot", F.lit(True))
     marked = left.join(F.broadcast(few), on, "left")
