@@ -35,10 +35,19 @@ def conditional_counts(t):
     return one.join(t.supplier.agg(F.count("*").alias("known")), how="cross")
 
 
-@query("o_a5_audit_row", "SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM pages) AS pages")
+@query("o_a5_audit_row", "SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM labels) AS labels, (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS unlabelled, (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)) AS stray_labels, (SELECT count(*) FROM documents WHERE trim(text) = '') AS empty_texts, (SELECT count(*) FROM pages WHERE NOT contains(html, '<h1>')) AS untitled_pages, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS orphan_orders, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) AS orphan_lines")
 def audit_row(t):
-    n = lambda name: getattr(t, name).agg(F.count("*").alias("docs" if name == "documents" else name))
-    return n("documents").join(n("labels"), how="cross").join(n("pages"), how="cross")
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    d, n, o = t.documents, t.labels, t.orders
+    parts = (
+        count(d, "docs"), count(n, "labels"), count(t.pages, "pages"), count(d.join(n, "doc_id", "left_anti"), "unlabelled"), count(n.join(d, "doc_id", "left_anti"), "stray_labels"),
+        count(d.filter(F.trim("text") == ""), "empty_texts"), count(t.pages.filter(~F.contains("html", F.lit("<h1>"))), "untitled_pages"),
+        count(o.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left_anti"), "orphan_orders"), count(t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"), "orphan_lines"),
+    )
+    out = parts[0]
+    for one in parts[1:]:  # one row each
+        out = out.join(F.broadcast(one), how="cross")
+    return out
 
 
 @query("o_a6_duplicates", "SELECT md5(text) AS h, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -61,9 +70,11 @@ def child_counts(t):
     return t.orders.select("o_orderkey").join(c, "o_orderkey", "left").fillna(0)
 
 
-@query("o_a9_metric_bundle", "SELECT event_type AS metric, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events")
+@query("o_a9_metric_bundle", "SELECT event_type AS metric, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'users', count(DISTINCT user_id) FROM events UNION ALL SELECT 'high', count_if(value > 90) FROM events UNION ALL SELECT 'low', count_if(value < 10) FROM events UNION ALL SELECT 'days', count(DISTINCT CAST(ts AS DATE)) FROM events UNION ALL SELECT 'valued', count(value) FROM events UNION ALL SELECT 'all', count(*) FROM events")
 def metric_bundle(t):
-    return t.events.groupBy(F.col("event_type").alias("metric")).agg(F.count("*").alias("n")).unionByName(t.events.agg(F.countDistinct("user_id").alias("n")).select(F.lit("users").alias("metric"), "n"))
+    v = F.col("value")
+    whole = t.events.agg(F.countDistinct("user_id").alias("users"), F.count_if(v > 90).alias("high"), F.count_if(v < 10).alias("low"), F.countDistinct(F.to_date("ts")).alias("days"), F.count("value").alias("valued"), F.count("*").alias("all"))
+    return t.events.groupBy(F.col("event_type").alias("metric")).agg(F.count("*").alias("n")).unionByName(whole.unpivot([], whole.columns, "metric", "n"))
 
 
 @query("o_a10_crosstab", "SELECT lang, count_if(lower(source) = 'src0') AS src0, count_if(lower(source) = 'src1') AS src1, count_if(lower(source) = 'src2') AS src2 FROM documents GROUP BY lang")
@@ -121,15 +132,19 @@ def histogram(t):
     return global_rank(n, -F.col("n"), [F.asc("p_brand")], "place").withColumn("place", F.col("place").cast("long"))
 
 
-@query("o_a18_fill_rate", "SELECT count(text) FILTER (WHERE text <> '') AS text, count(lang) FILTER (WHERE lang <> '') AS lang, count(source) FILTER (WHERE source <> 'src0') AS source FROM documents")
+@query("o_a18_fill_rate", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS total, count_if({c} IS NOT NULL AND trim(CAST({c} AS VARCHAR)) <> '') AS filled, round(100.0 * count_if({c} IS NOT NULL AND trim(CAST({c} AS VARCHAR)) <> '') / count(*), 1) AS percent FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")))
 def fill_rate(t):
-    n = lambda c, bad: F.count(F.when(F.col(c).isNotNull() & (F.col(c) != bad), 1)).alias(c)
-    return t.documents.agg(n("text", ""), n("lang", ""), n("source", "src0"))
+    filled = t.documents.agg(F.count("*").alias("total"), *[F.count_if(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "")).alias(c) for c in t.documents.columns])
+    rows = filled.unpivot(["total"], t.documents.columns, "name", "filled")
+    return rows.select("name", "total", "filled", F.round(100.0 * F.col("filled") / F.col("total"), 1).alias("percent"))
 
 
-@query("o_a19_series_stats", "SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS members, max(n) AS largest FROM (SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1)")
+@query("o_a19_series_stats", "WITH g AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS members, max(n) AS largest, (SELECT list(p_type ORDER BY n DESC, p_type) FROM (SELECT * FROM g ORDER BY n DESC, p_type LIMIT 5)) AS top FROM g")
 def series_stats(t):
-    return t.part.groupBy("p_name").agg(F.count("*").alias("n")).filter("n > 1").agg(F.count("*").alias("groups"), F.sum("n").alias("members"), F.max("n").alias("largest"))
+    g = t.part.groupBy("p_type").agg(F.count("*").alias("n")).filter("n > 1")
+    top = g.orderBy(F.desc("n"), "p_type").limit(5).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "p_type"))).alias("x"))
+    stats = g.agg(F.count("*").alias("groups"), F.sum("n").alias("members"), F.max("n").alias("largest"))
+    return stats.join(F.broadcast(top), how="cross").select("groups", "members", "largest", F.col("x.p_type").alias("top"))
 
 
 @query("o_a20_dictionary_coverage", "SELECT coalesce(d.kind, 'unknown') AS kind, count(*) AS n FROM events e LEFT JOIN (VALUES ('view', 'mapped'), ('click', 'mapped'), ('signup', 'ignored')) d(event_type, kind) USING (event_type) GROUP BY 1")
@@ -138,6 +153,14 @@ def dictionary_coverage(t):
     return t.events.join(F.broadcast(d), "event_type", "left").groupBy(F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+@query("o_a20_unresolved", "SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, event_type) AS place FROM events WHERE event_type NOT IN ('view', 'click', 'signup') GROUP BY 1")
+def unresolved(t):
+    """Values that the dictionary lacks, the most frequent first."""
+    d = t.spark.createDataFrame([("view",), ("click",), ("signup",)], "event_type string")
+    n = t.events.join(F.broadcast(d), "event_type", "left_anti").groupBy("event_type").agg(F.count("*").alias("n"))
+    return global_rank(n, -F.col("n"), [F.asc("event_type")], "place").withColumn("place", F.col("place").cast("long"))
+
+
 @query("o_a21_sizes_of_sizes", "SELECT n AS size, count(*) AS groups FROM (SELECT md5(text), count(*) AS n FROM documents GROUP BY 1) GROUP BY n")
 def sizes_of_sizes(t):
     return t.documents.groupBy(F.md5("text")).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("groups"))

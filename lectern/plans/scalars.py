@@ -192,10 +192,12 @@ def ordered_children(t):
     return g.select("l_orderkey", F.array_join(F.transform("x", lambda r: F.concat(r["l_linenumber"].cast("string"), F.lit(". "), r["l_returnflag"])), "\n").alias("body"))
 
 
-@query("o_x36_drop_title", "SELECT doc_id, CASE WHEN starts_with(text, t) THEN ltrim(substr(text, length(t) + 1)) ELSE text END AS body FROM (SELECT doc_id, text, substr(text, 1, 5) AS t FROM documents)")
+@query("o_x36_drop_title", "SELECT doc_id, trim(array_to_string(list_filter(l, lambda x, i: i = 1 OR (trim(x) <> trim(l[1]) AND NOT contains(lower(x), 'licensed under') AND NOT contains(lower(x), 'all rights reserved'))), chr(10))) AS body FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
 def drop_title(t):
-    d = t.documents.select("doc_id", "text", F.substring("text", 1, 5).alias("t"))
-    return d.select("doc_id", F.when(F.startswith("text", "t"), F.ltrim(F.substr("text", F.length("t") + 1))).otherwise(F.col("text")).alias("body"))
+    """The body without later repetitions of its title (the first line) and without notices."""
+    notice = lambda x: F.contains(F.lower(x), F.lit("licensed under")) | F.contains(F.lower(x), F.lit("all rights reserved"))
+    d = t.documents.select("doc_id", F.split("text", "\n").alias("l"))
+    return d.select("doc_id", F.trim(F.array_join(F.filter("l", lambda x, i: (i == 0) | ((F.trim(x) != F.trim(F.col("l")[0])) & ~notice(x))), "\n")).alias("body"))
 
 
 @query("o_x37_search_text", "SELECT doc_id, left(concat_ws(' ', lang, source, text), 1000) AS dense, length(concat_ws(' ', lang, source, text)) > 1000 AS truncated FROM documents")
@@ -302,9 +304,18 @@ def category(t):
     return t.conversations.select("conv_id", "turn", X.first_label(F.col("text"), (("numbers", "[0-9]"), ("table", r"\|")), "text").alias("category"))
 
 
-@query("o_x54_failures", "SELECT event_type, event_type IN ('error') AS retryable, count(*) AS n FROM events GROUP BY 1, 2")
+_MESSAGES = ("connect ETIMEDOUT 10.0.0.1", "HTTP 503 from server", "HTTP 404", "read ECONNRESET", "JSON parse error at 3", "HTTP 429 too many", "", "disk full")
+_FAILURES = (("TIMEOUT", "(?i)timed? ?out|etimedout", True), ("RATE_LIMIT", "429|(?i)too many", True), ("SERVER", "HTTP 5[0-9]{2}", True), ("NETWORK", "(?i)econn|network", True), ("CLIENT", "HTTP 4[0-9]{2}", False), ("PARSE", "(?i)parse|syntax", False))
+_MESSAGE = f"([{', '.join(repr(m) for m in _MESSAGES)}])[CAST(event_id % {len(_MESSAGES)} AS INTEGER) + 1]"
+
+
+@query("o_x54_failures", f"SELECT category, category IN ({', '.join(repr(n) for n, _, again in _FAILURES if again)}) AS retryable, count(*) AS n FROM (SELECT CASE {' '.join(f'WHEN regexp_matches(m, {p!r}) THEN {n!r}' for n, p, _ in _FAILURES)} ELSE 'UNKNOWN' END AS category FROM (SELECT {_MESSAGE} AS m FROM events)) GROUP BY 1, 2")
 def failures(t):
-    return t.events.groupBy("event_type", F.col("event_type").isin("error").alias("retryable")).agg(F.count("*").alias("n"))
+    """The first category whose pattern a message has, and whether it is worth another attempt."""
+    message = F.element_at(F.array(*map(F.lit, _MESSAGES)), (F.col("event_id") % len(_MESSAGES) + 1).cast("int"))
+    category = X.first_label(message, tuple((n, p) for n, p, _ in _FAILURES), "UNKNOWN")
+    again = F.col("category").isin(*[n for n, _, again in _FAILURES if again])
+    return t.events.select(category.alias("category")).groupBy("category", again.alias("retryable")).agg(F.count("*").alias("n"))
 
 
 @query("o_x55_lanes", "SELECT l_orderkey, CASE WHEN bool_or(l_returnflag = 'R') THEN 'returns' WHEN count(*) = 1 THEN 'single' ELSE 'normal' END AS lane FROM lineitem GROUP BY 1")
@@ -416,9 +427,12 @@ def span_fill(t):
     return p.groupBy((F.col("p_partkey") + F.col("i")).alias("slot")).agg(F.max("p_partkey").alias("owner"))
 
 
-@query("o_r5_merge_text", "SELECT user_id, event_type, string_agg(DISTINCT CAST(event_id % 7 AS VARCHAR), ' ' ORDER BY CAST(event_id % 7 AS VARCHAR)) AS body FROM events GROUP BY 1, 2")
+@query("o_r5_merge_text", "SELECT user_id, event_type, array_to_string(list_sort(list_filter(l, lambda x: len(list_filter(l, lambda y: y <> x AND contains(y, x))) = 0)), ' ') AS body FROM (SELECT user_id, event_type, list(DISTINCT CAST(event_id % 97 AS VARCHAR)) AS l FROM events GROUP BY 1, 2)")
 def merge_text(t):
-    return t.events.groupBy("user_id", "event_type").agg(F.array_join(F.array_sort(F.collect_set((F.col("event_id") % 7).cast("string"))), " ").alias("body"))
+    """Distinct pieces joined, those that another piece contains left out."""
+    pieces = t.events.groupBy("user_id", "event_type").agg(F.collect_set((F.col("event_id") % 97).cast("string")).alias("l"))
+    whole = F.filter("l", lambda x: ~F.exists("l", lambda y: (y != x) & F.contains(y, x)))
+    return pieces.select("user_id", "event_type", F.array_join(F.array_sort(whole), " ").alias("body"))
 
 
 @query("o_r6_markup_units", r"SELECT page_id, pos, item FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1)) AS item, generate_subscripts(regexp_extract_all(html, '<li><a href=\"([^\"]*)\">', 1), 1) - 1 AS pos FROM pages)")

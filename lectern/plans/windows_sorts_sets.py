@@ -184,6 +184,16 @@ def page(t, number: int = 3, size: int = 20):
     return t.customer.orderBy("c_name", "c_custkey").offset((number - 1) * size).limit(size).select("c_custkey")
 
 
+@query("o_o6_page_clamp", "WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 20.0) AS BIGINT)) AS pages FROM customer) SELECT c_custkey, pages AS page, list_filter([pages - 2, pages - 1, pages], lambda p: p >= 1) AS shown FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_custkey) AS r FROM customer), n WHERE r > (pages - 1) * 20 AND r <= pages * 20")
+def page_clamp(t, number: int = 10**6, size: int = 20):
+    """A page past the end is the last one; beside it the numbers of the pages around it."""
+    pages = max(1, -(-t.customer.count() // size))
+    page = min(max(number, 1), pages)
+    shown = [p for p in range(page - 2, page + 3) if 1 <= p <= pages]
+    rows = t.customer.orderBy("c_name", "c_custkey").offset((page - 1) * size).limit(size)
+    return rows.select("c_custkey", F.lit(page).cast("long").alias("page"), F.array(*map(F.lit, shown)).cast("array<bigint>").alias("shown"))
+
+
 @query("o_o7_popularity", "SELECT user_id, count_if(event_type = 'click') + count_if(event_type = 'purchase') AS score FROM events GROUP BY 1 ORDER BY user_id % 40 = 0 DESC, score DESC, user_id LIMIT 30")
 def popularity(t):
     n = t.events.groupBy("user_id").agg((F.count_if(F.col("event_type") == "click") + F.count_if(F.col("event_type") == "purchase")).alias("score"))
@@ -347,6 +357,14 @@ def publish_counts(t):
     return diff(_old(t), _new(t), ["o_orderkey"], ["o_orderstatus", "o_totalprice"]).groupBy("status").agg(F.count("*").alias("n"))
 
 
+@query("o_w5_publish_plan", f"SELECT o_orderkey, CASE WHEN status = 'deleted' THEN 'delete' ELSE 'upsert' END AS action FROM ({_DIFF})")
+def publish_plan(t):
+    """A full refresh: every incoming row is written, every held one that did not come goes."""
+    new = _new(t).select("o_orderkey", F.lit("upsert").alias("action"))
+    gone = _old(t).select("o_orderkey").join(new, "o_orderkey", "left_anti")
+    return new.unionByName(gone.withColumn("action", F.lit("delete")))
+
+
 @query("o_w6_diff_sync", _DIFF.replace("status FROM", "status FROM").replace("AS status", "AS action"))
 def diff_sync(t):
     return diff(_old(t), _new(t), ["o_orderkey"], ["o_orderstatus", "o_totalprice"]).withColumnRenamed("status", "action")
@@ -364,6 +382,15 @@ def toggle(t):
     return t.events.groupBy("user_id", "event_type").count().filter("count % 2 = 1").select("user_id", "event_type")
 
 
+@query("o_w8_toggle_state", "WITH s AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0), c AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 1) SELECT user_id, event_type, CASE WHEN s.user_id IS NULL THEN 'insert' WHEN c.user_id IS NULL THEN 'keep' ELSE 'delete' END AS action FROM s FULL JOIN c USING (user_id, event_type)")
+def toggle_state(t):
+    """Toggles against what is held: an absent pair is inserted, a present one deleted, others stay."""
+    held = t.events.filter("event_id % 3 = 0").select("user_id", "event_type").distinct().withColumn("held", F.lit(True))
+    asked = t.events.filter("event_id % 3 = 1").select("user_id", "event_type").distinct().withColumn("asked", F.lit(True))
+    action = F.when(F.col("held").isNull(), "insert").when(F.col("asked").isNull(), "keep").otherwise("delete")
+    return held.join(asked, ["user_id", "event_type"], "full_outer").select("user_id", "event_type", action.alias("action"))
+
+
 @query("o_w9_gated_upsert", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)) WHERE r = 1")
 def gated_upsert(t):
     open_ = t.customer.filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
@@ -376,10 +403,13 @@ def incremented(t):
     return increment(state, t.events.filter("event_type = 'error'"), "user_id", "attempts")
 
 
-@query("o_w11_claim", "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'PROCESSING' ELSE o_orderstatus END AS status, o_orderstatus IN ('O', 'P') AS claimed FROM orders")
+@query("o_w11_claim", "SELECT event_id, o_orderkey, r = 1 AND o_orderstatus IN ('O', 'P') AS won, CASE WHEN o_orderstatus IN ('O', 'P') THEN 'PROCESSING' ELSE o_orderstatus END AS status FROM (SELECT event_id, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderkey ORDER BY ts, event_id) AS r FROM events JOIN orders ON o_orderkey = user_id)")
 def claim(t):
+    """Claims of rows by compare-and-set: of an allowed status, the first claim of a row wins and no other does."""
+    c = t.events.select("event_id", "ts", F.col("user_id").alias("o_orderkey")).join(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    first = F.row_number().over(Window.partitionBy("o_orderkey").orderBy("ts", "event_id")) == 1
     ok = F.col("o_orderstatus").isin("O", "P")
-    return t.orders.select("o_orderkey", F.when(ok, "PROCESSING").otherwise(F.col("o_orderstatus")).alias("status"), ok.alias("claimed"))
+    return c.select("event_id", "o_orderkey", (first & ok).alias("won"), F.when(ok, "PROCESSING").otherwise(F.col("o_orderstatus")).alias("status"))
 
 
 @query("o_w12_stale_recovery", "SELECT event_id, CASE WHEN event_type = 'error' AND ts <= (SELECT max(ts) FROM events) - INTERVAL 30 DAY THEN 'PENDING' ELSE event_type END AS status FROM events")
