@@ -45,6 +45,13 @@ def strip_markup(html: Column) -> Column:
     return t
 
 
+def decode_entities(text: Column) -> Column:
+    """Numeric character references as the characters they name."""
+    letter = lambda x: F.decode(F.unhex(F.lpad(F.hex(x.cast("long")), 8, "0")), "UTF-32")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#([0-9]{1,6});"), 1))
+    return F.aggregate(found, text, lambda t, x: F.replace(t, F.concat(F.lit("&#"), x, F.lit(";")), letter(x)))
+
+
 def preview(text: Column, size: int = 96) -> Column:
     return F.when(F.length(text) > size, F.concat(F.rtrim(F.substring(text, 1, size)), F.lit("..."))).otherwise(text)
 

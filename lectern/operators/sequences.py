@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import work_folder
+
 
 def segments(rows: DataFrame, by: list[str], order: list, breaks, name: str = "segment") -> DataFrame:
     """Numbers the stretches that a break flag on the previous row ends (from 0)."""
@@ -69,6 +71,25 @@ def lanes(events: DataFrame, by: list[str], start: str, end: str, key: str, cap:
     return scan(events.select(*by, start, end, key), by, [F.asc(start), F.desc(end), F.asc(key)], schema, place)
 
 
+def tree_paths(rows: DataFrame, key: str, parent: str, width: int = 9) -> DataFrame:
+    """key, depth, path of every row that a root (null parent) reaches; paths sort as the tree's pre-order with its siblings by key.
+
+    A path holds the keys from the root down, padded to ``width``.  One join a level:
+    levels are written to the shared folder, so the plan does not grow with the depth.
+    """
+    spark, folder = rows.sparkSession, work_folder(rows.sparkSession, "tree")
+    padded = F.lpad(F.col(key).cast("string"), width, "0")
+    level, depth = rows.filter(F.col(parent).isNull()).select(key, F.lit(0).alias("depth"), padded.alias("path")), 0
+    while True:
+        level.write.parquet(f"{folder}/{depth}")
+        above = spark.read.parquet(f"{folder}/{depth}")
+        if not above.limit(1).count():
+            return spark.read.parquet(f"{folder}/*")
+        depth += 1
+        above = above.select(F.col(key).alias(parent), F.col("path").alias("_above"))
+        level = rows.join(above, parent).select(key, F.lit(depth).alias("depth"), F.concat("_above", F.lit("/"), padded).alias("path"))
+
+
 def ordered_digest(rows: DataFrame, key: str, line: Column, width: int = 1024, levels: int = 3) -> DataFrame:
     """One row ``fingerprint``: SHA-256 over the rows' lines in the order of a whole-number key, by a tree.
 

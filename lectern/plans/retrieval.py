@@ -172,11 +172,19 @@ def corpora(t):
     return core.unionByName(safe.select(F.lit("SAFE").alias("corpus"), "doc_id", F.concat_ws("\n", "lang", "source", "text").alias("body")))
 
 
-@query("o_k10_pooling", f"SELECT doc_id, list_sort(list(m)) AS methods, CAST(min(rank) AS BIGINT) AS best FROM (SELECT 'lexical' AS m, doc_id, rank FROM ({_LIST}) WHERE rank <= 10 UNION ALL SELECT 'dense', doc_id, rank FROM ({_DENSE}) WHERE rank <= 10) GROUP BY doc_id")
+_METHODS = (("BM25", "BM25", None, None), ("DENSE", "DENSE", None, None), ("HYBRID", "HYBRID", None, None), ("HYBRID_TARGETED", "HYBRID_TARGETED", "ELEMENTARY", None), ("BM25_GRADE", "BM25", None, 3), ("DENSE_GRADE", "DENSE", None, 3), ("HYBRID_GRADE", "HYBRID", None, 3))
+_POOL = " UNION ALL ".join(f"SELECT '{name}' AS method, group_id, rank FROM ({_hybrid_sql(m, age, grade)}) WHERE rank <= 10" for name, m, age, grade in _METHODS)
+
+
+@query("o_k10_pooling", f"SELECT group_id, list_sort(list(method || ':' || rank)) AS ranks, CAST(min(rank) AS INTEGER) AS best FROM (SELECT group_id, method, min(rank) AS rank FROM ({_POOL}) GROUP BY 1, 2) GROUP BY group_id")
 def pooling(t):
-    lex, dense = _lists(t)
-    rows = lex.filter("rank <= 10").select(F.lit("lexical").alias("m"), "doc_id", "rank").unionByName(dense.filter("rank <= 10").select(F.lit("dense").alias("m"), "doc_id", "rank"))
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("m")).alias("methods"), F.min("rank").cast("long").alias("best"))
+    """Ten of each of seven methods, one row a group with its best rank under each method."""
+    rows = None
+    for name, m, age, grade in _METHODS:
+        one = _hybrid(t, m, age, grade).filter("rank <= 10").select(F.lit(name).alias("method"), "group_id", "rank")
+        rows = one if rows is None else rows.unionByName(one)
+    each = rows.groupBy("group_id", "method").agg(F.min("rank").alias("rank"))
+    return each.groupBy("group_id").agg(F.array_sort(F.collect_list(F.concat("method", F.lit(":"), F.col("rank").cast("string")))).alias("ranks"), F.min("rank").alias("best"))  # seven at most
 
 
 @query("o_k11_profiles", r"SELECT label, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM documents), 2) AS percent FROM (SELECT unnest(CASE WHEN regexp_matches(text, 'License') OR regexp_matches(text, '@') THEN list_filter([CASE WHEN regexp_matches(text, 'License') THEN 'LICENSE' END, CASE WHEN regexp_matches(text, '@') THEN 'CONTACT' END], lambda x: x IS NOT NULL) ELSE ['UNKNOWN'] END) AS label FROM documents) GROUP BY label")

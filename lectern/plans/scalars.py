@@ -29,6 +29,11 @@ def strip_markup(t):
     return t.pages.select("page_id", X.strip_markup(F.col("html")).alias("plain"))
 
 
+@query("o_x4_numeric_entities", "SELECT page_id, list_reduce(list_prepend(html, list_distinct(regexp_extract_all(html, '&#([0-9]{1,6});', 1))), lambda a, x: replace(a, '&#' || x || ';', chr(CAST(x AS INTEGER)))) AS plain FROM (SELECT page_id, html || ' &#8212; &#44032;&#65; &#8212;' AS html FROM pages)")
+def numeric_entities(t):
+    return t.pages.select("page_id", X.decode_entities(F.concat("html", F.lit(" &#8212; &#44032;&#65; &#8212;"))).alias("plain"))
+
+
 @query("o_x5_first_sentence", r"SELECT doc_id, coalesce(nullif(regexp_extract(text, '^([^.!?\n]+[.!?])', 1), ''), text) AS excerpt FROM documents")
 def first_sentence(t):
     return t.documents.select("doc_id", X.first_sentence(F.col("text")).alias("excerpt"))
@@ -59,10 +64,19 @@ def remove_known(t):
     return t.documents.select("doc_id", F.when(F.col("source") != "", F.replace("text", "source", F.lit(""))).otherwise(F.col("text")).alias("text"))
 
 
-@query("o_x10_scrub", rf"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '{_EMAIL}', '', 'g'), '\+1 \([0-9]{{3}}\) [0-9]{{3}}-[0-9]{{4}}', '', 'g'), ' {{2,}}', ' ', 'g') AS text FROM documents")
+# What is scrubbed from search texts: addresses, phone numbers, links, account-like numbers, address lines.
+_SCRUBBED = (_EMAIL, r"\+?[0-9]{0,3} ?\([0-9]{3}\) [0-9]{3}-[0-9]{4}", r"https?://[^ \n]+", r"[0-9]{2,6}-[0-9]{2,6}-[0-9]{4,8}", r"(?i)(address|phone|e-?mail) ?: ?[^\n]*")
+_SCRUB = "text"
+for _pattern in _SCRUBBED:
+    _SCRUB = f"regexp_replace({_SCRUB}, '{_pattern}', '', 'g')"
+
+
+@query("o_x10_scrub", f"SELECT doc_id, trim(regexp_replace({_SCRUB}, ' {{2,}}', ' ', 'g')) AS text FROM documents")
 def scrub(t):
-    x = F.regexp_replace(F.regexp_replace(F.col("text"), _EMAIL, ""), r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "")
-    return t.documents.select("doc_id", F.regexp_replace(x, " {2,}", " ").alias("text"))
+    x = F.col("text")
+    for pattern in _SCRUBBED:
+        x = F.regexp_replace(x, pattern, "")
+    return t.documents.select("doc_id", F.trim(F.regexp_replace(x, " {2,}", " ")).alias("text"))
 
 
 @query("o_x11_failure_message", r"SELECT page_id, left(regexp_replace(concat('failed: ', url, ' ', html), 'https?://[^\s]+', '[URL]', 'g'), 500) AS message FROM pages")
@@ -371,10 +385,12 @@ def grid(t):
     return t.orders.select(S.week_start(d).alias("week"), F.add_months(d, 1).alias("next_month")).distinct()
 
 
-@query("o_d5_reversed", "SELECT count_if(a > b) AS reversed, count(*) AS n FROM (SELECT o_orderdate AS a, TIMESTAMP '1995-01-01' + to_days(CAST(o_orderkey % 1000 AS INTEGER)) AS b FROM orders)")
+@query("o_d5_reversed", "SELECT count_if(a > b) AS reversed, count_if(apply_end > a) AS late_applications, count(*) AS n FROM (SELECT o_orderdate AS a, TIMESTAMP '1995-01-01' + to_days(CAST(o_orderkey % 1000 AS INTEGER)) AS b, o_orderdate + to_days(CAST(o_orderkey % 9 - 6 AS INTEGER)) AS apply_end FROM orders)")
 def reversed_ranges(t):
+    a = F.col("o_orderdate").cast("timestamp")
     b = F.expr("date_add(DATE '1995-01-01', CAST(o_orderkey % 1000 AS INT))").cast("timestamp")
-    return t.orders.select(F.col("o_orderdate").cast("timestamp").alias("a"), b.alias("b")).agg(F.count_if(F.col("a") > F.col("b")).alias("reversed"), F.count("*").alias("n"))
+    apply_end = F.expr("CAST(o_orderdate AS TIMESTAMP) + make_dt_interval(CAST(o_orderkey % 9 - 6 AS INT))")
+    return t.orders.select(a.alias("a"), b.alias("b"), apply_end.alias("apply_end")).agg(F.count_if(F.col("a") > F.col("b")).alias("reversed"), F.count_if(F.col("apply_end") > F.col("a")).alias("late_applications"), F.count("*").alias("n"))
 
 
 @query("o_d6_age", "SELECT event_id, round((epoch_us(m.now) - epoch_us(ts)) / 3600000000.0, 3) AS hours, (epoch_us(m.now) - epoch_us(ts)) / 3600000000.0 >= 1 AS stale FROM events, (SELECT max(ts) AS now FROM events) m")

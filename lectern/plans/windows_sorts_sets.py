@@ -9,7 +9,7 @@ from ..functions.structures import week_start
 from ..operators.merge import diff, increment, keep_first, merge_columns, replace_children, soft_delete, upsert
 from ..operators import ranking
 from ..operators.ranking import best_of_group, floor_of_best, nearest, type_priority
-from ..operators.sequences import diverse_sample, forward_fill, islands, lanes, ordered_digest, segments
+from ..operators.sequences import diverse_sample, forward_fill, islands, lanes, ordered_digest, segments, tree_paths
 from ..registry import query
 
 
@@ -234,6 +234,12 @@ def tree_order(t):
     return t.conversations.select("conv_id", "turn", F.array_join(F.transform(F.collect_list("turn").over(w), lambda p: F.lpad(p.cast("string"), 4, "0")), "/").alias("path"))
 
 
+@query("o_o12_comment_tree", "WITH RECURSIVE t AS (SELECT event_id, 0 AS depth, lpad(CAST(event_id AS VARCHAR), 9, '0') AS path FROM events WHERE event_id % 7 = 0 UNION ALL SELECT e.event_id, depth + 1, path || '/' || lpad(CAST(e.event_id AS VARCHAR), 9, '0') FROM events e JOIN t ON e.event_id // 4 = t.event_id WHERE e.event_id % 7 <> 0) SELECT event_id, depth, path FROM t")
+def comment_tree(t):
+    answers = t.events.select("event_id", F.when(F.col("event_id") % 7 != 0, F.floor(F.col("event_id") / 4)).alias("parent"))
+    return tree_paths(answers, "event_id", "parent")
+
+
 @query("o_o13_calendar_lanes")
 def calendar_lanes(t):
     o = t.orders.select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("a"), F.expr("date_add(to_date(o_orderdate), CAST(o_orderkey % 5 AS INT))").alias("b"))
