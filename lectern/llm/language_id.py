@@ -29,7 +29,9 @@ MODEL_CHARS = 12_000_000
 DENSE_CELLS = 24_000_000
 #: A text is parsed in stretches of this many characters, all side by side.
 STRETCH = 256
-LANES = 4096
+LANES = 2048
+#: Characters of texts that are parsed together (a longer text goes alone).
+TOGETHER = 500_000
 
 
 def _codes(text: str) -> np.ndarray:
@@ -204,7 +206,7 @@ def _predictions(p: Parser, texts: list[str | None]) -> Iterator[tuple[int, int,
     row = 0
     while row < len(texts):
         to, size = row, 0
-        while to < len(texts) and (to == row or size < 2_000_000):
+        while to < len(texts) and (to == row or size < TOGETHER):
             size += len(texts[to] or "")
             to += 1
         pred, score, cost = [], [], []

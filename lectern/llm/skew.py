@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Keys that may count as hot at once: the broadcast side of a join has so many rows at most.
 HOT_KEYS = 1000
 #: Rows up to which a whole side of a few numbers a row is broadcast, where their count is known.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def hot_limit(rows: int) -> int:

@@ -33,7 +33,7 @@ from .session import text_bytes
 from .words import WordHasher, gram_hashes, multipliers
 
 #: Labelled documents of either class that are learned from, and the characters of one (a passage of a longer text).
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 2500
 TRAIN_CHARS = 48_000
 OPENING = 9
 SHORTEST = 4

@@ -79,13 +79,13 @@ def test_classes_known_by_long_texts_alone(spark):
     rng, docs, marks = random.Random(6), [], []
     for i in range(90):
         toxic = int(i % 3 == 0)
-        words = prose(i, 5_000 if i < 80 else 200).split()
-        for k in range(0, len(words), 25 if toxic else len(words) + 1):
+        words = prose(i, 9_000 if i < 80 else 200).split()
+        for k in range(0, len(words) if toxic else 0, 25):
             words[k] = rng.choice(("grumbol", "snarfety"))
         docs.append((i, " ".join(words)))
         marks.append((i, toxic, toxic))
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int, quality int")
-    assert all(len(t) > 20_000 for i, t in docs if i < 80)
+    assert all(len(t) > 48_000 for i, t in docs if i < 80)
     rows = toxicity(*frames).collect()
     assert np.mean([r.predicted == int(r.doc_id % 3 == 0) for r in rows if r.held_out]) > 0.9
     assert len({round(r.score, 9) for r in quality(*frames).collect()}) > 1
@@ -99,4 +99,5 @@ def test_held_out_accuracy(spark):
     # About one labelled document in ten is toxic, so recall and precision are asserted, not accuracy.
     held = [r for r in op6_toxicity(spark, folder).filter("held_out").collect() if r.doc_id in marks]
     both = sum(r.predicted and marks[r.doc_id]["toxic"] for r in held)
-    assert both > 0.8 * sum(marks[r.doc_id]["toxic"] for r in held) and both > 0.93 * sum(r.predicted for r in held)
+    toxic, found = sum(marks[r.doc_id]["toxic"] for r in held), sum(r.predicted for r in held)
+    assert both > 0.82 * toxic and both > 0.9 * found, (both, toxic, found)
