@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import text_bytes
+from .session import pieces, text_bytes
 from .words import WordHasher, gram_hashes, mix
 
 SHINGLE = 5
@@ -190,7 +190,7 @@ def _found(items: Items, hasher: WordHasher, texts: list[bytes | None]) -> Itera
 def _search(rows: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, hasher = items_of(rows.value), WordHasher(lower=True, separators=_SEPARATORS)
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch.column("doc_id").to_pylist()
             found = [(ids[row], *rest) for row, *rest in _found(items, hasher, text_bytes(batch))]
             columns = list(zip(*found, strict=True)) if found else [[]] * 5
@@ -203,7 +203,7 @@ def _search(rows: Broadcast):
 def _drop(rows: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, hasher = items_of(rows.value), WordHasher(lower=True, separators=_SEPARATORS)
-        for batch in batches:
+        for batch in pieces(batches):
             keep = np.ones(batch.num_rows, bool)
             for row, *_ in _found(items, hasher, [None if t is None else t.encode("utf-8", "surrogatepass") for t in text_bytes(batch)]):
                 keep[row] = False

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, labelled_sample
+from .session import pieces
 
 #: Characters of labelled text kept for each language, of one labelled document, and of all languages together.
 TRAIN_CHARS = 24_000
@@ -229,7 +230,7 @@ def _predictions(p: Parser, texts: list[str | None]) -> Iterator[tuple[int, int,
 def _identify(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(model.value)
-        for batch in batches:
+        for batch in pieces(batches):
             for row, to, pred, score, cost in _predictions(p, batch.column("text").to_pylist()):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(row, to - row), batch.column("held_out").slice(row, to - row), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(cost, pa.float64())],
@@ -265,7 +266,7 @@ def identify_language(docs: DataFrame, modulus: int = 3, fold: int = 1) -> DataF
 def _keep(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(model.value)
-        for batch in batches:
+        for batch in pieces(batches):
             at = batch.schema.get_field_index("lang")
             for row, to, pred, _score, _cost in _predictions(p, batch.column("text").to_pylist()):
                 lang = pa.array(pred, batch.schema.field(at).type)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import cut, text_bytes
+from .session import cut, pieces, text_bytes
 from .skew import hot_limit, join_hot
 from .words import WordHasher, gram_hashes, multipliers, shingle_set
 
@@ -81,7 +81,7 @@ def _describe(n: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
-        for batch in batches:
+        for batch in pieces(batches):
             count, keys, sigs, sums = [], [], [], []
             for s in _sets(hasher, text_bytes(batch), n):
                 low = minima(s) if len(s) else None
@@ -102,7 +102,7 @@ def _full_sets(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(lower=True)
-        for batch in batches:
+        for batch in pieces(batches):
             sets = list(_sets(hasher, text_bytes(batch), n))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("cluster"), batch.column("id"), batch.column("set_a"), pa.array([_hashes(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -136,7 +136,7 @@ def _star_links(percent: int):
     """The pairs of a bucket's member and its smallest whose signatures are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             if batch.num_rows:
                 same = (_signatures(batch.column("signature").to_pylist()) == _signatures(batch.column("other").to_pylist())).sum(axis=1)
                 yield batch.select(["u", "v"]).filter(pa.array(same >= _alike(percent)))

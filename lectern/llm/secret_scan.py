@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import pieces
+
 # The kinds, in the order in which equal starts are listed.
 KINDS = ("assign", "access", "hex", "der_key", "ssh_key", "signed_token")
 
@@ -242,7 +244,7 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         base, spans, counts = [], [], ([], [], [])
         for text in batch.column("text").to_pylist():
             found = base_spans(text) if text else []
@@ -282,7 +284,7 @@ def redacted(text: str, mark: str = "[SECRET]") -> str:
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         at = batch.schema.get_field_index("text")
         texts = [None if t is None else redacted(t) for t in batch.column("text").to_pylist()]
         yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

@@ -48,3 +48,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def text_bytes(batch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).to_pylist()
+
+
+def pieces(batches: Iterator, rows: int = 1024) -> Iterator:
+    """Slices of record batches, so that what a task makes of a batch at once stays small."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
