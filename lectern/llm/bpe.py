@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import pieces
 from .tokenizer_files import vocabulary_path
 from .words import mix
 
@@ -262,37 +263,22 @@ def encoder(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _groups(texts: list[str], limit: int = 4_000_000) -> Iterator[list[str]]:
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= limit:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
-
-
 def _encode(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for batch in batches:
-            row = 0
-            for texts in _groups([t or "" for t in batch.column("text").to_pylist()]):
-                ids = bpe.encode(texts)
-                columns = [
-                    batch.column("doc_id").slice(row, len(texts)),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                    pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
-                row += len(texts)
+        for batch in pieces(batches):
+            ids = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
+            columns = [
+                batch.column("doc_id"),
+                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()),
+            ]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -303,7 +289,8 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool =
     Whole texts by the ranks of ``vocabulary`` (a rank file's path), each match
     of the split pattern by itself, no special tokens; then decoded again.  Null
     text counts as empty (no ids, hashes of no bytes); a null doc_id stays null;
-    repeated rows each get their row; further columns of docs are ignored.
+    repeated rows each get their row; further columns of docs are ignored; texts of
+    any length are read whole; no rows give no rows.
     """
     path = vocabulary or vocabulary_path("byte_bpe_50k.tiktoken")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")

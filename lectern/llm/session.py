@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,8 +54,38 @@ def text_bytes(batch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).to_pylist()
 
 
-def pieces(batches: Iterator, rows: int = 1024) -> Iterator:
-    """Slices of record batches, so that what a task makes of a batch at once stays small."""
+#: Rows and bytes of variable length of one slice (a longer row goes alone).
+PIECE_ROWS, PIECE_BYTES = 1024, 4_000_000
+
+
+def _weights(batch: pa.RecordBatch) -> np.ndarray:
+    """Bytes of variable length of each row."""
+    out = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            out += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return out
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = PIECE_ROWS, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of record batches of bounded rows and bytes, so that what a task makes of a batch at once stays small.
+
+    At the end freed memory goes back to the system: a worker that waits for its next task holds none of it.
+    """
     for batch in batches:
-        for at in range(0, max(1, batch.num_rows), rows):
-            yield batch.slice(at, rows)
+        edge, at = np.cumsum(_weights(batch)), 0
+        while at == 0 or at < batch.num_rows:
+            full = int(np.searchsorted(edge, (edge[at - 1] if at else 0) + size, side="right"))
+            to = min(batch.num_rows, at + rows, max(at + 1, full))
+            yield batch.slice(at, to - at)
+            at = max(1, to)
+        del batch
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
