@@ -5,13 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
 from .bpe import bpe_encode
 from .decontaminate import contaminated
+from .fill_in_middle import fill_in_middle, restore
 from .language_id import identify_language
+from .lexical_search import lexical_search
 from .near_dedup import near_duplicates
+from .piece_bpe import piece_encode
 from .quality import quality
 from .secret_scan import secret_spans
 from .substring_dedup import remove_repeats
@@ -64,6 +68,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = restore(fill_in_middle(_table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = piece_encode(_table(spark, sf_dir, "documents"), with_decoded=True)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -76,6 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_exact_topk": op9_exact_topk,
         "op10_quality": op10_quality,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_piece_bpe": op12_piece_bpe,
+        "op13_lexical_search": op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -137,5 +160,44 @@ FROM split d LEFT JOIN gone_lists g ON g.doc_id = d.doc_id
 """
 
 
+_OP11 = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t, sha256('42:' || doc_id) AS h
+  FROM documents
+), draws AS (
+  SELECT *, len(t) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM cut
+), units AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM draws
+), parts AS (
+  SELECT *, coalesce(array_to_string(t[1:a], ''), '') AS prefix, coalesce(array_to_string(t[a + 1:b], ''), '') AS middle, coalesce(array_to_string(t[b + 1:n], ''), '') AS suffix FROM units
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+_OP13 = r"""
+WITH bags AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents WHERE doc_id IS NOT NULL
+), totals AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(len(t)) AS BIGINT) AS big_l FROM bags WHERE len(t) > 0),
+asked AS (
+  SELECT item_id, term, CAST(count(*) AS BIGINT) AS repeats FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY 1, 2
+), words AS (SELECT doc_id, CAST(len(t) AS BIGINT) AS n, unnest(t) AS term FROM bags),
+postings AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * max(big_n) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM postings, totals GROUP BY term
+), scores AS (
+  SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY 1, 2
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_dedup": _OP3, "op8_substring_dedup": _OP8, "op9_exact_topk": _OP9}
+    return {"op3_minhash_dedup": _OP3, "op8_substring_dedup": _OP8, "op9_exact_topk": _OP9, "op11_fill_in_middle": _OP11, "op13_lexical_search": _OP13}
