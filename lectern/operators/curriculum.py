@@ -64,43 +64,6 @@ def session_rows(cells: DataFrame, key: str, number: str = r"^\s*([0-9]{1,2})\s*
     return rows.filter("session BETWEEN 1 AND 60").select(key, "table_no", "session", F.array_join(F.filter("x.text", lambda t: t != ""), " ").alias("activity"))
 
 
-def boxes_to_lines(boxes: DataFrame, key: str, share: float = 0.5) -> DataFrame:
-    """key, line, text from text boxes (left, top, right, bottom) of one image each.
-
-    In order of their tops, boxes join the first line whose centre is within a
-    share of the line's height; a line reads from left to right.  Lines of the
-    image that is being read are all that is held.
-    """
-    kind = dict(boxes.dtypes)[key]
-    names = [key, "line", "text"]
-
-    def written(image, lines: list) -> list[tuple]:
-        ordered = sorted(lines, key=lambda x: x[0])
-        return [(image, n, " ".join(t for _, t in sorted(items))) for n, (_, _, items) in enumerate(ordered)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        image, lines = None, []
-        for batch in batches:
-            out = []
-            for k, left, top, bottom, text in zip(batch[key], batch["left"], batch["top"], batch["bottom"], batch["text"], strict=True):
-                if lines and k != image:
-                    out += written(image, lines)
-                    lines = []
-                image, centre, height = k, (top + bottom) / 2, max(bottom - top, 1e-9)
-                for i, (mid, tall, items) in enumerate(lines):
-                    if abs(mid - centre) <= share * max(tall, height):
-                        items.append((left, text))
-                        lines[i] = ((mid * (len(items) - 1) + centre) / len(items), max(tall, height), items)
-                        break
-                else:
-                    lines.append((centre, height, [(left, text)]))
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(written(image, lines), columns=names)
-
-    ordered = boxes.select(key, "left", "top", "bottom", "text").filter(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, "top", "left")
-    return ordered.mapInPandas(run, f"{key} {kind}, line int, text string")
-
-
 def merge_items(base: DataFrame, more: DataFrame, key: str) -> DataFrame:
     """Labelled items of a base and a supplement (key, label, value): value and what became of it.
 

@@ -1,3 +1,3 @@
 """The registered queries, by section."""
 
-from . import aggregates, filters_joins, programmes, retrieval, scalars, sources_streams, windows_sorts_sets  # noqa: F401
+from . import aggregates, documents, filters_joins, programmes, retrieval, scalars, sources_streams, windows_sorts_sets  # noqa: F401

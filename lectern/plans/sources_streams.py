@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm
-from ..operators.curriculum import boxes_to_lines, fill_spans, merge_items, parse_sections, repair_encoding, session_rows
+from ..operators.curriculum import fill_spans, merge_items, parse_sections, repair_encoding, session_rows
 from ..registry import query
 from ..sources.files import file_kind, latest_file, optional_parquet, split_known, union_files
 from ..sources.html import page_links, table_cells
@@ -163,12 +163,6 @@ def sessions(t):
     return session_rows(fill_spans(_cells(t), "l_orderkey"), "l_orderkey")
 
 
-@query("o_r9_layout_lines", "SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS INTEGER) AS line, text FROM (SELECT l_orderkey, l_linenumber, string_agg(l_returnflag, ' ' ORDER BY l_quantity, l_returnflag) AS text FROM lineitem GROUP BY 1, 2)")
-def layout_lines(t):
-    b = t.lineitem.select("l_orderkey", F.col("l_quantity").alias("left"), (F.col("l_linenumber") * 20.0).alias("top"), (F.col("l_quantity") + 5).alias("right"), (F.col("l_linenumber") * 20.0 + 12).alias("bottom"), F.col("l_returnflag").alias("text"))
-    return boxes_to_lines(b, "l_orderkey")
-
-
 @query("o_r11_merge_audit", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.label, b.label) AS label, CASE WHEN a.v IS NULL THEN b.v WHEN b.v IS NOT NULL AND contains(lower(b.v), lower(a.v)) AND NOT contains(lower(a.v), lower(b.v)) THEN b.v ELSE a.v END AS value, CASE WHEN b.v IS NULL THEN 'kept' WHEN a.v IS NULL THEN 'added' WHEN contains(lower(a.v), lower(b.v)) THEN 'skipped' WHEN contains(lower(b.v), lower(a.v)) THEN 'extended' ELSE 'conflict' END AS outcome FROM (SELECT p_partkey AS k, 'brand' AS label, p_brand AS v FROM part) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN 'size' ELSE 'brand' END AS label, CASE WHEN p_size > 40 THEN CAST(p_size AS VARCHAR) WHEN p_size > 30 THEN p_brand || 'x' WHEN p_size > 20 THEN 'other' ELSE lower(p_brand) END AS v FROM part WHERE p_size > 10) b ON a.k = b.k AND a.label = b.label")
 def merge_audit(t):
     s = F.col("p_size")

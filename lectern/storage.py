@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -14,3 +14,12 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not known and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(known or tempfile.mkdtemp(prefix='lectern-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut by a reliable checkpoint, for what several later steps read."""
+    context = frame.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        known = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(known or work_folder(frame.sparkSession, "checkpoints"))
+    return frame.checkpoint(eager=True)

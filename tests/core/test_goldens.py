@@ -15,13 +15,14 @@ from lectern.functions import structures as S
 from lectern.functions import text as X
 from lectern.operators.board import board_search, chunk_search, embedding_action
 from lectern.operators.chunks import MOST, OVERLAP, chunk_documents, chunk_problems, split_text
-from lectern.operators.curriculum import boxes_to_lines, merge_items, parse_sections, repair_encoding
+from lectern.operators.curriculum import merge_items, parse_sections, repair_encoding
 from lectern.operators.grouping import group_entities
 from lectern.operators.merge import diff, merge_columns, soft_delete, upsert
 from lectern.operators.ranking import bm25, hybrid_search, policy_rank, retrieval_metrics
 from lectern.operators.sequences import diverse_sample, lanes
 from lectern.registry import QUERIES
 from lectern.sources.files import json_lines, json_records, latest_file, optional_parquet
+from lectern.operators.layout import boxes_to_lines
 from lectern.sources.html import table_cells
 from lectern.sources.providers import embed, extract_pages, paged
 from lectern.streaming.incremental import drained, leases, micro_batches, upsert_sink, windowed_counts
