@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.layout import boxes_to_lines, column_sessions, page_sessions
+from ..operators.sections import match_sections
 from ..registry import query
 
 _ITEMS = """SELECT l_orderkey, l_partkey, l_returnflag, l_linestatus, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r,
@@ -57,3 +58,41 @@ def layout_header_grid(t):
     names = [(F.when(F.col("kind") == "1", "교육일자").otherwise("차시"), 140.0, 40.0), (F.lit("세부"), 449.0, 40.0), (F.lit("교육내용"), 489.0, 80.0), (F.lit("교수방법"), 838.0, 80.0)]
     heads = pages.filter("r = 1 AND kind <> '5'").select("l_orderkey", F.inline(F.array(*[_box(text, left, 0.0, width) for text, left, width in names])))
     return page_sessions(pages.select("l_orderkey", F.inline(F.array(*cells))).unionByName(heads), "l_orderkey")
+
+
+# Each order is a document, each of its items a page: a titled one (N), one that goes on (R), an appendix or another section's beginning (A).
+_FILES = f"""items AS ({_ITEMS}), named AS (
+  SELECT l_orderkey AS doc, CAST(r AS INTEGER) AS page, l_returnflag AS flag, l_linestatus AS state, p_name, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS comp FROM items JOIN part ON p_partkey = l_partkey
+), texts AS (
+  SELECT *, CASE WHEN flag = 'N' THEN concat(p_name, chr(10), 'begins') WHEN flag = 'R' THEN 'goes on' WHEN state = 'F' THEN '[붙임] 1' ELSE '강좌명 2' END AS text FROM named
+), asked AS (SELECT doc, min_by(p_name, page) AS p_name, min_by(comp, page) AS target FROM texts WHERE flag = 'N' GROUP BY doc),
+scored AS (
+  SELECT t.*, coalesce(a.p_name, 'quite unknown') AS title, a.target, o_orderstatus = 'F' AS single,
+    CASE WHEN flag <> 'N' OR target IS NULL THEN 0.0 WHEN contains(comp, target) OR contains(target, comp) THEN 0.95 ELSE least(0.95, 1 - levenshtein(comp, target) / greatest(length(comp), length(target))::DOUBLE) END AS score,
+    flag = 'A' AS boundary
+  FROM texts t LEFT JOIN asked a USING (doc) JOIN orders ON o_orderkey = doc
+), marked AS (
+  SELECT s.*, coalesce(s.flag = 'N' AND (SELECT bool_or(k.comp <> s.target AND contains(concat(s.comp, 'begins'), k.comp)) FROM texts k WHERE k.doc = s.doc AND k.flag = 'N' AND length(k.comp) >= 4), FALSE) AS other FROM scored s
+), best AS (SELECT *, max(score) OVER w AS best, bool_or(other) OVER w AS any_other FROM marked WINDOW w AS (PARTITION BY doc)),
+placed AS (
+  SELECT *, sum(CASE WHEN score = best AND score >= 0.55 THEN 1 ELSE 0 END) OVER w AS hits, min(CASE WHEN score >= 0.55 AND score >= best - 0.1 THEN page END) OVER w AS start FROM best WINDOW w AS (PARTITION BY doc)
+), ended AS (
+  SELECT *, min(CASE WHEN page > start AND (boundary OR other) THEN page END) OVER (PARTITION BY doc) AS stop,
+    CASE WHEN hits = 0 THEN 'NOT_FOUND' WHEN single OR (hits > 1 AND NOT any_other) THEN 'WHOLE_DOCUMENT' WHEN hits > 1 THEN 'AMBIGUOUS' ELSE 'SECTION_MATCHED' END AS status FROM placed
+)
+SELECT doc, title, status, CAST(max(CASE status WHEN 'NOT_FOUND' THEN 0.0 WHEN 'AMBIGUOUS' THEN 0.4 ELSE CASE WHEN single THEN 1.0 ELSE best END END) AS DOUBLE) AS score,
+  coalesce(string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FILTER (kept), '') AS pages, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY page) FILTER (kept AND status <> 'AMBIGUOUS'), '') AS text
+FROM (SELECT *, CASE status WHEN 'WHOLE_DOCUMENT' THEN TRUE WHEN 'AMBIGUOUS' THEN score = best WHEN 'SECTION_MATCHED' THEN page >= start AND (stop IS NULL OR page < stop) ELSE FALSE END AS kept FROM ended)
+GROUP BY doc, title, status"""
+
+
+@query("o_r10_sections", f"WITH {_FILES}")
+def sections_of_files(t):
+    pages = _items(t).join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    flag = F.col("l_returnflag")
+    text = F.when(flag == "N", F.concat("p_name", F.lit("\nbegins"))).when(flag == "R", F.lit("goes on")).when(F.col("l_linestatus") == "F", F.lit("[붙임] 1")).otherwise(F.lit("강좌명 2"))
+    pages = pages.select(F.col("l_orderkey").alias("doc"), F.col("r").cast("int").alias("page"), text.alias("text"), F.when(flag == "N", F.col("p_name")).alias("name"))
+    titles = pages.groupBy("doc").agg(F.coalesce(F.min_by("name", F.when(F.col("name").isNotNull(), F.col("page"))), F.lit("quite unknown")).alias("title"))
+    targets = titles.join(t.orders.select(F.col("o_orderkey").alias("doc"), (F.col("o_orderstatus") == "F").alias("single")), "doc")
+    found = match_sections(pages, targets, pages.select("doc", F.col("name").alias("title")))
+    return found.withColumn("pages", F.concat_ws(",", F.col("pages").cast("array<string>")))
