@@ -183,3 +183,50 @@ def between_markers(text: Column, start: str, ends: Sequence[str], cap: int) ->
     stops = [F.when(F.locate(e, rest) > 0, F.locate(e, rest)) for e in ends]
     size = F.coalesce(F.least(*stops) if len(stops) > 1 else stops[0], F.length(rest) + 1) - 1
     return F.when(at > 0, F.trim(F.substr(rest, F.lit(1), F.least(size, F.lit(cap)))))
+
+
+# Words that extracted texts run together, and how they are written.
+SPACING = (
+    ("일본어글자쓰기읽기부터간단한대화까지할수있게함", "일본어 글자 쓰기·읽기부터 간단한 대화까지 할 수 있게 함"),
+    ("중국어를가장좋아합니다", "중국어를 가장 좋아합니다"),
+    ("주요형용동사단어접하기", "주요 형용동사 단어 접하기"),
+    ("형용동사연습문제를통해복습하기", "형용동사 연습문제를 통해 복습하기"),
+    ("오늘은매우춥네요", "오늘은 매우 춥네요"),
+    ("사과가한개있습니다", "사과가 한 개 있습니다"),
+    ("아침밥을먹다", "아침밥을 먹다"),
+    ("동사구분규칙", "동사 구분 규칙"),
+    ("주요동사의단어접하기", "주요 동사 단어 접하기"),
+    ("그룹나누는연습", "그룹 나누는 연습"),
+    ("존재동사의표현학습", "존재동사의 표현 학습"),
+    ("주요형용사단어접하기", "주요 형용사 단어 접하기"),
+    ("과거부정표현", "과거·부정 표현"),
+    ("형용사의활용표현차이이해", "형용사의 활용 표현 차이 이해"),
+    ("형용동사의활용표현차이이해", "형용동사의 활용 표현 차이 이해"),
+    ("사물의개수를세는단위", "사물의 개수를 세는 단위"),
+    ("사물의따라숫자발음달라짐", "사물에 따라 숫자 발음이 달라짐"),
+    ("동사활용하기위한그룹을3개로나누는방법외우기", "동사 활용을 위한 그룹을 3개로 나누는 방법 외우기"),
+    ("이내용이중요해서반복학습", "이 내용이 중요해서 반복 학습"),
+    ("종합장과필기도구", "종합장과 필기도구"),
+    ("교재필기구", "교재·필기구"),
+    ("필기도구싸인펜", "필기도구·사인펜"),
+    ("등등기억해오기", "등등 기억해오기"),
+    ("역사와의의찾아보기", "역사와 의의 찾아보기"),
+    ("활동경험해보기", "활동 경험해보기"),
+)
+
+
+def spacing_repaired(text: Column) -> Column:
+    """Known run-together words spaced, in order; a lesson's number and a fraction set apart, commas spaced but between digits, blanks collapsed."""
+    for before, after in SPACING:
+        text = F.replace(text, F.lit(before), F.lit(after))
+    text = F.regexp_replace(text, r"(?U)^([0-9]+과)(?=\S)", "$1 ")
+    text = F.regexp_replace(text, r"(합니다|네요|있습니다|읽습니다|먹다)(?=[0-9]/[0-9])", "$1 ")
+    text = F.replace(text, F.lit("동사구분"), F.lit("동사 구분"))
+    text = F.regexp_replace(text, r"(?U)(?<![0-9])\s*,\s*|\s*,\s*(?![0-9])", ", ")
+    return F.trim(F.regexp_replace(text, r"(?U)\s{2,}", " "))
+
+
+def activity_text(text: Column) -> Column:
+    """Repaired text with its middle dots as bullets on lines of their own."""
+    bullets = F.regexp_replace(spacing_repaired(text), r"(?U)\s*[ㆍ·․]\s*", "\n• ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bullets, "^\n", ""), "\n{2,}", "\n"))

@@ -45,25 +45,6 @@ def parse_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, f"{key} {kind}, section string, position int, label string, value string")
 
 
-def fill_spans(cells: DataFrame, key: str) -> DataFrame:
-    """Cells of tables repeated over their spans: one row for each grid slot, the first non-empty text."""
-    spread = cells.withColumn("r", F.explode(F.sequence(F.col("row_no"), F.col("row_no") + F.greatest(F.col("rowspan"), F.lit(1)) - 1)))
-    spread = spread.withColumn("c", F.explode(F.sequence(F.col("cell_no"), F.col("cell_no") + F.greatest(F.col("colspan"), F.lit(1)) - 1)))
-    filled = F.nullif(F.trim("text"), F.lit(""))
-    return spread.groupBy(key, "table_no", F.col("r").alias("row_no"), F.col("c").alias("cell_no")).agg(
-        F.min_by(filled, F.when(filled.isNotNull(), F.struct("row_no", "cell_no"))).alias("text"), F.bool_or("header").alias("header")
-    )
-
-
-def session_rows(cells: DataFrame, key: str, number: str = r"^\s*([0-9]{1,2})\s*$") -> DataFrame:
-    """Tables whose first column counts sessions: key, table_no, session, activity (the other cells joined)."""
-    first = F.when(F.col("cell_no") == 0, F.nullif(F.regexp_extract(F.translate("text", "lO", "10"), number, 1), F.lit("")))
-    rows = cells.filter(~F.col("header")).groupBy(key, "table_no", "row_no").agg(
-        F.max(first).cast("int").alias("session"), F.array_sort(F.collect_list(F.when(F.col("cell_no") > 0, F.struct("cell_no", "text")))).alias("x")
-    )
-    return rows.filter("session BETWEEN 1 AND 60").select(key, "table_no", "session", F.array_join(F.filter("x.text", lambda t: t != ""), " ").alias("activity"))
-
-
 def merge_items(base: DataFrame, more: DataFrame, key: str) -> DataFrame:
     """Labelled items of a base and a supplement (key, label, value): value and what became of it.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..operators.layout import boxes_to_lines, column_sessions, page_sessions
 from ..operators.sections import match_sections
+from ..operators.tables import session_table, table_grid
 from ..registry import query
+from ..sources.html import table_cells
 
 _ITEMS = """SELECT l_orderkey, l_partkey, l_returnflag, l_linestatus, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r,
   count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem"""
@@ -96,3 +99,63 @@ def sections_of_files(t):
     targets = titles.join(t.orders.select(F.col("o_orderkey").alias("doc"), (F.col("o_orderstatus") == "F").alias("single")), "doc")
     found = match_sections(pages, targets, pages.select("doc", F.col("name").alias("title")))
     return found.withColumn("pages", F.concat_ws(",", F.col("pages").cast("array<string>")))
+
+
+def _row(*cells) -> Column:
+    """A table row: each cell a text, or (attributes, text)."""
+    parts = [(F.lit("<td>"), c) if not isinstance(c, tuple) else (F.concat(F.lit("<td "), F.lit(c[0]), F.lit(">")), c[1]) for c in cells]
+    return F.concat(F.lit("<tr>"), *[x for tag, text in parts for x in (tag, text.cast("string"), F.lit("</td>"))], F.lit("</tr>"))
+
+
+def _pages_of(t, row, wrap=("<table>", "</table>")) -> DataFrame:
+    """A page for each order: its items' rows in order, in a table (or what wrap says)."""
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("r", row.alias("row")))), lambda x: x["row"])
+    head, tail = (F.first(w) if isinstance(w, Column) else F.lit(w) for w in wrap)
+    return t.groupBy("l_orderkey").agg(F.concat(head, F.array_join(rows, ""), tail).alias("html"))
+
+
+# Each item a row of an outer table, its second cell holding a table of its own and a text behind it.
+@query("o_r6_nested_tables", f"""WITH items AS ({_ITEMS}), outer_cells AS (
+  SELECT l_orderkey, 0 AS table_no, NULL::INTEGER AS parent_table, NULL::INTEGER AS parent_row, NULL::INTEGER AS parent_cell, CAST(r - 1 AS INTEGER) AS row_no, c AS cell_no, c AS col_no,
+    CASE c WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 1 THEN concat(l_returnflag, ' ', l_linestatus, ' behind') ELSE 'last' END AS text FROM items, (VALUES (0), (1), (2)) v(c)
+), inner_cells AS (
+  SELECT l_orderkey, CAST(r AS INTEGER), 0, CAST(r - 1 AS INTEGER), 1, 0, c, c, CASE c WHEN 0 THEN l_returnflag ELSE l_linestatus END FROM items, (VALUES (0), (1)) v(c)
+) SELECT * FROM outer_cells UNION ALL SELECT * FROM inner_cells""")
+def nested_tables(t):
+    inner = F.concat(F.lit("<table><tr><td>"), "l_returnflag", F.lit("</td> <td>"), "l_linestatus", F.lit("</td></tr></table> behind<script>var x = 1</script>"))
+    return table_cells(_pages_of(_items(t), _row(F.col("l_partkey"), inner, F.lit("last"))), "l_orderkey").select("l_orderkey", "table_no", "parent_table", "parent_row", "parent_cell", "row_no", "cell_no", "col_no", "text")
+
+
+# Each item two rows: a part over both, then flag and state one below the other, so the second row's only cell stands in column 1.
+@query("o_r3_span_fill", f"""WITH items AS ({_ITEMS})
+SELECT l_orderkey, CAST(2 * (r - 1) + i AS INTEGER) AS row_no, c AS col_no, CASE WHEN c = 0 THEN CAST(l_partkey AS VARCHAR) WHEN c = 1 AND i = 0 THEN l_returnflag WHEN c = 1 THEN l_linestatus ELSE concat('n', r) END AS text
+FROM items, (VALUES (0), (1)) s(i), (VALUES (0), (1), (2), (3)) v(c)""")
+def span_fill(t):
+    two = F.concat(_row(("rowspan=2", F.col("l_partkey")), F.col("l_returnflag"), ('rowspan="2" colspan="2"', F.concat(F.lit("n"), F.col("r").cast("string")))), _row(F.col("l_linestatus")))
+    return table_grid(table_cells(_pages_of(_items(t), two), "l_orderkey"), "l_orderkey").select("l_orderkey", "row_no", "col_no", "text")
+
+
+# Each order a plan's session table.  By its priority the columns stand in one order (1) or another (2), the header has two rows (3), there is none (4), or a session has two rows (5).
+@query("o_r4_session_rows", f"""WITH items AS ({_ITEMS})
+SELECT l_orderkey, CAST(r AS INTEGER) AS session, CASE WHEN k IN ('1', '2', '4') THEN concat(month(l_shipdate), '/', day(l_shipdate)) END AS date,
+  CASE WHEN k = '5' THEN concat('item ', l_partkey, chr(10), 'goes on ', l_linestatus) ELSE concat('item ', l_partkey) END AS content, CASE WHEN k IN ('1', '2', '3') THEN l_returnflag END AS note, CASE WHEN k = '4' THEN l_returnflag END AS materials
+FROM items JOIN (SELECT o_orderkey, left(o_orderpriority, 1) AS k FROM orders) ON o_orderkey = l_orderkey""")
+def session_rows(t):
+    items = _items(t).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.substring("o_orderpriority", 1, 1).alias("k")), "l_orderkey")
+    date = F.concat_ws("/", F.month("l_shipdate").cast("string"), F.dayofmonth("l_shipdate").cast("string"))
+    r, content, k = F.col("r").cast("string"), F.concat(F.lit("item "), F.col("l_partkey").cast("string")), F.col("k")
+    first, second = _row(F.concat(r, F.lit("회차")), date, content, F.col("l_returnflag")), _row(content, F.col("l_returnflag"), F.concat(r, F.lit(" "), date))
+    row = F.when(k == "1", first).when(k == "2", second).when(k == "3", _row(r, F.lit("x"), content, F.col("l_returnflag"))).when(k == "4", _row(r, date, content, F.col("l_returnflag")))
+    row = row.otherwise(F.concat(_row(("rowspan=1", r), content), _row(F.lit(""), F.concat(F.lit("goes on "), F.col("l_linestatus")))))
+    names = {"1": ("차 시", "일자", "세부 교육내용", "비고"), "2": ("교육 내용", "비고", "차시(60분)"), "5": ("회차", "활동")}
+    head = F.lit("<table>")
+    for kind, labels in names.items():
+        head = F.when(k == kind, F.concat(F.lit("<table><tr>"), F.lit("".join(f"<th>{x}</th>" for x in labels)), F.lit("</tr>"))).otherwise(head)
+    head = F.when(k == "3", F.lit("<table><tr><th rowspan=2>차시</th><th colspan=2>수업</th><th>기타</th></tr><tr><th>방법</th><th>교육내용</th><th>비고</th></tr>")).otherwise(head)
+    grid = table_grid(table_cells(_pages_of(items.withColumn("head", head), row, (F.col("head"), "</table>")), "l_orderkey"), "l_orderkey")
+    return session_table(grid, "l_orderkey").select("l_orderkey", "session", "date", "content", "note", "materials")
+
+
+@query("o_x41_spacing", "SELECT doc_id, replace(text, '교재필기구', '교재·필기구') AS text FROM (SELECT doc_id, concat(doc_id, '과 교재·필기구, ', lang, ', 1,000') AS text FROM documents)")
+def spacing(t):
+    return t.documents.select("doc_id", X.spacing_repaired(F.concat(F.col("doc_id").cast("string"), F.lit("과교재필기구 ,"), "lang", F.lit(",  1,000"))).alias("text"))

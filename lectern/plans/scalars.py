@@ -239,14 +239,6 @@ def comparable(t):
     return j.select("n_nationkey", (F.regexp_replace(a, "[^a-z0-9]", "") == a).alias("same"), (F.contains(a, b) | F.contains(b, a)).alias("within"))
 
 
-@query("o_x41_spacing", "SELECT item_id, replace(replace(replace(text, '. ', '.'), ' ,', ','), '.', '. ') AS text FROM benchmark")
-def spacing(t):
-    x = F.col("text")
-    for a, b in ((". ", "."), (" ,", ","), (".", ". ")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return t.benchmark.select("item_id", x.alias("text"))
-
-
 @query("o_x42_edit_similarity", "SELECT a.n_name AS a, b.n_name AS b, round(1 - levenshtein(a.n_name, b.n_name) / CAST(greatest(length(a.n_name), length(b.n_name)) AS DOUBLE), 6) AS similarity FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 def edit_similarity(t):
     a = t.nation.select("n_regionkey", F.col("n_nationkey").alias("ka"), F.col("n_name").alias("a"))
@@ -437,12 +429,6 @@ def flatten(t):
     return g.select("conv_id", F.size(F.flatten("xs")).cast("long").alias("n"))
 
 
-@query("o_r3_span_fill", "SELECT p_partkey + i AS slot, max(p_partkey) AS owner FROM part, (VALUES (0), (1), (2)) v(i) WHERE p_partkey % 3 = 0 AND i < 1 + p_size % 3 GROUP BY 1")
-def span_fill(t):
-    p = t.part.filter("p_partkey % 3 = 0").select("p_partkey", F.explode(F.sequence(F.lit(0), F.col("p_size") % 3)).alias("i"))
-    return p.groupBy((F.col("p_partkey") + F.col("i")).alias("slot")).agg(F.max("p_partkey").alias("owner"))
-
-
 @query("o_r5_merge_text", "SELECT user_id, event_type, array_to_string(list_sort(list_filter(l, lambda x: len(list_filter(l, lambda y: y <> x AND contains(y, x))) = 0)), ' ') AS body FROM (SELECT user_id, event_type, list(DISTINCT CAST(event_id % 97 AS VARCHAR)) AS l FROM events GROUP BY 1, 2)")
 def merge_text(t):
     """Distinct pieces joined, those that another piece contains left out."""

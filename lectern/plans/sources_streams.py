@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm
-from ..operators.curriculum import fill_spans, merge_items, parse_sections, repair_encoding, session_rows
+from ..operators.curriculum import merge_items, parse_sections, repair_encoding
 from ..registry import query
 from ..sources.files import file_kind, latest_file, optional_parquet, split_known, union_files
 from ..sources.html import page_links, table_cells
@@ -97,7 +97,7 @@ def html_rows(t):
 def html_tables(t):
     row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td rowspan=2>"), "l_returnflag", F.lit("</td></tr>"))
     pages = t.lineitem.groupBy("l_orderkey").agg(F.concat(F.lit("<table>"), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
-    return table_cells(pages, "l_orderkey")
+    return table_cells(pages, "l_orderkey").select("l_orderkey", "table_no", "row_no", "cell_no", "header", "colspan", "rowspan", "text")
 
 
 @query("o_s11_content_key", "SELECT page_id, sha256(html) AS checksum, octet_length(encode(html)) AS size, NOT regexp_matches(url, '^https?://(localhost|127\\.|10\\.|192\\.168\\.)') AND starts_with(url, 'http') AS allowed FROM pages".replace("\\\\", "\\"))
@@ -152,17 +152,6 @@ def encoding(t):
     return t.nation.select("n_nationkey", repair_encoding(F.col("n_name")).alias("name"))
 
 
-def _cells(t):
-    x = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("f"))
-    slot = F.posexplode(F.array(F.col("l_linenumber").cast("string"), F.col("f")))
-    return x.select("l_orderkey", F.lit(0).alias("table_no"), F.col("l_linenumber").alias("row_no"), slot.alias("cell_no", "text"), F.lit(False).alias("header"), F.lit(1).alias("colspan"), F.lit(1).alias("rowspan"))
-
-
-@query("o_r4_session_rows", "SELECT l_orderkey, 0 AS table_no, l_linenumber AS session, min(l_returnflag) AS activity FROM lineitem GROUP BY l_orderkey, l_linenumber")
-def sessions(t):
-    return session_rows(fill_spans(_cells(t), "l_orderkey"), "l_orderkey")
-
-
 @query("o_r11_merge_audit", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.label, b.label) AS label, CASE WHEN a.v IS NULL THEN b.v WHEN b.v IS NOT NULL AND contains(lower(b.v), lower(a.v)) AND NOT contains(lower(a.v), lower(b.v)) THEN b.v ELSE a.v END AS value, CASE WHEN b.v IS NULL THEN 'kept' WHEN a.v IS NULL THEN 'added' WHEN contains(lower(a.v), lower(b.v)) THEN 'skipped' WHEN contains(lower(b.v), lower(a.v)) THEN 'extended' ELSE 'conflict' END AS outcome FROM (SELECT p_partkey AS k, 'brand' AS label, p_brand AS v FROM part) a FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_size > 40 THEN 'size' ELSE 'brand' END AS label, CASE WHEN p_size > 40 THEN CAST(p_size AS VARCHAR) WHEN p_size > 30 THEN p_brand || 'x' WHEN p_size > 20 THEN 'other' ELSE lower(p_brand) END AS v FROM part WHERE p_size > 10) b ON a.k = b.k AND a.label = b.label")
 def merge_audit(t):
     s = F.col("p_size")

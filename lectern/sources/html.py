@@ -1,59 +1,125 @@
-"""Structured rows from HTML pages: label/value pairs, cells of tables, links and images."""
+"""Structured rows from HTML pages: cells of nested tables with their places in the grid, links and images."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: The largest spans that HTML knows.
+MOST_ACROSS, MOST_DOWN = 1000, 65_534
+#: Elements whose text is no text of the page.
+SILENT = {"script", "style", "noscript", "template"}
+
+
+@dataclass
+class _Table:
+    """An open table: where it stands, its place in the page, and down to which row each column of its grid is taken."""
+
+    number: int
+    parent: tuple[int | None, int | None, int | None]
+    row: int = -1
+    cell: int = -1
+    taken: dict[int, int] = field(default_factory=dict)
+    open: tuple | None = None
+    text: list[str] = field(default_factory=list)
+
+    def place(self, across: int, down: int) -> int:
+        """The first free column of the row, taken from now on for the cell's spans."""
+        column = 0
+        while self.taken.get(column, -1) >= self.row:
+            column += 1
+        for c in range(column, column + across):
+            self.taken[c] = max(self.taken.get(c, -1), self.row + down - 1)
+        return column
+
+
+def _span(value: str | None, most: int) -> int:
+    value = (value or "").strip()
+    return min(most, max(1, int(value))) if value.isascii() and value.isdecimal() else 1
+
 
 class _Cells(HTMLParser):
-    """Cells of each table with spans, in document order, and links and images."""
+    """Cells of every table, outer ones with the text of what is nested in them, and links and images."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[tuple[int, int, int, bool, int, int, str]] = []
+        self.rows: list[tuple] = []
         self.links: list[tuple[str, str]] = []
-        self.table = self.row = self.cell = -1
-        self.open: tuple[bool, int, int] | None = None
-        self.text: list[str] = []
-
-    def _close(self) -> None:
-        if self.open is not None:
-            header, across, down = self.open
-            self.rows.append((self.table, self.row, self.cell, header, across, down, " ".join("".join(self.text).split())))
-            self.open = None
+        self.tables: list[_Table] = []
+        self.seen = self.silent = 0
+
+    def _close_cell(self) -> None:
+        table = self.tables[-1]
+        if table.open is not None:
+            self.rows.append((table.number, *table.parent, *table.open, " ".join("".join(table.text).split())))
+            table.open, table.text = None, []
+
+    def _close_table(self) -> None:
+        self._close_cell()
+        self.tables.pop()
+
+    def finish(self) -> list[tuple]:
+        """All cells by table, row and cell."""
+        self.close()
+        while self.tables:
+            self._close_table()
+        return sorted(self.rows, key=lambda r: (r[0], r[4], r[5]))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         known = dict(attrs)
-        if tag == "table":
-            self._close()
-            self.table, self.row = self.table + 1, -1
-        elif tag == "tr":
-            self._close()
-            self.row, self.cell = self.row + 1, -1
-        elif tag in ("td", "th"):
-            self._close()
-            self.cell, self.text = self.cell + 1, []
-            span = lambda k: int(known[k]) if (known.get(k) or "").isdigit() else 1
-            self.open = (tag == "th", span("colspan"), span("rowspan"))
+        if tag in SILENT:
+            self.silent += 1
+        elif tag == "table":
+            outer = self.tables[-1] if self.tables else None
+            inside = outer is not None and outer.open is not None
+            self.tables.append(_Table(self.seen, (outer.number, outer.open[0], outer.open[1]) if inside else (outer.number if outer else None, None, None)))
+            self.seen += 1
         elif tag in ("a", "img"):
             target = known.get("href" if tag == "a" else "src")
             if target:
                 self.links.append((tag, target))
+        elif self.tables and tag == "tr":
+            self._close_cell()
+            self.tables[-1].row, self.tables[-1].cell = self.tables[-1].row + 1, -1
+        elif self.tables and tag in ("td", "th"):
+            self._close_cell()
+            table = self.tables[-1]
+            table.row, table.cell = max(0, table.row), table.cell + 1
+            across, down = _span(known.get("colspan"), MOST_ACROSS), _span(known.get("rowspan"), MOST_DOWN)
+            table.open = (table.row, table.cell, table.place(across, down), tag == "th", across, down)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("td", "th", "tr", "table"):
-            self._close()
+        if tag in SILENT:
+            self.silent = max(0, self.silent - 1)
+        elif self.tables and tag in ("td", "th", "tr"):
+            self._close_cell()
+        elif self.tables and tag == "table":
+            self._close_table()
 
     def handle_data(self, data: str) -> None:
-        self.text.append(data)
+        if not self.silent:
+            for table in self.tables:
+                if table.open is not None:
+                    table.text.append(data)
+
+
+_CELL_COLUMNS = ["table_no", "parent_table", "parent_row", "parent_cell", "row_no", "cell_no", "col_no", "header", "colspan", "rowspan", "text"]
+_CELL_KINDS = "table_no int, parent_table int, parent_row int, parent_cell int, row_no int, cell_no int, col_no int, header boolean, colspan int, rowspan int, text string"
 
 
 def table_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row for each cell: key, table_no, row_no, cell_no, header, colspan, rowspan, text."""
+    """One row for each cell of each table: key, table_no, parent_table, parent_row, parent_cell, row_no, cell_no, col_no, header, colspan, rowspan, text.
+
+    Tables are numbered as they open; a nested one names the cell that it stands
+    in.  A cell's col_no is its first column in the grid, past columns that cells
+    of rows above reach down into.  Text is that of all that a cell holds, nested
+    tables too, scripts and styles left out, blanks collapsed.  Spans that are no
+    number count as 1; open cells and tables end with the page; null pages have none.
+    """
     kind = dict(pages.dtypes)[key]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,11 +128,11 @@ def table_cells(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
             for k, text in zip(batch[key], batch[html], strict=True):
                 parser = _Cells()
                 parser.feed(text or "")
-                parser._close()
-                out += [(k, *r) for r in parser.rows]
-            yield pd.DataFrame(out, columns=[key, "table_no", "row_no", "cell_no", "header", "colspan", "rowspan", "text"])
+                out += [(k, *r) for r in parser.finish()]
+            made = pd.DataFrame(out, columns=[key, *_CELL_COLUMNS])
+            yield made.astype({c: "Int32" for c in ("parent_table", "parent_row", "parent_cell")})
 
-    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, table_no int, row_no int, cell_no int, header boolean, colspan int, rowspan int, text string")
+    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {_CELL_KINDS}")
 
 
 def page_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
