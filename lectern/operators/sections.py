@@ -12,6 +12,8 @@ PLAN_HEADING = r"(?U)^(.{0,60}?(?:독서지도|그림책\s*지도)\s*계획안)"
 NAMED_HEADING = r"(?U)(?:프로그램\s*명|강\s*좌\s*명|강\s*의\s*명)\s+(.+?)(?=프로그램\s*소개|개\s*요|목\s*표|대\s*상|교육|강사|교재|수\s*강|요일|일\s*자|장\s*소|$)"
 SECTION_HEADING = r"(?U)(?:프로그램\s*명|강\s*좌\s*명|강\s*의\s*명|독서지도\s*계획안|그림책\s*지도\s*계획안)"
 APPENDIX_HEADING = r"(?U)^[\[［(]\s*(?:붙임|별첨|부록)\s*\d*\s*[\]］)]"
+METADATA_LINE = r"(?U)(?:\d{1,2}[./월-]\d{1,2}|\d{1,2}:\d{2}|대상|일시|장소|기간|강사|신청|모집)"
+PERIPHERAL_LINE = r"(?U)(?:문의|연락처|담당자|홈페이지|전화|기관|교육과|도서관\s*귀하)"
 RUN_LABEL = "^(?:[0-9]{4}년?|[0-9]+기)$"
 PLACE_WORD = "^(?:동|작은도서관)$"
 TAGS = r"(?U)^(?:\s*\[[^\]]+\])+\s*"
@@ -111,3 +113,30 @@ def match_sections(pages: DataFrame, targets: DataFrame, known: DataFrame) -> Da
     found = fit.withColumn("part", part).withColumn("_score", score).groupBy("doc", "title").agg(F.first("status").alias("status"), F.first("_score").alias("score"), F.array_sort(F.collect_list("part")).alias("parts"))
     texts = F.transform("parts", lambda p: p["text"])
     return found.select("doc", "title", "status", "score", F.transform("parts", lambda p: p["page"]).alias("pages"), F.array_join(F.filter(texts, lambda x: x.isNotNull()), "\n\n").alias("text"))
+
+
+def title_segments(lines: DataFrame, key: str, look_ahead: int = 5) -> DataFrame:
+    """key, line, segment, kind: the stretch of an image's lines that each line belongs to.
+
+    lines: key, line (an order), text, height, linked (how many programmes the
+    image is linked with).  A title's anchor is a line of 2 to 50 characters, at
+    least 1.1 of the image's upper median height, that is neither metadata nor
+    contact, with metadata in one of the next ``look_ahead`` lines.  From the
+    first anchor on each one begins a PROGRAM_REGION that ends before the next, for
+    as many as are linked and one more (two at least); lines above the first are in
+    none.  An image of one programme, or with fewer than two anchors, is one
+    WHOLE_DOCUMENT.  Windows alone: no image is held whole.
+    """
+    page, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("line")
+    tall = F.coalesce(F.col("height"), F.lit(0)).cast("double")
+    ranked = lines.withColumn("_tall", tall).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(tall))).withColumn("_n", F.count("*").over(page))
+    median = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("_tall"))).over(page)
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
+    said = ranked.withColumn("_text", text).withColumn("_meta", F.coalesce("text", F.lit("")).rlike(METADATA_LINE)).withColumn("_median", F.when(median == 0, 1.0).otherwise(median))
+    near = F.coalesce(F.max(F.col("_meta").cast("int")).over(order.rowsBetween(1, look_ahead)), F.lit(0)) == 1
+    anchor = F.length("_text").between(2, 50) & ~F.col("_text").rlike(PERIPHERAL_LINE) & ~F.col("_text").rlike(METADATA_LINE) & (F.col("_tall") >= F.col("_median") * 1.1) & near
+    found = said.withColumn("_anchor", anchor.cast("int")).withColumn("_all", F.sum("_anchor").over(page)).withColumn("_at", F.sum("_anchor").over(order))
+    whole = (F.coalesce("linked", F.lit(0)) == 1) | (F.col("_all") < 2)
+    last = F.greatest(F.lit(2), F.coalesce("linked", F.lit(0)) + 1)
+    segment = F.when(whole, F.lit(0)).when(F.col("_at") > 0, F.least("_at", last) - 1)
+    return found.select(key, "line", segment.cast("int").alias("segment"), F.when(whole, "WHOLE_DOCUMENT").otherwise("PROGRAM_REGION").alias("kind")).filter("segment IS NOT NULL")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.layout import boxes_to_lines, column_sessions, page_sessions
-from ..operators.sections import match_sections
+from ..operators.sections import match_sections, title_segments
 from ..operators.tables import session_table, table_grid
 from ..registry import query
 from ..sources.html import table_cells
@@ -159,3 +159,23 @@ def session_rows(t):
 @query("o_x41_spacing", "SELECT doc_id, replace(text, '교재필기구', '교재·필기구') AS text FROM (SELECT doc_id, concat(doc_id, '과 교재·필기구, ', lang, ', 1,000') AS text FROM documents)")
 def spacing(t):
     return t.documents.select("doc_id", X.spacing_repaired(F.concat(F.col("doc_id").cast("string"), F.lit("과교재필기구 ,"), "lang", F.lit(",  1,000"))).alias("text"))
+
+
+# Each order an image of four lines an item: a title (taller, if flagged N), a time (if the state is O), a plain line and a contact.
+@query("o_k17_segments", f"""WITH items AS ({_ITEMS}), lines AS (
+  SELECT l_orderkey, 4 * r + i AS line, CASE WHEN i = 0 AND l_returnflag = 'N' THEN 24 ELSE 12 END AS height, i = 1 AND l_linestatus = 'O' AS meta, i = 0 AS titled, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS linked
+  FROM items JOIN orders ON o_orderkey = l_orderkey, (VALUES (0), (1), (2), (3)) v(i)
+), medians AS (SELECT l_orderkey, list_sort(list(height))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median FROM lines GROUP BY 1),
+anchors AS (
+  SELECT *, CASE WHEN titled AND height >= 1.1 * median AND coalesce(bool_or(meta) OVER (PARTITION BY l_orderkey ORDER BY line ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING), FALSE) THEN 1 ELSE 0 END AS anchor
+  FROM lines JOIN medians USING (l_orderkey)
+), counted AS (SELECT *, sum(anchor) OVER (PARTITION BY l_orderkey) AS n, sum(anchor) OVER (PARTITION BY l_orderkey ORDER BY line) AS seen FROM anchors)
+SELECT l_orderkey, CAST(line AS INTEGER) AS line, CASE WHEN linked = 1 OR n < 2 THEN 0 ELSE CAST(least(seen, linked + 1) - 1 AS INTEGER) END AS segment, CASE WHEN linked = 1 OR n < 2 THEN 'WHOLE_DOCUMENT' ELSE 'PROGRAM_REGION' END AS kind
+FROM counted WHERE linked = 1 OR n < 2 OR seen > 0""")
+def image_segments(t):
+    items = _items(t).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("linked")), "l_orderkey")
+    line = lambda text, height=12: F.struct((text if isinstance(text, Column) else F.lit(text)).alias("text"), (height if isinstance(height, Column) else F.lit(height)).alias("height"))
+    title = line(F.concat(F.lit("item "), F.col("l_partkey").cast("string")), F.when(F.col("l_returnflag") == "N", 24).otherwise(12))
+    lines = F.array(title, line(F.when(F.col("l_linestatus") == "O", "일시 3/4").otherwise("no time")), line("plain words"), line("문의 도서관"))
+    lines = items.select("l_orderkey", "linked", "r", F.posexplode(lines).alias("i", "x")).select("l_orderkey", "linked", (4 * F.col("r") + F.col("i")).cast("int").alias("line"), "x.text", "x.height")
+    return title_segments(lines, "l_orderkey")

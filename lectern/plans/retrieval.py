@@ -211,30 +211,6 @@ def context(t):
     return top.agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("x")).select(F.array_join("x.block", "\n\n").alias("context"))
 
 
-_NORMAL = r"SELECT page_id, trim(regexp_extract(html, '<h1>(.*?)</h1>', 1)) AS title, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs, CASE WHEN html LIKE '%<h1>%' THEN 'OK' ELSE 'NO_TITLE' END AS status FROM pages"
-
-
-def _normalised(t):
-    h = F.col("html")
-    return t.pages.select("page_id", F.trim(F.regexp_extract(h, "<h1>(.*?)</h1>", 1)).alias("title"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), F.regexp_extract(h, '<html lang="([a-z]+)"', 1).alias("lang"), F.regexp_count(h, F.lit("<p>")).cast("long").alias("paragraphs"), F.when(F.contains(h, F.lit("<h1>")), "OK").otherwise("NO_TITLE").alias("status"))
-
-
-@query("o_k14_normalise", _NORMAL)
-def normalise(t):
-    return _normalised(t)
-
-
-@query("o_k15_board", f"SELECT page_id, host, count(*) OVER (PARTITION BY host) AS series, lang <> '' AS has_lang FROM ({_NORMAL})")
-def board(t):
-    return _normalised(t).select("page_id", "host", F.count("*").over(Window.partitionBy("host")).alias("series"), (F.col("lang") != "").alias("has_lang"))
-
-
-@query("o_k17_segments", "SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS anchor FROM conversations")
-def anchored(t):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return t.conversations.select("conv_id", "turn", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w).alias("anchor"))
-
-
 @query("o_k18_verification", "SELECT lang, count(*) AS n, count(DISTINCT md5(text)) AS contents, min(n_chars) AS least, max(n_chars) AS most, count_if(contains(text, '@')) AS contacts FROM documents GROUP BY 1")
 def verification(t):
     return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct(F.md5("text")).alias("contents"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.count_if(F.contains("text", F.lit("@"))).alias("contacts"))

@@ -96,11 +96,6 @@ def comparison_key(t):
     return t.pages.select("page_id", X.comparison_key(title).alias("key"))
 
 
-@query("o_x14_series_key", r"SELECT p_partkey, concat(coalesce(nullif(p_brand, ''), '?'), '::', regexp_extract(p_name, '^(\S+)', 1)) AS key, regexp_extract(p_name, '([0-9]+)$', 1) AS occurrence FROM part")
-def series_key(t):
-    return t.part.select("p_partkey", F.concat(F.coalesce(F.nullif("p_brand", F.lit("")), F.lit("?")), F.lit("::"), F.regexp_extract("p_name", r"^(\S+)", 1)).alias("key"), F.regexp_extract("p_name", "([0-9]+)$", 1).alias("occurrence"))
-
-
 @query("o_x16_group_key", "SELECT o_orderkey, concat_ws('|', o_custkey, o_orderpriority, strftime(o_orderdate, '%Y-%m')) AS key FROM orders")
 def group_key(t):
     return t.orders.select("o_orderkey", F.concat_ws("|", "o_custkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM")).alias("key"))
@@ -117,13 +112,6 @@ def label_value(t):
     return t.events.select("event_id", F.trim(F.regexp_extract(line, r"^[-*\s]*([^:]+?)\s*:", 1)).alias("label"), F.trim(F.regexp_extract(line, r":\s*(.*)$", 1)).alias("value"))
 
 
-@query("o_x19_dictionary", "SELECT p_partkey, (SELECT arg_min(d.name, d.ord) FROM (VALUES (1, 'STEEL', 'metal'), (2, 'BRASS', 'metal'), (3, 'A', 'other')) d(ord, word, name) WHERE contains(upper(p_type), d.word)) AS kind FROM part")
-def dictionary(t):
-    d = t.spark.createDataFrame([(1, "STEEL", "metal"), (2, "BRASS", "metal"), (3, "A", "other")], "ord int, word string, name string")
-    hit = t.part.select("p_partkey", F.upper("p_type").alias("u")).join(F.broadcast(d), F.contains("u", "word"), "left")
-    return hit.groupBy("p_partkey").agg(F.min_by("name", "ord").alias("kind"))
-
-
 @query("o_x20_label_lookup", "SELECT event_id, CASE event_type WHEN 'view' THEN 'seen' WHEN 'click' THEN 'seen' WHEN 'error' THEN 'ignored' ELSE 'unknown' END AS field FROM events")
 def label_lookup(t):
     known = F.create_map(*[F.lit(x) for x in ("view", "seen", "click", "seen", "error", "ignored")])
@@ -148,14 +136,6 @@ def capacity(t):
     return p.select("p_partkey", F.when(F.size("n") == 1, F.col("n")[0].try_cast("int")).alias("capacity"), (F.size("n") > 1).alias("ambiguous"))
 
 
-@query("o_x25_fees", "SELECT p_partkey, TRY_CAST(replace(f, ',', '') AS DOUBLE) AS fee, CASE WHEN p_size < 5 THEN true WHEN p_size > 40 THEN false END AS is_free FROM (SELECT p_partkey, p_size, concat(CAST(floor(p_retailprice / 1000) AS BIGINT), ',', lpad(CAST(CAST(floor(p_retailprice) AS BIGINT) % 1000 AS VARCHAR), 3, '0')) AS f FROM part)")
-def fees(t):
-    whole = F.floor("p_retailprice")
-    f = F.concat(F.floor(F.col("p_retailprice") / 1000).cast("string"), F.lit(","), F.lpad((whole % 1000).cast("string"), 3, "0"))
-    free = F.when(F.col("p_size") < 5, True).when(F.col("p_size") > 40, False)
-    return t.part.select("p_partkey", F.replace(f, F.lit(","), F.lit("")).try_cast("double").alias("fee"), free.alias("is_free"))
-
-
 @query("o_x26_warnings", "SELECT doc_id, list_filter([CASE WHEN n_chars < 100 THEN 'SHORT' END, CASE WHEN contains(text, '@') THEN 'CONTACT' END], lambda x: x IS NOT NULL) AS warnings, CASE WHEN n_chars < 100 THEN 'REVIEW' WHEN contains(text, '@') THEN 'WARN' ELSE 'OK' END AS status FROM documents")
 def warnings(t):
     short, contact = F.col("n_chars") < 100, F.contains("text", F.lit("@"))

@@ -8,13 +8,14 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm
-from ..operators.curriculum import merge_items, parse_sections, repair_encoding
+from ..operators.curriculum import merge_items, repair_encoding
 from ..registry import query
-from ..sources.files import file_kind, latest_file, optional_parquet, split_known, union_files
+from ..sources.files import file_kind, latest_file, optional_parquet, split_known, union_files, write_json_lines
 from ..sources.html import page_links, table_cells
 from ..sources.providers import embed, extract_pages, paged
 from ..storage import work_folder
 from ..streaming.incremental import changed_only, drained, leases, windowed_counts
+from ..streaming.keyed_table import KeyedTable
 
 
 @query("o_s1_table_scan", "SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 9000 ORDER BY c_custkey LIMIT 100")
@@ -27,9 +28,17 @@ def bound_sql(t):
     return t.spark.sql("SELECT o_orderkey FROM {orders} WHERE o_totalprice >= :least AND o_orderstatus = :status", args={"least": 100000, "status": "F"}, orders=t.orders)
 
 
-@query("o_s3_snapshot", "SELECT r_regionkey, count(*) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+# A reader takes the first version; a writer then commits another one, with customers in debt moved; the reader still reads what it took.
+@query("o_s3_snapshot", "SELECT c_nationkey, count(*) AS customers, round(sum(c_acctbal), 2) AS balance, count_if(c_acctbal < 0) AS later FROM customer GROUP BY 1")
 def snapshot(t):
-    return t.region.join(t.nation, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(F.count("*").alias("nations"))
+    rows = t.customer.select("c_custkey", "c_nationkey", "c_acctbal", F.lit(1).alias("at"))
+    table = KeyedTable(t.spark, work_folder(t.spark, "snapshot"), rows.schema, ["c_custkey"], "at", buckets=8)
+    table.upsert(rows)
+    pinned = table.snapshot()
+    table.upsert(rows.filter("c_acctbal < 0").select("c_custkey", F.lit(-1).alias("c_nationkey"), F.lit(0.0).alias("c_acctbal"), F.lit(2).alias("at")))
+    moved = table.snapshot().filter("c_nationkey = -1").select("c_custkey", F.lit(1).alias("moved"))
+    both = pinned.join(moved, "c_custkey", "left")
+    return both.groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.count("moved").alias("later"))
 
 
 @query("o_s4_unwrap_records", "SELECT conv_id, role, length(text)::BIGINT AS n FROM conversations")
@@ -136,15 +145,11 @@ def threshold(t):
     return t.embeddings.join(F.broadcast(asked), how="cross").filter(cosine(F.col("embedding"), F.col("vector")) >= 0.4).select("vec_id")
 
 
-@query("o_w13_json_lines_out", "SELECT n_nationkey, concat('{\"id\":', n_nationkey, ',\"name\":\"', n_name, '\"}') AS value FROM nation")
+@query("o_w13_json_lines_out", "SELECT o_orderkey, concat('{\"id\":', o_orderkey, ',\"status\":\"', o_orderstatus, '\",\"note\":null}') AS value FROM orders")
 def json_lines_out(t):
-    return t.nation.select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))).alias("value"))
-
-
-@query("o_x22_sections", "SELECT p_partkey, 'intro' AS section, 0 AS position, CAST(NULL AS VARCHAR) AS label, 'about this' AS value FROM part UNION ALL SELECT p_partkey, p_brand, 1, 'size', concat(p_size, ' and more') FROM part UNION ALL SELECT p_partkey, p_brand, 2, 'type', p_type FROM part")
-def sections(t):
-    lines = F.array(F.lit("about this"), F.concat(F.lit("[ "), "p_brand", F.lit(" ]")), F.concat(F.lit("size: "), F.col("p_size").cast("string")), F.lit("and more"), F.concat(F.lit("- type : "), "p_type"))
-    return parse_sections(t.part.select("p_partkey", F.array_join(lines, "\n").alias("body")), "p_partkey", "body")
+    path = f"{work_folder(t.spark, 'lines')}/orders"
+    write_json_lines(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("note")), path)
+    return t.spark.read.text(path).select(F.get_json_object("value", "$.id").cast("long").alias("o_orderkey"), "value")
 
 
 @query("o_x57_encoding", "SELECT n_nationkey, n_name AS name FROM nation")
@@ -172,6 +177,22 @@ def _event_stream(t):
     return t.spark.readStream.schema(t.events.schema).parquet(t.folder, pathGlobFilter="events.parquet")
 
 
+# The table holds the views when the stream begins; its batch is run twice, and an older one follows: the latest event of each user stays.
+@query("o_t1_streamed_upsert", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def streamed_upsert(t):
+    columns = ["user_id", "event_id", "event_type", "value"]
+    events = t.events.select(*columns)
+    folder = work_folder(t.spark, "upserts")
+    table = KeyedTable(t.spark, f"{folder}/table", events.schema, ["user_id"], "event_id", buckets=16)
+    table.upsert(events.filter("event_type = 'view'"))
+    stream = _event_stream(t).select(*columns)
+    stream.writeStream.foreachBatch(table.sink("events")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    before = table.manifest()
+    table.sink("events")(events.withColumn("value", F.lit(-1.0)), max(before["streams"].values()))
+    table.upsert(events.filter("event_type = 'click'"))
+    return table.snapshot()
+
+
 @query("o_t2_leases")
 def lease_states(t):
     event = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "fail").otherwise("none")

@@ -1,7 +1,8 @@
-"""File sources with declared schemas: JSON documents, JSON lines, unions of files, the latest file, optional inputs."""
+"""File sources with declared schemas: JSON documents, JSON lines, unions of files, the latest file, optional inputs; and files that appear whole or not at all."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -59,3 +60,62 @@ def file_kind(content):
     for magic, kind in (("25504446", "pdf"), ("89504E470D0A1A0A", "png"), ("FFD8FF", "jpeg"), ("504B0304", "zip"), ("D0CF11E0A1B11AE1", "ole"), ("47494638", "gif"), ("50415231", "parquet")):
         out = F.when(head.startswith(magic), F.lit(kind)).otherwise(out)
     return out
+
+
+def path_of(spark: SparkSession, path: str):
+    """(file system, path) of a path in whatever store its scheme names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    files, where = path_of(spark, path)
+    stream = files.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def renamed(spark: SparkSession, source: str, target: str) -> bool:
+    """Whether a file or folder could be moved to a name that was free."""
+    files, where = path_of(spark, source)
+    _, to = path_of(spark, target)
+    files.mkdirs(to.getParent())
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(where).toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        context.rename(files.makeQualified(where), files.makeQualified(to), none)
+    except Exception as problem:
+        if "FileAlreadyExistsException" not in str(problem):
+            raise
+        return False
+    return True
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file that appears whole under its name; False, and nothing written, if the name is taken."""
+    folder, name = path.rsplit("/", 1)
+    hidden = f"{folder}/_{name}-{uuid.uuid4().hex}"
+    files, where = path_of(spark, hidden)
+    files.mkdirs(where.getParent())
+    stream = files.create(where, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
+    done = renamed(spark, hidden, path)
+    if not done:
+        files.delete(where, False)
+    return done
+
+
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """The rows as JSON lines in a folder that appears whole under its name; an error if the name is taken."""
+    spark, hidden = rows.sparkSession, f"{path.rstrip('/')}-_{uuid.uuid4().hex}"
+    rows.write.option("ignoreNullFields", "false").json(hidden)
+    if not renamed(spark, hidden, path):
+        files, where = path_of(spark, hidden)
+        files.delete(where, True)
+        raise FileExistsError(path)

@@ -1,4 +1,4 @@
-"""Stateful behaviour on Structured Streaming: incremental upserts, a lease state machine, windowed counts."""
+"""Stateful behaviour on Structured Streaming: micro-batches, a lease state machine, windowed counts."""
 
 from __future__ import annotations
 
@@ -18,25 +18,6 @@ def micro_batches(spark: SparkSession, folder: str, schema: str, files: int = 1)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
-def upsert_sink(target: str, keys: list[str], order: str):
-    """A foreachBatch function: the latest row of each key, by ``order``, over what the target holds.
-
-    Each batch writes a new version folder named by its number, so a batch that is
-    run again after a failure overwrites its own version and reads the same one
-    before it.  Of rows of one key and order the first by all their columns stays.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = batch
-        if number > 0:
-            new = spark.read.parquet(f"{target}/v{number - 1}").unionByName(batch)
-        # Ties go by the whole row, so a batch that is run again chooses as before.
-        keep_first(new, keys, [F.desc(order), F.asc(F.to_json(F.struct(*sorted(new.columns))))]).write.mode("overwrite").parquet(f"{target}/v{number}")
-
-    return write
-
-
 def changed_only(rows: DataFrame, known: DataFrame, key: str, digest: str) -> DataFrame:
     """Rows whose content hash is new or differs from the known one."""
     old = known.select(key, F.col(digest).alias("_known"))

@@ -25,7 +25,8 @@ from lectern.sources.files import json_lines, json_records, latest_file, optiona
 from lectern.operators.layout import boxes_to_lines
 from lectern.sources.html import table_cells
 from lectern.sources.providers import embed, extract_pages, paged
-from lectern.streaming.incremental import drained, leases, micro_batches, upsert_sink, windowed_counts
+from lectern.streaming.incremental import drained, leases, micro_batches, windowed_counts
+from lectern.streaming.keyed_table import KeyedTable
 
 CAND = "program_id string, chunk_id string, chunk_type string, similarity double"
 
@@ -311,9 +312,10 @@ def test_streams(spark, tmp_path):
     kind = "id long, event string, at long"
     spark.createDataFrame([(1, "claim", 1000), (2, "claim", 1000)], kind).coalesce(1).write.mode("append").parquet(source)
     spark.createDataFrame([(1, "complete", 1060), (3, "none", 9999)], kind).coalesce(1).write.mode("append").parquet(source)
-    q = micro_batches(spark, source, kind).writeStream.foreachBatch(upsert_sink(target, ["id"], "at")).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    table = KeyedTable(spark, target, kind, ["id"], "at", buckets=4)
+    q = micro_batches(spark, source, kind).writeStream.foreachBatch(table.sink("in")).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert {(r.id, r.event) for r in spark.read.parquet(f"{target}/v1").collect()} == {(1, "complete"), (2, "claim"), (3, "none")}
+    assert {(r.id, r.event) for r in table.snapshot().collect()} == {(1, "complete"), (2, "claim"), (3, "none")}
     got = drained(leases(micro_batches(spark, source, kind)), str(tmp_path / "leases"), "update", ["id"]).collect()
     # The second lease has no event of its own after 30 minutes, but time goes on.
     assert {r.id: (r.status, r.since) for r in got} == {1: ("COMPLETED", 1060), 2: ("PENDING", 2800), 3: ("PENDING", 0)}
