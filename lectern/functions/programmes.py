@@ -86,11 +86,16 @@ CONCEPTS = {
 CONCEPT_WEIGHT = {"topics": 0.12, "activities": 0.08}
 
 
+def _java(pattern: str) -> str:
+    """A pattern whose blanks and digits are those of any script, as Python reads them."""
+    return pattern.replace(r"\s", r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").replace(r"\d", r"\p{Nd}")
+
+
 def query_audience(query: Column) -> Column:
     """The first audience whose pattern occurs in a query; null without one."""
     out = F.lit(None).cast("string")
     for name, pattern in reversed(QUERY_AUDIENCES):
-        out = F.when(query.rlike(pattern), F.lit(name)).otherwise(out)
+        out = F.when(query.rlike(_java(pattern)), F.lit(name)).otherwise(out)
     return out
 
 
@@ -102,7 +107,7 @@ def query_audience_of(query: str) -> str | None:
 def document_audiences(target: Column) -> Column:
     """Every audience that a target names, in the order of the rules; empty for a null target."""
     value = F.replace(F.coalesce(target, F.lit("")), F.lit(" "), F.lit(""))
-    return F.array_compact(F.array(*[F.when(value.rlike(p), F.lit(name)) for name, p in DOCUMENT_AUDIENCES]))
+    return F.array_compact(F.array(*[F.when(value.rlike(_java(p)), F.lit(name)) for name, p in DOCUMENT_AUDIENCES]))
 
 
 def audience_adjustment(requested: str | None, audiences: Column) -> Column:
@@ -158,8 +163,8 @@ def concept_adjustment(requested: dict[str, Sequence[str]], found: dict[str, Col
 def series_key(title: Column, audiences: Column) -> Column:
     """A title without bracketed parts, round numbers, years and signs, and the audiences."""
     name = F.regexp_replace(title, r"\(.*?\)|\[.*?\]", "")
-    name = F.regexp_replace(name, r"\d+\s*(?:기|차|회|타임|반)", "")
-    name = F.regexp_replace(name, r"\d{4}년|상반기|하반기", "")
+    name = F.regexp_replace(name, _java(r"\d+\s*(?:기|차|회|타임|반)"), "")
+    name = F.regexp_replace(name, _java(r"\d{4}년|상반기|하반기"), "")
     name = F.regexp_replace(name, r"[^\p{L}\p{N}_]", "")
     who = F.array_join(F.array_sort(audiences), "")
     return F.concat(name, F.lit("|"), F.when(who == "", F.lit("-")).otherwise(who))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -90,17 +91,26 @@ def redact_lines(text: Column, labels: Sequence[tuple[str, str]]) -> Column:
     return F.struct(F.when(F.size(found) > 0, F.array_join(clean, "\n")).otherwise(text).alias("text"), found.alias("categories"))
 
 
+# White space as the rules' own language has it, more than Java's \\s and other than Python's; digits are ASCII.
+BLANKS = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+CONTROLS = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+
+
+def _blanks(pattern: str) -> str:
+    return pattern.replace(r"\s", BLANKS).replace(r"\d", "[0-9]")
+
+
 # What personal data looks like in programme texts, what makes an attachment a document of high risk.
-PERSONAL_PHONE = r"(?<![0-9A-Za-z])(?:0\d{1,2}\)?[- ]?\d{3,4}[- ]?\d{4})(?![0-9A-Za-z])"
+PERSONAL_PHONE = _blanks(r"(?<![0-9A-Za-z])(?:0\d{1,2}\)?[- ]?\d{3,4}[- ]?\d{4})(?![0-9A-Za-z])")
 PERSONAL_EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 PERSONAL_LINES = (
     ("BIRTH_DATE", r"(?:생년월일|생일|출생일)"),
-    ("BANK_ACCOUNT", r"(?:입금계좌|환불계좌|계좌번호|계좌|예금주)\s*[:：]?"),
-    ("PRIVATE_ADDRESS", r"(?:상세주소|거주지|주소)\s*[:：]?"),
-    ("PERSON_NAME", r"(?:(?:강사|담당자|사서|공무원|작성자)|(?:참여자|신청자|수강생|보호자|아동)\s*(?:이름|성명))\s*[:：]"),
+    ("BANK_ACCOUNT", _blanks(r"(?:입금계좌|환불계좌|계좌번호|계좌|예금주)\s*[:：]?")),
+    ("PRIVATE_ADDRESS", _blanks(r"(?:상세주소|거주지|주소)\s*[:：]?")),
+    ("PERSON_NAME", _blanks(r"(?:(?:강사|담당자|사서|공무원|작성자)|(?:참여자|신청자|수강생|보호자|아동)\s*(?:이름|성명))\s*[:：]")),
 )
 PERSONAL_ROW = r"(?:이름|성명|신청자|참여자|수강생|보호자|강사|담당자)"
-HIGH_RISK = r"(?m)(?:참여자\s*명단|신청자\s*명단|수강생\s*명단|출석부|출석\s*명단|(?:^|\n)\s*신청서(?:\s|[:：]|$)|참가\s*신청서|개인정보\s*(?:수집[·ㆍ・.]?\s*이용|제공)\s*동의서|서명부|서명란|보호자\s*연락처|아동\s*정보|환불\s*계좌|강사\s*이력서|통장\s*사본|신분증\s*사본)"
+HIGH_RISK = _blanks(r"(?m)(?:참여자\s*명단|신청자\s*명단|수강생\s*명단|출석부|출석\s*명단|(?:^|\n)\s*신청서(?:\s|[:：]|$)|참가\s*신청서|개인정보\s*(?:수집[·ㆍ・.]?\s*이용|제공)\s*동의서|서명부|서명란|보호자\s*연락처|아동\s*정보|환불\s*계좌|강사\s*이력서|통장\s*사본|신분증\s*사본)")
 
 
 def sanitised(text: Column, attachment: bool) -> Column:
@@ -110,15 +120,16 @@ def sanitised(text: Column, attachment: bool) -> Column:
     beside a contact go whole; other contacts are cut out.  A text without any hit
     stays as it is (line ends, control characters and outer blanks apart); an
     attachment that reads like a list of persons or a consent form goes altogether.
+    ``sanitise`` is the same for one text.
     """
-    ends = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    source = ends(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""))
+    ends = lambda c: F.regexp_replace(c, rf"^{BLANKS}+|{BLANKS}+$", "")
+    source = ends(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), CONTROLS, ""))
     none = F.array().cast("array<string>")
 
     def judged(line: Column) -> Column:
         phone, email = line.rlike(PERSONAL_PHONE), line.rlike(PERSONAL_EMAIL)
         contacts = F.array_compact(F.array(F.when(phone, F.lit("PHONE")), F.when(email, F.lit("EMAIL"))))
-        clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, PERSONAL_PHONE, ""), PERSONAL_EMAIL, ""), r"\s{2,}", " "), r"\s*[:：]\s*$", "")
+        clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, PERSONAL_PHONE, ""), PERSONAL_EMAIL, ""), BLANKS + "{2,}", " "), rf"{BLANKS}*[:：]{BLANKS}*$", "")
         row = lambda value, found: F.struct(value.alias("value"), found.alias("found"))
         out = F.when((phone | email) & line.rlike(PERSONAL_ROW), row(F.lit(""), F.concat(F.array(F.lit("PERSONAL_CONTACT_ROW")), contacts))).otherwise(row(ends(clean), contacts))
         for name, pattern in reversed(PERSONAL_LINES):
@@ -138,6 +149,39 @@ def sanitised(text: Column, attachment: bool) -> Column:
     return out
 
 
+_ENDS = re.compile(rf"\A{BLANKS}+|{BLANKS}+\Z")
+_CONTROLS, _RUNS, _OPEN_LABEL = re.compile(CONTROLS), re.compile(BLANKS + "{2,}"), re.compile(rf"{BLANKS}*[:：]{BLANKS}*\Z")
+_CONTACTS = (("PHONE", re.compile(PERSONAL_PHONE)), ("EMAIL", re.compile(PERSONAL_EMAIL)))
+_LINES = tuple((name, re.compile(pattern)) for name, pattern in PERSONAL_LINES)
+_ROW, _RISK = re.compile(PERSONAL_ROW), re.compile(HIGH_RISK)
+
+
+def sanitise(text: str | None, attachment: bool) -> tuple[str, list[str]]:
+    """What ``sanitised`` gives for one text, for code that has it in a Python worker already; by the same patterns."""
+    source = _ENDS.sub("", _CONTROLS.sub("", (text or "").replace("\r\n", "\n").replace("\r", "\n")))
+    if attachment and _RISK.search(source):
+        return "", ["HIGH_RISK_DOCUMENT"]
+    if not any(p.search(source) for _, p in (*_CONTACTS, *_LINES)):
+        return source, []
+    kept, found = [], set()
+    for line in source.split("\n"):
+        named = next((name for name, p in _LINES if p.search(line)), None)
+        if named:
+            found.add(named)
+            continue
+        contacts = [name for name, p in _CONTACTS if p.search(line)]
+        found.update(contacts)
+        if contacts and _ROW.search(line):
+            found.add("PERSONAL_CONTACT_ROW")
+            continue
+        for _, pattern in _CONTACTS:
+            line = pattern.sub("", line)
+        line = _ENDS.sub("", _OPEN_LABEL.sub("", _RUNS.sub(" ", line)))
+        if line:
+            kept.append(line)
+    return _ENDS.sub("", "\n".join(kept)), sorted(found)
+
+
 def comparison_key(title: Column) -> Column:
     """A title without bracketed tags, dates, times, round numbers, blanks and case."""
     t = F.regexp_replace(title, r"^((?:\[[^\]]+\]\s*)+)", "")

@@ -93,6 +93,6 @@ def embedding_action(metadata: Mapping[str, object], now: Column) -> Column:
     recent = (F.col("status") == "PROCESSING") & (F.col("attempted_at") >= now - F.expr(f"INTERVAL {RECENT_MINUTES} MINUTES"))
     exists = F.coalesce("exists", F.lit(False))
     return (
-        F.when(F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " ")) == "", "skipped_empty").when(F.coalesce(recent, F.lit(False)), "skipped_recent_processing")
+        F.when(~F.coalesce("content", F.lit("")).rlike(r"[^\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"), "skipped_empty").when(F.coalesce(recent, F.lit(False)), "skipped_recent_processing")
         .when(exists & current(metadata), "unchanged").when(exists, "would_update").otherwise("would_create")
     )

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sanitised
+from ..functions.text import sanitise
 
 # Characters wished for and allowed in a chunk, of overlap, share of the wish from which a boundary counts, length from which a structured chunk is reported.
 TARGET, MOST, OVERLAP, BOUNDARY, LONG = 1500, 2000, 150, 0.6, 4000
@@ -89,11 +89,11 @@ def chunk_documents(docs: DataFrame, key: str, title: str, audience: str, core:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([c for row in batch.itertuples(index=False, name=None) for c in document_chunks(*row)], columns=names)
+            safe = ((k, a, b, *(sanitise(text, attached)[0] for text, attached in zip(texts, (False, False, True, True), strict=True))) for k, a, b, *texts in batch.itertuples(index=False, name=None))
+            yield pd.DataFrame([c for row in safe for c in document_chunks(*row)], columns=names)
 
     plain = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\r\n?", "\n")).alias(f"c_{c}")
-    safe = lambda c, attached, name: sanitised(F.col(c), attached)["text"].alias(name)
-    chosen = docs.select(F.col(key).alias("key"), plain(title), plain(audience), safe(core, False, "core"), safe(sessions, False, "sessions"), safe(file, True, "file"), safe(attachment, True, "attachment"))
+    chosen = docs.select(F.col(key).alias("key"), plain(title), plain(audience), *(F.col(c).alias(name) for c, name in ((core, "core"), (sessions, "sessions"), (file, "file"), (attachment, "attachment"))))
     return chosen.mapInPandas(run, f"{key} {types}, part int, chunk_key string, chunk_type string, content string, source_start int, source_end int, overlap int, long boolean")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..functions.vectors import cosine
+from ..storage import cut
 
 
 def nearest(rows: DataFrame, vector: str, query: Sequence[float] | DataFrame, key: str, size: int) -> DataFrame:
@@ -39,18 +40,16 @@ def ranked(rows: DataFrame, order: Sequence[Column], by: Sequence[str] = (), nam
 def global_rank(rows: DataFrame, by: Column, order: Sequence[Column], name: str = "rank", buckets: int = 64) -> DataFrame:
     """Ranks from 1 over all rows in a total order that begins with the ascending numeric ``by``; nulls come last.
 
-    Rows are dealt to value ranges cut at approximate quantiles, ranked inside
-    their range, and moved up by what the ranges before hold; no task sees all rows.
+    Rows are dealt to ranges of the whole order (so rows that tie on ``by`` are in
+    several), ranked inside their range, and moved up by what the ranges before
+    hold; no task sees all rows.  The ranges are sampled, hence written once.
     """
-    valued = rows.withColumn("_by", by.cast("double"))
-    cuts = sorted(set(valued.approxQuantile("_by", [i / buckets for i in range(1, buckets)], 0.001)))
-    edges = F.array(*map(F.lit, cuts)).cast("array<double>")
-    part = F.when(F.col("_by").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(edges, lambda c: c <= F.col("_by"))))
-    dealt = valued.withColumn("_part", part)
+    whole = [F.col("_by").asc_nulls_last(), *order]
+    dealt = cut(rows.withColumn("_by", by.cast("double")).repartitionByRange(buckets, *whole).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_part", before.alias("_before"))  # a row for each of a fixed number of ranges
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("_by").asc_nulls_last(), *order))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*whole))
     return dealt.join(F.broadcast(offsets), "_part").withColumn(name, inside + F.col("_before")).drop("_by", "_part", "_before")
 
 
@@ -65,25 +64,24 @@ def lexical_statistics(docs: DataFrame, key: str, text: str) -> tuple[DataFrame,
 def bm25(docs: DataFrame, key: str, text: str, query: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key and score of the documents that have any of the query's distinct terms.
 
-    One pass over the documents gives a row of corpus statistics, one their length
-    and counts of the query's terms; either splits a text once.
+    One pass over the documents gives a row of corpus statistics, one the scores,
+    without a shuffle; either splits a text once.  A count is what a list of terms
+    loses with the term, which, unlike a filter by a lambda, is compiled.
     """
     wanted = sorted(set(query))
-    words = docs.select(key, terms(F.col(text)).alias("terms"))
-
-    def occurrences(word: str) -> Column:
-        return F.size(F.filter("terms", lambda t: t == word))
-
-    counts = F.array(*[F.struct(F.lit(i).alias("i"), occurrences(w).alias("tf")) for i, w in enumerate(wanted)]).cast("array<struct<i:int,tf:int>>")
-    counted = words.select(key, F.size("terms").alias("length"), counts.alias("counts"))
-    found = F.array(*[F.count_if(F.col("counts")[i]["tf"] > 0) for i in range(len(wanted))]).cast("array<bigint>")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), found.alias("df"))
-    # Exploded first: a filter on the counts would otherwise sink below them and split every text again.
-    some = counted.select(key, "length", F.inline("counts")).filter("tf > 0").join(F.broadcast(stats), how="cross")  # one row
-    df, f = F.element_at("df", F.col("i") + 1), F.col("tf")
-    idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-    part = idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return some.groupBy(key).agg(F.sum(part).alias("score"))
+    flat = F.trim(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "))
+    words = docs.select(key, F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ")).alias("terms"))
+    counts = [(F.size("terms") - F.size(F.array_remove("terms", F.lit(w)))).alias(f"_tf{i}") for i, w in enumerate(wanted)]
+    counted = words.select(key, F.size("terms").alias("length"), *counts)
+    df = [F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(wanted))]
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("length").alias("_mean"), *df)
+    n, norm = F.col("_n"), k1 * (1 - b + b * F.col("length") / F.col("_mean"))
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        f, held = F.col(f"_tf{i}"), F.col(f"_df{i}")
+        score = score + F.when(f > 0, F.log(1 + (n - held + 0.5) / (held + 0.5)) * f * (k1 + 1) / (f + norm)).otherwise(0.0)
+    # The condition needs the statistics, so it stays above the join and splits no text again.
+    return counted.join(F.broadcast(stats), how="cross").select(key, score.alias("score")).filter("score > 0")  # one row of statistics
 
 
 def hybrid_search(lexical: DataFrame, dense: DataFrame, records: DataFrame, key: str, method: str, limit: int, age: str | None = None, grade: int | None = None) -> DataFrame:

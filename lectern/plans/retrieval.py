@@ -11,6 +11,7 @@ from ..operators.chunks import chunk_documents, chunk_problems
 from ..operators.grouping import group_entities
 from ..operators.ranking import bm25, hybrid_search, nearest, policy_rank, ranked, reciprocal_rank_fusion
 from ..registry import query
+from ..storage import cut
 
 QUERY = ("heed", "thea", "license")
 _TOKENS = r"list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
@@ -64,12 +65,12 @@ x AS (SELECT doc_id, group_id, bm25_rank, dense_rank, bm25_score, similarity, {f
 SELECT CAST(row_number() OVER (ORDER BY s DESC, group_id, doc_id) AS INTEGER) AS rank, doc_id, group_id, bm25_rank, dense_rank, round(bm25_score, 6) AS bm25_score, round(similarity, 6) AS similarity, round(rrf_score, 6) AS rrf_score, boosts FROM x ORDER BY rank LIMIT 20"""
 
 
-def _hybrid(t, method: str, age: str | None = None, grade: int | None = None):
+def _hybrid(t, method: str, age: str | None = None, grade: int | None = None, lists=None):
     d = F.col("doc_id")
     ages = F.when(d % 3 == 0, F.array(F.lit("ELEMENTARY"), F.lit("ADULT"))).when(d % 3 == 1, F.array(F.lit("PRESCHOOL")))
     ranged = lambda c: F.when(d % 4 > 0, c)
     records = t.documents.select("doc_id", F.col("source").alias("group_id"), ages.alias("ages"), ranged(d % 6).alias("grade_min"), ranged(d % 6 + 2).alias("grade_max"))
-    lex, dense = _lists(t)
+    lex, dense = lists or _lists(t)
     found = hybrid_search(lex, dense, records, "doc_id", method, 20, age, grade)
     return found.select("rank", "doc_id", "group_id", "bm25_rank", "dense_rank", *[F.round(c, 6).alias(c) for c in ("bm25_score", "similarity", "rrf_score")], "boosts")
 
@@ -179,9 +180,9 @@ _POOL = " UNION ALL ".join(f"SELECT '{name}' AS method, group_id, rank FROM ({_h
 @query("o_k10_pooling", f"SELECT group_id, list_sort(list(method || ':' || rank)) AS ranks, CAST(min(rank) AS INTEGER) AS best FROM (SELECT group_id, method, min(rank) AS rank FROM ({_POOL}) GROUP BY 1, 2) GROUP BY group_id")
 def pooling(t):
     """Ten of each of seven methods, one row a group with its best rank under each method."""
-    rows = None
+    rows, lists = None, tuple(cut(x) for x in _lists(t))  # fifty rows each, for all seven methods
     for name, m, age, grade in _METHODS:
-        one = _hybrid(t, m, age, grade).filter("rank <= 10").select(F.lit(name).alias("method"), "group_id", "rank")
+        one = _hybrid(t, m, age, grade, lists).filter("rank <= 10").select(F.lit(name).alias("method"), "group_id", "rank")
         rows = one if rows is None else rows.unionByName(one)
     each = rows.groupBy("group_id", "method").agg(F.min("rank").alias("rank"))
     return each.groupBy("group_id").agg(F.array_sort(F.collect_list(F.concat("method", F.lit(":"), F.col("rank").cast("string")))).alias("ranks"), F.min("rank").alias("best"))  # seven at most

@@ -44,7 +44,7 @@ def preview(t):
     return t.conversations.select("conv_id", "turn", X.preview(F.col("text")).alias("preview"))
 
 
-_PERSONAL = ("강사: 홍길동", "문의 02-123-4567 또는 a.b@example.com", "신청자 이름 홍길동 010-1234-5678", "생년월일 2000-01-01\n연락처 : 010 1234 5678", "참가 신청서", "주소: 서울", None)
+_PERSONAL = ("강사: 홍길동", "문의 02-123-4567 또는 a.b@example.com", "신청자 이름 홍길동 010-1234-5678", "생년월일 2000-01-01\n연락처 : 010 1234 5678", "참가 신청서", "주소: 서울", "신청자\u3000이름\u3000: 홍길동", "참가\u00a0신청서", "말\u00a0\u00a0전화 02-123-4567\u3000:\u00a0", None)
 
 
 @query("o_x7_redact_lines")

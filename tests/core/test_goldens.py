@@ -9,7 +9,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-import lectern.plans  # noqa: F401
 from lectern.functions import programmes as P
 from lectern.functions import structures as S
 from lectern.functions import text as X
@@ -17,12 +16,13 @@ from lectern.operators.board import board_search, chunk_search, embedding_action
 from lectern.operators.chunks import MOST, OVERLAP, chunk_documents, chunk_problems, split_text
 from lectern.operators.curriculum import merge_items, parse_sections, repair_encoding
 from lectern.operators.grouping import group_entities
+from lectern.operators.layout import boxes_to_lines
 from lectern.operators.merge import diff, merge_columns, soft_delete, upsert
 from lectern.operators.ranking import bm25, hybrid_search, policy_rank, retrieval_metrics
 from lectern.operators.sequences import diverse_sample, lanes
+from lectern.plans import scalars
 from lectern.registry import QUERIES
 from lectern.sources.files import json_lines, json_records, latest_file, optional_parquet
-from lectern.operators.layout import boxes_to_lines
 from lectern.sources.html import table_cells
 from lectern.sources.providers import embed, extract_pages, paged
 from lectern.streaming.incremental import drained, leases, micro_batches, windowed_counts
@@ -122,36 +122,66 @@ def test_chunks(spark):
     assert chunk_problems(frame.unionByName(frame), "k").first().problems == ["DUPLICATE_CHUNK_KEY", "GAP"]
 
 
-def test_sanitised_texts(spark):
+ANY_BLANK = "[\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+
+
+def sanitised_by_hand(text, attached):
+    """The rule line by line; blanks are those of any script."""
     phone, mail = re.compile(X.PERSONAL_PHONE), re.compile(X.PERSONAL_EMAIL)
+    ends = lambda x: re.sub(rf"^{ANY_BLANK}+|{ANY_BLANK}+$", "", x)
+    source = ends(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", re.sub(r"\r\n?", "\n", text or "")))
+    if attached and re.search(X.HIGH_RISK, source):
+        return "", ["HIGH_RISK_DOCUMENT"]
+    kept, found, hit = [], set(), False
+    for line in source.split("\n"):
+        has = {n for n, p in (("PHONE", phone), ("EMAIL", mail)) if p.search(line)}
+        whole = next((n for n, p in X.PERSONAL_LINES if re.search(p, line)), None)
+        hit = hit or bool(has) or whole is not None
+        if whole:
+            found.add(whole)
+        elif has and re.search(X.PERSONAL_ROW, line):
+            found |= has | {"PERSONAL_CONTACT_ROW"}
+        else:
+            found |= has
+            line = ends(re.sub(rf"{ANY_BLANK}*[:：]{ANY_BLANK}*$", "", re.sub(rf"{ANY_BLANK}{{2,}}", " ", mail.sub("", phone.sub("", line)))))
+            kept += [line] if line else []
+    return (ends("\n".join(kept)), sorted(found)) if hit else (source, [])
 
-    def one(text, attached):
-        source = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", re.sub(r"\r\n?", "\n", text or "")).strip()
-        if attached and re.search(X.HIGH_RISK, source):
-            return "", ["HIGH_RISK_DOCUMENT"]
-        kept, found, hit = [], set(), False
-        for line in source.split("\n"):
-            has = {n for n, p in (("PHONE", phone), ("EMAIL", mail)) if p.search(line)}
-            whole = next((n for n, p in X.PERSONAL_LINES if re.search(p, line)), None)
-            hit = hit or bool(has) or whole is not None
-            if whole:
-                found.add(whole)
-            elif has and re.search(X.PERSONAL_ROW, line):
-                found |= has | {"PERSONAL_CONTACT_ROW"}
-            else:
-                found |= has
-                line = re.sub(r"\s*[:：]\s*$", "", re.sub(r"\s{2,}", " ", mail.sub("", phone.sub("", line)))).strip()
-                kept += [line] if line else []
-        return ("\n".join(kept).strip(), sorted(found)) if hit else (source, [])
 
+def test_sanitised_texts(spark):
     rng = random.Random(7)
     parts = ("강사: 홍길동", "문의 02-123-4567", "a.b@example.com", "신청자 이름 홍 010-1234-5678", "생년월일 2000-01-01", "주소 : 서울", "예금주 홍", "just  two   blanks", "", " ", "참가 신청서", "신청서", "전화:010 1234 5678 :", "\x07bell", "1010-1234-5678")
+    blanks = [" ", "\u00a0", "\u3000", "\u2003", "\ufeff", "\u2028"]
     texts = ["\n".join(rng.choice(parts[:10] if k % 3 else parts) for _ in range(rng.randint(0, 6))) for k in range(300)] + [None, "", "title\n\n\nbody\r\nend ", "출석부"]
+    texts += ["".join(rng.choice(blanks) if c == " " else c for c in t or "") for t in texts] + ["\u00a0a\u3000", "참가\u00a0신청서", "신청자\u3000이름\u3000: 홍길동", "전화 ０１０-1234-5678"]
     frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", X.sanitised(F.col("t"), True).alias("a"), X.sanitised(F.col("t"), False).alias("b"))
     for r in frame.collect():
-        assert (r.a.text, r.a.categories) == one(texts[r.k], True) and (r.b.text, r.b.categories) == one(texts[r.k], False), repr(texts[r.k])
+        text = texts[r.k]
+        assert (r.a.text, r.a.categories) == sanitised_by_hand(text, True) == X.sanitise(text, True), repr(text)
+        assert (r.b.text, r.b.categories) == sanitised_by_hand(text, False) == X.sanitise(text, False), repr(text)
     again = frame.select(X.sanitised(F.col("a.text"), True).alias("x"), "a.text")
     assert again.filter("x.text <> text").count() == 0
+    assert X.sanitise("\u00a0a\u3000", True) == ("a", []) and X.sanitise("참가\u00a0신청서", True) == ("", ["HIGH_RISK_DOCUMENT"]) and X.sanitise("신청자\u3000이름\u3000: 홍길동", False) == ("", ["PERSON_NAME"])
+
+
+def test_sanitised_documents(spark):
+    """The redaction query on all documents, by the rule in plain Python."""
+    folder = "/root/testdata/sf0.001"
+    line = lambda i: scalars._PERSONAL[i % len(scalars._PERSONAL)]
+    texts = {r.doc_id: "\n".join(x for x in (r.text, line(r.doc_id)) if x is not None) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = QUERIES["o_x7_redact_lines"](spark, folder).collect()
+    assert {r.doc_id: (r.text, r.categories) for r in got} == {i: sanitised_by_hand(t, True) for i, t in texts.items()}
+
+
+def test_columns_and_plain_functions_agree_on_any_blanks_and_digits(spark):
+    rng = random.Random(9)
+    pieces = ["초등", "저학년", "고학년", "1~3학년", "４~６학년", "6~7세", " ", "\u00a0", "\u3000", "\x85", "전 연령", "전\u00a0연령", "성인", "어린이", "독서", "２기", "3차", "(가)", "２０２６년"]
+    texts = ["초등\u00a0저학년", "독서 ２기"] + ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 5))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for r in frame.select("k", P.query_audience(F.col("t")).alias("a"), P.series_key(F.col("t"), F.array().cast("array<string>")).alias("s")).collect():
+        name = re.sub(r"\d{4}년|상반기|하반기", "", re.sub(r"\d+\s*(?:기|차|회|타임|반)", "", re.sub(r"\(.*?\)|\[.*?\]", "", texts[r.k])))
+        assert r.a == P.query_audience_of(texts[r.k]) and r.s == re.sub(r"[^\w]", "", name) + "|-", repr(texts[r.k])
+    assert P.query_audience_of("초등\u00a0저학년") == "elementary_lower"
 
 
 def test_search_rules(spark):
