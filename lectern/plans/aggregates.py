@@ -218,12 +218,6 @@ def nested_reasons(t):
     return nest.select(F.explode(flat).alias("role")).groupBy("role").agg(F.count("*").alias("n"))
 
 
-@query("o_a30_reconciliation", "SELECT count(*) AS docs, count(DISTINCT doc_id) AS ids, count_if(n_chars = length(text)) AS right_sizes, count(*) = count(DISTINCT doc_id) AND count(*) = count_if(n_chars = length(text)) AS valid FROM documents")
-def reconciliation(t):
-    x = t.documents.agg(F.count("*").alias("docs"), F.countDistinct("doc_id").alias("ids"), F.count_if(F.col("n_chars") == F.length("text")).alias("right_sizes"))
-    return x.withColumn("valid", (F.col("docs") == F.col("ids")) & (F.col("docs") == F.col("right_sizes")))
-
-
 _TOKENS = r"list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '')"
 
 

@@ -16,9 +16,12 @@ _ITEMS = """SELECT l_orderkey, l_partkey, l_returnflag, l_linestatus, l_shipdate
   count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem"""
 
 
-def _items(t) -> DataFrame:
+def _items(t, rows: DataFrame | None = None) -> DataFrame:
+    """The items of each order in order (r from 1), and how many they are (n); rows: the items with further columns."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     n = F.count("*").over(Window.partitionBy("l_orderkey"))
+    if rows is not None:
+        return rows.withColumn("r", F.row_number().over(order)).withColumn("n", n)
     return t.lineitem.select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus", "l_shipdate", F.row_number().over(order).alias("r"), n.alias("n"))
 
 

@@ -151,14 +151,6 @@ def chunk_invariants(t):
     return chunk_problems(_chunks(t), "doc_id")
 
 
-@query("o_k3_safety_gate", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'UNLABELLED' WHEN toxic = 1 THEN 'TOXIC' WHEN quality = 0 THEN 'LOW_QUALITY' ELSE 'SAFE' END AS decision, list_sort(list_filter([CASE WHEN toxic = 1 THEN 'TOXIC' END, CASE WHEN quality = 0 THEN 'LOW_QUALITY' END], lambda x: x IS NOT NULL)) AS reasons FROM documents d LEFT JOIN labels l USING (doc_id)")
-def safety_gate(t):
-    j = t.documents.select("doc_id").join(t.labels.withColumn("known", F.lit(True)), "doc_id", "left")
-    decision = F.when(F.col("known").isNull(), "UNLABELLED").when(F.col("toxic") == 1, "TOXIC").when(F.col("quality") == 0, "LOW_QUALITY").otherwise("SAFE")
-    reasons = F.array_sort(F.array_compact(F.array(F.when(F.col("toxic") == 1, "TOXIC"), F.when(F.col("quality") == 0, "LOW_QUALITY"))))
-    return j.select("doc_id", decision.alias("decision"), reasons.alias("reasons"))
-
-
 @query("o_k4_entity_groups")
 def entity_groups(t):
     p = t.part.withColumn("bucket", X.comparison_key(F.concat_ws(" ", "p_brand", "p_type")))
@@ -166,13 +158,6 @@ def entity_groups(t):
     return group_entities(p, "p_partkey", "bucket", "p_brand", blocked, "p_size")
 
 
-@query("o_k5_corpora", "SELECT 'CORE' AS corpus, doc_id, concat_ws(chr(10), lang, source) AS body FROM documents UNION ALL SELECT 'SAFE', doc_id, concat_ws(chr(10), lang, source, text) FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0")
-def corpora(t):
-    core = t.documents.select(F.lit("CORE").alias("corpus"), "doc_id", F.concat_ws("\n", "lang", "source").alias("body"))
-    safe = t.documents.join(t.labels.filter("quality = 1 AND toxic = 0"), "doc_id")
-    return core.unionByName(safe.select(F.lit("SAFE").alias("corpus"), "doc_id", F.concat_ws("\n", "lang", "source", "text").alias("body")))
-
-
 _METHODS = (("BM25", "BM25", None, None), ("DENSE", "DENSE", None, None), ("HYBRID", "HYBRID", None, None), ("HYBRID_TARGETED", "HYBRID_TARGETED", "ELEMENTARY", None), ("BM25_GRADE", "BM25", None, 3), ("DENSE_GRADE", "DENSE", None, 3), ("HYBRID_GRADE", "HYBRID", None, 3))
 _POOL = " UNION ALL ".join(f"SELECT '{name}' AS method, group_id, rank FROM ({_hybrid_sql(m, age, grade)}) WHERE rank <= 10" for name, m, age, grade in _METHODS)
 
@@ -212,11 +197,6 @@ def context(t):
     return top.agg(F.array_sort(F.collect_list(F.struct("rank", "block"))).alias("x")).select(F.array_join("x.block", "\n\n").alias("context"))
 
 
-@query("o_k18_verification", "SELECT lang, count(*) AS n, count(DISTINCT md5(text)) AS contents, min(n_chars) AS least, max(n_chars) AS most, count_if(contains(text, '@')) AS contacts FROM documents GROUP BY 1")
-def verification(t):
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct(F.md5("text")).alias("contents"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.count_if(F.contains("text", F.lit("@"))).alias("contacts"))
-
-
 @query("o_k19_multi_entity", "SELECT 'part' AS kind, p_partkey AS id FROM part WHERE contains(lower(p_name), 'a1') UNION ALL SELECT 'customer', c_custkey FROM customer WHERE contains(lower(c_name), 'a1') OR c_custkey < 10 UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE contains(lower(s_name), '1')")
 def multi_entity(t):
     p = t.part.filter(F.contains(F.lower("p_name"), F.lit("a1"))).select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"))
