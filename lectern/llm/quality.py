@@ -1,8 +1,9 @@
 """Text quality by attention-based multiple-instance learning.
 
-A document is a bag of passages.  Every passage is encoded, a gated attention
-learned from document labels weighs them, and the weighted representation is
-scored.
+A document is a bag of passages.  Every passage is encoded by the words it holds
+(hashed into buckets, whose projection is learned) and by its shape, a gated
+attention learned from document labels weighs them, and the weighted
+representation is scored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import held_out, labelled_sample
-from .session import text_bytes
+from .session import pieces, text_bytes
 from .words import WordHasher
 
 #: Labelled documents of either class that are learned from, and the characters of one (a passage of a longer text).
@@ -24,7 +25,10 @@ TRAIN_DOCS = 2000
 TRAIN_CHARS = 20_000
 PASSAGE = 64
 HIDDEN, ATTENTION = 16, 8
-EPOCHS, RATE, DECAY = 300, 0.02, 1e-3
+EPOCHS, RATE, DECAY = 200, 0.02, 1e-3
+#: Buckets that the words of a passage are hashed into, each with a sign.
+BUCKET_BITS = 7
+BUCKETS = 1 << BUCKET_BITS
 
 
 def _table(characters: bytes) -> np.ndarray:
@@ -42,7 +46,8 @@ _CLASSES = (
     _table(bytes(range(128, 256))),
     _table(b"\n"),
 )
-FEATURES = len(_CLASSES) + 9
+SHAPE = len(_CLASSES) + 9
+FEATURES = SHAPE + BUCKETS
 
 
 def encode(hasher: WordHasher, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +59,7 @@ def encode(hasher: WordHasher, texts: list[bytes | None]) -> tuple[np.ndarray, n
         counts[at:to] = n
         begin = np.repeat(first[:-1], n) + PASSAGE * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
         end = np.minimum(begin + PASSAGE, np.repeat(first[1:], n))
-        x = np.zeros((len(begin), FEATURES))
+        x = np.zeros((len(begin), FEATURES), np.float32)
         full = np.flatnonzero(end > begin)
         if len(full):
             b, e = begin[full], end[full]
@@ -86,8 +91,12 @@ def encode(hasher: WordHasher, texts: list[bytes | None]) -> tuple[np.ndarray, n
             x[full, k + 6] = total((length[word] == 1).astype(np.float64)) / words
             x[full, k + 7] = np.log1p(words) / 5
             x[full, k + 8] = np.log1p(np.repeat(size, n)[full]) / 10
+            said = hashes[word]
+            bucket = (said >> np.uint64(64 - BUCKET_BITS)).astype(np.int64) + BUCKETS * owner
+            sign = 1.0 - 2.0 * ((said >> np.uint64(63 - BUCKET_BITS)) & np.uint64(1)).astype(np.float64)
+            x[full, SHAPE:] = np.bincount(bucket, sign, BUCKETS * len(full)).reshape(-1, BUCKETS) / np.sqrt(words)[:, None]
         rows.append(x)
-    return np.concatenate(rows) if rows else np.zeros((0, FEATURES)), counts
+    return np.concatenate(rows) if rows else np.zeros((0, FEATURES), np.float32), counts
 
 
 class AttentionModel:
@@ -96,8 +105,9 @@ class AttentionModel:
     def __init__(self, seed: int = 3):
         r = np.random.default_rng(seed)
         self.centre, self.scale = np.zeros(FEATURES), np.ones(FEATURES)
+        spread = np.where(np.arange(FEATURES) < SHAPE, 0.3, 0.03)[:, None]
         self.p = {
-            "w": r.normal(0, 0.3, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "v": r.normal(0, 0.3, (HIDDEN, ATTENTION)), "u": r.normal(0, 0.3, (HIDDEN, ATTENTION)),
+            "w": r.normal(0, 1, (FEATURES, HIDDEN)) * spread, "b": np.zeros(HIDDEN), "v": r.normal(0, 0.3, (HIDDEN, ATTENTION)), "u": r.normal(0, 0.3, (HIDDEN, ATTENTION)),
             "a": r.normal(0, 0.3, ATTENTION), "c": r.normal(0, 0.3, HIDDEN), "d": np.zeros(1),
         }
 
@@ -129,7 +139,9 @@ class AttentionModel:
         if not len(y):
             return self
         self.centre, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        x = (x - self.centre) / self.scale
+        # Buckets keep their own proportions: a rare word's is not blown up.
+        self.centre[SHAPE:], self.scale[SHAPE:] = 0.0, np.sqrt(np.mean(x[:, SHAPE:] ** 2)) + 1e-6
+        x = self._scaled(x)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         for t in range(1, EPOCHS + 1):
@@ -141,13 +153,16 @@ class AttentionModel:
         return self
 
     def score(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return self.forward((x - self.centre) / self.scale, counts)[0] if len(counts) else np.zeros(0)
+        return self.forward(self._scaled(x), counts)[0] if len(counts) else np.zeros(0)
+
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.centre.astype(x.dtype)) / self.scale.astype(x.dtype)).astype(x.dtype)
 
 
 def _score(model: Broadcast, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, learned = WordHasher(), model.value
-        for batch in batches:
+        for batch in pieces(batches):
             score = learned.score(*encode(hasher, text_bytes(batch)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
@@ -160,7 +175,7 @@ def quality(docs: DataFrame, labels: DataFrame, modulus: int = 5, fold: int = 0,
     Learns from labels.quality of documents outside the held-out fold (crc32 of
     doc_id as text, modulo ``modulus``, equal to ``fold``), at most TRAIN_DOCS of
     either class and a passage of TRAIN_CHARS characters of a longer one; a score
-    reads the whole text and nothing else.  A null, empty or wordless text is one
+    reads the whole text, by passages of PASSAGE words, and nothing else.  A null, empty or wordless text is one
     empty passage; without labels scores come from the untrained model.  A null doc_id is not held out;
     null or other labels are not learned from, and of two labels of one document
     both are.  Repeated rows each get their row; further columns are ignored; no

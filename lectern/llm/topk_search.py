@@ -3,9 +3,12 @@
 A score is the sum of one list per block of dimensions.  Phase one ranks every
 partition's rows by the queries' leading list, resolves the best of them and
 gathers their scores: the k-th best is a safe cutoff of each query.  Phase two
-broadcasts the cutoff shared out evenly over the lists, and collects every row
-with one list at or above its share (no other row can reach the cutoff); phase
-three resolves those rows.  All arithmetic is on integers that are held exactly.
+broadcasts the cutoff; a pair whose leading list and the norms of what is left
+(Cauchy-Schwarz) stay below it is passed over before anything else is multiplied,
+and so is a row that has no other pair.  Of the rows left it collects every pair
+with one list at or above the cutoff's even share (no other pair can reach it),
+and phase three resolves those; where few pairs are left they are resolved one by
+one.  All arithmetic is on integers that are held exactly.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ QUERY_BLOCK = 2048
 QUERY_BYTES = 32_000_000
 LISTS = 4
 ROW_BLOCK = 2048
+#: Share of open pairs below which they are resolved one by one.
+FEW = 1 / 64
 SCALE = 256
 LEAST, MOST = -(2**63), 2**63 - 1
 
@@ -102,13 +107,33 @@ def _safe_scores(queries: Broadcast, k: int):
     return run
 
 
+def _norms(vectors: np.ndarray) -> np.ndarray:
+    """Euclidean norms as doubles, a little above."""
+    x = vectors.astype(np.float64)
+    top = np.maximum(np.abs(x).max(axis=1), 1.0) if x.shape[1] else np.ones(len(x))
+    return top * np.sqrt(((x / top[:, None]) ** 2).sum(axis=1)) * (1 + 1e-9)
+
+
+def _open_pairs(q: np.ndarray, x: np.ndarray, lead: slice, rest: np.ndarray, norms: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the leading list, pairs that can still reach the cutoff by it and the norms of the other dimensions)."""
+    first = q[:, lead] @ x[:, lead].T
+    if q.dtype == object:  # numbers past all doubles: every pair stays open
+        return first, np.ones(first.shape, bool)
+    with np.errstate(over="ignore", invalid="ignore"):
+        most = first.astype(np.float64) + norms[:, None] * _norms(x[:, rest])[None, :]
+        most = most + 1e-9 * np.abs(most)
+    return first, ~(most < bound[:, None])
+
+
 def _sufficient(queries: Broadcast, k: int):
-    """Phases two and three, in a partition: rows with a list at or above its share, resolved, the k best of each query kept."""
+    """Phases two and three, in a partition: the pairs that the bounds leave open, resolved, the k best of each query kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q_ids, q, kind = _exact(queries)
         bound = queries.value[3]
-        spans = _lists(q.shape[1])
+        spans, lead = _lists(q.shape[1]), _leading_list(queries.value[1])
+        rest = np.array([d for d in range(q.shape[1]) if not lead.start <= d < lead.stop], np.int64)
+        norms = _norms(q[:, rest]) if kind != "object" else np.zeros(len(q))
         share = bound / len(spans)
         share = np.nextafter(share, -np.inf)[:, None]
         held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, q.dtype))
@@ -116,11 +141,20 @@ def _sufficient(queries: Broadcast, k: int):
             ids, rows = _matrix(batch, kind)
             for at in range(0, len(ids), ROW_BLOCK):
                 part, x = ids[at : at + ROW_BLOCK], rows[at : at + ROW_BLOCK]
-                partial = [q[:, s] @ x[:, s].T for s in spans]
-                over = q_ids[:, None] != part[None, :]
-                over &= np.logical_or.reduce([(p >= share).astype(bool) for p in partial])
-                qi, ri = np.nonzero(over)
-                score = sum(p[qi, ri] for p in partial)
+                first, left = _open_pairs(q, x, lead, rest, norms, bound)
+                left &= q_ids[:, None] != part[None, :]
+                some = np.flatnonzero(left.any(axis=0))
+                if not len(some):
+                    continue
+                if left.sum() <= FEW * left.size:
+                    qi, ri = np.nonzero(left)
+                    score = np.concatenate([first[a, b] + (q[np.ix_(a, rest)] * x[np.ix_(b, rest)]).sum(axis=1) for a, b in zip(np.array_split(qi, 1 + len(qi) // 65_536), np.array_split(ri, 1 + len(ri) // 65_536), strict=True)])
+                else:
+                    part, x, left, first = part[some], x[some], left[:, some], first[:, some]
+                    partial = [first if s == lead else q[:, s] @ x[:, s].T for s in spans]
+                    left &= np.logical_or.reduce([(p >= share).astype(bool) for p in partial])
+                    qi, ri = np.nonzero(left)
+                    score = sum(p[qi, ri] for p in partial)
                 fit = (score >= bound[qi]).astype(bool)
                 held = tuple(np.concatenate(z) for z in zip(held, (q_ids[qi[fit]], part[ri[fit]], score[fit]), strict=True))
                 order = np.lexsort((held[1], -held[2], held[0])) if kind != "object" else np.array(sorted(range(len(held[0])), key=lambda i: (held[0][i], -held[2][i], held[1][i])), np.int64)

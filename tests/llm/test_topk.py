@@ -46,3 +46,23 @@ def test_components_of_any_size_are_exact(spark, size):
     rows += [(200 + i, rows[i % 5][1]) for i in range(20)] + [(300, [size] * 64), (301, [size] * 63 + [size * (1 + 2**-40)])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, exact_top_k(frame).collect())) == brute(rows, kind=float)
+
+
+def test_rows_below_the_bound_are_passed_over(spark):
+    """Most rows point away from all queries, so their leading list and the norms of the rest rule them out."""
+    import numpy as np
+
+    from lectern.llm import topk_search as T
+
+    rng = np.random.default_rng(5)
+    q = np.floor(256 * rng.normal(size=(3, 16)) * np.array([1.0] * 4 + [0.01] * 12))
+    x = np.concatenate([q[rng.integers(0, 3, 20)], -q[rng.integers(0, 3, 400)]])
+    lead, rest = slice(0, 4), np.arange(4, 16)
+    bound = (q * q).sum(axis=1) * 0.9
+    first, left = T._open_pairs(q, x, lead, rest, T._norms(q[:, rest]), bound)
+    assert (first == q[:, :4] @ x[:, :4].T).all()
+    assert not ((q @ x.T >= bound[:, None]) & ~left).any()
+    assert left.any(axis=0).sum() < 40
+    rows = [(i, [float(v) for v in np.float32(w)]) for i, w in enumerate(np.concatenate([x / 256, rng.normal(size=(200, 16)) * 0.1]))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(map(tuple, exact_top_k(frame).collect())) == brute(rows)
