@@ -28,13 +28,21 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: A line break inside an armoured key: real, or escaped as in JSON, with an indent behind it.
-FOLD = r"(?:\r?\n|(?:\\+r)?\\+n)[\x20\t]*"
+#: A break inside an armoured key: a line end, real or escaped as in JSON, with an indent and the marks of comments and
+#: quotations behind it; literals of source code may end before it and open again behind it, also on one line.
+_SPACE = r"[\x20\t]*"
+_ESCAPED = r"(?:\\+r)?\\+n"
+_END = rf"""(?:(?:{_ESCAPED})?(?:["']{_SPACE}[+.,\\]?|{_SPACE}\\(?![rn]))?{_SPACE}(?:\r\n?|\n)|{_ESCAPED})"""
+FOLD = rf"""(?:{_END}{_SPACE}(?:(?:[>\#*;]+|//+(?=[\x20\t])|--+(?=[\x20\t])){_SPACE})*(?:[+.]{_SPACE}(?=["']))?["']?|["']{_SPACE}[+.]{_SPACE}["'])"""
 #: Candidates of the method: a line of letters and further ones, the last of which may be a single quantum.
 BASE64 = re.compile(rf"[A-Za-z0-9+/]{{40,}}(?:{FOLD}[A-Za-z0-9+/]+)*={{0,2}}")
 FOLDS = re.compile(FOLD)
+#: Behind letters of a path a key may open too: a long DER sequence or an SSH head.
+INNER = re.compile(r"(?<=[+/])(?=MI[A-Za-z0-9+/]|AAAA|b3BlbnNzaC1rZXk)")
 KEY_NAME = re.compile(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+")
-HEX_ANY = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{2}){24,}(?![0-9A-Za-z])")
+#: Pairs of hex digits, side by side, parted by colons or blanks, or folded; ``0x`` may stand before them.
+HEX_ANY = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=0[xX]))[0-9a-fA-F]{2}(?:(?:[:\x20]|[:,]?(?:\r\n?|\n)[\x20\t]*)?[0-9a-fA-F]{2}){23,}(?![0-9A-Za-z])")
+PAIR = re.compile("[0-9a-fA-F]{2}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])")
 
 
@@ -191,27 +199,45 @@ def _folded_keys(text: str, start: int, end: int) -> Iterator[tuple[int, int, in
     k = 0
     while k < len(lines):
         found = None
-        if lines[k][1] - lines[k][0] >= 40:
-            data = _Bytes(letters, offset[k])
+        s, e = lines[k]
+        for begin in (0, *(m.start() - s for m in INNER.finditer(text, s, e))) if e - s >= 40 else ():
+            data = _Bytes(letters, offset[k] + begin)
             for size in _key_sizes(data):
                 n = size // 3 * 4 + (0, 2, 3)[size % 3]
-                last = line_end.get(offset[k] + n)
+                last = line_end.get(data.at + n)
                 if last is None and not n % 4:  # one letter more gives no byte
-                    last = line_end.get(offset[k] + n + 1)
+                    last = line_end.get(data.at + n + 1)
                 if last is not None and size <= data.size:
                     whole = data(0, size)
                     kind = 3 if is_der_key(whole) else 4 if is_ssh_key(whole) else None
                     if kind is not None:
-                        found = (kind, last)
+                        found = (s + begin, kind, last)
                         break
+            if found:
+                break
         if found is None:
             k += 1
             continue
-        kind, last = found
-        yield lines[k][0], kind, end if last == len(lines) - 1 else lines[last][1]
+        first, kind, last = found
+        yield first, kind, end if last == len(lines) - 1 else lines[last][1]
         k = last + 1
 
 
+def _hex_key(text: str, start: int, end: int) -> tuple[int, int, int] | None:
+    """(start, kind, end) of a key at the start of a hex candidate: by its own length, if the digits are parted there, else all of it."""
+    pairs = [m.start() for m in PAIR.finditer(text, start, end)]
+    data = bytes(int(text[p : p + 2], 16) for p in pairs[:48])
+    if data[:1] != b"\x30" and not data.startswith(b"openssh-key-v1\0") and not KEY_NAME.match(data[4:]):
+        return None
+    data = bytes.fromhex("".join(text[p : p + 2] for p in pairs))
+    item = _der_item(data, 0)
+    size = item[2] if item and item[0] == 0x30 else len(data)
+    if size < len(data) and pairs[size] == pairs[size - 1] + 2:
+        return None
+    kind = 3 if is_der_key(data[:size]) else 4 if is_ssh_key(data) else None
+    return None if kind is None else (start, kind, pairs[size - 1] + 2)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three base patterns."""
     out = []
@@ -229,12 +255,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     out = []
     for m in BASE64.finditer(text):
         out += _folded_keys(text, m.start(), m.end())
-    for m in HEX_ANY.finditer(text):
-        data = bytes.fromhex(m[0])
-        if is_der_key(data):
-            out.append((m.start(), 3, m.end()))
-        elif is_ssh_key(data):
-            out.append((m.start(), 4, m.end()))
+    out += filter(None, (_hex_key(text, m.start(), m.end()) for m in HEX_ANY.finditer(text)))
     out += [(m.start(), 5, m.end()) for m in TOKEN.finditer(text) if is_signed_token(m[1], m[2])]
     return sorted(out)
 
@@ -264,8 +285,10 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     Spans are kind:start:end in code points (end exclusive), by start and then
     kind, comma-joined; base_sha256 covers the three base kinds, spans also the
     confirmed ones.  Spans of different kinds may overlap, and all are reported.  A
-    base64 key may be folded by line breaks, real or escaped, with indents, and ends
-    where its own lengths end; texts of any length are read whole.  Null and empty texts have none (the hash of no bytes); a
+    base64 key may be folded by line breaks, real or escaped, with indents, comment
+    and quotation marks, or joined from literals, may open behind letters of a path,
+    and ends where its own lengths end; hex keys may have 0x before them, colons,
+    blanks or line breaks; texts of any length are read whole.  Null and empty texts have none (the hash of no bytes); a
     null doc_id stays null; repeated rows each get their row; further columns of
     docs are ignored; no rows give no rows.
     """

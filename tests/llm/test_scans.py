@@ -103,7 +103,7 @@ def test_keys_of_every_length_in_every_fold():
         key = der(0x30, b"".join(der(0x02, bytes([1 + k]) * 36) for k in range(8)) + der(0x02, b"z" * (40 + n)))
         coded = base64.b64encode(key).decode()
         for letters in {coded, coded.rstrip("=")}:
-            for fold in ("\n", "\r\n", "\\n", "\\r\\n", "\n    ", "\\\\n", "\n\t"):
+            for fold in ("\n", "\r\n", "\\n", "\\r\\n", "\n    ", "\\\\n", "\n\t", "\r", "\n> ", "\n>> ", "\n# ", "\n// ", "\n * ", '" +\n    "', '"\n"', "' + '", '\\n"\n  "', " \\\n", "\n  + '"):
                 body = fold.join(re.findall(".{1,64}", letters))
                 for head, tail in (("-----BEGIN RSA PRIVATE KEY-----" + fold, fold + "-----END RSA PRIVATE KEY-----"), ("key: ", fold + "Then some prose"), ("", "")):
                     text = head + body + tail
@@ -111,6 +111,25 @@ def test_keys_of_every_length_in_every_fold():
                     assert redacted(text) == head + "[SECRET]" + tail
 
 
+def test_hex_keys_however_they_are_parted():
+    """0x before them, colons, blanks, folds; a key ends by its own length where the digits are parted."""
+    for n in range(12):
+        key = der(0x30, der(0x30, der(0x06, b"oid")) + der(0x03, b"y" * (30 + n)))
+        for digits in (key.hex(), key.hex().upper(), key.hex(":"), key.hex(" "), "\n    ".join(re.findall(".{1,48}", key.hex(":"))), "\n".join(re.findall(".{1,32}", key.hex())), "\r\n  ".join(re.findall(".{1,32}", key.hex()))):
+            for head, tail in (("", ""), ("key = 0x", ";"), ("x ", "\nadded"), ("(", ")")):
+                text = head + digits + tail
+                assert confirmed_spans(text) == [(len(head), 3, len(head) + len(digits))], (n, text)
+    assert confirmed_spans("ab" * 60) == confirmed_spans("30" + "ab" * 60) == confirmed_spans("0x" + "00 " * 60) == []
+
+
+def test_keys_behind_the_letters_of_a_path():
+    key = der(0x30, b"".join(der(0x02, bytes([1 + k]) * 36) for k in range(8)) + der(0x02, b"z" * 40))
+    coded = base64.b64encode(key).decode()
+    for head in ("abc/", "/etc/keys/", "data+x/"):
+        assert confirmed_spans(head + coded + "\nprose") == [(len(head), 3, len(head) + len(coded))]
+    assert confirmed_spans("abc" + coded) == []
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(1, "a token = abcdefghijklmnop z", "k"), (2, None, "k")], "doc_id long, text string, spans string")
     assert {r.doc_id: r.text for r in redact_secrets(frame).collect()} == {1: "a [SECRET] z", 2: None}
