@@ -261,8 +261,10 @@ SPACING = (
 
 def spacing_repaired(text: Column) -> Column:
     """Known run-together words spaced, in order; a lesson's number and a fraction set apart, commas spaced but between digits, blanks collapsed."""
+    known = text
     for before, after in SPACING:
-        text = F.replace(text, F.lit(before), F.lit(after))
+        known = F.replace(known, F.lit(before), F.lit(after))
+    text = F.when(text.rlike("|".join(before for before, _ in SPACING)), known).otherwise(text)  # most texts have none
     text = F.regexp_replace(text, r"(?U)^([0-9]+과)(?=\S)", "$1 ")
     text = F.regexp_replace(text, r"(합니다|네요|있습니다|읽습니다|먹다)(?=[0-9]/[0-9])", "$1 ")
     text = F.replace(text, F.lit("동사구분"), F.lit("동사 구분"))

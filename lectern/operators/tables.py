@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import activity_text, spacing_repaired
+from ..storage import cut
 
 # What plan tables call their columns.
 SESSION_NAME = "(?i)^(?:차시|회차|회기|주|주차|일|시수|period|week)(?:날짜)?$"
@@ -126,7 +127,7 @@ def session_table(grid: DataFrame, key: str) -> DataFrame:
     held are added, other fields take the first.  Tables without such columns give no rows.
     """
     table = [key, "table_no"]
-    rows = grid.withColumn("cell", _readings(F.col("text"))).groupBy(*table, "row_no").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col_no").cast("int"), "cell"))).alias("cells"))
+    rows = cut(grid.withColumn("cell", _readings(F.col("text"))).groupBy(*table, "row_no").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col_no").cast("int"), "cell"))).alias("cells")))  # read for the headers, for tables without one, and for the rows
     named = _roles_by_name(_header_rows(rows, table))
     bare = rows.join(named.select(*table), table, "left_anti")
     roles = named.filter("session_at IS NOT NULL OR content_at IS NOT NULL").unionByName(_roles_by_content(bare, table))
