@@ -50,6 +50,13 @@ def tag_text(text: Column) -> Column:
     return F.lower(_compact(out))
 
 
+def _pieces(text: str, lengths: Sequence[int]) -> Column:
+    """The distinct pieces of a text that have one of the lengths."""
+    none = F.array().cast("array<string>")
+    cut = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda at: F.substr(text, at, F.lit(n)))).otherwise(none)
+    return F.array_distinct(F.concat(none, *[cut(n) for n in lengths]))
+
+
 def dictionary_lookup(texts: DataFrame, text: str, entries: DataFrame, negatives: Sequence[str] = ()) -> DataFrame:
     """texts (distinct values of a column) with canonical and known_negative.
 
@@ -67,15 +74,25 @@ def dictionary_lookup(texts: DataFrame, text: str, entries: DataFrame, negatives
     aliases = inside.unionByName(whole).filter("alias <> ''").groupBy("alias", "whole").agg(F.min(F.struct("ord", "canonical")).alias("entry"))
     lengths = sorted(r.n for r in inside.filter("alias <> ''").select(F.length("alias").alias("n")).distinct().collect())
     distinct = texts.select(text).distinct().withColumn("_tag", tag_text(F.col(text)))
-    empty = F.array().cast("array<string>")
-    pieces = lambda n: F.when(F.length("_tag") >= n, F.transform(F.sequence(F.lit(1), F.length("_tag") - n + 1), lambda at: F.substr("_tag", at, F.lit(n)))).otherwise(empty)
-    within = F.array_distinct(F.concat(empty, *[pieces(n) for n in lengths]))
+    within = _pieces("_tag", lengths)
     candidates = F.concat(F.transform(within, lambda x: F.struct(x.alias("alias"), F.lit(False).alias("whole"))), F.transform(F.array_distinct(F.split("_tag", "/")), lambda x: F.struct(x.alias("alias"), F.lit(True).alias("whole"))))
     met = distinct.select("_tag", F.inline(candidates)).distinct().join(aliases, ["alias", "whole"]).groupBy("_tag").agg(F.min("entry").alias("entry"))
     known = F.col("_tag").isin([]) if not negatives else F.col("_tag").isin(*[t for t in negatives])
     return distinct.join(met, "_tag", "left").select(text, F.col("entry.canonical").alias("canonical"), (F.col("entry").isNull() & known & (F.col("_tag") != "")).alias("known_negative"))
 
 
+def containments(names: DataFrame, name: str) -> DataFrame:
+    """whole, part: every pair of different names of which one contains the other, whatever their case.
+
+    Pieces of a name that are as long as some name meet the names by an equality
+    join, so no pair is looked at that does not hold.  Null and empty names take no part.
+    """
+    one = names.select(F.col(name).alias("name")).filter("name <> ''").distinct().withColumn("low", F.lower("name"))
+    lengths = sorted(r.n for r in one.select(F.length("low").alias("n")).distinct().collect())  # at most as many as the longest name has letters
+    cut = one.select(F.col("name").alias("whole"), F.explode(_pieces("low", lengths)).alias("low"))
+    return cut.join(one.withColumnRenamed("name", "part"), "low").filter("whole <> part").select("whole", "part")
+
+
 def label_line(line: Column) -> Column:
     """struct(label, raw_label, value) of a ``label : value`` line, ornaments before its first letter left out; null for any other."""
     bare = F.regexp_replace(_trim(line), r"^[^\p{L}]+", "")

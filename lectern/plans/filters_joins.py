@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
+from ..operators.normalise import containments
 from ..operators.ranking import global_rank
 from ..registry import query
 
@@ -225,11 +226,10 @@ def semi(t):
 
 @query("o_j11_containment", "WITH s AS (SELECT DISTINCT source FROM documents) SELECT a, b, place FROM (SELECT a.source AS a, b.source AS b, row_number() OVER (PARTITION BY a.source ORDER BY length(b.source) DESC, b.source) AS place FROM s a JOIN s b ON a.source <> b.source AND (contains(lower(b.source), lower(a.source)) OR contains(lower(a.source), lower(b.source)))) WHERE place <= 3")
 def containment(t):
-    names = t.documents.select("source").distinct()  # one row a source
-    a, b = names.select(F.col("source").alias("a")), names.select(F.col("source").alias("b"))
-    j = a.join(b, (F.col("a") != F.col("b")) & (F.contains(F.lower("b"), F.lower("a")) | F.contains(F.lower("a"), F.lower("b"))))
+    pairs = containments(t.documents, "source")
+    both = pairs.select(F.col("whole").alias("a"), F.col("part").alias("b")).unionByName(pairs.select(F.col("part").alias("a"), F.col("whole").alias("b"))).distinct()
     w = Window.partitionBy("a").orderBy(F.desc(F.length("b")), "b")
-    return j.select("a", "b", F.row_number().over(w).cast("long").alias("place")).filter("place <= 3")
+    return both.select("a", "b", F.row_number().over(w).cast("long").alias("place")).filter("place <= 3")
 
 
 @query("o_j12_overlap", "SELECT day, count(*) AS open FROM (SELECT unnest(generate_series(CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INTEGER), INTERVAL 1 DAY))::DATE AS day FROM orders) GROUP BY day")

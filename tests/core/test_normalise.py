@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators.normalise import dictionary_lookup, fees, label_line, normalise_programmes, series_of, structure_bodies, tag_text
+from lectern.operators.normalise import containments, dictionary_lookup, fees, label_line, normalise_programmes, series_of, structure_bodies, tag_text
 from lectern.operators.sections import title_segments
 
 ENTRIES = "ord int, canonical string, contains array<string>, equals array<string>"
@@ -28,6 +28,14 @@ def test_tags(spark, entries):
     assert dictionary_lookup(tags, "tag", entries.limit(0)).filter("canonical IS NOT NULL OR known_negative").count() == 0
 
 
+def test_containments(spark):
+    names = ["ab", "ABC", "xabcx", "b", "q", "", None, "ab", "Ab"]
+    got = {(r.whole, r.part) for r in containments(spark.createDataFrame([(n,) for n in names], "n string"), "n").collect()}
+    known = {n for n in names if n}
+    assert got == {(a, b) for a in known for b in known if a != b and b.lower() in a.lower()}
+    assert containments(spark.createDataFrame([], "n string"), "n").count() == 0
+
+
 def test_label_lines(spark):
     lines = [" 1. 수 강 료 : 무료", " 장소：강당", "no label", "시간: ", "아주아주아주아주아주 긴 이름이다: x", ": x", None]
     assert [x and tuple(x) for x in column(spark, lines, label_line)] == [("수강료", "수 강 료", "무료"), ("장소", "장소", "강당"), None, ("시간", "시간", ""), None, None, None]
