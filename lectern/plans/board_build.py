@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.attachment_merge import merge_attachments
 from ..operators.normalise import dictionary_lookup, fees, normalise_programmes, series_of, structure_bodies
 from ..registry import query
 
@@ -133,3 +134,29 @@ def board(t):
     kept = _board(t).filter("NOT is_excluded")
     named = kept.groupBy(F.coalesce("library_name", F.lit("UNKNOWN")).alias("library"), F.coalesce("target_group", F.lit("UNKNOWN")).alias("audience"))
     return named.agg(F.count("*").alias("n"), F.count_if(F.col("status") == "normalized").alias("normalized"), F.count_if(F.col("status") == "needs_review").alias("needs_review"), F.count("capacity").alias("with_capacity"), F.count_if("is_free").alias("free"), F.min("source_id").alias("first_id"))
+
+
+# Each part a programme with an attachment whose items repeat, contradict or add to what the part says, by its size.
+@query("o_r11_attachment_audit", """SELECT p_partkey AS key,
+  concat_ws(',', CASE WHEN p_size > 40 THEN 'content/첨부 표기명' END, CASE WHEN p_size <= 20 THEN 'basicInfo/교육장소' END, CASE WHEN p_size % 3 = 0 THEN 'basicInfo/교재비' END, 'operation/준비물', CASE WHEN p_size % 4 > 0 THEN 'operation/준비물' END) AS added,
+  concat_ws(',', CASE WHEN p_size <= 40 THEN '프로그램명' END, CASE WHEN p_size % 2 = 0 THEN '수강인원' END, CASE WHEN p_size > 20 THEN '교육장소' END, CASE WHEN p_size % 5 = 0 THEN '재료비' END) AS skipped,
+  concat_ws(',', 'DISPLACED_BY_FULLER_VALUE', 'TABLE_NOISE') AS discarded,
+  concat_ws(',', CASE WHEN p_size % 2 = 1 THEN 'ATTACHMENT_CAPACITY_CONFLICT' END, CASE WHEN p_size % 5 > 0 THEN 'ATTACHMENT_FEE_CONFLICT' END) AS warnings,
+  CASE WHEN p_size % 4 > 0 THEN 'scissors and other things of their own' ELSE 'paper and glue, all of it' END AS materials, CASE WHEN p_size % 2 = 1 OR p_size % 5 > 0 THEN 'MANUAL_REVIEW_REQUIRED' ELSE 'AUTO_REVIEW_CANDIDATE' END AS review FROM part""")
+def attachment_audit(t):
+    s, text = F.col("p_size"), lambda c: c.cast("string")
+    none = F.lit(None).cast("string")
+    fee = F.concat(F.lit("재료비 "), text(s), F.lit(",000원"))
+    programmes = t.part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("title"), none.alias("target"), text(s).alias("capacity"), none.alias("instructor"), none.alias("schedule"), F.concat(F.lit("hall of "), "p_brand").alias("location"), fee.alias("fee"), F.lit(0.8).alias("score"))
+    items = [
+        ("프로그램명", F.when(s > 40, "something else").otherwise(F.concat(F.lit("<"), "p_name", F.lit(">")))), ("수강인원", F.when(s % 2 == 1, "00").otherwise(text(s))), ("교육장소", F.when(s > 20, F.col("p_brand")).otherwise("across the road")), ("재료비", F.when(s % 5 == 0, fee).otherwise(F.lit("77원"))),
+        ("교재비", F.when(s % 3 == 0, "없음")), ("준비물", F.lit("paper and glue, all of it")), ("준비물", F.when(s % 4 > 0, "scissors and other things of their own").otherwise("scissors")), ("준비물", F.lit("및 재료비")),
+    ]
+    rows = t.part.select(F.col("p_partkey").alias("key"), F.posexplode(F.array(*[F.struct(F.lit(a).alias("label"), b.alias("value")) for a, b in items])).alias("n", "x")).select("key", "n", "x.label", "x.value")
+    board = t.part.select(F.col("p_partkey").alias("key"), F.lit(0).alias("n"), F.lit("content").alias("section"), F.lit("준비물").alias("label"), F.lit("paper and glue, all of it").alias("value"))
+    found = merge_attachments(programmes, rows, board)
+    joined = lambda c, f: F.concat_ws(",", F.transform(c, f))
+    return found.select(
+        "key", joined("added", lambda a: F.concat_ws("/", a["section"], a["label"])).alias("added"), joined("skipped", lambda a: a["label"]).alias("skipped"), joined("discarded", lambda a: a["reason"]).alias("discarded"), joined("warnings", lambda a: a["code"]).alias("warnings"),
+        F.get(F.filter("items", lambda i: i["section"] == "operation"), F.lit(0))["value"].alias("materials"), "review",
+    )
