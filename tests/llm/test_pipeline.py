@@ -71,7 +71,7 @@ def test_stages_on_odd_rows(spark, odd, odd_rows, nothing, tmp_path):
 def test_run_and_registry(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
     assert corpus_pipeline.ORACLE_SQL is None
-    assert set(oracle_sql()) <= set(queries()) and len(queries()) == 11
+    assert set(oracle_sql()) <= set(queries()) and len(queries()) == 14  # thirteen operators and the pipeline
 
 
 def test_stages_on_no_documents(spark):
