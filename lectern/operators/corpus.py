@@ -95,7 +95,8 @@ def safe_texts(safety: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def _cut(text: Column, most: int) -> Column:
-    return F.when(F.length(text) > most, F.regexp_replace(F.left(text, F.lit(most)), rf"{BLANKS}+$", "")).otherwise(text)
+    """A text of at most so many characters; spaces at the cut go, a line break there stays."""
+    return F.when(F.length(text) > most, F.rtrim(F.left(text, F.lit(most)))).otherwise(text)
 
 
 def _record_id(mode: str) -> Column:

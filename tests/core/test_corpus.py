@@ -99,3 +99,8 @@ def test_verification(spark):
     }
     assert {k: got[k] for k in some} == some
     assert all(r.n == 0 for r in verification_report(spark.createDataFrame([], FILES)).collect())
+
+
+def test_a_cut_keeps_the_line_break_it_falls_behind(spark):
+    texts = ["abc\nde", "ab  cde", "abcd", "abc　de", None]
+    assert column(spark, texts, lambda t: C._cut(t, 4)) == ["abc\n", "ab", "abcd", "abc　", None]
