@@ -6,14 +6,14 @@ table under a header are windows and page-wise joins over the boxes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut
-from .sequences import scan
+from ..storage import stored
 
 # Names of the columns of a session table, as they stand in scanned plans.
 COLUMN_LABEL = "^(?:차시|회차|회기|시수)$"
@@ -37,12 +37,9 @@ def _centre(low: str, high: str) -> Column:
     return (F.col(low) + F.col(high)) / 2
 
 
-def _upper_median(rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
-    """rows with the upper median of a value over each group, in no group's whole list."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(value))
-    ranked = rows.withColumn("_v", value).withColumn("_r", place).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
-    middle = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("_v"))).over(Window.partitionBy(*by))
-    return ranked.withColumn(name, middle).drop("_v", "_r", "_n")
+def upper_median(value: str, by: list[str]) -> Column:
+    """The upper median of a column over each group, from the counts of its different values: no sort of its own."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC) OVER (PARTITION BY {', '.join(f'`{c}`' for c in by)})")
 
 
 def with_lines(boxes: DataFrame, by: list[str], ratio: float = 0.5) -> DataFrame:
@@ -50,37 +47,47 @@ def with_lines(boxes: DataFrame, by: list[str], ratio: float = 0.5) -> DataFrame
 
     In order of their tops (then lefts), a box joins the first line whose middle is
     within ``ratio`` of the page's upper median height (at least 4) of its own, and
-    widens it.  Boxes of a null group, or without a place, are left out.
+    widens it.  A line's first box has its least top, so lines are numbered as they
+    begin.  Boxes of a null group, or without a place, are left out.
     """
     fit = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, "left", "top", "right", "bottom")])
-    sized = _upper_median(boxes.filter(fit), by, F.greatest(F.lit(1.0), (F.col("bottom") - F.col("top")).cast("double")), "_tall")
-    sized = sized.withColumn("_near", F.greatest(F.lit(4.0), F.col("_tall") * ratio)).drop("_tall")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in sized.schema), "_made int"])
-
-    def place(pdf: pd.DataFrame, state: list) -> pd.DataFrame:
-        page, lines = state or (None, [])
-        made = []
-        for now, top, bottom, near in zip(pdf[by].itertuples(index=False, name=None), pdf["top"], pdf["bottom"], pdf["_near"], strict=True):
-            if now != page:
-                page, lines = now, []
-            middle = (top + bottom) / 2
-            k = next((k for k, (a, b) in enumerate(lines) if abs((a + b) / 2 - middle) <= near), len(lines))
-            lines[k:k + 1] = [(min(top, lines[k][0]), max(bottom, lines[k][1])) if k < len(lines) else (top, bottom)]
-            made.append(k)
-        state[:] = (page, lines)
-        return pdf.assign(_made=pd.array(made, dtype="Int32"))
-
-    marked = scan(sized, by, [F.asc("top"), F.asc("left"), F.asc("right"), F.asc("text")], schema, place)
-    first = marked.withColumn("_first", F.min("top").over(Window.partitionBy(*by, "_made")))
-    order = Window.partitionBy(*by).orderBy("_first", "_made")
-    return first.withColumn("line", (F.dense_rank().over(order) - 1).cast("int")).drop("_made", "_first", "_near")
-
-
-def line_texts(boxes: DataFrame, by: list[str]) -> DataFrame:
-    """by, line, text: the boxes of with_lines joined from left to right, blanks collapsed."""
+    order = [F.asc("top"), F.asc("left"), F.asc("right"), F.asc("text")]
+    # One shuffle and one sort: rows sorted for the scan are in order for the windows too, so the second sort is left out of the plan.
+    dealt = boxes.filter(fit).repartition(*by).sortWithinPartitions(*by, *order)
+    tall = dealt.withColumn("_tall", F.greatest(F.lit(1.0), (F.col("bottom") - F.col("top")).cast("double"))).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    near = F.greatest(F.lit(4.0), upper_median("_tall", by) * ratio)
+    ready = tall.select(*boxes.columns, "_n", near.alias("_near"), F.col("top").cast("double").alias("_a"), F.col("bottom").cast("double").alias("_b")).sortWithinPartitions(*by, *order)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema), "line int"])
+    names = boxes.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines: list[tuple[float, float]] = []
+        left = 0  # boxes of the page that are still to come
+        for batch in batches:
+            made = []
+            for n, top, bottom, near in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("_n", "_a", "_b", "_near")), strict=True):
+                if not left:
+                    left, lines = n, []
+                left -= 1
+                middle = (top + bottom) / 2
+                for k, (a, b) in enumerate(lines):
+                    if abs((a + b) / 2 - middle) <= near:
+                        lines[k] = (min(top, a), max(bottom, b))
+                        break
+                else:
+                    k = len(lines)
+                    lines.append((top, bottom))
+                made.append(k)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made, pa.int32())], names=[*names, "line"])
+
+    return ready.mapInArrow(run, schema)
+
+
+def line_texts(boxes: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """by, line, text (and more aggregates): the boxes of with_lines joined from left to right, blanks collapsed."""
     parts = F.array_sort(F.collect_list(F.struct("left", "top", "text")))
     text = F.trim(F.regexp_replace(F.array_join(F.transform(parts, lambda p: p["text"]), " "), r"(?U)\s{2,}", " "))
-    return boxes.groupBy(*by, "line").agg(text.alias("text"))
+    return boxes.groupBy(*by, "line").agg(text.alias("text"), *more)
 
 
 def boxes_to_lines(boxes: DataFrame, key: str, ratio: float = 0.5) -> DataFrame:
@@ -99,27 +106,28 @@ def split_columns(boxes: DataFrame, key: str, gap: float = 0.04, least: int = 8)
     are those that with_lines leaves out.
     """
     page = Window.partitionBy(key)
-    lined = cut(with_lines(boxes, [key])).withColumn("_mid", _centre("left", "right"))
+    # One shuffle and one sort by (left, right) serve every window.
+    dealt = with_lines(boxes, [key]).repartition(key).withColumn("_mid", _centre("left", "right"))
+    reach = F.max("right").over(Window.partitionBy(key).orderBy("left", "right").rowsBetween(Window.unboundedPreceding, -1)).cast("double")
+    lined = dealt.withColumn("_reach", reach)
     lined = lined.withColumn("_from", F.min("left").over(page).cast("double")).withColumn("_to", F.max("right").over(page).cast("double")).withColumn("_n", F.count("*").over(page))
     # Names of session columns: the first line that has two of them.
-    name = F.when(_bare(F.col("text")).rlike(COLUMN_LABEL), F.col("left").cast("double"))
-    lines = lined.groupBy(key, "line").agg(F.array_sort(F.collect_list(name)).alias("names")).filter(F.size("names") >= 2)
-    named = lines.groupBy(key).agg(F.min_by("names", "line").alias("names")).select(key, F.slice("names", 2, 1_000_000).alias("_names"))
+    name = F.when(_bare(F.col("text")).rlike(COLUMN_LABEL), F.struct("line", F.col("left").cast("double").alias("left")))
     # Gaps: where the next box begins far behind everything before it.
-    before = Window.partitionBy(key).orderBy("left", "right").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("right").over(before).cast("double")
-    wide = F.col("left") - reach >= F.greatest(F.lit(12.0), (F.col("_to") - F.col("_from")) * gap)
-    gaps = lined.withColumn("_cut", F.when(wide & (F.col("_n") >= least), (reach + F.col("left")) / 2))
-    cuts = gaps.groupBy(key).agg(F.array_sort(F.collect_list("_cut")).alias("_cuts"))
-    bounds = cuts.join(named, key, "left")
-    placed = lined.join(bounds, key)
+    wide = F.col("left") - F.col("_reach") >= F.greatest(F.lit(12.0), (F.col("_to") - F.col("_from")) * gap)
+    lined = lined.withColumn("_name", name).withColumn("_cut", F.when(wide & (F.col("_n") >= least), (F.col("_reach") + F.col("left")) / 2))
+    placed = lined.withColumn("_named", F.array_sort(F.collect_list("_name").over(page))).withColumn("_cuts", F.collect_list("_cut").over(page))
+    twice = F.filter("_named", lambda x, i: x["line"] == F.get(F.col("_named"), i + 1)["line"])
+    first = F.get(twice, F.lit(0))["line"]
+    names = F.transform(F.filter("_named", lambda x: x["line"] == F.col("_first")), lambda x: x["left"])
+    placed = placed.withColumn("_first", F.when(F.size("_named") >= 2, first)).withColumn("_names", F.when(F.col("_first").isNotNull(), F.slice(names, 2, 1_000_000)))
     at = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("_mid")))
-    placed = placed.withColumn("_by_name", at("_names")).withColumn("_by_gap", at("_cuts"))
+    placed = placed.withColumn("_by_name", F.when(F.col("_names").isNotNull(), at("_names"))).withColumn("_by_gap", at("_cuts"))
     several = F.coalesce(F.min("_by_name").over(page) < F.max("_by_name").over(page), F.lit(False))
     # With gaps the last column ends before the page's right end; without, all boxes are in one.
     inside = F.when(several, F.lit(True)).otherwise((F.size("_cuts") == 0) | (F.col("_mid") < F.col("_to")))
     placed = placed.withColumn("_col", F.when(several, F.col("_by_name")).otherwise(F.col("_by_gap"))).withColumn("_in", inside).filter("_in")
-    ranked = placed.withColumn("col", (F.dense_rank().over(Window.partitionBy(key).orderBy("_col")) - 1).cast("int"))
+    ranked = placed.withColumn("_cols", F.collect_set("_col").over(page)).withColumn("col", F.size(F.filter("_cols", lambda c: c < F.col("_col"))).cast("int"))
     return ranked.select(*boxes.columns, "col")
 
 
@@ -130,7 +138,7 @@ def column_sessions(boxes: DataFrame, key: str) -> DataFrame:
     column, and sessions without any text, are left out.
     """
     by = [key, "col"]
-    lines = line_texts(with_lines(split_columns(boxes, key), by), by).filter("text <> ''")
+    lines = line_texts(with_lines(split_columns(boxes, key), by).repartition(*by), by).filter("text <> ''")
     number = F.regexp_extract("text", LEADING, 1).try_cast("int")
     opens = F.coalesce(number.between(1, 40), F.lit(False))
     order = Window.partitionBy(*by).orderBy("line")
@@ -160,10 +168,10 @@ def header_cells(lined: DataFrame, by: list[str]) -> DataFrame:
     cells: array of (left, right, text without blanks, parts as array of left, right, text), from the left.
     """
     on = [*by, "line"]
-    sized = _upper_median(lined, on, F.greatest(F.lit(1.0), (F.col("bottom") - F.col("top")).cast("double")), "_tall")
     order = Window.partitionBy(*on).orderBy("left", "top", "text")
     reach = F.max("right").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    breaks = F.when(F.col("left") - reach <= F.greatest(F.lit(8.0), F.col("_tall") * 1.2), 0).otherwise(1)
+    sized = lined.withColumn("_reach", reach).withColumn("_h", F.greatest(F.lit(1.0), (F.col("bottom") - F.col("top")).cast("double"))).withColumn("_tall", upper_median("_h", on))
+    breaks = F.when(F.col("left") - F.col("_reach") <= F.greatest(F.lit(8.0), F.col("_tall") * 1.2), 0).otherwise(1)
     grouped = sized.withColumn("_new", breaks).withColumn("_cell", F.sum("_new").over(order))
     parts = F.array_sort(F.collect_list(F.struct(F.col("left").cast("double").alias("left"), F.col("top"), F.col("right").cast("double").alias("right"), _bare(F.col("text")).alias("text"))))
     cells = grouped.groupBy(*on, "_cell").agg(F.min("left").cast("double").alias("left"), F.max("right").cast("double").alias("right"), parts.alias("parts"))
@@ -230,11 +238,11 @@ def header_grid(boxes: DataFrame, key: str) -> DataFrame:
     column between the two; closing lines (writers, dates, addresses) are dropped.
     Of several header lines the first with two rows or more counts, else the first.
     """
-    lined = cut(with_lines(boxes.select(key, "left", "top", "right", "bottom", "text"), [key]))
+    lined = stored(with_lines(boxes.select(key, "left", "top", "right", "bottom", "text"), [key]))
     on = [key, "head"]
-    grids = cut(_grid(_header_lines(lined, key), key).withColumnRenamed("line", "head"))
+    grids = stored(_grid(_header_lines(lined, key), key).withColumnRenamed("line", "head"))
     body = lined.join(grids, key).filter(F.col("line") > F.col("head")).withColumn("_x", _centre("left", "right")).withColumn("mark", session_mark(F.col("text")))
-    body = cut(body)
+    body = stored(body)
     marked = F.col("mark").isNotNull() & (F.col("_x") >= F.col("session_from"))
     plain_number = F.trim("text").rlike("^[0-9]{1,2}$") & F.col("mark").isNotNull() & (F.col("right") <= F.col("leftmost"))
     # Three places to look for marks; the first that has any counts.
@@ -248,7 +256,7 @@ def header_grid(boxes: DataFrame, key: str) -> DataFrame:
     marks = seen.withColumn("at", F.row_number().over(order)).withColumn("_all", F.min(numbered.cast("int")).over(group) == 1)
     band = F.when(F.col("at") == 1, F.col("bottom_of")).otherwise((F.lag("bottom").over(order) + F.col("top")) / 2)
     marks = marks.withColumn("band", band.cast("double")).withColumn("session", F.when(F.col("_all"), F.col("mark.session")).otherwise(F.col("at"))).withColumn("date", F.col("mark.date"))
-    marks = cut(marks.select(*on, "at", "right", "band", "session", "date"))
+    marks = stored(marks.select(*on, "at", "right", "band", "session", "date"))
     ends = marks.groupBy(*on).agg((F.max("right") + 2).cast("double").alias("marks_end"))
     cells = body.join(ends, on)
     right = F.greatest("marks_end", F.coalesce(F.col("before_content") + 2, F.col("marks_end")))

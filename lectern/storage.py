@@ -23,3 +23,10 @@ def cut(frame: DataFrame) -> DataFrame:
         known = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(known or work_folder(frame.sparkSession, "checkpoints"))
     return frame.checkpoint(eager=True)
+
+
+def stored(frame: DataFrame, name: str = "stored") -> DataFrame:
+    """The same rows, written once as compressed columns to the shared folder: for many rows that several later steps read some columns of."""
+    folder = work_folder(frame.sparkSession, name)
+    frame.write.option("compression", "zstd").parquet(folder)
+    return frame.sparkSession.read.schema(frame.schema).parquet(folder)

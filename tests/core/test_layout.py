@@ -1,6 +1,7 @@
 """Pages of text boxes as scanned plans have them: lines, columns, and the rows of a session table under its header."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,23 @@ def test_no_boxes(spark):
     nothing = spark.createDataFrame([], SCHEMA)
     assert page_sessions(nothing, "page").count() == 0
     assert column_sessions(nothing, "page").count() == 0
+
+
+def steps(frame, name):
+    """How often an operator stands in the plan."""
+    return len(re.findall(rf"\b{name}\b", frame._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_lines_take_one_shuffle_and_one_sort(spark):
+    boxes = spark.range(100).selectExpr("CAST(id % 7 AS INT) AS page", "concat('t', id) AS text", "CAST(id % 5 AS DOUBLE) AS left", "CAST(id % 11 * 9 AS DOUBLE) AS top", "CAST(id % 5 + 4 AS DOUBLE) AS right", "CAST(id % 11 * 9 + 12 AS DOUBLE) AS bottom")
+    found = with_lines(boxes, ["page"])
+    assert (steps(found, "Exchange"), steps(found, "Sort")) == (1, 1)
+    for page in found.toPandas().groupby("page"):
+        firsts = page[1].groupby("line")["top"].min()
+        assert list(firsts.index) == list(range(len(firsts))) and list(firsts) == sorted(firsts)
+
+
+def test_columns_take_no_checkpoint_and_two_shuffles(spark):
+    boxes = spark.range(40).selectExpr("CAST(id % 2 AS INT) AS page", "concat('t', id) AS text", "CAST(id % 2 * 500 + id % 4 * 100 AS DOUBLE) AS left", "CAST(id * 9 AS DOUBLE) AS top", "CAST(id % 2 * 500 + id % 4 * 100 + 50 AS DOUBLE) AS right", "CAST(id * 9 + 12 AS DOUBLE) AS bottom")
+    found = split_columns(boxes, "page")
+    assert (steps(found, "Exchange"), steps(found, "Sort"), steps(found, "RDD")) == (2, 2, 0)
