@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, edit_similarity, nfkc
+from .layout import upper_median
 
 # Headings of programme plans and of what is appended to them, run labels that tell no programme apart.
 PLAN_HEADING = r"(?U)^(.{0,60}?(?:독서지도|그림책\s*지도)\s*계획안)"
@@ -129,12 +130,14 @@ def title_segments(lines: DataFrame, key: str, look_ahead: int = 5) -> DataFrame
     """
     page, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("line")
     tall = F.coalesce(F.col("height"), F.lit(0)).cast("double")
-    ranked = lines.withColumn("_tall", tall).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(tall))).withColumn("_n", F.count("*").over(page))
-    median = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("_tall"))).over(page)
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?U)^\s+|\s+$", "")
-    said = ranked.withColumn("_text", text).withColumn("_meta", F.coalesce("text", F.lit("")).rlike(METADATA_LINE)).withColumn("_median", F.when(median == 0, 1.0).otherwise(median))
+    meta = F.coalesce("text", F.lit("")).rlike(METADATA_LINE)
+    fit = F.length(text).between(2, 50) & ~text.rlike(PERIPHERAL_LINE) & ~text.rlike(METADATA_LINE)
+    # What a text says is told before the sort, which so moves no texts; one sort serves every window.
+    told = lines.select(key, "line", "linked", tall.alias("_tall"), meta.alias("_meta"), fit.alias("_fit")).repartition(key).sortWithinPartitions(key, "line")
+    said = told.withColumn("_middle", upper_median("_tall", [key])).withColumn("_median", F.when(F.col("_middle") == 0, 1.0).otherwise(F.col("_middle")))
     near = F.coalesce(F.max(F.col("_meta").cast("int")).over(order.rowsBetween(1, look_ahead)), F.lit(0)) == 1
-    anchor = F.length("_text").between(2, 50) & ~F.col("_text").rlike(PERIPHERAL_LINE) & ~F.col("_text").rlike(METADATA_LINE) & (F.col("_tall") >= F.col("_median") * 1.1) & near
+    anchor = F.col("_fit") & (F.col("_tall") >= F.col("_median") * 1.1) & near
     found = said.withColumn("_anchor", anchor.cast("int")).withColumn("_all", F.sum("_anchor").over(page)).withColumn("_at", F.sum("_anchor").over(order))
     whole = (F.coalesce("linked", F.lit(0)) == 1) | (F.col("_all") < 2)
     last = F.greatest(F.lit(2), F.coalesce("linked", F.lit(0)) + 1)

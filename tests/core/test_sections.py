@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators.sections import comparable, match_sections
+from lectern.operators.sections import comparable, match_sections, title_segments
 
 
 def matched(spark, cases):
@@ -51,3 +51,9 @@ def test_empty_tables(spark, empty):
     frames = {"pages": ([(1, 1, "abcd efgh")], "doc int, page int, text string"), "targets": ([(1, "abcd efgh", None)], "doc int, title string, single boolean"), "known": ([(1, "abcd efgh")], "doc int, title string")}
     made = [spark.createDataFrame([] if name == empty else rows, kind) for name, (rows, kind) in frames.items()]
     assert [r.status for r in match_sections(*made).collect()] == (["SECTION_MATCHED"] if empty == "known" else [])
+
+
+def test_segments_take_one_sort_that_moves_no_texts(spark):
+    lines = spark.range(60).selectExpr("id % 3 AS image", "id AS line", "concat('제목 ', id) AS text", "CAST(10 + id % 9 AS INT) AS height", "2 AS linked")
+    plan = title_segments(lines, "image")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
