@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,6 +16,8 @@ TARGET, MOST, OVERLAP, BOUNDARY, LONG = 1500, 2000, 150, 0.6, 4000
 # The labels of a chunk's header.
 TITLE, AUDIENCE, KIND, UNKNOWN = "프로그램명: ", "대상: ", "청크 유형: ", "정보 없음"
 FILE, NO_FILE, PLACE, PART, BODY, SCOPE = "첨부파일명: ", "이름 없음", "첨부파일 순서: ", "파트: ", "[첨부파일 내용]", "회차 범위: 전체 회차"
+# Fixed value: characters of chunks that leave the worker at once.
+BATCH = 2_000_000
 _SENTENCE = re.compile(r"[.!?。！？]")
 
 
@@ -78,6 +80,18 @@ def document_chunks(key, title: str, audience: str, core: str, sessions: str, fi
     return [(key, n, *row, row[1] != "ATTACHMENT" and len(row[2]) > LONG) for n, row in enumerate(out)]
 
 
+def in_batches(chunks: Iterable[tuple], most: int = BATCH) -> Iterator[list[tuple]]:
+    """Rows of document_chunks in lists that end once their contents reach so many characters, so a worker holds no more of its output."""
+    made, size = [], 0
+    for chunk in chunks:
+        made.append(chunk)
+        size += len(chunk[4])
+        if size >= most:
+            yield made
+            made, size = [], 0
+    yield made
+
+
 def chunk_documents(docs: DataFrame, key: str, title: str, audience: str, core: str, sessions: str, file: str, attachment: str) -> DataFrame:
     """key, part, chunk_key, chunk_type, content, source_start, source_end, overlap, long of each chunk of every whole document.
 
@@ -90,7 +104,8 @@ def chunk_documents(docs: DataFrame, key: str, title: str, audience: str, core:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             safe = ((k, a, b, *(sanitise(text, attached)[0] for text, attached in zip(texts, (False, False, True, True), strict=True))) for k, a, b, *texts in batch.itertuples(index=False, name=None))
-            yield pd.DataFrame([c for row in safe for c in document_chunks(*row)], columns=names)
+            for made in in_batches(chunk for row in safe for chunk in document_chunks(*row)):
+                yield pd.DataFrame(made, columns=names)
 
     plain = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\r\n?", "\n")).alias(f"c_{c}")
     chosen = docs.select(F.col(key).alias("key"), plain(title), plain(audience), *(F.col(c).alias(name) for c, name in ((core, "core"), (sessions, "sessions"), (file, "file"), (attachment, "attachment"))))

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import lectern.plans  # noqa: F401
+from lectern.operators import chunks
 from lectern.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -71,3 +72,9 @@ def test_entity_groups(spark):
             digest = hashlib.sha256(f"{key}|{brand}|{','.join(map(str, g))}".encode()).hexdigest()[:32]
             want.update({k: (digest, best, len(g), "HIGH" if len(g) > 1 else "MEDIUM") for k in g})
     assert {r.p_partkey: tuple(r)[1:] for r in QUERIES["o_k4_entity_groups"](spark, FOLDER).collect()} == want
+
+
+def test_chunks_leave_the_worker_in_parts():
+    rows = [(1, k, f"k{k}", "ATTACHMENT", "x" * 400) for k in range(10)]
+    parts = list(chunks.in_batches(iter(rows), 1000))
+    assert [r for p in parts for r in p] == rows and max(len(p) for p in parts) == 3 and list(chunks.in_batches([], 5)) == [[]]
