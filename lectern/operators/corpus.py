@@ -14,6 +14,8 @@ CONTACTS = tuple(p.replace(r"\s", BLANKS).replace(r"\d", "[0-9]") for p in (
     r"(?i)(?:전화|문의|연락처|담당자|강사)\s*[:：]?\s*[^\n]{0,60}", r"0\d{1,2}(?:[-.)]|\s)?\d{3,4}(?:[-.]|\s)?\d{4}", r"01[016789](?:[-.)]|\s)?\d{3,4}(?:[-.]|\s)?\d{4}",
     r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_.-]+\.[A-Za-z]{2,}", "https?://[^" + BLANKS[1:-1] + "]+",
 ))
+# Something that each contact, and a link in brackets, holds: a text without it has none.
+CONTACT_SIGN = "(?i)전화|문의|연락처|담당자|강사|0[0-9]|@|http"
 MOST_LEXICAL, MOST_DENSE, MOST_ATTACHMENT = 6000, 4000, 3000
 FATAL = ("READING_ORDER_UNRESOLVED", "UNDER_SEGMENTATION_RISK", "POSSIBLE_FALSE_ATTACHMENT_LINK")
 _DATE = r"(?:\d{4}[.-]\s*)?\d{1,2}[./-]\s*\d{1,2}(?:\s*\([^)]*\))?"
@@ -35,10 +37,11 @@ def _flat(text: Column) -> Column:
 
 def search_text(text: Column) -> Column:
     """A text without contacts and links, blanks collapsed; empty for null."""
-    out = F.coalesce(text, F.lit(""))
-    for pattern in CONTACTS:
+    text = F.coalesce(text, F.lit(""))
+    out = text
+    for pattern in (*CONTACTS, r"(?i)\[[^\]]*https?[^\]]*\]"):
         out = F.regexp_replace(out, pattern, " ")
-    return _flat(F.regexp_replace(out, r"(?i)\[[^\]]*https?[^\]]*\]", " "))
+    return _flat(F.when(text.rlike(CONTACT_SIGN), out).otherwise(text))
 
 
 def title_signals(title: Column) -> Column:
@@ -88,7 +91,9 @@ def safe_texts(safety: DataFrame, units: DataFrame) -> DataFrame:
     units: unit_id, text.  Sections without any text are left out.
     """
     refs = safety.filter("status = 'SAFE_FOR_CORPUS'").select("program_id", "section_id", F.posexplode("unit_refs").alias("n", "unit_id"))
-    said = units.select("unit_id", search_text(F.col("text")).alias("text")).filter("text <> ''").groupBy("unit_id").agg(F.min("text").alias("text"))
+    # Only what a safe section names is read for contacts; the join leaves it in the order that the grouping and the next join need.
+    named = units.join(refs.select("unit_id"), "unit_id", "left_semi")
+    said = named.groupBy("unit_id").agg(F.min(F.get(F.filter(F.array(search_text(F.col("text"))), lambda x: x != ""), F.lit(0))).alias("text")).filter("text IS NOT NULL")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"])
     whole = refs.join(said, "unit_id").groupBy("program_id", "section_id").agg(F.array_join(parts, "\n").alias("text"))
     return whole.withColumn("text", _cut(F.col("text"), MOST_ATTACHMENT))
@@ -112,7 +117,8 @@ def corpus_records(programmes: DataFrame, members: DataFrame, sections: DataFram
     Texts over their length are cut and flagged.
     """
     mode = "core" if sections is None else "safe"
-    said = members.join(programmes, "program_id").withColumn("signals", title_signals(F.col("title")))
+    signals = title_signals(F.col("title"))
+    said = members.join(programmes, "program_id").withColumn("signals", F.struct(signals["base_title"].alias("base_title"), signals["institution"].alias("institution")))
     core = said.filter("representative").groupBy("group_id").agg(F.min_by(F.struct("program_id", "signals", "audience", "location", "notices", "starts", "ends"), "program_id").alias("r"))
     titles = said.groupBy("group_id").agg(F.array_sort(F.collect_set(F.nullif("title", F.lit("")))).alias("titles"), F.count("*").alias("members"))
     rows = core.join(titles, "group_id")
@@ -139,16 +145,14 @@ def lineage(members: DataFrame, safety: DataFrame) -> DataFrame:
     """corpus_id, kind, ref of everything that a safe record is made of: its programmes, their safe sections and those sections' units."""
     base = members.select(_record_id("safe").alias("corpus_id"), "program_id")
     safe = base.join(safety.filter("status = 'SAFE_FOR_CORPUS'"), "program_id")
-    kinds = (
-        base.select("corpus_id", F.lit("program").alias("kind"), F.col("program_id").cast("string").alias("ref")), safe.select("corpus_id", F.lit("section"), F.col("section_id").cast("string")),
-        safe.select("corpus_id", F.lit("unit"), F.explode(F.col("unit_refs").cast("array<string>"))),
-    )
-    return kinds[0].union(kinds[1]).union(kinds[2]).distinct()
+    ref = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("ref"))
+    named = F.concat(F.array(ref("section", F.col("section_id"))), F.transform(F.coalesce("unit_refs", F.array()), lambda u: ref("unit", u)))
+    return base.select("corpus_id", F.inline(F.array(ref("program", F.col("program_id"))))).union(safe.select("corpus_id", F.inline(named))).distinct()
 
 
 def dangling(refs: DataFrame, known: DataFrame) -> DataFrame:
     """The references (kind, ref) that no known input (kind, ref) stands behind, with how many records name each."""
-    return refs.join(known.select("kind", "ref").distinct(), ["kind", "ref"], "left_anti").groupBy("kind", "ref").agg(F.count_distinct("corpus_id").alias("records"))
+    return refs.join(known.select("kind", "ref"), ["kind", "ref"], "left_anti").groupBy("kind", "ref").agg(F.count_distinct("corpus_id").alias("records"))
 
 
 def corpus_hash(records: DataFrame, key: str = "corpus_id", digest: str = "content_hash") -> DataFrame:

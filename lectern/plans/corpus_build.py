@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import corpus as C
 from ..operators.reports import validity_row, verification_report, write_counted
 from ..registry import query
-from ..storage import cut, work_folder
+from ..storage import stored, work_folder
 from .documents import _ITEMS, _items
 
 # Each item a section linked with its part: the flags make the match, the numbers the evidence; sources are suppliers, exceptions stand on some of them.
@@ -28,7 +28,8 @@ _CANDIDATES = f"""items AS ({_ITEMS.replace("l_shipdate,", "l_shipdate, l_quanti
 def _sections(t) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(candidates, sections, exceptions, units) of the items."""
     more = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    rows = _items(t, more).withColumn("section_id", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("r").cast("string"))).withColumn("source", F.col("l_suppkey").cast("string"))
+    kept = stored(_items(t, more).drop("l_linenumber", "l_extendedprice", "l_shipdate", "n"), "items")  # numbered once, for candidates, sections and units
+    rows = kept.withColumn("section_id", F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("r").cast("string"))).withColumn("source", F.col("l_suppkey").cast("string"))
     match = F.when(F.col("l_returnflag") == "A", "AMBIGUOUS").when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "NO_RELIABLE_MATCH").otherwise("CANDIDATE")
     program = F.when(~((F.col("l_linestatus") == "O") & (F.col("l_quantity") < 5)), F.col("l_partkey"))
     candidates = rows.select("section_id", "source", program.alias("program_id"), match.alias("match"), F.when(F.col("l_tax") > 0.06, F.array(F.lit("DATE"))).alias("conflicts"), (F.col("l_discount") > 0.02).alias("titled"))
@@ -65,7 +66,7 @@ def _programmes(t) -> tuple[DataFrame, DataFrame]:
     s = F.col("p_size")
     brand = F.replace("p_brand", F.lit("#"), F.lit(""))
     title = F.concat(F.lit("["), "p_type", F.lit("] "), "p_name", F.lit(" "), brand, F.lit(" 4/"), (1 + s % 28).cast("string"), F.when(s > 25, " (2차)").otherwise(""))
-    rows = t.part.select(F.col("p_partkey").alias("program_id"), title.alias("title"), F.lower("p_brand").alias("audience"), F.lit(None).cast("string").alias("location"), F.lit("오세요　https://x.y/z 010-1234-5678").alias("notices"), F.lit("2026-01-01").alias("starts"), F.when(s > 10, "2026-02-01").otherwise("2026-01-01").alias("ends"), "p_size")
+    rows = t.part.repartition("p_partkey").select(F.col("p_partkey").alias("program_id"), title.alias("title"), F.lower("p_brand").alias("audience"), F.lit(None).cast("string").alias("location"), F.lit("오세요　https://x.y/z 010-1234-5678").alias("notices"), F.lit("2026-01-01").alias("starts"), F.when(s > 10, "2026-02-01").otherwise("2026-01-01").alias("ends"), "p_size")
     base = C.title_signals(F.col("title"))["base_title"]
     members = C.representatives(rows.select(F.md5(base).alias("group_id"), "program_id", "p_size"), [F.desc("p_size"), F.asc("program_id")])
     return rows.drop("p_size"), members
@@ -86,10 +87,11 @@ def corpora(t):
 ) SELECT kind, count(*) AS refs, count_if(kind = 'unit' AND ref LIKE '1%/b') AS dangling, 0::BIGINT AS membership_problems, TRUE AS same_hash FROM refs GROUP BY kind""")
 def corpus_lineage(t):
     candidates, sections, exceptions, units = _sections(t)
-    programmes, members = _programmes(t)
-    safety = cut(C.section_safety(candidates, sections, exceptions))
-    hashes = [C.corpus_hash(C.corpus_records(p, m, C.safe_texts(s, u))).first().hash for p, m, s, u in ((programmes, members, safety, units), (programmes.repartition(7), members.repartition(5, "program_id"), safety.repartition(3, "section_id"), units.repartition(6)))]
-    refs = C.lineage(members, safety)
+    programmes, members = (stored(x, "programmes") for x in _programmes(t))
+    safety = stored(C.section_safety(candidates, sections, exceptions).drop("reasons").filter("status = 'SAFE_FOR_CORPUS'"), "safety")  # what records and lineage read
+    anew = lambda frame, *by: frame.repartition(F.xxhash64(F.lit("anew"), *by))  # as many parts as rows need
+    hashes = [C.corpus_hash(C.corpus_records(p, m, C.safe_texts(s, u))).first().hash for p, m, s, u in ((programmes, members, safety, units), (anew(programmes, "title"), anew(members, "program_id"), anew(safety, "section_id"), anew(units, "unit_id")))]
+    refs = stored(C.lineage(members, safety), "refs")
     left = units.filter("NOT unit_id LIKE '1%/b'")
     known = programmes.select(F.lit("program").alias("kind"), F.col("program_id").cast("string").alias("ref")).union(sections.select(F.lit("section"), "section_id")).union(left.select(F.lit("unit"), "unit_id"))
     lost = C.dangling(refs, known).groupBy("kind").agg(F.count("*").alias("dangling"))

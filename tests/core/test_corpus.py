@@ -70,6 +70,20 @@ def test_records_and_lineage(spark):
     assert [tuple(r) for r in C.dangling(refs, known).collect()] == [("unit", "gone", 2)]
 
 
+def test_lineage_takes_one_join_and_only_named_units_are_read(spark, capsys):
+    candidates, sections, exceptions, units = inputs(spark)
+    safety = C.section_safety(candidates, sections, exceptions).localCheckpoint()
+    C.lineage(spark.createDataFrame([("g1", 1, True)], "group_id string, program_id int, representative boolean"), safety).explain("simple")
+    assert capsys.readouterr().out.count("Join") == 1
+    C.safe_texts(safety, units.localCheckpoint()).explain("simple")
+    assert "LeftSemi" in capsys.readouterr().out
+
+
+def test_texts_without_a_contact_sign_hold_no_contact(spark):
+    texts = ["[HTTPS a]", "[a httpx] 책", "0 2-123-4567", "01 0-1234-5678", "0212345678", "ftp://x", "a@b", "강 사: x", "\u3000[x]  y\u00a0"]
+    assert column(spark, texts, C.search_text) == ["", "책", "0 2-123-4567", "01 0-1234-5678", "", "ftp://x", "a@b", "강 사: x", "[x] y"]
+
+
 def test_memberships(spark):
     programmes = spark.createDataFrame([(1,), (2,), (3,)], "program_id int")
     members = spark.createDataFrame([("a", 1, True), ("b", 1, True), ("b", 2, True), ("c", 2, False)], "group_id string, program_id int, representative boolean")
