@@ -3,7 +3,7 @@
 import pytest
 
 from lectern.operators.tables import session_table, table_grid
-from lectern.sources.html import table_cells
+from lectern.sources.html import _Cells, table_cells
 
 CELLS = "key int, table_no int, row_no int, col_no int, cell_no int, colspan int, rowspan int, header boolean, text string"
 
@@ -32,6 +32,20 @@ def test_odd_markup(spark):
     assert cells_of(spark, "<td>no table</td>") == cells_of(spark, "") == cells_of(spark, None) == []
 
 
+def test_plain_pages_take_no_parser_and_give_what_it_gives(monkeypatch):
+    plain = ["<table><tr><td rowspan=2>a<th colspan='3'>b<table><tr><td>c</table> d<script>var x = 1</script><tr><td>e</table><a href=\"u\">", "x > y", "<td>", "</table><p class='k'><table><td rowspan=x>z"]
+    odd = ["<table><tr><td>a &amp; b</table>", "<TABLE><td>a</table>", "<table><td>a<br/>b", "<table><td>a < b", "<table><!-- <td> --><td>b", "<script><td></script>", "<table><td></td >x", "<td><textarea><td>"]
+    fed, real = [], _Cells.feed
+    monkeypatch.setattr(_Cells, "feed", lambda self, text: (fed.append(text), real(self, text)))
+    for text in plain + odd:
+        by_parser, by_page = _Cells(), _Cells()
+        real(by_parser, text)
+        by_parser.close()
+        by_page.read(text)
+        assert (by_page.finish(), by_page.links) == (by_parser.finish(), by_parser.links)
+    assert fed == odd
+
+
 def test_cells_move_past_slots_of_the_rows_above(spark):
     got = grid_of(spark, "<table><tr><td rowspan=3>a</td><td>b</td><td rowspan=2 colspan=2>c</td></tr><tr><td>d</td><td>e</td></tr><tr><td>f</td><td></td><td>g</td></tr></table>")
     want = [["a", "b", "c", "c"], ["a", "d", "c", "c", "e"], ["a", "f", None, "g"]]
