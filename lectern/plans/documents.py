@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.layout import boxes_to_lines, column_sessions, page_sessions
 from ..operators.sections import match_sections, title_segments
-from ..operators.tables import session_table, table_grid
+from ..operators.tables import session_table
 from ..registry import query
-from ..sources.html import table_cells
+from ..sources.html import page_grids, table_cells
 
 _ITEMS = """SELECT l_orderkey, l_partkey, l_returnflag, l_linestatus, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r,
   count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem"""
@@ -135,7 +135,7 @@ SELECT l_orderkey, CAST(2 * (r - 1) + i AS INTEGER) AS row_no, c AS col_no, CASE
 FROM items, (VALUES (0), (1)) s(i), (VALUES (0), (1), (2), (3)) v(c)""")
 def span_fill(t):
     two = F.concat(_row(("rowspan=2", F.col("l_partkey")), F.col("l_returnflag"), ('rowspan="2" colspan="2"', F.concat(F.lit("n"), F.col("r").cast("string")))), _row(F.col("l_linestatus")))
-    return table_grid(table_cells(_pages_of(_items(t), two), "l_orderkey"), "l_orderkey").select("l_orderkey", "row_no", "col_no", "text")
+    return page_grids(_pages_of(_items(t), two), "l_orderkey").select("l_orderkey", "row_no", "col_no", "text")
 
 
 # Each order a plan's session table.  By its priority the columns stand in one order (1) or another (2), the header has two rows (3), there is none (4), or a session has two rows (5).
@@ -155,7 +155,7 @@ def session_rows(t):
     for kind, labels in names.items():
         head = F.when(k == kind, F.concat(F.lit("<table><tr>"), F.lit("".join(f"<th>{x}</th>" for x in labels)), F.lit("</tr>"))).otherwise(head)
     head = F.when(k == "3", F.lit("<table><tr><th rowspan=2>차시</th><th colspan=2>수업</th><th>기타</th></tr><tr><th>방법</th><th>교육내용</th><th>비고</th></tr>")).otherwise(head)
-    grid = table_grid(table_cells(_pages_of(items.withColumn("head", head), row, (F.col("head"), "</table>")), "l_orderkey"), "l_orderkey")
+    grid = page_grids(_pages_of(items.withColumn("head", head), row, (F.col("head"), "</table>")), "l_orderkey")
     return session_table(grid, "l_orderkey").select("l_orderkey", "session", "date", "content", "note", "materials")
 
 

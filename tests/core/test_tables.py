@@ -3,7 +3,7 @@
 import pytest
 
 from lectern.operators.tables import session_table, table_grid
-from lectern.sources.html import _Cells, table_cells
+from lectern.sources.html import _Cells, page_grids, table_cells
 
 CELLS = "key int, table_no int, row_no int, col_no int, cell_no int, colspan int, rowspan int, header boolean, text string"
 
@@ -46,6 +46,17 @@ def test_plain_pages_take_no_parser_and_give_what_it_gives(monkeypatch):
     assert fed == odd
 
 
+def test_grids_of_pages_equal_grids_of_their_cells(spark, capsys):
+    html = ["<table><tr><td rowspan=9>a<th colspan=3>b<table><tr><td>c<td rowspan=2>d</table><tr><td> <th>e<tr><td rowspan=2 colspan=2><tr><td>f<td>g</table>", "<tr><td>none", None, "<table></table><table><td>&nbsp;x"]
+    overlap = "<table><tr><td>a<td rowspan=3><td>b<tr><td colspan=3>c<tr><th colspan=2>d</table>"
+    pages = spark.createDataFrame(list(enumerate([*html, overlap])), "page_id int, html string").repartition(2)
+    grids = page_grids(pages)
+    assert {tuple(r) for r in grids.collect()} == {tuple(r) for r in table_grid(table_cells(pages), "page_id").select(grids.columns).collect()}
+    assert grids.count() > 20
+    page_grids(pages.localCheckpoint()).explain("simple")
+    assert "Exchange" not in capsys.readouterr().out
+
+
 def test_cells_move_past_slots_of_the_rows_above(spark):
     got = grid_of(spark, "<table><tr><td rowspan=3>a</td><td>b</td><td rowspan=2 colspan=2>c</td></tr><tr><td>d</td><td>e</td></tr><tr><td>f</td><td></td><td>g</td></tr></table>")
     want = [["a", "b", "c", "c"], ["a", "d", "c", "c", "e"], ["a", "f", None, "g"]]
