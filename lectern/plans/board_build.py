@@ -78,7 +78,8 @@ def body_sections(t):
         F.concat(F.lit("1. 준 비 물: "), "p_type"), F.lit("- 재료비는 현장에서 납부합니다."), F.concat(F.lit("size: "), F.col("p_size").cast("string")), F.lit("비고 : none"), F.lit("대상 : all"), F.lit("(after that)"), F.lit("재료비는 있다면"),
     ]
     notices = F.concat(F.lit("문의는 전화로 바랍니다\r\nfree words "), F.col("p_size").cast("string"), F.lit("\n문의는  전화로 바랍니다"))
-    posts = t.part.select("p_partkey", F.array_join(F.array(*lines), "\n").alias("body"), notices.alias("notices"), F.array("p_name", F.lit(None).cast("string")).alias("basics"), F.concat(F.lit("a cell "), F.col("p_size").cast("string"), F.lit(" b")).alias("table_text"))
+    # Parts lie in few files; the bodies made of them are many times as long.
+    posts = t.part.repartition("p_partkey").select("p_partkey", F.array_join(F.array(*lines), "\n").alias("body"), notices.alias("notices"), F.array("p_name", F.lit(None).cast("string")).alias("basics"), F.concat(F.lit("a cell "), F.col("p_size").cast("string"), F.lit(" b")).alias("table_text"))
     return structure_bodies(posts, "p_partkey", _labels(t), _TOPICS, ["targetAudience"])
 
 

@@ -97,3 +97,11 @@ def test_segments(spark):
     assert got[3] == [(i, 0, "WHOLE_D") for i in range(4)]
     assert got[4] == [(0, 0, "WHOLE_D")]
     assert [s for _, s, _ in got[5]] == [0] * 3 + [1] * 3 + [2] * 6
+
+
+def test_posts_of_parts_are_dealt_out(spark, capsys):
+    import lectern.plans  # noqa: F401
+    from lectern.registry import QUERIES
+
+    QUERIES["o_x22_sections"](spark, "/root/testdata/sf0.001").explain("simple")
+    assert "REPARTITION_BY_COL" in capsys.readouterr().out
