@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +17,11 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
 
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value) with the value worked out once, however often it is named there."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def terms(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
@@ -259,8 +264,16 @@ SPACING = (
 )
 
 
+# What a text has at least one of that the repair of its spacing changes.
+_SPACED = r"(?U)[가-힣,]|\s\s|^ | $"
+
+
 def spacing_repaired(text: Column) -> Column:
     """Known run-together words spaced, in order; a lesson's number and a fraction set apart, commas spaced but between digits, blanks collapsed."""
+    return F.when(text.rlike(_SPACED), bound(text, _spacing)).otherwise(text)
+
+
+def _spacing(text: Column) -> Column:
     known = text
     for before, after in SPACING:
         known = F.replace(known, F.lit(before), F.lit(after))
@@ -274,5 +287,9 @@ def spacing_repaired(text: Column) -> Column:
 
 def activity_text(text: Column) -> Column:
     """Repaired text with its middle dots as bullets on lines of their own."""
-    bullets = F.regexp_replace(spacing_repaired(text), r"(?U)\s*[ㆍ·․]\s*", "\n• ")
+    bullets = lambda t: F.regexp_replace(_spacing(t), r"(?U)\s*[ㆍ·․]\s*", "\n• ")
+    return F.when(text.rlike(rf"{_SPACED}|[ㆍ·․\n]"), bound(text, lambda t: _without_blank_lines(bullets(t)))).otherwise(text)
+
+
+def _without_blank_lines(bullets: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bullets, "^\n", ""), "\n{2,}", "\n"))

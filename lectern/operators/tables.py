@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import activity_text, spacing_repaired
-from ..storage import cut
+from ..functions.text import activity_text, bound, spacing_repaired
 
 # What plan tables call their columns.
 SESSION_NAME = "(?i)^(?:차시|회차|회기|주|주차|일|시수|period|week)(?:날짜)?$"
@@ -51,94 +50,127 @@ def _both_names(text: Column) -> Column:
     return (F.length(bare) <= 2 * NAME_CHARS) & bare.rlike(MERGED_NAME) & bare.rlike(CONTENT_NAME)
 
 
-def _readings(text: Column) -> Column:
-    """A cell's text on one line (clean), the same without notices behind a reference mark (plain), and line by line (lines)."""
-    clean = spacing_repaired(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s*\n\s*", " "))
-    lines = F.array_join(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: spacing_repaired(F.trim(x))), lambda x: x != ""), "\n")
-    return F.struct(text.alias("text"), clean.alias("clean"), F.trim(F.regexp_replace(clean, r"※[^※\n]*", "")).alias("plain"), lines.alias("lines"))
+def _one_line(text: Column) -> Column:
+    return F.when(F.contains(text, F.lit("\n")), F.regexp_replace(text, r"(?U)\s*\n\s*", " ")).otherwise(text)
+
+
+def _clean(text: Column) -> Column:
+    """A cell's text on one line."""
+    return spacing_repaired(bound(F.coalesce(text, F.lit("")), _one_line))
+
+
+def _with_plain(frame: DataFrame, **cells: Column) -> DataFrame:
+    """frame with cells' texts on one line, without notices behind a reference mark; step by step, so that none is worked out twice."""
+    frame = frame.withColumns(cells)
+    for step in (
+        _one_line, spacing_repaired,
+        lambda t: F.trim(F.when(F.contains(t, F.lit("※")), F.regexp_replace(t, r"※[^※\n]*", "")).otherwise(t)),
+    ):
+        frame = frame.withColumns({c: step(F.col(c)) for c in cells})
+    return frame
+
+
+def _with_lines(frame: DataFrame, name: str, cell: Column) -> DataFrame:
+    """frame with a cell's text line by line, without empty ones."""
+    several = F.array_join(F.filter(F.transform(F.split(name, "\n"), lambda x: spacing_repaired(F.trim(x))), lambda x: x != ""), "\n")
+    frame = frame.withColumn(name, F.coalesce(cell, F.lit(""))).withColumn("_alone", F.trim(name))
+    return frame.withColumn(name, F.when(F.contains(name, F.lit("\n")), several).otherwise(spacing_repaired(F.col("_alone")))).drop("_alone")
 
 
 def _number(text: Column) -> Column:
     return F.regexp_replace(text, UNIT, "$1")
 
 
-def _header_rows(rows: DataFrame, table: list[str]) -> DataFrame:
-    """table, head, body, names (array of col, name): the first row of each table that names its columns, alone or with the row below."""
-    values = F.filter(F.transform(F.map_values("cells"), lambda x: x["text"]), lambda x: x.isNotNull())
-    has = lambda test: F.exists(values, test)
-    marked = rows.select(*table, "row_no", "cells", has(_both_names).alias("m"), has(_session_name).alias("s"), has(_content_name).alias("c"))
-    order = Window.partitionBy(*table).orderBy("row_no")
-    below = marked.withColumn("next_cells", F.lead("cells").over(order)).withColumn("next_row", F.lead("row_no").over(order))
-    two = F.col("s") & ~F.col("c") & F.coalesce(F.lead("c").over(order), F.lit(False))
-    heads = below.withColumn("two", two).filter("m OR (s AND c) OR two")
-    first = heads.groupBy(*table).agg(F.min_by(F.struct("row_no", "cells", "next_cells", "next_row", "two"), "row_no").alias("h"))
-    upper, lower = F.col("h.cells"), F.when(F.col("h.two"), F.col("h.next_cells"))
-    name = lambda c: F.array_join(F.array_distinct(F.array_compact(F.array(_compact(F.try_element_at(upper, c)["text"]), _compact(F.try_element_at(lower, c)["text"])))), "")
-    columns = F.array_sort(F.array_union(F.map_keys(upper), F.coalesce(F.map_keys(lower), F.array().cast("array<int>"))))
-    return first.select(*table, F.col("h.row_no").alias("head"), F.when(F.col("h.two"), F.col("h.next_row")).otherwise(F.col("h.row_no")).alias("body"), F.transform(columns, lambda c: F.struct(c.alias("col"), name(c).alias("name"))).alias("names"))
+ROLES = ("session", "content", "date", "topic", "note", "materials", "method", "category")
+# A letter that every column's name has one of.
+NAME_LETTER = "[가-힣dkyDKY]"
 
 
-def _roles_by_name(heads: DataFrame) -> DataFrame:
-    """heads with the column of each role (null where there is none)."""
-    first = lambda test: F.try_element_at(F.transform(F.filter("names", lambda n: test(n["name"])), lambda n: n["col"]), F.lit(1))
+def _roles(head: Column, body: Column, at: dict[str, Column]) -> Column:
+    """The header row (-1 without one), the last row above the body, and the column of each role (null where there is none)."""
+    none = F.lit(None).cast("int")
+    return F.struct(head.cast("int").alias("head"), body.cast("int").alias("body"), *(at.get(role, none).cast("int").alias(f"{role}_at") for role in ROLES))
+
+
+def _roles_by_name(rows: DataFrame, every, order) -> DataFrame:
+    """rows with the roles that the first row of their table gives which names its columns, alone or with the row below (named)."""
+    told = rows.withColumn("_c_below", F.coalesce(F.lead("_c").over(order), F.lit(False))).withColumn("_lower", F.lead("cells").over(order)).withColumn("_row_below", F.lead("row_no").over(order))
+    told = told.withColumn("_two", F.col("_s") & ~F.col("_c") & F.col("_c_below"))
+    told = told.withColumn("_is_head", F.col("_m") | (F.col("_s") & F.col("_c")) | F.col("_two"))
+    told = told.withColumn("_first", F.min(F.when(F.col("_is_head"), F.col("row_no"))).over(every)).withColumn("_is_head", F.col("row_no") == F.col("_first"))
+    upper, lower = F.col("cells"), F.when(F.col("_two"), F.col("_lower"))
+    name = lambda c: F.array_join(F.array_distinct(F.array_compact(F.array(_compact(F.try_element_at(upper, c)), _compact(F.try_element_at(lower, c))))), "")
+    columns = F.array_sort(F.array_union(F.map_keys(upper), F.coalesce(F.map_keys(lower), F.array().cast("array<int>"))))
+    told = told.withColumn("_names", F.when(F.col("_is_head"), F.transform(columns, lambda c: F.struct(c.alias("col"), name(c).alias("name")))))
+    first = lambda test: F.try_element_at(F.transform(F.filter("_names", lambda n: test(n["name"])), lambda n: n["col"]), F.lit(1))
     both = first(_both_names)
-    out = heads.withColumn("session_at", F.coalesce(both, first(_session_name)))
-    out = out.withColumn("content_at", F.coalesce(both, first(lambda n: n.rlike(CONTENT_COLUMN + "$")), first(lambda n: n.rlike(CONTENT_COLUMN))))
-    for role, name in (("date", DATE_NAME), ("topic", TOPIC_NAME), ("note", NOTE_NAME), ("materials", MATERIALS_NAME), ("method", METHOD_NAME)):
-        out = out.withColumn(f"{role}_at", first(lambda n, name=name: n.rlike(name)))
-    return out.withColumn("category_at", F.when(F.col("content_at") - F.col("date_at") > 1, F.col("date_at") + 1)).drop("names")
-
-
-def _roles_by_content(rows: DataFrame, table: list[str]) -> DataFrame:
-    """Roles of tables without a header: number, day, content, note; or a number in one of the first two columns and the longest text behind it."""
-    text = lambda c: F.try_element_at("cells", c)["plain"]
-    plain = (text(F.lit(0)).rlike(NUMBER)) & (text(F.lit(1)).rlike(DAY))
-    by_row = F.filter(F.map_keys("cells"), lambda c: (c <= 1) & _number(text(c)).rlike(NUMBER))
-    at = F.array_min(by_row)
-    shown = rows.withColumn("plain", plain).withColumn("at", at).filter("plain OR at IS NOT NULL").groupBy(*table).agg(
-        F.min_by("cells", F.when(F.col("plain"), F.col("row_no"))).alias("day_row"), F.min_by(F.struct("cells", "at"), F.when(F.col("at").isNotNull(), F.col("row_no"))).alias("any")
-    )
-    texts = F.transform(F.array_sort(F.map_keys("any.cells")), lambda c: F.struct(c.alias("col"), F.try_element_at("any.cells", c)["clean"].alias("text")))
-    shown = shown.withColumn("texts", texts)
-    longer = F.filter("texts", lambda x: x["col"] > F.col("any.at"))
-    longest = F.array_max(F.transform(longer, lambda x: F.struct(F.length(x["text"]).alias("n"), (-x["col"]).alias("c"))))
-    own = F.length(F.array_max(F.transform(F.filter("texts", lambda x: x["col"] == F.col("any.at")), lambda x: x["text"])))
-    shown = shown.withColumn("content", F.when(longest["n"] > own, -longest["c"]))
-    first = lambda test: F.try_element_at(F.transform(F.filter("texts", test), lambda x: x["col"]), F.lit(1))
-    by_day, zero = F.col("day_row").isNotNull(), F.lit(0)
-    note = first(lambda x: (x["col"] > F.col("content")) & (x["text"] != ""))
-    date = first(lambda x: (x["col"] > F.col("any.at")) & (x["col"] < F.col("content")) & x["text"].rlike(r"(?U)[0-9]{1,2}\s*[월./-]\s*[0-9]{1,2}"))
-    four, none = F.when(F.size("day_row") >= 4, F.lit(3)), F.lit(None).cast("int")
-    out = shown.select(
-        *table, F.lit(-1).alias("head"), F.lit(-1).alias("body"), F.when(by_day, zero).otherwise(F.col("any.at")).alias("session_at"), F.when(by_day, F.lit(2)).otherwise(F.col("content")).alias("content_at"),
-        F.when(by_day, F.lit(1)).otherwise(date).alias("date_at"), none.alias("topic_at"), F.when(by_day, four).otherwise(note).alias("note_at"), F.when(by_day, four).alias("materials_at"), none.alias("method_at"), none.alias("category_at"),
-    )
-    return out.filter("content_at IS NOT NULL")
+    at = {"session": F.coalesce(both, first(_session_name)), "content": F.coalesce(both, first(lambda n: n.rlike(CONTENT_COLUMN + "$")), first(lambda n: n.rlike(CONTENT_COLUMN)))}
+    for role, pattern in (("date", DATE_NAME), ("topic", TOPIC_NAME), ("note", NOTE_NAME), ("materials", MATERIALS_NAME), ("method", METHOD_NAME)):
+        at[role] = first(lambda n, pattern=pattern: n.rlike(pattern))
+    at["category"] = F.when(at["content"] - at["date"] > 1, at["date"] + 1)
+    roles = F.when(F.col("_is_head"), _roles(F.col("row_no"), F.when(F.col("_two"), F.col("_row_below")).otherwise(F.col("row_no")), at))
+    return told.withColumn("_named", roles).withColumn("named", F.first("_named", ignorenulls=True).over(every)).select(*rows.columns, "named")
+
+
+def _roles_by_content(rows: DataFrame, every) -> DataFrame:
+    """rows with the roles that a table without a header shows (shown): number, day, content, note; or a number in one of the first two columns and the longest text behind it."""
+    bare = F.col("named").isNull()
+    told = _with_plain(rows, **{f"_{c}": F.when(bare, F.try_element_at("cells", F.lit(c))) for c in (0, 1)})
+    told = told.withColumn("_at", F.when(_number(F.col("_0")).rlike(NUMBER), 0).when(_number(F.col("_1")).rlike(NUMBER), 1))
+    size = F.when(F.col("_0").rlike(NUMBER) & F.col("_1").rlike(DAY), F.size("cells"))
+    told = told.withColumn("_size", size).withColumn("_size", F.first("_size", ignorenulls=True).over(every))
+    told = told.withColumn("_first", F.min(F.when(F.col("_at").isNotNull(), F.col("row_no"))).over(every)).withColumn("_tells", F.col("row_no") == F.col("_first"))
+    told = told.withColumn("_texts", F.when(F.col("_tells"), F.transform(F.array_sort(F.map_keys("cells")), lambda c: F.struct(c.alias("col"), _clean(F.try_element_at("cells", c)).alias("text")))))
+    longest = F.array_max(F.transform(F.filter("_texts", lambda x: x["col"] > F.col("_at")), lambda x: F.struct(F.length(x["text"]).alias("n"), (-x["col"]).alias("c"))))
+    own = F.length(F.array_max(F.transform(F.filter("_texts", lambda x: x["col"] == F.col("_at")), lambda x: x["text"])))
+    told = told.withColumn("_longest", F.when(F.col("_tells"), longest)).withColumn("_content", F.when(F.col("_longest.n") > own, -F.col("_longest.c")))
+    first = lambda test: F.try_element_at(F.transform(F.filter("_texts", test), lambda x: x["col"]), F.lit(1))
+    note = first(lambda x: (x["col"] > F.col("_content")) & (x["text"] != ""))
+    date = first(lambda x: (x["col"] > F.col("_at")) & (x["col"] < F.col("_content")) & x["text"].rlike(r"(?U)[0-9]{1,2}\s*[월./-]\s*[0-9]{1,2}"))
+    none = F.lit(-1)
+    told = told.withColumn("_any", F.when(F.col("_tells"), _roles(none, none, {"session": F.col("_at"), "content": F.col("_content"), "date": date, "note": note})))
+    told = told.withColumn("_any", F.first("_any", ignorenulls=True).over(every))
+    four = F.when(F.col("_size") >= 4, F.lit(3))
+    by_day = _roles(none, none, {"session": F.lit(0), "content": F.lit(2), "date": F.lit(1), "note": four, "materials": four})
+    shown = F.when(F.col("_size").isNotNull(), by_day).when(F.col("_any.content_at").isNotNull(), F.col("_any"))
+    return told.withColumn("shown", F.when(bare, shown)).select(*rows.columns, "shown")
 
 
 def session_table(grid: DataFrame, key: str) -> DataFrame:
-    """key, session, date, content, note, category, method, materials: the sessions of all tables of each key, from table_grid's slots.
-
-    A header row names a session and a content column, in any order and place, by
-    itself or with the row below; without one the columns are told by what they
-    hold.  Units and days beside a number are read off it, a number may also open
-    the content; rows without a number go on from the one before; an empty category
-    takes the one above it.  Sessions of one number are one: texts that are not yet
-    held are added, other fields take the first.  Tables without such columns give no rows.
+    """session_rows of table_grid's slots."""
+    rows = grid.groupBy(key, "table_no", "row_no").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col_no").cast("int"), "text"))).alias("cells"))
+    return session_rows(rows, key)
+
+
+def session_rows(rows: DataFrame, key: str) -> DataFrame:
+    """key, session, date, content, note, category, method, materials: the sessions of all tables of each key, from the rows of their grids.
+
+    rows: key, table_no, row_no, cells (col_no to text).  A header row names a
+    session and a content column, in any order and place, by itself or with the row
+    below; without one the columns are told by what they hold.  Units and days
+    beside a number are read off it, a number may also open the content; rows
+    without a number go on from the one before; an empty category takes the one
+    above it.  Sessions of one number are one: texts that are not yet held are
+    added, other fields take the first.  Tables without such columns give no rows.
+
+    One shuffle by key and windows on its order: roles are told in the row that
+    shows them and carried over their table, and only cells with a role are read.
     """
     table = [key, "table_no"]
-    rows = cut(grid.withColumn("cell", _readings(F.col("text"))).groupBy(*table, "row_no").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col_no").cast("int"), "cell"))).alias("cells")))  # read for the headers, for tables without one, and for the rows
-    named = _roles_by_name(_header_rows(rows, table))
-    bare = rows.join(named.select(*table), table, "left_anti")
-    roles = named.filter("session_at IS NOT NULL OR content_at IS NOT NULL").unionByName(_roles_by_content(bare, table))
-    body = rows.join(roles, table).filter(F.col("row_no") > F.col("body"))
+    order = Window.partitionBy(*table).orderBy("row_no")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    values = F.when(F.array_join(F.map_values("cells"), " ").rlike(NAME_LETTER), F.transform(F.filter(F.map_values("cells"), lambda x: x.rlike(NAME_LETTER)), _compact))
+    has = lambda test: F.coalesce(F.exists("_values", test), F.lit(False))
+    marked = rows.withColumn("_values", values).select(*table, "row_no", "cells", has(_both_names).alias("_m"), has(_session_name).alias("_s"), has(_content_name).alias("_c"))
+    marked = marked.repartition(key).sortWithinPartitions(key, "table_no", "row_no")
+    told = _roles_by_content(_roles_by_name(marked, every, order).drop("_m", "_s", "_c"), every)
+    body = told.withColumn("_roles", F.coalesce("named", "shown")).select(*table, "row_no", "cells", "_roles.*").filter("(session_at IS NOT NULL OR content_at IS NOT NULL) AND row_no > body")
     cell = lambda at: F.try_element_at("cells", F.col(at) if isinstance(at, str) else at)
-    counted = lambda at: _number(cell(at)["plain"]).rlike(NUMBER)
-    whole = Window.partitionBy(*table)
-    moved = ~F.bool_or(F.coalesce(counted("session_at"), F.lit(False))).over(whole) & F.bool_or(F.coalesce(counted(F.col("session_at") + 1), F.lit(False))).over(whole)
-    body = body.withColumn("session_at", F.col("session_at") + (moved & (F.col("head") >= 0)).cast("int"))
-    plain = lambda at: F.when(F.col(at).isNotNull(), F.nullif(cell(at)["plain"], F.lit("")))
-    body = body.withColumn("mark", _number(F.coalesce(plain("session_at"), F.lit("")))).withColumn("text", F.when(F.col("content_at").isNotNull(), F.coalesce(cell("content_at")["lines"], F.lit(""))).otherwise(""))
+    counted = lambda c: F.coalesce(_number(F.col(c)).rlike(NUMBER), F.lit(False))
+    body = _with_plain(body, _own=cell("session_at")).withColumn("_counted", F.bool_or(counted("_own")).over(every))
+    body = _with_plain(body, _next=F.when((F.col("head") >= 0) & ~F.col("_counted"), cell(F.col("session_at") + 1))).withColumn("_moved", F.bool_or(counted("_next")).over(every))
+    body = body.withColumn("_own", F.when(F.col("_moved"), F.col("_next")).otherwise(F.col("_own")))
+    body = _with_lines(body, "text", cell("content_at")).withColumn("mark", _number(F.coalesce("_own", F.lit(""))))
     pair, bracket = r"(?U)^([0-9]{1,2})\s+([0-9]{1,2}[./-][0-9]{1,2})$", r"(?U)^([0-9]{1,2})\s*\(\s*([0-9]{1,2}\s*[./-]\s*[0-9]{1,2})\s*\)$"
     body = body.withColumn("day", F.when(F.col("mark").rlike(pair), F.regexp_extract("mark", pair, 2)).when(F.col("mark").rlike(bracket), _compact(F.regexp_extract("mark", bracket, 2))))
     body = body.withColumn("mark", F.when(F.col("mark").rlike(pair), F.regexp_extract("mark", pair, 1)).when(F.col("mark").rlike(bracket), F.regexp_extract("mark", bracket, 1)).otherwise(F.col("mark")))
@@ -152,18 +184,23 @@ def session_table(grid: DataFrame, key: str) -> DataFrame:
     kept = body.withColumn("more", more).filter("way IS NOT NULL OR more")
     order = Window.partitionBy(*table).orderBy("row_no")
     kept = kept.withColumn("part", F.sum(F.col("way").isNotNull().cast("int")).over(order)).filter("part > 0")
-    kept = kept.withColumn("category", F.last(plain("category_at"), ignorenulls=True).over(order))
-    note = F.when(~F.coalesce(F.col("note_at") == F.col("materials_at"), F.lit(False)) & ~F.coalesce(F.col("note_at") == F.col("method_at"), F.lit(False)), plain("note_at"))
-    fields = kept.select(*table, "part", "row_no", "way", F.col("mark").try_cast("int").alias("session"), F.coalesce("day", plain("date_at")).alias("date"), F.concat_ws("\n", plain("topic_at"), F.nullif("text", F.lit(""))).alias("text"), note.alias("note"), "category", plain("method_at").alias("method"), plain("materials_at").alias("materials"))
-    own = lambda c: F.min_by(c, "row_no").alias(c)
-    text = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "text"))), lambda x: x["text"])
-    one = fields.groupBy(*table, "part").agg(F.min("row_no").alias("row_no"), *(own(c) for c in ("session", "date", "note", "category", "method", "materials")), activity_text(F.array_join(text, "\n")).alias("content"))
-    place = F.struct("table_no", "row_no")
-
-    def joined(c: str) -> Column:
-        parts = F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("table_no", "row_no", F.col(c).alias("x"))))), lambda p: p["x"])
-        return F.nullif(F.aggregate(parts, F.lit(""), lambda s, x: F.when(s == "", x).when(F.contains(s, x), s).otherwise(activity_text(F.concat(s, F.lit("\n"), x)))), F.lit("")).alias(c)
-
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c)
-    out = one.groupBy(key, "session").agg(first("date"), joined("content"), joined("note"), first("category"), joined("method"), joined("materials"))
-    return out.withColumn("content", F.coalesce("content", F.lit("")))
+    others = ("date", "topic", "note", "materials", "method", "category")
+    kept = _with_plain(kept, **{f"_{c}": cell(f"{c}_at") for c in others}).withColumns({f"_{c}": F.nullif(f"_{c}", F.lit("")) for c in others})
+    kept = kept.withColumn("category", F.last("_category", ignorenulls=True).over(order))
+    note = F.when(~F.coalesce(F.col("note_at") == F.col("materials_at"), F.lit(False)) & ~F.coalesce(F.col("note_at") == F.col("method_at"), F.lit(False)), F.col("_note"))
+    fields = kept.select(*table, "part", "row_no", "way", F.col("mark").try_cast("int").alias("session"), F.coalesce("day", "_date").alias("date"), F.concat_ws("\n", "_topic", F.nullif("text", F.lit(""))).alias("text"), note.alias("note"), "category", F.col("_method").alias("method"), F.col("_materials").alias("materials"))
+    # A part is its first row, which has the number, with the texts of those behind it.
+    texts = F.collect_list("text").over(Window.partitionBy(*table, "part").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    one = fields.withColumn("_texts", texts).filter("way IS NOT NULL").withColumn("content", F.array_join("_texts", "\n")).drop("_texts", "text")
+    one = one.withColumn("content", activity_text(F.col("content")))
+    same = Window.partitionBy(key, "session").orderBy("table_no", "row_no")
+    all_same = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    joined, first = ("content", "note", "method", "materials"), ("date", "category")
+    out = one.select(key, "session", F.row_number().over(same).alias("_n"), *(F.collect_list(F.nullif(c, F.lit(""))).over(all_same).alias(c) for c in joined), *(F.first(c, ignorenulls=True).over(all_same).alias(c) for c in first)).filter("_n = 1")
+
+    def added(parts: Column) -> Column:
+        return F.aggregate(parts, F.lit(""), lambda s, x: F.when(s == "", x).when(F.contains(s, x), s).otherwise(activity_text(F.concat(s, F.lit("\n"), x))))
+
+    for c in joined:
+        out = out.withColumn(c, F.when(F.size(c) <= 1, F.get(c, F.lit(0))).otherwise(added(F.col(c))))
+    return out.select(key, "session", "date", F.coalesce("content", F.lit("")).alias("content"), "note", "category", "method", "materials")

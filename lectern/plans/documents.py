@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators.layout import boxes_to_lines, column_sessions, page_sessions
 from ..operators.sections import match_sections, title_segments
-from ..operators.tables import session_table
+from ..operators.tables import session_rows as sessions_of_rows
 from ..registry import query
-from ..sources.html import page_grids, table_cells
+from ..sources.html import page_grids, page_rows, table_cells
 
 _ITEMS = """SELECT l_orderkey, l_partkey, l_returnflag, l_linestatus, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r,
   count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem"""
@@ -155,8 +155,8 @@ def session_rows(t):
     for kind, labels in names.items():
         head = F.when(k == kind, F.concat(F.lit("<table><tr>"), F.lit("".join(f"<th>{x}</th>" for x in labels)), F.lit("</tr>"))).otherwise(head)
     head = F.when(k == "3", F.lit("<table><tr><th rowspan=2>차시</th><th colspan=2>수업</th><th>기타</th></tr><tr><th>방법</th><th>교육내용</th><th>비고</th></tr>")).otherwise(head)
-    grid = page_grids(_pages_of(items.withColumn("head", head), row, (F.col("head"), "</table>")), "l_orderkey")
-    return session_table(grid, "l_orderkey").select("l_orderkey", "session", "date", "content", "note", "materials")
+    rows = page_rows(_pages_of(items.withColumn("head", head), row, (F.col("head"), "</table>")), "l_orderkey")
+    return sessions_of_rows(rows, "l_orderkey").select("l_orderkey", "session", "date", "content", "note", "materials")
 
 
 @query("o_x41_spacing", "SELECT doc_id, replace(text, '교재필기구', '교재·필기구') AS text FROM (SELECT doc_id, concat(doc_id, '과 교재·필기구, ', lang, ', 1,000') AS text FROM documents)")

@@ -1,9 +1,11 @@
 """Nested and spanned tables, and session tables of every shape that plans have."""
 
+import random
+
 import pytest
 
-from lectern.operators.tables import session_table, table_grid
-from lectern.sources.html import _Cells, page_grids, table_cells
+from lectern.operators.tables import session_rows, session_table, table_grid
+from lectern.sources.html import _Cells, _page_rows, _slots, page_grids, page_rows, table_cells
 
 CELLS = "key int, table_no int, row_no int, col_no int, cell_no int, colspan int, rowspan int, header boolean, text string"
 
@@ -99,3 +101,27 @@ def test_tables_without_a_header(spark):
     assert [r[:4] for r in sessions(spark, [[["가", "3", "3월 4일", "긴 내용이 여기에 있다", "말"], ["나", "4", "3월 11일", "짧음", ""]]])] == [(3, "3월 4일", "긴 내용이 여기에 있다", "말"), (4, "3월 11일", "짧음", None)]
     assert sessions(spark, [[["이름", "값"], ["장소", "강당"]]]) == []
     assert session_table(table_grid(spark.createDataFrame([], CELLS), "key"), "key").count() == 0
+
+
+def test_pages_with_the_same_tags_share_one_walk_and_give_what_the_parser_gives():
+    rng = random.Random(5)
+    bits = ["<table>", "</table>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<td rowspan=2>", '<td colspan="3">', "<td rowspan='2' colspan=2>", "<script>", "</script>", " a ", "b\n c", "x", "&amp;", "<p>", "</p>", "> ", "<!-- c -->", "<B>"]
+    weights, shapes = [6, 3, 8, 4, 12, 8, 3, 2, 2, 2, 0.3, 0.3, 6, 6, 3, 0.2, 1, 1, 0.3, 0.1, 0.1], {}
+    for _ in range(4000):
+        page = "<table>" + "".join(rng.choices(bits, weights, k=rng.randint(0, 20)))
+        parser = _Cells()
+        parser.read(page)
+        want = sorted((t, r, c, x) for t, r, c, x, _ in _slots(parser.finish()))
+        for _ in range(2):
+            rows, texts = _page_rows(page, shapes)
+            got = sorted(((t, r, c, next((texts[i] for i in over if texts[i]), None)) for t, r, slots in rows for c, over in slots))
+            assert got == want, page
+    assert 0 < len(shapes) <= 512
+
+
+def test_sessions_of_pages_take_one_shuffle_and_nothing_is_stored(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><th>차시</th><th>활동</th></tr><tr><td>1</td><td>가</td></tr></table>"), (2, None)], "key int, html string")
+    rows = page_rows(pages, "key")
+    assert sorted((r.key, r.table_no, r.row_no, r.cells) for r in rows.collect()) == [(1, 0, 0, {0: "차시", 1: "활동"}), (1, 0, 1, {0: "1", 1: "가"})]
+    plan = session_rows(rows, "key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("MapInArrow") == 1
