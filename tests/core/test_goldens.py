@@ -173,6 +173,16 @@ def test_sanitised_documents(spark):
     assert {r.doc_id: (r.text, r.categories) for r in got} == {i: sanitised_by_hand(t, True) for i, t in texts.items()}
 
 
+def test_sanitised_texts_by_guarded_searches(spark):
+    """Texts of the signs that the searches are guarded by, and blanks before a line separator at the end."""
+    rng = random.Random(11)
+    parts = ["0", "02", "010", "1", "-", ")", " ", "  ", "123", "4567", "a", "Z", "@", "a.kr", ".com", ":", "：", "\n", "신청자", "이름", "신청서", "출석부", "주소", "계좌", "가", "강사", "\u3000", "\u00a0", "\x07", "\x7f", "\t", "é"]
+    texts = ["a \x85", "a :\x85", "강사\n:", "x02-123-4567", "(02)123-4567 x"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", X.sanitised(F.col("t"), True).alias("a"), X.sanitised(F.col("t"), False).alias("b"))
+    wrong = [texts[r.k] for r in frame.collect() if (r.a.text, r.a.categories) != X.sanitise(texts[r.k], True) or (r.b.text, r.b.categories) != X.sanitise(texts[r.k], False)]
+    assert wrong == []
+
+
 def test_columns_and_plain_functions_agree_on_any_blanks_and_digits(spark):
     rng = random.Random(9)
     pieces = ["초등", "저학년", "고학년", "1~3학년", "４~６학년", "6~7세", " ", "\u00a0", "\u3000", "\x85", "전 연령", "전\u00a0연령", "성인", "어린이", "독서", "２기", "3차", "(가)", "２０２６년"]
