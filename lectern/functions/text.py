@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from unicodedata import normalize
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,9 +13,13 @@ from pyspark.sql.types import StringType
 
 
 @F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Compatibility-normalised text (no built-in function does this)."""
-    return texts.str.normalize("NFKC")
+def _nfkc(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else normalize("NFKC", t) for t in texts], dtype=object)
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility-normalised text (no built-in function does this); ASCII, which it leaves alone, is not sent to Python."""
+    return F.coalesce(_nfkc(F.when(F.length(text) != F.octet_length(text), text)), text)
 
 
 def bound(value: Column, made: Callable[[Column], Column]) -> Column:

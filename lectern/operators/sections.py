@@ -26,9 +26,13 @@ def _letters(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "")
 
 
+def _untagged(text: Column) -> Column:
+    return F.regexp_replace(text, TAGS, "")
+
+
 def comparable(text: Column) -> Column:
     """A title without its leading tags, compatibility-normalised, lower case, letters and digits alone."""
-    return _letters(nfkc(F.regexp_replace(text, TAGS, "")))
+    return _letters(nfkc(_untagged(text)))
 
 
 def _title_parts(titles: DataFrame) -> DataFrame:
@@ -43,18 +47,18 @@ def _title_parts(titles: DataFrame) -> DataFrame:
 
 def _page_parts(pages: DataFrame) -> DataFrame:
     """pages (doc, page, text) and their comparable whole and head, headings' comparable texts, and whether they open a section or an appendix."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.col("text")
+    known = pages.select("doc", "page", F.coalesce(text, F.lit("")).alias("text")).withColumn("_hangul", text.rlike("[가-힣]"))  # every heading's pattern has such a letter
     head = F.substring(text, 1, HEAD_CHARS)
-    flat = F.substring(collapse(head), 1, HEADING_CHARS)
-    line = F.trim(F.get(F.split(head, "\r?\n"), F.lit(0)))
+    known = known.withColumn("_flat", F.when(F.col("_hangul"), F.substring(collapse(head), 1, HEADING_CHARS))).withColumn("_opening", F.when(F.col("_hangul"), F.substring(collapse(text), 1, 260)))
+    known = known.withColumn("_first", F.trim(F.get(F.split(head, "\r?\n", 2), F.lit(0))))
+    flat, opening, line = F.col("_flat"), F.col("_opening"), F.col("_first")
     found = lambda pattern: F.when(flat.rlike(pattern), F.regexp_extract(flat, pattern, 1))
-    first = F.when((line != "") & (F.length(line) <= LINE_CHARS), line)
-    opening = lambda size: F.substring(collapse(text), 1, size)
-    out = pages.select(
-        "doc", "page", text.alias("text"), comparable(text).alias("whole"), comparable(head).alias("compact"), comparable(first).alias("_line"), comparable(found(PLAN_HEADING)).alias("_plan"),
-        comparable(found(NAMED_HEADING)).alias("_named"), (opening(260).rlike(SECTION_HEADING) | opening(60).rlike(APPENDIX_HEADING)).alias("boundary"),
-    )
-    return out.withColumn("headings", F.array_compact(F.array("_line", "_plan", "_named"))).drop("_line", "_plan", "_named")
+    boundary = opening.rlike(SECTION_HEADING) | F.substring(opening, 1, 60).rlike(APPENDIX_HEADING)
+    told = {"whole": text, "_head": F.when(F.length(text) > HEAD_CHARS, head), "_line": F.when((line != "") & (F.length(line) <= LINE_CHARS), line), "_plan": found(PLAN_HEADING), "_named": found(NAMED_HEADING)}
+    out = known.select("doc", "page", "text", F.coalesce(boundary, F.lit(False)).alias("boundary"), *(_untagged(c).alias(name) for name, c in told.items()))
+    out = out.withColumns({name: nfkc(F.col(name)) for name in told}).withColumns({name: _letters(F.col(name)) for name in told})
+    return out.withColumn("compact", F.coalesce("_head", "whole")).withColumn("headings", F.array_compact(F.array("_line", "_plan", "_named"))).drop("_head", "_line", "_plan", "_named")
 
 
 def title_score() -> Column:
@@ -94,10 +98,9 @@ def match_sections(pages: DataFrame, targets: DataFrame, known: DataFrame) -> Da
     """
     held = _page_parts(pages.filter("doc IS NOT NULL AND page IS NOT NULL"))
     asked = _title_parts(targets.filter("doc IS NOT NULL AND title IS NOT NULL").groupBy("doc", "title").agg(F.bool_or(F.coalesce("single", F.lit(False))).alias("single")))
-    others = known.filter("doc IS NOT NULL AND title IS NOT NULL").select("doc", comparable(F.col("title")).alias("other")).filter(F.length("other") >= 4).distinct()
-    on_page = held.select("doc", "page", "whole").join(others, "doc").filter(F.contains("whole", "other")).groupBy("doc", "page").agg(F.collect_set("other").alias("others"))
-    pairs = held.drop("whole").join(on_page, ["doc", "page"], "left").join(asked, "doc").withColumn("score", title_score())
-    foreign = F.coalesce(F.exists("others", lambda o: o != F.col("target")), F.lit(False))
+    others = known.filter("doc IS NOT NULL AND title IS NOT NULL").select("doc", comparable(F.col("title")).alias("other")).filter(F.length("other") >= 4).groupBy("doc").agg(F.collect_set("other").alias("others"))
+    pairs = held.join(asked.join(others, "doc", "left"), "doc").withColumn("score", title_score())
+    foreign = F.coalesce(F.exists("others", lambda o: (o != F.col("target")) & F.contains("whole", o)), F.lit(False))
     pairs = pairs.select("doc", "title", "single", "page", "text", "score", "boundary", foreign.alias("foreign"))
     group, order = Window.partitionBy("doc", "title"), Window.partitionBy("doc", "title").orderBy("page")
     fit = pairs.withColumn("best", F.max("score").over(group)).withColumn("hit", (F.col("score") == F.col("best")) & (F.col("score") >= LEAST))

@@ -11,6 +11,7 @@ from ..operators.sections import match_sections, title_segments
 from ..operators.tables import session_rows as sessions_of_rows
 from ..registry import query
 from ..sources.html import page_grids, page_rows, table_cells
+from ..storage import stored
 
 _ITEMS = """SELECT l_orderkey, l_partkey, l_returnflag, l_linestatus, l_shipdate, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r,
   count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem"""
@@ -94,10 +95,12 @@ GROUP BY doc, title, status"""
 
 @query("o_r10_sections", f"WITH {_FILES}")
 def sections_of_files(t):
-    pages = _items(t).join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    named = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    pages = _items(t, named)
     flag = F.col("l_returnflag")
     text = F.when(flag == "N", F.concat("p_name", F.lit("\nbegins"))).when(flag == "R", F.lit("goes on")).when(F.col("l_linestatus") == "F", F.lit("[붙임] 1")).otherwise(F.lit("강좌명 2"))
     pages = pages.select(F.col("l_orderkey").alias("doc"), F.col("r").cast("int").alias("page"), text.alias("text"), F.when(flag == "N", F.col("p_name")).alias("name"))
+    pages = stored(pages, "pages")  # read as pages, for the titles asked, and for those known
     titles = pages.groupBy("doc").agg(F.coalesce(F.min_by("name", F.when(F.col("name").isNotNull(), F.col("page"))), F.lit("quite unknown")).alias("title"))
     targets = titles.join(t.orders.select(F.col("o_orderkey").alias("doc"), (F.col("o_orderstatus") == "F").alias("single")), "doc")
     found = match_sections(pages, targets, pages.select("doc", F.col("name").alias("title")))

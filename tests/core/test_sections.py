@@ -57,3 +57,10 @@ def test_segments_take_one_sort_that_moves_no_texts(spark):
     lines = spark.range(60).selectExpr("id % 3 AS image", "id AS line", "concat('제목 ', id) AS text", "CAST(10 + id % 9 AS INT) AS height", "2 AS linked")
     plan = title_segments(lines, "image")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and plan.count("Exchange ") == 1
+
+
+def test_pages_are_told_once_and_meet_known_titles_by_document(spark):
+    pages = spark.range(40).selectExpr("id % 4 AS doc", "CAST(id AS INT) AS page", "concat('title ', id % 3, ' Ｆｕｌｌ') AS text")
+    targets, known = pages.selectExpr("doc", "'title 1' AS title", "FALSE AS single").distinct(), pages.selectExpr("doc", "concat('title ', page % 2) AS title")
+    plan = match_sections(pages, targets, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("Range (") == 3
