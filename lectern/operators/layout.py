@@ -6,15 +6,13 @@ table under a header are windows and page-wise joins over the boxes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
-
 # Names of the columns of a session table, as they stand in scanned plans.
 COLUMN_LABEL = "^(?:차시|회차|회기|시수)$"
 SESSION_LABEL = "^(?:차시|회차|회기|시수|일시|일자|교육일시|교육일자|강의일시|날짜|연번|순번|번호)$"
@@ -29,6 +27,25 @@ LEADING = r"(?U)^\s*([0-9]{1,2})\s*(?:회차|차시|주차|주)?\s*[.)]?\s+(.*)$
 FAR = 1e300
 
 
+def _names(pattern: str) -> list[str]:
+    """The names that a pattern of names lists."""
+    return pattern[pattern.index("(?:") + 3 : pattern.rindex(")")].split("|")
+
+
+def _pieces(names: list[str], cut: Callable[[str, int], str], least: int, less: int) -> str:
+    """A pattern of the beginnings (or ends) of names, of ``least`` characters or more, that leave out ``less`` or more."""
+    return "(?:" + "|".join(sorted({cut(n, k) for n in names for k in range(least, len(n) - less + 1)}, key=lambda x: (-len(x), x))) + ")"
+
+
+# What one box must show for its line to name a column, if names may be torn over boxes: the session column's is the first thing in its cell (but for brackets) ...
+_SESSION_NAMES, _CONTENT_NAMES = [*_names(SESSION_LABEL), *_names(SESSION_OPENING)], _names(CONTENT_LABEL)
+MAY_NAME_SESSIONS = rf"\(|{SESSION_OPENING}|^{_pieces(_SESSION_NAMES, lambda n, k: n[:k], 1, 0)}$"
+# ... and a content column's is whole in one box, or begins at the end of one and ends at the beginning of another.
+CONTENT_BEGINS = rf"{_pieces(_CONTENT_NAMES, lambda n, k: n[:k], 1, 1)}$"
+CONTENT_ENDS = rf"^{_pieces(_CONTENT_NAMES, lambda n, k: n[-k:], 1, 1)}"
+NAME_LETTER = "[(" + "".join(sorted({c for n in (*_SESSION_NAMES, *_CONTENT_NAMES) for c in n})) + "]"
+
+
 def _bare(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 
@@ -42,18 +59,19 @@ def upper_median(value: str, by: list[str]) -> Column:
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{value}` DESC) OVER (PARTITION BY {', '.join(f'`{c}`' for c in by)})")
 
 
-def with_lines(boxes: DataFrame, by: list[str], ratio: float = 0.5) -> DataFrame:
+def with_lines(boxes: DataFrame, by: list[str], ratio: float = 0.5, dealt_by: list[str] | None = None) -> DataFrame:
     """boxes and ``line``, the number of the line on its page (from 0, downwards) that each belongs to.
 
     In order of their tops (then lefts), a box joins the first line whose middle is
     within ``ratio`` of the page's upper median height (at least 4) of its own, and
     widens it.  A line's first box has its least top, so lines are numbered as they
     begin.  Boxes of a null group, or without a place, are left out.
+    dealt_by: those of ``by`` that tasks are dealt pages by, for boxes that lie so already.
     """
     fit = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*by, "left", "top", "right", "bottom")])
     order = [F.asc("top"), F.asc("left"), F.asc("right"), F.asc("text")]
     # One shuffle and one sort: rows sorted for the scan are in order for the windows too, so the second sort is left out of the plan.
-    dealt = boxes.filter(fit).repartition(*by).sortWithinPartitions(*by, *order)
+    dealt = boxes.filter(fit).repartition(*(dealt_by or by)).sortWithinPartitions(*by, *order)
     tall = dealt.withColumn("_tall", F.greatest(F.lit(1.0), (F.col("bottom") - F.col("top")).cast("double"))).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     near = F.greatest(F.lit(4.0), upper_median("_tall", by) * ratio)
     ready = tall.select(*boxes.columns, "_n", near.alias("_near"), F.col("top").cast("double").alias("_a"), F.col("bottom").cast("double").alias("_b")).sortWithinPartitions(*by, *order)
@@ -162,21 +180,21 @@ def session_mark(text: Column) -> Column:
     return F.coalesce(as_number, as_date)
 
 
-def header_cells(lined: DataFrame, by: list[str]) -> DataFrame:
-    """by, line, cells: each line's boxes grouped where the next one begins within 1.2 of the line's upper median height (at least 8).
+def header_cells(lined: DataFrame, on: list[str]) -> DataFrame:
+    """on, left, right, text, parts, boxes: the boxes of each group where the next one begins within 1.2 of the group's upper median height (at least 8).
 
-    cells: array of (left, right, text without blanks, parts as array of left, right, text), from the left.
+    text is without blanks, parts is an array of (left, top, right, text without
+    blanks) from the left, boxes the cell's boxes as they are.
     """
-    on = [*by, "line"]
     order = Window.partitionBy(*on).orderBy("left", "top", "text")
     reach = F.max("right").over(order.rowsBetween(Window.unboundedPreceding, -1))
     sized = lined.withColumn("_reach", reach).withColumn("_h", F.greatest(F.lit(1.0), (F.col("bottom") - F.col("top")).cast("double"))).withColumn("_tall", upper_median("_h", on))
     breaks = F.when(F.col("left") - F.col("_reach") <= F.greatest(F.lit(8.0), F.col("_tall") * 1.2), 0).otherwise(1)
     grouped = sized.withColumn("_new", breaks).withColumn("_cell", F.sum("_new").over(order))
     parts = F.array_sort(F.collect_list(F.struct(F.col("left").cast("double").alias("left"), F.col("top"), F.col("right").cast("double").alias("right"), _bare(F.col("text")).alias("text"))))
-    cells = grouped.groupBy(*on, "_cell").agg(F.min("left").cast("double").alias("left"), F.max("right").cast("double").alias("right"), parts.alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
-    return cells.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("left", "right", text.alias("text"), "parts"))).alias("cells"))
+    boxes = F.collect_list(F.struct("left", "top", "right", "bottom", "text"))
+    cells = grouped.groupBy(*on, "_cell").agg(F.min("left").cast("double").alias("left"), F.max("right").cast("double").alias("right"), parts.alias("parts"), boxes.alias("boxes"))
+    return cells.select(*on, "left", "right", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"), "parts", "boxes")
 
 
 def _is_session(text: Column) -> Column:
@@ -184,48 +202,61 @@ def _is_session(text: Column) -> Column:
     return bare.rlike(SESSION_LABEL) | bare.rlike(SESSION_OPENING)
 
 
+def _may_be_header(lined: DataFrame, key: str) -> DataFrame:
+    """The boxes of lines that may name a session column, with a content column's name there or on the next line, and of those next lines.
+
+    Told by each box for itself, so few lines but headers are left to be read as cells.
+    """
+    line, page = Window.partitionBy(key, "line"), Window.partitionBy(key).orderBy("line")
+    seen = lined.sortWithinPartitions(key, "line").withColumn("_bare", F.when(F.col("text").rlike(NAME_LETTER), _bare(F.col("text"))))
+    shows = lambda pattern: F.coalesce(F.bool_or(F.col("_bare").rlike(pattern)).over(line), F.lit(False))
+    told = seen.select(*lined.columns, shows(MAY_NAME_SESSIONS).alias("_s"), shows(CONTENT_LABEL).alias("_whole"), shows(CONTENT_BEGINS).alias("_begins"), shows(CONTENT_ENDS).alias("_ends"))
+    told = told.select(*lined.columns, "_s", (F.col("_whole") | (F.col("_begins") & F.col("_ends"))).alias("_c"))
+    near = lambda flag, way: F.coalesce(F.bool_or(flag).over(page.rangeBetween(way, way)), F.lit(False))
+    told = told.withColumn("_below", near("_c", 1)).withColumn("_above", near("_s", -1))
+    return told.filter("_s AND (_c OR _below) OR _c AND _above").select(*lined.columns)
+
+
 def _header_lines(lined: DataFrame, key: str) -> DataFrame:
-    """key, line, below, bottom, cells of every line that names a session column and a content column, by itself or with the next line's names."""
-    has = lambda cells, test: F.exists(cells, lambda c: test(c["text"]))
-    content = lambda t: t.rlike(CONTENT_LABEL)
-    kinds = header_cells(lined, [key]).select(key, "line", has("cells", _is_session).alias("s"), has("cells", content).alias("c"))
+    """key, head and the header_cells of every line that names a session column and a content column, by itself or with the next line's names."""
+    cells = header_cells(_may_be_header(lined, key), [key, "line"])
+    kinds = cells.groupBy(key, "line").agg(F.bool_or(_is_session(F.col("text"))).alias("s"), F.bool_or(F.col("text").rlike(CONTENT_LABEL)).alias("c"), F.flatten(F.collect_list("boxes")).alias("boxes"))
     order = Window.partitionBy(key).orderBy("line")
-    pairs = kinds.withColumn("below", F.lead("line").over(order)).withColumn("two", F.col("s") & ~F.col("c") & F.coalesce(F.lead("c").over(order) & ~F.lead("s").over(order), F.lit(False)))
-    heads = pairs.filter("s AND (c OR two)").select(key, "line", F.when(F.col("two"), F.col("below")).alias("also"))
-    own = heads.select(key, F.col("line").alias("head"), "line").unionByName(heads.filter("also IS NOT NULL").select(key, F.col("line").alias("head"), F.col("also").alias("line")))
-    boxes = lined.join(own, [key, "line"]).withColumn("line", F.col("head")).drop("head")
-    bottom = boxes.groupBy(key, "line").agg(F.max("bottom").cast("double").alias("bottom"))
-    return header_cells(boxes, [key]).join(bottom, [key, "line"])
-
-
-def _grid(heads: DataFrame, key: str) -> DataFrame:
-    """heads with the bounds of their session, content and category columns."""
-    cells = F.col("cells")
-    at = F.sequence(F.lit(0), F.size(cells) - 1)
-    text = lambda i: F.get(cells, i)["text"]
-    last = lambda rule: F.try_element_at(F.filter(at, rule), F.lit(-1))
-    first = lambda rule: F.try_element_at(F.filter(at, rule), F.lit(1))
-    out = heads.withColumn("s", first(lambda i: _is_session(text(i))))
-    content = lambda i: (i != F.col("s")) & text(i).rlike(CONTENT_LABEL)
-    plain = lambda i: content(i) & ~text(i).rlike(CATEGORY_LABEL)
-    out = out.withColumn("c", F.coalesce(last(lambda i: plain(i) & (i > F.col("s"))), last(lambda i: plain(i) & (i < F.col("s"))), last(content))).filter("c IS NOT NULL")
-    out = out.withColumn("k", first(lambda i: (i > F.col("s")) & (i < F.col("c")) & text(i).rlike(CATEGORY_LABEL)))
-    edge = lambda i: F.when(i <= 0, F.lit(-FAR)).when(i >= F.size(cells), F.lit(FAR)).otherwise((F.get(cells, i - 1)["right"] + F.get(cells, i)["left"]) / 2)
-    s, c, k = F.col("s"), F.col("c"), F.col("k")
-    parts = F.get(cells, s)["parts"]
-    narrow = F.when((F.size(parts) > 1) & F.get(parts, F.lit(0))["text"].rlike(SESSION_LABEL), (F.get(parts, F.lit(0))["right"] + F.get(parts, F.lit(1))["left"]) / 2)
-    return out.select(
-        key, "line", F.col("bottom").alias("bottom_of"), (c > s).alias("content_right"), narrow.alias("narrow"), edge(s).alias("session_from"), F.coalesce(narrow, edge(s + 1)).alias("session_to"), edge(c).alias("content_from"),
-        edge(c + 1).alias("content_to"), F.get(cells, c - 1)["right"].alias("before_content"), F.when(k.isNotNull(), edge(k)).alias("category_from"), F.when(k.isNotNull(), edge(k + 1)).alias("category_to"),
-        F.array_min(F.transform(cells, lambda x: x["left"])).alias("leftmost"),
-    )
+    below = F.lead(F.struct("line", "s", "c", "boxes")).over(order)
+    pairs = kinds.withColumn("below", below)
+    two = F.col("s") & ~F.col("c") & F.coalesce((F.col("below.line") == F.col("line") + 1) & F.col("below.c") & ~F.col("below.s"), F.lit(False))
+    heads = pairs.withColumn("two", two).filter("s AND (c OR two)")
+    boxes = F.when(F.col("two"), F.concat("boxes", "below.boxes")).otherwise(F.col("boxes"))
+    return header_cells(heads.select(key, F.col("line").alias("head"), F.inline(boxes)), [key, "head"])
+
 
+def _grid(cells: DataFrame, key: str) -> DataFrame:
+    """key, head and the bounds of its session, content and category columns, from the cells of header lines.
 
-def _banded(boxes: DataFrame, marks: DataFrame, on: list[str]) -> DataFrame:
-    """boxes with ``at``, the last mark whose band begins at or above their middle (none above the first): an as-of step over the union of both."""
-    both = boxes.withColumn("_y", _centre("top", "bottom").cast("double")).withColumn("_kind", F.lit(1)).unionByName(marks.select(*on, F.col("band").alias("_y"), "at").withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(*on).orderBy("_y", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("at", F.last("at", ignorenulls=True).over(order)).filter("_kind = 1 AND at IS NOT NULL").drop("_y", "_kind")
+    Each step is a window over a header's cells: as one expression over an array of
+    them, every bound would hold the whole search for its cell again, and the driver
+    could not hold the plan.
+    """
+    on = [key, "head"]
+    order, whole = Window.partitionBy(*on).orderBy("left", "right", "text", "parts"), Window.partitionBy(*on)
+    before, after = F.lag("right").over(order), F.lead("left").over(order)
+    edges = (F.coalesce((before + F.col("left")) / 2, F.lit(-FAR)).alias("low"), F.coalesce((F.col("right") + after) / 2, F.lit(FAR)).alias("high"), before.alias("before"))
+    bottom = F.array_max(F.transform("boxes", lambda b: b["bottom"])).cast("double")
+    parts = F.col("parts")
+    narrow = F.when((F.size(parts) > 1) & F.get(parts, F.lit(0))["text"].rlike(SESSION_LABEL), (F.get(parts, F.lit(0))["right"] + F.get(parts, F.lit(1))["left"]) / 2)
+    names = (_is_session(F.col("text")).alias("session"), F.col("text").rlike(CONTENT_LABEL).alias("content"), F.col("text").rlike(CATEGORY_LABEL).alias("category"))
+    rows = cells.select(*on, "left", F.row_number().over(order).alias("i"), *edges, bottom.alias("bottom"), narrow.alias("narrow"), *names)
+    i, s, c, k = (F.col(x) for x in ("i", "s", "c", "k"))
+    rows = rows.withColumn("s", F.min(F.when(F.col("session"), i)).over(whole))
+    last = lambda rule: F.max(F.when(rule, i)).over(whole)
+    plain = F.col("content") & ~F.col("category")
+    rows = rows.withColumn("c", F.coalesce(last(plain & (i > s)), last(plain & (i < s)), last(F.col("content") & (i != s)))).filter("c IS NOT NULL")
+    rows = rows.withColumn("k", F.min(F.when(F.col("category") & (i > s) & (i < c), i)).over(whole))
+    at = lambda cell, what: F.max(F.when(i == cell, F.col(what)))
+    return rows.groupBy(*on).agg(
+        F.max("bottom").alias("bottom_of"), F.max(c > s).alias("content_right"), at(s, "narrow").alias("narrow"), at(s, "low").alias("session_from"), F.coalesce(at(s, "narrow"), at(s, "high")).alias("session_to"), at(c, "low").alias("content_from"),
+        at(c, "high").alias("content_to"), at(c, "before").alias("before_content"), at(k, "low").alias("category_from"), at(k, "high").alias("category_to"), F.min("left").alias("leftmost"),
+    )
 
 
 def header_grid(boxes: DataFrame, key: str) -> DataFrame:
@@ -238,49 +269,61 @@ def header_grid(boxes: DataFrame, key: str) -> DataFrame:
     column between the two; closing lines (writers, dates, addresses) are dropped.
     Of several header lines the first with two rows or more counts, else the first.
     """
-    lined = stored(with_lines(boxes.select(key, "left", "top", "right", "bottom", "text"), [key]))
+    # Boxes are dealt by their page once they have lines, and once more after the lines of the bands; all between is windows on that.
+    # Both readers of the boxes ask for no less than this filter, so that they share one shuffle.
+    here = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (key, "line")])
+    lined = with_lines(boxes.select(key, "left", "top", "right", "bottom", "text"), [key]).filter(here).repartition(key)
     on = [key, "head"]
-    grids = stored(_grid(_header_lines(lined, key), key).withColumnRenamed("line", "head"))
-    body = lined.join(grids, key).filter(F.col("line") > F.col("head")).withColumn("_x", _centre("left", "right")).withColumn("mark", session_mark(F.col("text")))
-    body = stored(body)
+    grids = _grid(_header_lines(lined, key), key)
+    # Where no header line has two rows, the first header line's are taken, if it has any.
+    grids = grids.withColumn("_first", F.min("head").over(Window.partitionBy(key)))
+    x = _centre("left", "right")
+    within = (x < F.greatest("session_to", "content_from", "content_to", "category_to")) | (F.col("right") <= F.col("leftmost"))
+    body = lined.join(grids, key).filter((F.col("line") > F.col("head")) & within).withColumn("_x", x)
+    # A mark begins with a digit, or with a letter that is read as one.
+    body = body.withColumn("mark", F.when(F.col("text").rlike(r"(?U)^\s*[0-9lI|]"), session_mark(F.col("text"))))
     marked = F.col("mark").isNotNull() & (F.col("_x") >= F.col("session_from"))
     plain_number = F.trim("text").rlike("^[0-9]{1,2}$") & F.col("mark").isNotNull() & (F.col("right") <= F.col("leftmost"))
     # Three places to look for marks; the first that has any counts.
     way = F.when(marked & (F.col("_x") < F.col("session_to")), 1).when(F.col("content_right") & F.col("narrow").isNull() & marked & (F.col("_x") < F.greatest("session_to", "content_from")), 2).when(plain_number, 3)
-    seen = body.withColumn("way", way).filter("way IS NOT NULL").withColumn("best", F.min("way").over(Window.partitionBy(*on))).filter("way = best")
+    # One sort for all windows up to the bands.
+    body = body.withColumn("way", way).sortWithinPartitions(*on, "top", "left", "text")
+    group, order = Window.partitionBy(*on), Window.partitionBy(*on).orderBy("top", "left", "text")
     numbered, dated = F.col("mark.session").isNotNull(), F.col("mark.session").isNull()
-    group = Window.partitionBy(*on)
-    mixed = F.min(F.when(dated, F.col("left"))).over(group) < F.max(F.when(numbered, F.col("right"))).over(group)
-    seen = seen.withColumn("_mixed", F.coalesce(mixed, F.lit(False))).filter(numbered | ~F.col("_mixed"))
-    order = Window.partitionBy(*on).orderBy("top", "left", "text")
-    marks = seen.withColumn("at", F.row_number().over(order)).withColumn("_all", F.min(numbered.cast("int")).over(group) == 1)
-    band = F.when(F.col("at") == 1, F.col("bottom_of")).otherwise((F.lag("bottom").over(order) + F.col("top")) / 2)
-    marks = marks.withColumn("band", band.cast("double")).withColumn("session", F.when(F.col("_all"), F.col("mark.session")).otherwise(F.col("at"))).withColumn("date", F.col("mark.date"))
-    marks = stored(marks.select(*on, "at", "right", "band", "session", "date"))
-    ends = marks.groupBy(*on).agg((F.max("right") + 2).cast("double").alias("marks_end"))
-    cells = body.join(ends, on)
+    body = body.withColumn("_seen", F.coalesce(F.col("way") == F.min("way").over(group), F.lit(False)))
+    mixed = F.min(F.when(F.col("_seen") & dated, F.col("left"))).over(group) < F.max(F.when(F.col("_seen") & numbered, F.col("right"))).over(group)
+    body = body.withColumn("_is_mark", F.col("_seen") & (numbered | ~F.coalesce(mixed, F.lit(False))))
+    of_marks = lambda c: F.when(F.col("_is_mark"), c)
+    above = F.last(of_marks(F.col("bottom")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    count = F.count(of_marks(F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    ends, all_numbered = F.max(of_marks(F.col("right"))).over(group), F.min(of_marks(numbered)).over(group)
+    body = body.select("*", above.alias("_above"), count.alias("_at"), (ends + 2).cast("double").alias("marks_end"), all_numbered.alias("_all")).filter("marks_end IS NOT NULL")
     right = F.greatest("marks_end", F.coalesce(F.col("before_content") + 2, F.col("marks_end")))
     left = F.greatest("content_from", F.when(F.col("marks_end") < F.col("content_to"), F.col("marks_end")).otherwise(F.col("content_from")))
     start = F.when(F.col("content_right"), right).otherwise(left)
     content = (F.col("_x") >= start) & (F.col("_x") < F.col("content_to"))
     category = (F.col("_x") >= F.col("category_from")) & (F.col("_x") < F.col("category_to"))
-    names = [*on, "left", "top", "right", "bottom", "text"]
-    kept = cells.filter(content).select(*names, F.lit("content").alias("what")).unionByName(cells.filter(category).select(*names, F.lit("category").alias("what")))
+    # A box may mark a row, stand in its content and in its category: a row for each, marks where their bands begin, and an as-of step down the page.
+    band = F.when(F.col("_at") == 1, F.col("bottom_of")).otherwise((F.col("_above") + F.col("top")) / 2)
+    mark = F.struct(F.col("_at").alias("at"), F.when(F.col("_all"), F.col("mark.session")).otherwise(F.col("_at")).alias("session"), F.col("mark.date").alias("date"))
+    parts = body.select(*on, "_first", "left", "top", "right", "bottom", "text", "_is_mark", band.cast("double").alias("_band"), of_marks(mark).alias("mark"), content.alias("_content"), category.alias("_category"))
+    parts = parts.withColumn("what", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("CASE what WHEN 0 THEN _is_mark WHEN 1 THEN _content ELSE _category END")
+    is_band = F.col("what") == 0
+    parts = parts.withColumn("_y", F.when(is_band, F.col("_band")).otherwise(_centre("top", "bottom").cast("double"))).withColumn("mark", F.when(is_band, F.col("mark")))
+    down = Window.partitionBy(*on).orderBy("_y", "what", "mark.at").rowsBetween(Window.unboundedPreceding, 0)
+    banded = parts.withColumn("mark", F.last("mark", ignorenulls=True).over(down)).filter("what > 0 AND mark IS NOT NULL")
+    banded = banded.select(*on, "_first", "mark.at", "mark.session", "mark.date", "what", "left", "top", "right", "bottom", "text")
     inside = [*on, "at", "what"]
-    lines = line_texts(with_lines(_banded(kept, marks, on), inside), inside)
+    # The same for every box of a band, or of a page.
+    same = [F.max(c).alias(c) for c in ("session", "date", "_first")]
+    lines = line_texts(with_lines(banded, inside, dealt_by=[key]).repartition(key), inside, *same)
     footer = reduce(lambda a, b: a | b, [F.col("text").rlike(p) for p in FOOTERS])
-    lines = lines.filter((F.col("text") != "") & ((F.col("what") == "category") | ~footer))
+    lines = lines.filter((F.col("text") != "") & ((F.col("what") == 2) | ~footer))
     texts = lambda what: F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct("line", "text")))), lambda x: x["text"])
-    rows = lines.groupBy(*on, "at").agg(F.trim(F.array_join(texts("content"), "\n")).alias("content"), F.trim(F.array_join(texts("category"), " ")).alias("category")).filter("content <> ''")
-    rows = rows.join(marks.select(*on, "at", "session", "date"), [*on, "at"])
+    rows = lines.groupBy(*on, "at").agg(F.trim(F.array_join(texts(1), "\n")).alias("content"), F.trim(F.array_join(texts(2), " ")).alias("category"), *same).filter("content <> ''")
     activity = F.concat_ws("\n", F.nullif("category", F.lit("")), "content")
-    n = F.count("*").over(group)
-    rows = rows.select(*on, "at", "session", "date", activity.alias("activity")).withColumn("_n", n)
-    # Where no header line has two rows, the first header line's are taken, if it has any.
-    first = grids.groupBy(key).agg(F.min("head").alias("_first"))
-    rows = rows.join(first, key)
-    page = Window.partitionBy(key)
-    chosen = F.coalesce(F.min(F.when(F.col("_n") >= 2, F.col("head"))).over(page), F.col("_first"))
+    rows = rows.select(*on, "at", "session", "date", "_first", activity.alias("activity")).withColumn("_n", F.count("*").over(group))
+    chosen = F.coalesce(F.min(F.when(F.col("_n") >= 2, F.col("head"))).over(Window.partitionBy(key)), F.col("_first"))
     return rows.withColumn("_head", chosen).filter("head = _head").select(key, "at", "session", "date", "activity")
 
 

@@ -57,14 +57,17 @@ SELECT l_orderkey, CAST(r AS INTEGER) AS session, CASE WHEN o_orderpriority LIKE
   concat('item ', l_partkey, chr(10), l_returnflag, ' ', l_linestatus) AS activity
 FROM items JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority NOT LIKE '5%' AND o_orderpriority NOT LIKE '4%'""")
 def layout_header_grid(t):
-    pages = _items(t).join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.substring("o_orderpriority", 1, 1).alias("kind")), "l_orderkey")
+    kinds = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.substring("o_orderpriority", 1, 1).alias("kind"))
+    # Merged, however small the file of orders looks: the driver need not hold them.
+    pages = _items(t).join(kinds.hint("merge"), "l_orderkey")
     top = F.col("r") * 60.0
     date = F.concat_ws("/", F.month("l_shipdate").cast("string"), F.dayofmonth("l_shipdate").cast("string"))
     number = F.when(F.col("kind") == "1", date).when(F.col("kind") == "2", F.concat(F.col("r").cast("string"), F.lit("회차"))).when(F.col("kind") == "4", (F.col("r") + 1).cast("string")).otherwise(F.col("r").cast("string"))
     cells = [_box(number, 140.0, top + 15, 30.0), _box(F.concat(F.lit("item "), F.col("l_partkey").cast("string")), 283.0, top, 200.0), _box(F.col("l_returnflag"), 283.0, top + 20, 20.0), _box(F.col("l_linestatus"), 320.0, top + 20, 20.0), _box(F.lit("강의"), 838.0, top, 40.0)]
     names = [(F.when(F.col("kind") == "1", "교육일자").otherwise("차시"), 140.0, 40.0), (F.lit("세부"), 449.0, 40.0), (F.lit("교육내용"), 489.0, 80.0), (F.lit("교수방법"), 838.0, 80.0)]
-    heads = pages.filter("r = 1 AND kind <> '5'").select("l_orderkey", F.inline(F.array(*[_box(text, left, 0.0, width) for text, left, width in names])))
-    return page_sessions(pages.select("l_orderkey", F.inline(F.array(*cells))).unionByName(heads), "l_orderkey")
+    heads = [_box(text, left, 0.0, width) for text, left, width in names]
+    boxes = F.when((F.col("r") == 1) & (F.col("kind") != "5"), F.array(*heads, *cells)).otherwise(F.array(*cells))
+    return page_sessions(pages.select("l_orderkey", F.inline(boxes)), "l_orderkey")
 
 
 # Each order is a document, each of its items a page: a titled one (N), one that goes on (R), an appendix or another section's beginning (A).

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.operators import layout
 from lectern.operators.layout import column_sessions, line_texts, page_sessions, session_mark, split_columns, with_lines
 
 SCHEMA = "page int, text string, left double, top double, right double, bottom double"
@@ -145,3 +146,29 @@ def test_columns_take_no_checkpoint_and_two_shuffles(spark):
     boxes = spark.range(40).selectExpr("CAST(id % 2 AS INT) AS page", "concat('t', id) AS text", "CAST(id % 2 * 500 + id % 4 * 100 AS DOUBLE) AS left", "CAST(id * 9 AS DOUBLE) AS top", "CAST(id % 2 * 500 + id % 4 * 100 + 50 AS DOUBLE) AS right", "CAST(id * 9 + 12 AS DOUBLE) AS bottom")
     found = split_columns(boxes, "page")
     assert (steps(found, "Exchange"), steps(found, "Sort"), steps(found, "RDD")) == (2, 2, 0)
+
+
+def test_header_grid_is_one_small_plan(spark, pages):
+    """The driver holds the plan: nothing is stored on the way, the boxes are read by one shuffle, and no bound repeats the search for its cell."""
+    found = page_sessions(frame(spark, pages), "page")
+    plan = found._jdf.queryExecution()
+    assert len(plan.optimizedPlan().toString()) < 100_000
+    found.collect()
+    ran = plan.executedPlan().toString().split("Initial Plan")[0]
+    assert (steps(found, "FileScan"), ran.count("ReusedExchange")) == (0, 1)
+
+
+def test_lines_that_may_be_headers(spark, monkeypatch):
+    """Names torn over boxes, cells and lines: what each box shows for itself leaves out no header."""
+    rng = random.Random(5)
+    bits = ["차", "시", "회", "기", "교육", "일", "일자", "강의", "강의일시", "명", "차시", "(60분", "분)", "(x)회차", "내", "용", "내용", "교육내용", "프로그", "램명", "주제", "활동", "세부 사", "항", " ", "1", "item", "강", "의명", None]
+    pages = {}
+    for k in range(250):
+        pages[k] = [(rng.choice(bits), float(left), 30.0 * line, left + 20.0, 30.0 * line + 20) for line in range(rng.randint(1, 4)) for left in rng.sample(range(0, 200, 25), rng.randint(1, 6))]
+    lined = with_lines(frame(spark, pages), ["page"]).localCheckpoint()
+    cells = lambda: sorted((r.page, r.head, r.left, r.right, r.text) for r in layout._header_lines(lined, "page").collect())
+    got = cells()
+    few = layout._may_be_header(lined, "page").count()
+    monkeypatch.setattr(layout, "_may_be_header", lambda lined, key: lined)
+    assert got == cells() and len({(page, head) for page, head, *_ in got}) > 50
+    assert few < lined.count()
