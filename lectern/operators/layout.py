@@ -12,6 +12,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Names of the columns of a session table, as they stand in scanned plans.
 COLUMN_LABEL = "^(?:차시|회차|회기|시수)$"
@@ -43,7 +44,8 @@ MAY_NAME_SESSIONS = rf"\(|{SESSION_OPENING}|^{_pieces(_SESSION_NAMES, lambda n,
 # ... and a content column's is whole in one box, or begins at the end of one and ends at the beginning of another.
 CONTENT_BEGINS = rf"{_pieces(_CONTENT_NAMES, lambda n, k: n[:k], 1, 1)}$"
 CONTENT_ENDS = rf"^{_pieces(_CONTENT_NAMES, lambda n, k: n[-k:], 1, 1)}"
-NAME_LETTER = "[(" + "".join(sorted({c for n in (*_SESSION_NAMES, *_CONTENT_NAMES) for c in n})) + "]"
+# All those names are in Hangul.
+NAME_LETTER = "[(가-힣]"
 
 
 def _bare(text: Column) -> Column:
@@ -74,27 +76,35 @@ def with_lines(boxes: DataFrame, by: list[str], ratio: float = 0.5, dealt_by: li
     dealt = boxes.filter(fit).repartition(*(dealt_by or by)).sortWithinPartitions(*by, *order)
     tall = dealt.withColumn("_tall", F.greatest(F.lit(1.0), (F.col("bottom") - F.col("top")).cast("double"))).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
     near = F.greatest(F.lit(4.0), upper_median("_tall", by) * ratio)
-    ready = tall.select(*boxes.columns, "_n", near.alias("_near"), F.col("top").cast("double").alias("_a"), F.col("bottom").cast("double").alias("_b")).sortWithinPartitions(*by, *order)
+    # Places that are doubles go to the workers once.
+    double = {c: c if boxes.schema[c].dataType == T.DoubleType() else f"_{c}" for c in ("top", "bottom")}
+    ready = tall.select(*boxes.columns, "_n", near.alias("_near"), *(F.col(c).cast("double").alias(d) for c, d in double.items() if c != d)).sortWithinPartitions(*by, *order)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in boxes.schema), "line int"])
     names = boxes.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines: list[tuple[float, float]] = []
+        tops: list[float] = []  # of the page's lines, as their bottoms and middles
+        bottoms: list[float] = []
+        middles: list[float] = []
         left = 0  # boxes of the page that are still to come
         for batch in batches:
             made = []
-            for n, top, bottom, near in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("_n", "_a", "_b", "_near")), strict=True):
+            for n, top, bottom, near in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("_n", double["top"], double["bottom"], "_near")), strict=True):
                 if not left:
-                    left, lines = n, []
+                    left, tops, bottoms, middles = n, [], [], []
                 left -= 1
                 middle = (top + bottom) / 2
-                for k, (a, b) in enumerate(lines):
-                    if abs((a + b) / 2 - middle) <= near:
-                        lines[k] = (min(top, a), max(bottom, b))
+                for k, m in enumerate(middles):  # noqa: B007
+                    if abs(m - middle) <= near:
+                        if top < tops[k] or bottom > bottoms[k]:
+                            tops[k], bottoms[k] = min(top, tops[k]), max(bottom, bottoms[k])
+                            middles[k] = (tops[k] + bottoms[k]) / 2
                         break
                 else:
-                    k = len(lines)
-                    lines.append((top, bottom))
+                    k = len(middles)
+                    tops.append(top)
+                    bottoms.append(bottom)
+                    middles.append(middle)
                 made.append(k)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made, pa.int32())], names=[*names, "line"])
 
@@ -168,20 +178,30 @@ def column_sessions(boxes: DataFrame, key: str) -> DataFrame:
     return found.filter("activity <> ''")
 
 
-def session_mark(text: Column) -> Column:
-    """struct(session, date) of a cell that names a session or its date, null for any other; l, I, | and O, o alone are digits."""
-    bare = F.regexp_replace(F.regexp_replace(_bare(text), "^[lI|]$", "1"), "^[oO]$", "0")
-    number = F.regexp_extract(bare, NUMBERED, 1).try_cast("int")
-    date = F.nullif(F.regexp_extract(bare, NUMBERED, 2), F.lit(""))
-    month, day = F.regexp_extract(bare, DATED, 1).try_cast("int"), F.regexp_extract(bare, DATED, 2).try_cast("int")
-    as_number = F.when(number.between(1, 40), F.struct(number.alias("session"), date.alias("date")))
+def _mark_text(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(_bare(text), "^[lI|]$", "1"), "^[oO]$", "0")
+
+
+def _mark_parts(bare: Column) -> dict[str, Column]:
+    # What does not match is null before it is cast: a cast that fails makes an error for each row.
+    found = lambda pattern, group: F.nullif(F.regexp_extract(bare, pattern, group), F.lit(""))
+    return {"number": found(NUMBERED, 1).try_cast("int"), "of": found(NUMBERED, 2), "month": found(DATED, 1).try_cast("int"), "day": found(DATED, 2).try_cast("int")}
+
+
+def _mark(number: Column, of: Column, month: Column, day: Column) -> Column:
+    as_number = F.when(number.between(1, 40), F.struct(number.alias("session"), of.alias("date")))
     spoken = F.concat_ws("/", month.cast("string"), day.cast("string"))
     as_date = F.when(month.between(1, 12) & day.between(1, 31), F.struct(F.lit(None).cast("int").alias("session"), spoken.alias("date")))
     return F.coalesce(as_number, as_date)
 
 
+def session_mark(text: Column) -> Column:
+    """struct(session, date) of a cell that names a session or its date, null for any other; l, I, | and O, o alone are digits."""
+    return _mark(**_mark_parts(_mark_text(text)))
+
+
 def header_cells(lined: DataFrame, on: list[str]) -> DataFrame:
-    """on, left, right, text, parts, boxes: the boxes of each group where the next one begins within 1.2 of the group's upper median height (at least 8).
+    """on, cell, left, right, text, parts, boxes: the boxes of each group where the next one begins within 1.2 of the group's upper median height (at least 8).
 
     text is without blanks, parts is an array of (left, top, right, text without
     blanks) from the left, boxes the cell's boxes as they are.
@@ -190,11 +210,15 @@ def header_cells(lined: DataFrame, on: list[str]) -> DataFrame:
     reach = F.max("right").over(order.rowsBetween(Window.unboundedPreceding, -1))
     sized = lined.withColumn("_reach", reach).withColumn("_h", F.greatest(F.lit(1.0), (F.col("bottom") - F.col("top")).cast("double"))).withColumn("_tall", upper_median("_h", on))
     breaks = F.when(F.col("left") - F.col("_reach") <= F.greatest(F.lit(8.0), F.col("_tall") * 1.2), 0).otherwise(1)
-    grouped = sized.withColumn("_new", breaks).withColumn("_cell", F.sum("_new").over(order))
-    parts = F.array_sort(F.collect_list(F.struct(F.col("left").cast("double").alias("left"), F.col("top"), F.col("right").cast("double").alias("right"), _bare(F.col("text")).alias("text"))))
-    boxes = F.collect_list(F.struct("left", "top", "right", "bottom", "text"))
-    cells = grouped.groupBy(*on, "_cell").agg(F.min("left").cast("double").alias("left"), F.max("right").cast("double").alias("right"), parts.alias("parts"), boxes.alias("boxes"))
-    return cells.select(*on, "left", "right", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"), "parts", "boxes")
+    grouped = sized.withColumn("_new", breaks).withColumn("cell", F.sum("_new").over(order)).withColumn("_bare", _bare(F.col("text")))
+    # A cell's first box stands for it: windows in order take fewer sorts than groups of arrays.
+    from_left = Window.partitionBy(*on, "cell").orderBy("left", "top", "right", "_bare")
+    every = from_left.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    part = F.struct(F.col("left").cast("double").alias("left"), F.col("top"), F.col("right").cast("double").alias("right"), F.col("_bare").alias("text"))
+    ends = (F.min("left").over(every).cast("double").alias("left"), F.max("right").over(every).cast("double").alias("right"))
+    arrays = (F.collect_list(part).over(every).alias("parts"), F.collect_list(F.struct("left", "top", "right", "bottom", "text")).over(every).alias("boxes"))
+    cells = grouped.select(*on, "cell", *ends, *arrays, F.row_number().over(from_left).alias("_nth")).filter("_nth = 1")
+    return cells.select(*on, "cell", "left", "right", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"), "parts", "boxes")
 
 
 def _is_session(text: Column) -> Column:
@@ -203,24 +227,29 @@ def _is_session(text: Column) -> Column:
 
 
 def _may_be_header(lined: DataFrame, key: str) -> DataFrame:
-    """The boxes of lines that may name a session column, with a content column's name there or on the next line, and of those next lines.
+    """The boxes of lines that may name a session or a content column, with a name of the other there or on a line beside it.
 
     Told by each box for itself, so few lines but headers are left to be read as cells.
     """
-    line, page = Window.partitionBy(key, "line"), Window.partitionBy(key).orderBy("line")
+    line, near = Window.partitionBy(key, "line"), Window.partitionBy(key).orderBy("line").rangeBetween(-1, 1)
+    # What a box shows, and then its line and the lines beside it, as bits: a session name, a content name, its beginning, its end.
     seen = lined.sortWithinPartitions(key, "line").withColumn("_bare", F.when(F.col("text").rlike(NAME_LETTER), _bare(F.col("text"))))
-    shows = lambda pattern: F.coalesce(F.bool_or(F.col("_bare").rlike(pattern)).over(line), F.lit(False))
-    told = seen.select(*lined.columns, shows(MAY_NAME_SESSIONS).alias("_s"), shows(CONTENT_LABEL).alias("_whole"), shows(CONTENT_BEGINS).alias("_begins"), shows(CONTENT_ENDS).alias("_ends"))
-    told = told.select(*lined.columns, "_s", (F.col("_whole") | (F.col("_begins") & F.col("_ends"))).alias("_c"))
-    near = lambda flag, way: F.coalesce(F.bool_or(flag).over(page.rangeBetween(way, way)), F.lit(False))
-    told = told.withColumn("_below", near("_c", 1)).withColumn("_above", near("_s", -1))
-    return told.filter("_s AND (_c OR _below) OR _c AND _above").select(*lined.columns)
+    bits = [F.when(F.col("_bare").rlike(p), 1 << k).otherwise(0) for k, p in enumerate((MAY_NAME_SESSIONS, CONTENT_LABEL, CONTENT_BEGINS, CONTENT_ENDS))]
+    shown = F.when(F.col("_bare").isNotNull(), reduce(lambda a, b: a.bitwiseOR(b), bits)).otherwise(0)
+    told = seen.withColumn("_shown", shown).withColumn("_line", F.bit_or("_shown").over(line))
+    content = (F.col("_line").bitwiseAND(2) > 0) | (F.col("_line").bitwiseAND(12) == 12)
+    told = told.select(*lined.columns, F.col("_line").bitwiseAND(1).bitwiseOR(F.when(content, 2).otherwise(0)).alias("_names"))
+    told = told.withColumn("_near", F.bit_or("_names").over(near))
+    return told.filter("_names > 0 AND _near = 3").select(*lined.columns)
 
 
 def _header_lines(lined: DataFrame, key: str) -> DataFrame:
     """key, head and the header_cells of every line that names a session column and a content column, by itself or with the next line's names."""
     cells = header_cells(_may_be_header(lined, key), [key, "line"])
-    kinds = cells.groupBy(key, "line").agg(F.bool_or(_is_session(F.col("text"))).alias("s"), F.bool_or(F.col("text").rlike(CONTENT_LABEL)).alias("c"), F.flatten(F.collect_list("boxes")).alias("boxes"))
+    along = Window.partitionBy(key, "line").orderBy("cell")
+    every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    named = F.bool_or(_is_session(F.col("text"))).over(every).alias("s"), F.bool_or(F.col("text").rlike(CONTENT_LABEL)).over(every).alias("c")
+    kinds = cells.select(key, "line", *named, F.flatten(F.collect_list("boxes").over(every)).alias("boxes"), F.row_number().over(along).alias("_nth")).filter("_nth = 1").drop("_nth")
     order = Window.partitionBy(key).orderBy("line")
     below = F.lead(F.struct("line", "s", "c", "boxes")).over(order)
     pairs = kinds.withColumn("below", below)
@@ -277,20 +306,28 @@ def header_grid(boxes: DataFrame, key: str) -> DataFrame:
     grids = _grid(_header_lines(lined, key), key)
     # Where no header line has two rows, the first header line's are taken, if it has any.
     grids = grids.withColumn("_first", F.min("head").over(Window.partitionBy(key)))
-    x = _centre("left", "right")
-    within = (x < F.greatest("session_to", "content_from", "content_to", "category_to")) | (F.col("right") <= F.col("leftmost"))
-    body = lined.join(grids, key).filter((F.col("line") > F.col("head")) & within).withColumn("_x", x)
-    # A mark begins with a digit, or with a letter that is read as one.
-    body = body.withColumn("mark", F.when(F.col("text").rlike(r"(?U)^\s*[0-9lI|]"), session_mark(F.col("text"))))
-    marked = F.col("mark").isNotNull() & (F.col("_x") >= F.col("session_from"))
-    plain_number = F.trim("text").rlike("^[0-9]{1,2}$") & F.col("mark").isNotNull() & (F.col("right") <= F.col("leftmost"))
-    # Three places to look for marks; the first that has any counts.
-    way = F.when(marked & (F.col("_x") < F.col("session_to")), 1).when(F.col("content_right") & F.col("narrow").isNull() & marked & (F.col("_x") < F.greatest("session_to", "content_from")), 2).when(plain_number, 3)
+    # What the places alone tell, at the join: where a mark may stand (three ways to look, the first that has any counts), and which column it is.
+    x, content_right = _centre("left", "right"), F.col("content_right")
+    after = x >= F.col("session_from")
+    way = F.when(after & (x < F.col("session_to")), 1).when(content_right & F.col("narrow").isNull() & after & (x < F.greatest("session_to", "content_from")), 2).when(F.col("right") <= F.col("leftmost"), 3)
+    # Content goes on from the marks' end too, but for a column left of the session column that ends before it.
+    begins = F.when(content_right, F.coalesce(F.col("before_content") + 2, F.lit(-FAR))).otherwise(F.col("content_from"))
+    content = (x >= begins) & (x < F.col("content_to"))
+    category = F.coalesce((x >= F.col("category_from")) & (x < F.col("category_to")), F.lit(False))
+    body = lined.join(grids, key).filter(F.col("line") > F.col("head"))
+    body = body.select(*on, "_first", "left", "top", "right", "bottom", "text", "bottom_of", F.when(~content_right, F.col("content_to")).alias("_until"), way.alias("_way"), content.alias("_content"), category.alias("_category"))
     # One sort for all windows up to the bands.
-    body = body.withColumn("way", way).sortWithinPartitions(*on, "top", "left", "text")
+    body = body.filter("_way IS NOT NULL OR _content OR _category").sortWithinPartitions(*on, "top", "left", "text")
+    # A mark begins with a digit, or with a letter that is read as one.
+    may_mark = F.col("_way").isNotNull() & F.col("text").rlike(r"(?U)^\s*[0-9lI|]") & ((F.col("_way") < 3) | F.trim("text").rlike("^[0-9]{1,2}$"))
+    # session_mark in steps, so that its code holds each pattern once and the virtual machine compiles it.
+    body = body.withColumn("_bare", F.when(may_mark, _mark_text(F.col("text"))))
+    told = _mark_parts(F.col("_bare"))
+    body = body.withColumns(told).withColumn("mark", _mark(**{c: F.col(c) for c in told})).drop("_bare", *told)
+    body = body.withColumn("_way", F.when(F.col("mark").isNotNull(), F.col("_way")))
     group, order = Window.partitionBy(*on), Window.partitionBy(*on).orderBy("top", "left", "text")
     numbered, dated = F.col("mark.session").isNotNull(), F.col("mark.session").isNull()
-    body = body.withColumn("_seen", F.coalesce(F.col("way") == F.min("way").over(group), F.lit(False)))
+    body = body.withColumn("_seen", F.coalesce(F.col("_way") == F.min("_way").over(group), F.lit(False)))
     mixed = F.min(F.when(F.col("_seen") & dated, F.col("left"))).over(group) < F.max(F.when(F.col("_seen") & numbered, F.col("right"))).over(group)
     body = body.withColumn("_is_mark", F.col("_seen") & (numbered | ~F.coalesce(mixed, F.lit(False))))
     of_marks = lambda c: F.when(F.col("_is_mark"), c)
@@ -298,15 +335,11 @@ def header_grid(boxes: DataFrame, key: str) -> DataFrame:
     count = F.count(of_marks(F.lit(1))).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     ends, all_numbered = F.max(of_marks(F.col("right"))).over(group), F.min(of_marks(numbered)).over(group)
     body = body.select("*", above.alias("_above"), count.alias("_at"), (ends + 2).cast("double").alias("marks_end"), all_numbered.alias("_all")).filter("marks_end IS NOT NULL")
-    right = F.greatest("marks_end", F.coalesce(F.col("before_content") + 2, F.col("marks_end")))
-    left = F.greatest("content_from", F.when(F.col("marks_end") < F.col("content_to"), F.col("marks_end")).otherwise(F.col("content_from")))
-    start = F.when(F.col("content_right"), right).otherwise(left)
-    content = (F.col("_x") >= start) & (F.col("_x") < F.col("content_to"))
-    category = (F.col("_x") >= F.col("category_from")) & (F.col("_x") < F.col("category_to"))
+    content = F.col("_content") & ((_centre("left", "right") >= F.col("marks_end")) | F.coalesce(F.col("marks_end") >= F.col("_until"), F.lit(False)))
     # A box may mark a row, stand in its content and in its category: a row for each, marks where their bands begin, and an as-of step down the page.
     band = F.when(F.col("_at") == 1, F.col("bottom_of")).otherwise((F.col("_above") + F.col("top")) / 2)
     mark = F.struct(F.col("_at").alias("at"), F.when(F.col("_all"), F.col("mark.session")).otherwise(F.col("_at")).alias("session"), F.col("mark.date").alias("date"))
-    parts = body.select(*on, "_first", "left", "top", "right", "bottom", "text", "_is_mark", band.cast("double").alias("_band"), of_marks(mark).alias("mark"), content.alias("_content"), category.alias("_category"))
+    parts = body.select(*on, "_first", "left", "top", "right", "bottom", "text", "_is_mark", band.cast("double").alias("_band"), of_marks(mark).alias("mark"), content.alias("_content"), "_category")
     parts = parts.withColumn("what", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("CASE what WHEN 0 THEN _is_mark WHEN 1 THEN _content ELSE _category END")
     is_band = F.col("what") == 0
     parts = parts.withColumn("_y", F.when(is_band, F.col("_band")).otherwise(_centre("top", "bottom").cast("double"))).withColumn("mark", F.when(is_band, F.col("mark")))
@@ -314,13 +347,17 @@ def header_grid(boxes: DataFrame, key: str) -> DataFrame:
     banded = parts.withColumn("mark", F.last("mark", ignorenulls=True).over(down)).filter("what > 0 AND mark IS NOT NULL")
     banded = banded.select(*on, "_first", "mark.at", "mark.session", "mark.date", "what", "left", "top", "right", "bottom", "text")
     inside = [*on, "at", "what"]
-    # The same for every box of a band, or of a page.
-    same = [F.max(c).alias(c) for c in ("session", "date", "_first")]
-    lines = line_texts(with_lines(banded, inside, dealt_by=[key]).repartition(key), inside, *same)
+    # One sort for the texts of lines, of bands and the choice of a header; a group's first row stands for it.
+    found = with_lines(banded, inside, dealt_by=[key]).repartition(key).sortWithinPartitions(*inside, "line", "left", "top", "text")
+    in_line, in_band = Window.partitionBy(*inside, "line").orderBy("left", "top", "text"), Window.partitionBy(*on, "at").orderBy("what", "line")
+    every = (Window.unboundedPreceding, Window.unboundedFollowing)
+    lines = found.select("*", F.collect_list("text").over(in_line.rowsBetween(*every)).alias("_texts"), F.row_number().over(in_line).alias("_nth")).filter("_nth = 1")
+    lines = lines.withColumn("text", F.trim(F.regexp_replace(F.array_join("_texts", " "), r"(?U)\s{2,}", " ")))
     footer = reduce(lambda a, b: a | b, [F.col("text").rlike(p) for p in FOOTERS])
-    lines = lines.filter((F.col("text") != "") & ((F.col("what") == 2) | ~footer))
-    texts = lambda what: F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct("line", "text")))), lambda x: x["text"])
-    rows = lines.groupBy(*on, "at").agg(F.trim(F.array_join(texts(1), "\n")).alias("content"), F.trim(F.array_join(texts(2), " ")).alias("category"), *same).filter("content <> ''")
+    lines = lines.select(*on, "_first", "at", "session", "date", "what", "line", F.when((F.col("text") != "") & ((F.col("what") == 2) | ~footer), F.col("text")).alias("text"))
+    texts = lambda what: F.collect_list(F.when(F.col("what") == what, F.col("text"))).over(in_band.rowsBetween(*every))
+    rows = lines.select("*", texts(1).alias("content"), texts(2).alias("category"), F.row_number().over(in_band).alias("_nth")).filter("_nth = 1")
+    rows = rows.withColumn("content", F.trim(F.array_join("content", "\n"))).withColumn("category", F.trim(F.array_join("category", " "))).filter("content <> ''")
     activity = F.concat_ws("\n", F.nullif("category", F.lit("")), "content")
     rows = rows.select(*on, "at", "session", "date", "_first", activity.alias("activity")).withColumn("_n", F.count("*").over(group))
     chosen = F.coalesce(F.min(F.when(F.col("_n") >= 2, F.col("head"))).over(Window.partitionBy(key)), F.col("_first"))
